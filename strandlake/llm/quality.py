@@ -20,7 +20,9 @@ BUCKETS = 1 << 16
 #: Trusted documents that the target is counted over, in expectation; more labels are thinned by a hash of the id.
 TRUSTED = 20_000
 #: Bits an n-gram, below which a document is rejected.
-THRESHOLD = -0.35
+THRESHOLD = -0.3
+#: Occurrences added to a bucket on both sides, so that n-grams too rare to tell count for little.
+PRIOR = 4.0
 SCALE = 1 << 20
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -111,7 +113,8 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
 def ngram_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRUSTED) -> np.ndarray:
     """log2(trusted / corpus) of each bucket in steps of 1/SCALE; every document of docs counts for the corpus.
 
-    Each count starts at 1. Without trusted documents all ratios are zero.
+    PRIOR occurrences are added on both sides, the corpus's counts being scaled to the size of the trusted text. Without
+    trusted documents all ratios are zero.
     """
     trusted = F.broadcast(trusted_ids(labels, most))  # about `most` ids
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(trusted, F.col("id") == F.col("trusted_id"), "left")
@@ -137,14 +140,15 @@ def ngram_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     summed = rows.mapInArrow(count, "bucket int, corpus long, trusted long").groupBy("bucket").agg(F.sum("corpus").alias("corpus"), F.sum("trusted").alias("trusted"))
     got = summed.toArrow()  # BUCKETS rows at most
-    counts = np.ones((2, BUCKETS))
+    counts = np.zeros((2, BUCKETS))
     at = got.column("bucket").to_numpy()
-    counts[0, at] += got.column("corpus").to_numpy()
-    counts[1, at] += got.column("trusted").to_numpy()
-    if counts[1].sum() == BUCKETS:
+    counts[0, at] = got.column("corpus").to_numpy()
+    counts[1, at] = got.column("trusted").to_numpy()
+    all_, good = counts.sum(axis=1)
+    if good == 0:
         return np.zeros(BUCKETS, np.int64)
-    share = counts / counts.sum(axis=1, keepdims=True)
-    return np.rint(np.log2(share[1] / share[0]) * SCALE).astype(np.int64)
+    expected = counts[0] * (good / all_)  # what trusted text would have if it were like the corpus
+    return np.rint(np.log2((counts[1] + PRIOR) / (expected + PRIOR)) * SCALE).astype(np.int64)
 
 
 def judge(text: Column | str, ratio: np.ndarray, threshold: float = THRESHOLD) -> Column:
