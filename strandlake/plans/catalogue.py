@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import columns
+from . import columns, domain, ordered, relations
 from .registry import ORACLES, QUERIES, Query
+from .views import Views
 
-_FAMILIES = (columns,)
+_FAMILIES = (columns, relations, ordered, domain)
 
 
 def queries() -> dict[str, Query]:
@@ -16,3 +17,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domain.flagship(Views(spark, sf_dir))
