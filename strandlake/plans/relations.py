@@ -228,11 +228,12 @@ def dedupe_keys(v: Views) -> DataFrame:
     return tables.first_of_each(v.positions.select("gene_id", "position", "strand", "transcript_id"), ["gene_id", "position", "strand"], [F.col("transcript_id")])
 
 
-@query("""select "column", n, nulls, "distinct", round(mn, 6) as "min", round(mx, 6) as "max", round(mean, 6) as mean, round(std, 6) as std, round(p25, 6) as p25, round(p50, 6) as p50, round(p75, 6) as p75 from (
+@query("""select "column", n, nulls, "distinct", round(mn, 9) as "min", round(mx, 9) as "max", round(mean, 9) as mean, round(std, 9) as std, round(p25, 9) as p25, round(p50, 9) as p50, round(p75, 9) as p75 from (
   select 'donor_score' as "column", cast(count(donor_score) as bigint) as n, cast(0 as bigint) as nulls, cast(count(distinct donor_score) as bigint) as "distinct", min(donor_score) as mn, max(donor_score) as mx, avg(donor_score) as mean, stddev_samp(donor_score) as std, quantile_cont(donor_score, 0.25) as p25, quantile_cont(donor_score, 0.5) as p50, quantile_cont(donor_score, 0.75) as p75 from positions
   union all select 'score', cast(count(score) as bigint), 0, cast(count(distinct score) as bigint), min(score), max(score), avg(score), stddev_samp(score), quantile_cont(score, 0.25), quantile_cont(score, 0.5), quantile_cont(score, 0.75) from positions)""")
 def feature_statistics(v: Views) -> DataFrame:
-    return rounded(metrics.describe(v.positions, ["donor_score", "score"]), "min", "max", "mean", "std", "p25", "p50", "p75")
+    stats = metrics.describe(v.positions, ["donor_score", "score"])
+    return stats.withColumns({c: F.round(c, 9) for c in ("min", "max", "mean", "std", "p25", "p50", "p75")})
 
 
 @query("select bin, cast(count(*) as bigint) as n from (select cast(len(list_filter(e, lambda x: x <= donor_score)) - 1 as int) as bin from positions, (select quantile_cont(donor_score, [0, 0.25, 0.5, 0.75, 1.0]) as e from positions)) group by bin")
