@@ -115,7 +115,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 texts = batch.column(1).filter(pa.array(names.indices.to_numpy() == k))
                 raw, offsets = text_buffer(texts)
                 codes, n = np.unique(_triples(raw, offsets), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(n)], ["lang", "code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int32()), pa.array(n, pa.int64())], ["lang", "code", "n"])
 
     summed = part.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     got = summed.toPandas()  # distinct byte triples of a bounded sample
