@@ -158,7 +158,7 @@ def write_wig(rows: DataFrame, path: str, score: str, base: float = 10.0, eps: f
 
     w = Window.partitionBy("chrom").orderBy("position")
     rows = rows.withColumn("fresh", F.coalesce((F.col("position") - F.lag("position").over(w) != 1).cast("int"), F.lit(1)))
-    value = F.format_string("%.6f", F.log(F.lit(base), F.col(score) + eps))
+    value = F.format_string("%.6f", F.log(base, F.col(score) + eps))
     head = F.concat(F.lit("fixedStep chrom="), F.col("chrom"), F.lit(" start="), F.col("position").cast("string"), F.lit(" step=1\n"))
     _write_sorted(rows.select("chrom", F.col("position").alias("start"), F.col("position").alias("end"), F.concat(F.when(F.col("fresh") == 1, head).otherwise(""), value).alias("value")), path, "track type=wiggle_0")
 

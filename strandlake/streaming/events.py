@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def read_events(spark: SparkSession, folder: str, files_a_trigger: int = 1) -> DataFrame:
-    """A stream of the Parquet files of a folder, with the schema that the folder has now."""
+    """A stream of the Parquet files of a folder, with the schema that the folder has now; ts is in the session's time zone."""
     schema = spark.read.parquet(folder).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(folder)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(folder)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling(events: DataFrame, width: str = "1 day", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
