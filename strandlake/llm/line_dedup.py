@@ -6,6 +6,10 @@ and shorter lengths, with those of its substrings that can match (their places a
 Pairs that meet are verified by banded bit-parallel edit distance. Components of the remaining links are the classes; of
 each class the first line in order of (doc_id, line) stays.
 
+Many lines may share a segment, as in a template. So each entry also carries a sketch of its line: the byte values are dealt
+into CLASSES classes, and the counts of each class are hashed to a few bits. An edit changes the counts of two byte values at
+most, so lines within EDITS edits agree on all classes but 2 * EDITS; other pairs are not sent on.
+
 Lines are identified by a 64-bit hash of their bytes, so that texts stay where they are: only the lines that meet another
 are shuffled as text. Edits are of UTF-8 bytes. Lines without a word are left alone; lines below SHORTEST bytes only
 match exactly.
@@ -28,6 +32,8 @@ EDITS = 2
 SHORTEST = 20
 #: Most ids that a Bloom filter keeps for the look-up of texts; more are looked up by a join alone.
 FILTER_IDS = 20_000_000
+#: Classes of byte values in a line's sketch; 2 * EDITS must be fewer.
+CLASSES = 10
 #: Cells of a batch of pairs in the verification.
 CELLS = 4 << 20
 
@@ -91,6 +97,31 @@ def _key(raw: np.ndarray, starts: np.ndarray, size: np.ndarray, length: np.ndarr
         return mix64(span_hashes_of(raw, starts, starts + size) + mix64(length.astype(np.uint64) * np.uint64(64) + np.uint64(i)))
 
 
+def sketches(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each line the hashed counts of the byte values of each class, side by side in one number."""
+    from . import base
+
+    bits = 60 // CLASSES
+    out = np.zeros(len(starts), np.uint64)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for c in range(CLASSES):
+            code = np.where(np.arange(256) % CLASSES == c, base._BYTE_CODE, np.uint64(0))
+            np.cumsum(code[raw], out=total[1:])
+            out |= (mix64(total[ends] - total[starts]) >> np.uint64(64 - bits)) << np.uint64(c * bits)
+    return out
+
+
+def agree(a: np.ndarray, b: np.ndarray, edits: int = EDITS) -> np.ndarray:
+    """Which pairs of sketches may be of lines within `edits` edits."""
+    bits = 60 // CLASSES
+    differ = a.view(np.uint64) ^ b.view(np.uint64)
+    same = np.zeros(len(a), np.int8)
+    for c in range(CLASSES):
+        same += (differ >> np.uint64(c * bits)) & np.uint64((1 << bits) - 1) == 0
+    return same >= CLASSES - 2 * edits
+
+
 class _Sums:
     """Running sums of one buffer, so that the many spans of a chunk share them."""
 
@@ -127,14 +158,15 @@ def meeting_lines(docs: DataFrame, text_col: str = "text", edits: int = EDITS, s
                 new = ~np.isin(ids, seen, assume_unique=True) & (ends[first] - starts[first] >= shortest)
                 ids, starts, ends = ids[new], starts[first[new]], ends[first[new]]
                 seen = np.concatenate((seen, ids))
+                sketch = sketches(raw, starts, ends)
                 for which, key, probe in segment_keys(raw, starts, ends, edits):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[which].view(np.int64)), pa.array(np.full(len(key), probe))], ["key", "id", "probe"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[which].view(np.int64)), pa.array(np.full(len(key), probe)), pa.array(sketch[which].view(np.int64))], ["key", "id", "probe", "sketch"])
 
-    dealt = docs.select(F.col(text_col)).mapInArrow(keys, "key long, id long, probe boolean")
+    dealt = docs.select(F.col(text_col)).mapInArrow(keys, "key long, id long, probe boolean, sketch long")
     dealt = dealt.repartition(F.col("key")).sortWithinPartitions("key")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)]
         for batch in batches:
             now = [np.concatenate((h, batch.column(k).to_numpy(zero_copy_only=False))) for k, h in enumerate(held)]
             whole = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
@@ -142,13 +174,13 @@ def meeting_lines(docs: DataFrame, text_col: str = "text", edits: int = EDITS, s
             held = [x[whole:] for x in now]
         yield from pairs(*held)
 
-    def pairs(key: np.ndarray, ids: np.ndarray, probe: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(key: np.ndarray, ids: np.ndarray, probe: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(key) < 2:
             return
         order = np.lexsort((ids, probe, key))
-        key, ids, probe = key[order], ids[order], probe[order]
+        key, ids, probe, sketch = key[order], ids[order], probe[order], sketch[order]
         again = np.concatenate(([False], (key[1:] == key[:-1]) & (ids[1:] == ids[:-1]) & (probe[1:] == probe[:-1])))
-        key, ids, probe = key[~again], ids[~again], probe[~again]
+        key, ids, probe, sketch = key[~again], ids[~again], probe[~again], sketch[~again]
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         last = np.append(first[1:], len(key))
         split = first + np.add.reduceat((~probe).astype(np.int64), first)  # index entries stand before probes
@@ -161,10 +193,11 @@ def meeting_lines(docs: DataFrame, text_col: str = "text", edits: int = EDITS, s
                 continue
             k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             wide = np.repeat(probing[some], n)
-            x, y = ids[np.repeat(first[some], n) + k // wide], ids[np.repeat(split[some], n) + k % wide]
-            a, b = np.minimum(x, y), np.maximum(x, y)
-            both = np.unique(np.stack((a, b))[:, a != b], axis=1)
-            if both.shape[1]:
+            i, j = np.repeat(first[some], n) + k // wide, np.repeat(split[some], n) + k % wide
+            close = (ids[i] != ids[j]) & agree(sketch[i], sketch[j], edits)
+            x, y = ids[i[close]], ids[j[close]]
+            if len(x):
+                both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
     return dealt.mapInArrow(meet, "a long, b long").distinct()

@@ -55,6 +55,8 @@ def test_close_lines_share_a_key(most):
             for x, y in zip(which.tolist(), key.tolist(), strict=True):
                 (probe if probing else index)[x].add(y)
         assert index[0] & probe[1] or index[1] & probe[0]
+        sketch = ld.sketches(raw, np.array([0, len(a) + 1]), np.array([len(a), len(a) + 1 + len(b)]))
+        assert ld.agree(sketch[:1], sketch[1:], most)[0]
 
 
 def test_removed_lines_equal_brute_force(spark):
