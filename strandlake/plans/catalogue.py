@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import columns, domain, ordered, relations
+from . import columns, domain, further, ordered, relations
 from .registry import ORACLES, QUERIES, Query
 from .views import Views
 
-_FAMILIES = (columns, relations, ordered, domain)
+_FAMILIES = (columns, relations, ordered, domain, further)
 
 
 def queries() -> dict[str, Query]:
