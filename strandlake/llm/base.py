@@ -101,15 +101,31 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) ->
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+class SpanHasher:
+    """64-bit hashes of spans of one buffer: polynomials in one odd base, taken from running sums, then mixed.
+
+    With `of`, a boolean for each byte value, only these bytes count, and where they stand does not.
+    """
+
+    def __init__(self, raw: np.ndarray, of: np.ndarray | None = None):
+        self.total = np.zeros(len(raw) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            if of is None:
+                up, self.down = _power_tables(len(raw) + 1)
+                np.cumsum(_BYTE_CODE[raw] * up[: len(raw)], out=self.total[1:])
+            else:
+                self.down = None
+                np.cumsum(np.where(of, _BYTE_CODE, np.uint64(0))[raw], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            sums = self.total[ends] - self.total[starts]
+            return mix64(sums if self.down is None else sums * self.down[starts])
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes: a polynomial in one odd base, taken from running sums, then mixed."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _power_tables(len(raw) + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE_CODE[raw] * up[: len(raw)], out=total[1:])
-        return mix64((total[ends] - total[starts]) * down[starts])
+    """A 64-bit hash of each span's bytes."""
+    return SpanHasher(raw)(starts, ends) if len(starts) else np.zeros(0, np.uint64)
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import SPACE, chunks, mix64, park, span_hashes, table, text_buffer, word_spans
+from .base import SPACE, SpanHasher, chunks, mix64, park, span_hashes, table, text_buffer, word_spans
 from .near_dedup import components
 from .url_filter import _filter_of, _in
 
@@ -78,37 +78,32 @@ def _cut(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray
 
 def segment_keys(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, edits: int = EDITS) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """(lines, keys, probe): keys of the lines' segments, and of the substrings that they probe the index with."""
-    length = ends - starts
+    length, spans = ends - starts, SpanHasher(raw)
     every = np.arange(len(starts))
     for i in range(edits + 1):
         at, size = _cut(length, i, edits)
-        yield every, _key(raw, starts + at, size, length, i), False
+        yield every, _key(spans, starts + at, size, length, i), False
         for shorter in range(edits + 1):
             other = length - shorter
             at, size = _cut(other, i, edits)
             lo, hi = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
             for shift in range(lo, hi + 1):
                 fits = (at + shift >= 0) & (at + shift + size <= length) & (size > 0)
-                yield every[fits], _key(raw, (starts + at + shift)[fits], size[fits], other[fits], i), True
+                yield every[fits], _key(spans, (starts + at + shift)[fits], size[fits], other[fits], i), True
 
 
-def _key(raw: np.ndarray, starts: np.ndarray, size: np.ndarray, length: np.ndarray, i: int) -> np.ndarray:
+def _key(spans: SpanHasher, starts: np.ndarray, size: np.ndarray, length: np.ndarray, i: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix64(span_hashes_of(raw, starts, starts + size) + mix64(length.astype(np.uint64) * np.uint64(64) + np.uint64(i)))
+        return mix64(spans(starts, starts + size) + mix64(length.astype(np.uint64) * np.uint64(64) + np.uint64(i)))
 
 
 def sketches(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each line the hashed counts of the byte values of each class, side by side in one number."""
-    from . import base
-
     bits = 60 // CLASSES
     out = np.zeros(len(starts), np.uint64)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        for c in range(CLASSES):
-            code = np.where(np.arange(256) % CLASSES == c, base._BYTE_CODE, np.uint64(0))
-            np.cumsum(code[raw], out=total[1:])
-            out |= (mix64(total[ends] - total[starts]) >> np.uint64(64 - bits)) << np.uint64(c * bits)
+    for c in range(CLASSES):
+        counts = SpanHasher(raw, np.arange(256) % CLASSES == c)
+        out |= (counts(starts, ends) >> np.uint64(64 - bits)) << np.uint64(c * bits)
     return out
 
 
@@ -122,26 +117,6 @@ def agree(a: np.ndarray, b: np.ndarray, edits: int = EDITS) -> np.ndarray:
     return same >= CLASSES - 2 * edits
 
 
-class _Sums:
-    """Running sums of one buffer, so that the many spans of a chunk share them."""
-
-    raw: np.ndarray | None = None
-    total = up = down = None
-
-
-def span_hashes_of(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    from . import base
-
-    if _Sums.raw is not raw:
-        _Sums.up, _Sums.down = base._power_tables(len(raw) + 1)
-        with np.errstate(over="ignore"):
-            _Sums.total = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(base._BYTE_CODE[raw] * _Sums.up[: len(raw)], out=_Sums.total[1:])
-        _Sums.raw = raw
-    with np.errstate(over="ignore"):
-        return mix64((_Sums.total[ends] - _Sums.total[starts]) * _Sums.down[starts])
-
-
 def meeting_lines(docs: DataFrame, text_col: str = "text", edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """(a, b): ids of different lines, a < b, that meet in the segment index."""
 

@@ -45,10 +45,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     out = out.withColumns({"total": F.sum("source_size").over(all_).cast("double"), "all_weight": F.sum("weight").over(all_)})
     out = out.withColumns({"rest": F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "rest_weight": F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0))})
     out = out.withColumn("stops", F.col("cap") * F.col("rest_weight") <= F.col("rest") * F.col("weight"))
-    level = F.min(F.when(~F.col("stops"), F.col("rest") / F.col("rest_weight"))).over(all_)
     # Of the sources that don't stop, the first one's share of the rest is everyone's.
     shared = F.max(F.when(~F.col("stops"), F.struct((-F.col("cap") / F.col("weight")).alias("k"), (F.col("rest") / F.col("rest_weight")).alias("v")))).over(all_)["v"]
-    out = out.withColumn("target", F.when(F.col("stops"), F.col("cap")).otherwise(F.coalesce(shared, level) * F.col("weight")))
+    out = out.withColumn("target", F.when(F.col("stops"), F.col("cap")).otherwise(shared * F.col("weight")))
     return out.select("source", "source_size", "units", "target")
 
 

@@ -34,13 +34,14 @@ _NEWLINE = np.zeros(256, bool)
 _NEWLINE[0x0A] = True
 
 
-def _ngrams(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, row_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the words, buckets of the word pairs, and each pair's row."""
-    words = span_hashes(raw, starts, ends)
-    same = row_of[1:] == row_of[:-1]
-    pairs = shingle_hashes(words, 2)[same] if len(words) > 1 else np.zeros(0, np.uint64)
+def _ngrams(words: np.ndarray, row_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the words, buckets of the word pairs, and each pair's row, from the words' hashes and rows."""
     low = np.uint64(BUCKETS - 1)
-    return (words & low).astype(np.int64), (pairs & low).astype(np.int64), row_of[:-1][same] if len(words) > 1 else np.zeros(0, np.int64)
+    ones = (words & low).astype(np.int64)
+    if len(words) < 2:
+        return ones, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    same = row_of[1:] == row_of[:-1]
+    return ones, (shingle_hashes(words, 2)[same] & low).astype(np.int64), row_of[:-1][same]
 
 
 def _repeats(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -90,12 +91,9 @@ def base_counts(texts: pa.Array, ratio: np.ndarray | None = None) -> dict[str, n
         again = order[1:][keys[order][1:] == keys[order][:-1]]
         got["n_dup_lines"] = np.bincount(l_row[again], minlength=n)
         if ratio is not None:
-            low = np.uint64(BUCKETS - 1)
-            same = row_of[1:] == row_of[:-1]
-            pairs = (shingle_hashes(words, 2)[same] & low).astype(np.int64) if len(words) > 1 else np.zeros(0, np.int64)
-            pair_rows = row_of[:-1][same] if len(words) > 1 else np.zeros(0, np.int64)
+            ones, pairs, pair_rows = _ngrams(words, row_of)
             pair_before = np.searchsorted(pair_rows, np.arange(n + 1))
-            got["llr"] = per_row(ratio[(words & low).astype(np.int64)], before) + per_row(ratio[pairs], pair_before)
+            got["llr"] = per_row(ratio[ones], before) + per_row(ratio[pairs], pair_before)
             got["n_grams"] = got["n_words"] + np.diff(pair_before)
         for k, v in got.items():
             parts.setdefault(k, []).append(v.astype(np.int64))
@@ -130,7 +128,7 @@ def ngram_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                 raw, offsets = raw_all[base : offsets_all[hi]], offsets_all[lo : hi + 1] - base
                 starts, ends, before = word_spans(raw, offsets)
                 row_of = np.repeat(np.arange(hi - lo), np.diff(before))
-                ones, twos, two_rows = _ngrams(raw, starts, ends, row_of)
+                ones, twos, two_rows = _ngrams(span_hashes(raw, starts, ends), row_of)
                 counts[0] += np.bincount(ones, minlength=BUCKETS) + np.bincount(twos, minlength=BUCKETS)
                 t = good[lo:hi]
                 if t.any():
@@ -153,9 +151,9 @@ def ngram_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 def judge(text: Column | str, ratio: np.ndarray, threshold: float = THRESHOLD) -> Column:
     """struct of FIELDS, llr (bits an n-gram), base_failed and kept, for each text; a null text has no words."""
-    spec = ", ".join(f"{k} long" for k in FIELDS) + ", llr double, base_failed boolean, kept boolean"
+    counts = ",".join(f"{k}:long" for k in FIELDS)
 
-    @F.arrow_udf(f"struct<{spec.replace(' long', ':long').replace(' double', ':double').replace(' boolean', ':boolean')}>")
+    @F.arrow_udf(f"struct<{counts},llr:double,base_failed:boolean,kept:boolean>")
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
             got = base_counts(batch, ratio)
