@@ -56,3 +56,9 @@ def chrom_code(chrom: Column, unknown: int = 100) -> Column:
 def probability_ok(*scores: Column, tolerance: float = 0.01) -> Column:
     """Whether scores add up to 1."""
     return F.abs(sum(scores[1:], scores[0]) - 1) <= tolerance
+
+
+def position_kind(position: Column, start: Column, end: Column) -> Column:
+    """Aggregate: absolute, relative or unclear, by where at least nine of ten positions of a group lie."""
+    absolute, relative = F.avg(position.between(start, end).cast("double")), F.avg(position.between(1, end - start + 1).cast("double"))
+    return F.when((absolute >= 0.9) & (absolute >= relative), "absolute").when(relative >= 0.9, "relative").otherwise("unclear")

@@ -111,3 +111,15 @@ def largest_delta(scores: dict[str, Column]) -> tuple[Column, Column]:
     """The largest absolute score, and its name (the first of equal ones)."""
     sizes = {k: F.abs(v) for k, v in scores.items()}
     return F.greatest(*sizes.values()), best_of(sizes)
+
+
+def delta_of_tracks(ref: Column, alt: Column, centre: int) -> dict[str, Column]:
+    """Largest gain and loss of a score along two aligned tracks, with their places from the centre (the first of equal ones)."""
+    gains = F.zip_with(alt, ref, lambda a, r: a - r)
+    gain, loss = F.array_max(gains), F.array_max(F.transform(gains, lambda x: -x))
+    return {
+        "gain": F.greatest(gain, F.lit(0.0)),
+        "gain_at": (F.array_position(gains, gain) - 1 - centre).cast("int"),
+        "loss": F.greatest(loss, F.lit(0.0)),
+        "loss_at": (F.array_position(F.transform(gains, lambda x: -x), loss) - 1 - centre).cast("int"),
+    }

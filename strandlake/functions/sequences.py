@@ -68,3 +68,16 @@ def padded_window(seq: Column, position: Column, radius: int) -> Column:
 def tumbling(seq: Column, size: int) -> Column:
     """Consecutive windows of `size` letters; a shorter rest is left out."""
     return F.regexp_extract_all(seq, F.lit(f"(?s).{{{size}}}"), F.lit(0))
+
+
+def one_hot(seq: Column, alphabet: str = "ACGT") -> Column:
+    """For each letter one number for each letter of the alphabet; all zero for others."""
+    return F.transform(letters(F.upper(seq)), lambda c: F.array(*(F.when(c == a, F.lit(1.0)).otherwise(F.lit(0.0)).cast("float") for a in alphabet)))
+
+
+def context_blocks(seq: Column, block: int, context: int) -> Column:
+    """Consecutive blocks of `block` letters with context / 2 letters on either side, N beyond the string: (index, piece)."""
+    n = F.ceil(F.length(seq) / block)
+    padded = F.concat(F.repeat(F.lit("N"), context // 2), seq, F.repeat(F.lit("N"), (n * block - F.length(seq)).cast("int") + context // 2))
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1), lambda k: F.struct(k.alias("index"), F.substring(padded, (k * block + 1).cast("int"), F.lit(block + context)).alias("piece")))
+    return F.when(n >= 1, every).otherwise(F.array().cast("array<struct<index:bigint,piece:string>>"))

@@ -169,3 +169,23 @@ def correlations(rows: DataFrame, target: str, features: Sequence[str], least: f
     one = filled.agg(*(F.corr(f, target).alias(f) for f in features))
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("correlation")) for f in features)))
     return one.select(each.alias("x")).select("x.*").withColumn("leaky", F.abs("correlation") >= least)
+
+
+def paired(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """(n, mean_difference, t) of two metrics of the same groups; rows that lack either don't count."""
+    d = F.col(a) - F.col(b)
+    one = rows.agg(F.count(d).alias("n"), F.avg(d).alias("mean_difference"), F.stddev_samp(d).alias("s"))
+    return one.select("n", "mean_difference", F.try_divide(F.col("mean_difference") * F.sqrt("n"), F.col("s")).alias("t"))
+
+
+def tune(rows: DataFrame, masks: dict[str, Column], target: float) -> DataFrame:
+    """(mask, rate) of the mask whose share of rows is closest to the target; of equal ones the first. All are counted in one pass."""
+    names = list(masks)
+    one = rows.agg(*(F.avg(masks[n].cast("double")).alias(f"m{k}") for k, n in enumerate(names)))
+    each = F.array(*(F.struct(F.abs(F.col(f"m{k}") - target).alias("gap"), F.lit(k).alias("k"), F.lit(n).alias("mask"), F.col(f"m{k}").alias("rate")) for k, n in enumerate(names)))
+    return one.select(F.array_min(each).alias("x")).select("x.mask", "x.rate")
+
+
+def average_blocks(rows: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Means of predictions that overlapping blocks made for the same place."""
+    return rows.groupBy(*by).agg(*(F.avg(c).alias(c) for c in columns))

@@ -159,3 +159,38 @@ def score_batches(rows: DataFrame, model, columns: Sequence[str], schema: str) -
             yield model(batch)
 
     return rows.select(*columns).mapInPandas(run, schema)
+
+
+def junctions_to_number(sites: DataFrame, by: Sequence[str], spec: str, target: str, first: float = 0.7, step: float = 0.02, rounds: int = 50) -> DataFrame:
+    """greedy_junctions at the threshold, moved by steps from `first`, that gives each group the number in column `target`.
+
+    The search is a loop over one gene's sites, so a gene goes to one function.
+    """
+
+    def at(rows: pd.DataFrame, threshold: float) -> list[tuple[int, int]]:
+        kept = rows[rows.score >= threshold]
+        free, out = sorted(kept.loc[kept.site_type == "acceptor", "position"]), []
+        for p in kept[kept.site_type == "donor"].sort_values(["score", "position"], ascending=[False, True]).position:
+            k = int(np.searchsorted(free, p, side="right"))
+            if k < len(free):
+                out.append((p, free.pop(k)))
+        return out
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        wanted, threshold = int(rows[target].iloc[0]), first
+        best = at(rows, threshold)
+        for _ in range(rounds):
+            if len(best) == wanted or not 0 <= threshold <= 1:
+                break
+            threshold += step if len(best) > wanted else -step
+            trial = at(rows, threshold)
+            if abs(len(trial) - wanted) <= abs(len(best) - wanted):
+                best = trial
+            else:
+                break
+        found = pd.DataFrame(best, columns=["donor_pos", "acceptor_pos"]).astype("int64")
+        for n, c in enumerate(by):
+            found.insert(n, c, rows[c].iloc[0])
+        return found
+
+    return sites.groupBy(*by).applyInPandas(search, f"{spec}, donor_pos long, acceptor_pos long")

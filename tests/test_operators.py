@@ -107,3 +107,33 @@ def test_streams_equal_batches(spark, tmp_path):
     q = streams.to_table(streams.distinct_events(stream, "10000 days"), f"{tmp_path}/out", f"{tmp_path}/c2")
     q.awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == streams.distinct_events(events).count()
+
+
+def test_blocks_one_hot_and_deltas(spark):
+    from strandlake.functions import scores, sequences
+
+    row = spark.range(1).select(
+        sequences.context_blocks(F.lit("ACGTACG"), 3, 4).alias("b"),
+        sequences.one_hot(F.lit("aN")).alias("h"),
+        F.struct(*(c.alias(k) for k, c in scores.delta_of_tracks(F.array(*map(F.lit, [0.1, 0.2, 0.9])), F.array(*map(F.lit, [0.1, 0.7, 0.2])), 1).items())).alias("d"),
+    ).first()
+    assert [(x.index, x.piece) for x in row.b] == [(0, "NNACGTA"), (1, "CGTACGN"), (2, "ACGNNNN")]
+    assert row.h == [[1.0, 0.0, 0.0, 0.0], [0.0] * 4]
+    assert (round(row.d.gain, 6), row.d.gain_at, round(row.d.loss, 6), row.d.loss_at) == (0.5, 0, 0.7, 1)
+
+
+def test_tuning_pairs_and_numbers(spark):
+    from strandlake.functions import coords
+    from strandlake.operators import metrics
+
+    df = spark.createDataFrame([(k, k / 10, k / 10 + (0.1 if k % 2 else 0.3)) for k in range(10)], "k long, a double, b double")
+    best = metrics.tune(df, {f"{t}": F.col("a") >= t for t in (0.2, 0.5, 0.7)}, 0.45).first()
+    assert (best.mask, best.rate) == ("0.5", 0.5)
+    p = metrics.paired(df, "b", "a").first()
+    assert p.n == 10 and round(p.mean_difference, 6) == 0.2 and p.t > 5
+    s = spark.createDataFrame([(1, 10, "donor", 0.9, 1), (1, 12, "donor", 0.71, 1), (1, 20, "acceptor", 0.8, 1), (1, 30, "acceptor", 0.95, 1)], "g long, position long, site_type string, score double, wanted int")
+    assert rows_of(sites.junctions_to_number(s, ["g"], "g long", "wanted"), "donor_pos", "acceptor_pos") == [(10, 20)]
+    q = spark.createDataFrame([(1, 105, 100, 120), (1, 119, 100, 120), (2, 3, 100, 120), (2, 20, 100, 120)], "g long, p long, s long, e long")
+    got = q.groupBy("g").agg(coords.position_kind(F.col("p"), F.col("s"), F.col("e")).alias("kind"))
+    assert rows_of(got, "g", "kind") == [(1, "absolute"), (2, "relative")]
+    assert rows_of(metrics.average_blocks(df.withColumn("g", F.lit(1)), ["g"], ["a"]), "a") == [(0.45,)]
