@@ -6,8 +6,9 @@ time, so every line below works on an array with one entry a block.
 In a block, the last id that followed the same two ids, and the last one that followed the same single id, are the
 order-2 and order-1 predictions; each has a confidence, and for each confidence the coder learns how often such a
 prediction holds. Mixed, these weights split the code range in three: the order-2 prediction holds, else the order-1
-prediction holds, or neither. In the last case the id's two bytes follow, each by order-0 counts of the block's ids so
-far, which are renewed every RENEW ids.
+prediction holds, or neither. The third part is split by the id's two bytes, by order-0 counts of the block's ids so far,
+which are renewed at the ids RENEW. All of it is one step of the arithmetic coder: a range of 64 bits of which 16 are sent
+on when it has become small; a carry runs back into the words that were sent.
 """
 
 from __future__ import annotations
@@ -17,135 +18,167 @@ import zlib
 import numpy as np
 
 #: Ids of a block.
-BLOCK = 2048
-BITS = 12
-ONE = 1 << BITS
-RENEW = 256
-_SLOTS1, _SLOTS2 = 1 << 9, 1 << 10
-_MASK = np.uint64((1 << 48) - 1)
-_LOW32 = np.uint64((1 << 32) - 1)
-_SMALL = np.uint64(1 << 32)
-_FIRST = np.array([300, 1200, 2000, 2600, 3000, 3300, 3500, 3600], np.int64)
+BLOCK = 1024
+#: Where in a block the order-0 shares are taken anew from its counts.
+RENEW = (64, 256, 640)
+#: Bits of the split in three, and of each byte's shares.
+MIX, BYTE = 10, 11
+ONE, BYTE_ONE = 1 << MIX, 1 << BYTE
+#: Least share of the third part.
+REST = 32
+_SLOTS1, _SLOTS2 = 1 << 8, 1 << 9
+_SMALL, _ALL = np.uint64(1 << 48), np.uint64(2**64 - 1)
+_16, _32, _48 = np.uint64(16), np.uint64(32), np.uint64(48)
+#: Shares of predictions by confidence, before a block has taught better.
+_FIRST = np.array([75, 300, 500, 650, 750, 825, 875, 900], np.int64)
 
 
 class _Mixer:
-    """Predictions and weights of n blocks."""
+    """Predictions and shares of n blocks."""
 
-    def __init__(self, n: int):
-        self.at = np.arange(n)
-        self.table1, self.table2 = np.zeros(n * _SLOTS1, np.int32), np.zeros(n * _SLOTS2, np.int32)  # (id + 1) * 8 + confidence
+    def __init__(self, n: int, inverse: bool):
+        at = np.arange(n)
+        self.at1, self.at2, self.at8, self.at256 = at * _SLOTS1, at * _SLOTS2, at * 8, at * 256
+        self.at_share = at * BYTE_ONE
+        # (id + 1) * 8 + confidence; 0 predicts nothing that could come.
+        self.table1, self.table2 = np.zeros(n * _SLOTS1, np.int32), np.zeros(n * _SLOTS2, np.int32)
         self.weight1, self.weight2 = np.tile(_FIRST // 2, n), np.tile(_FIRST, n)
         self.counts = [np.zeros(n * 256, np.int64) for _ in range(2)]
-        self.total = 0
-        self.edges = [np.tile(np.arange(257) * (ONE // 256), (n, 1)) for _ in range(2)]
-        self.one = self.two = np.zeros(n, np.int64)
+        even = np.arange(256, dtype=np.int32) * (BYTE_ONE // 256)
+        #: Start and share of each byte: start << 12 | share.
+        self.parts = [np.tile(even << 12 | BYTE_ONE // 256, n) for _ in range(2)]
+        self.byte_at = [np.tile(np.repeat(np.arange(256, dtype=np.uint8), BYTE_ONE // 256), n) if inverse else None for _ in range(2)]
+        self.one, self.two = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The parts of the range that the first n blocks give to their order-2 and order-1 predictions."""
-        a, b = self.one[:n], self.two[:n]
-        at = self.at[:n]
-        self.k1 = at * _SLOTS1 + ((a * 40503) >> 5) % _SLOTS1
-        self.k2 = at * _SLOTS2 + ((a * 40503 + b * 60493) >> 5) % _SLOTS2
-        self.e1, self.e2 = self.table1[self.k1], self.table2[self.k2]
-        self.id1, self.id2 = (self.e1 >> 3) - 1, (self.e2 >> 3) - 1
-        self.w1, self.w2 = at * 8 + (self.e1 & 7), at * 8 + (self.e2 & 7)
-        p1, p2 = self.weight1[self.w1], self.weight2[self.w2]
-        p1 *= self.e1 > 0
-        p2 *= self.e2 > 0
-        rest = ((ONE - p2) * p1) >> BITS
+        """The shares of the order-2 and of the order-1 prediction of the first n blocks."""
+        self.k1 = self.at1[:n] + ((self.one[:n] >> 5) & (_SLOTS1 - 1))
+        self.k2 = self.at2[:n] + (((self.one[:n] + self.two[:n]) >> 5) & (_SLOTS2 - 1))
+        e1, e2 = self.table1.take(self.k1), self.table2.take(self.k2)
+        self.c1, self.c2 = e1 & 7, e2 & 7
+        self.id1, self.id2 = (e1 >> 3) - 1, (e2 >> 3) - 1
+        self.w1, self.w2 = self.at8[:n] + self.c1, self.at8[:n] + self.c2
+        self.p1, self.p2 = self.weight1.take(self.w1), self.weight2.take(self.w2)
+        second = ((ONE - self.p2) * self.p1) >> MIX
         agree = self.id1 == self.id2
-        p2 += rest * agree
-        rest *= ~agree
-        np.clip(p2, 1, ONE - 66, out=p2)
-        np.minimum(rest, ONE - 65 - p2, out=rest)
-        np.maximum(rest, 1, out=rest)
-        return p2, rest
+        first = self.p2 + second * agree
+        second *= ~agree
+        np.minimum(first, ONE - REST - 1, out=first)
+        np.maximum(first, 1, out=first)
+        np.minimum(second, ONE - REST - first, out=second)
+        np.maximum(second, 1, out=second)
+        return first, second
 
     def learn(self, ids: np.ndarray) -> None:
         """Takes in the ids that came."""
         n = len(ids)
         hit1, hit2 = self.id1 == ids, self.id2 == ids
-        self.weight1[self.w1] += ((hit1 * (ONE - 64)) - self.weight1[self.w1]) >> 4
-        self.weight2[self.w2] += ((hit2 * (ONE - 64)) - self.weight2[self.w2]) >> 4
+        self.weight1[self.w1] = self.p1 + ((hit1 * (ONE - REST) - self.p1) >> 4)
+        self.weight2[self.w2] = self.p2 + ((hit2 * (ONE - REST) - self.p2) >> 4)
         new = (ids + 1) << 3
-        self.table1[self.k1] = np.where(hit1, new | np.minimum((self.e1 & 7) + 1, 7), np.where((self.e1 & 7) > 1, self.e1 - 2, new))
-        self.table2[self.k2] = np.where(hit2, new | np.minimum((self.e2 & 7) + 1, 7), new)
-        at = self.at[:n] * 256
-        self.counts[0][at + (ids >> 8)] += 1
-        self.counts[1][at + (ids & 255)] += 1
-        self.two[:n], self.one[:n] = self.one[:n], ids
-        self.total += 1
-        if self.total % RENEW == 0:
-            self.renew()
-
-    def renew(self) -> None:
-        for k in range(2):
-            counts = self.counts[k].reshape(-1, 256)
-            share = counts * (ONE - 256) // np.maximum(1, counts.sum(axis=1, keepdims=True)) + 1
-            share[:, 0] += ONE - share.sum(axis=1)
-            np.cumsum(share, axis=1, out=self.edges[k][:, 1:])
+        self.table1[self.k1] = new + np.minimum(self.c1 + 1, 7) * hit1
+        self.table2[self.k2] = new + np.minimum(self.c2 + 1, 7) * hit2
+        self.two[:n] = self.one[:n] * 3
+        self.one[:n] = ids * 40503
+
+    def renew(self, columns: np.ndarray) -> None:
+        """New shares of the bytes, after the further ids in columns (a row for each id)."""
+        n = columns.shape[1]
+        for k, part in enumerate((columns >> 8, columns & 255)):
+            self.counts[k] += np.bincount((part + self.at256).reshape(-1), minlength=n * 256)
+            counts = self.counts[k].reshape(n, 256)
+            share = counts * (BYTE_ONE - 256) // counts.sum(axis=1, keepdims=True) + 1
+            share[:, 0] += BYTE_ONE - share.sum(axis=1)
+            self.parts[k] = ((np.cumsum(share, axis=1) - share) << 12 | share).astype(np.int32).reshape(-1)
+            if self.byte_at[k] is not None:
+                self.byte_at[k] = np.repeat(np.tile(np.arange(256, dtype=np.uint8), n), share.reshape(-1))
+
+
+def _third(high: np.ndarray, low: np.ndarray, taken: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and share (of 2^32) of ids by the parts of their bytes, in what the predictions have left."""
+    left, high_share = ONE - taken, (high & 4095).astype(np.int64)
+    start = (taken << (2 * BYTE)) + left * (((high >> 12).astype(np.int64) << BYTE) + high_share * (low >> 12))
+    return start, left * high_share * (low & 4095)
 
 
 class _Encoder:
     def __init__(self, n: int, longest: int):
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, _MASK)
-        self.words, self.used = np.zeros((n, 3 * longest + 4), np.uint16), np.zeros(n, np.int64)
-
-    def put(self, at: np.ndarray, start: np.ndarray, share: np.ndarray) -> None:
-        """Narrows the ranges of the blocks `at` to the given parts."""
-        r = self.range[at] >> np.uint64(BITS)
-        low = self.low[at] + r * start.astype(np.uint64)
-        r *= share.astype(np.uint64)
-        over = np.flatnonzero(low > _MASK)
+        wide = 3 * longest + 8
+        self.low, self.range = np.zeros(n, np.uint64), np.full(n, _ALL)
+        self.words = np.zeros(n * wide, np.uint16)
+        self.first = np.arange(n) * wide
+        self.at = self.first.copy()
+
+    def put(self, start: np.ndarray, share: np.ndarray) -> None:
+        """Narrows the ranges of the first blocks to parts of 2^32."""
+        n = len(start)
+        r = self.range[:n] >> _32
+        low = self.low[:n] + r * start.view(np.uint64)
+        r *= share.view(np.uint64)
+        over = np.flatnonzero(low < self.low[:n])
         if len(over):
-            low[over] &= _MASK
-            row = at[over] if isinstance(at, np.ndarray) else over
-            back = self.used[row] - 1
-            while len(row):  # a carry runs on through full words
-                self.words[row, back] += np.uint16(1)
-                on = self.words[row, back] == 0
-                row, back = row[on], back[on] - 1
-        small = np.flatnonzero(r < _SMALL)
-        if len(small):
-            row = at[small] if isinstance(at, np.ndarray) else small
-            self.words[row, self.used[row]] = low[small] >> np.uint64(32)
-            self.used[row] += 1
-            low[small] = (low[small] & _LOW32) << np.uint64(16)
-            r[small] <<= np.uint64(16)
-        self.low[at], self.range[at] = low, r
+            back = self.at[over] - 1
+            while len(back):  # a carry runs on through full words
+                self.words[back] += np.uint16(1)
+                back = back[self.words[back] == 0] - 1
+        # The word is written in any case; where the range is large enough the place is not moved on.
+        self.words[self.at[:n]] = low >> _48
+        small = r < _SMALL
+        self.at[:n] += small
+        shift = small * _16
+        low <<= shift
+        r <<= shift
+        again = np.flatnonzero(r < _SMALL)
+        if len(again):
+            self.words[self.at[again]] = low[again] >> _48
+            self.at[again] += 1
+            low[again] <<= _16
+            r[again] <<= _16
+        self.low[:n], self.range[:n] = low, r
 
     def done(self) -> list[bytes]:
-        rows = np.arange(len(self.low))
-        for shift in (32, 16, 0):
-            self.words[rows, self.used] = (self.low >> np.uint64(shift)) & np.uint64(0xFFFF)
-            self.used += 1
-        return [self.words[k, : self.used[k]].tobytes() for k in range(len(rows))]
+        for shift in (48, 32, 16, 0):
+            self.words[self.at] = (self.low >> np.uint64(shift)) & np.uint64(0xFFFF)
+            self.at += 1
+        return [self.words[a:b].astype("<u2").tobytes() for a, b in zip(self.first.tolist(), self.at.tolist(), strict=True)]
 
 
 class _Decoder:
     def __init__(self, blocks: list[bytes]):
-        n = len(blocks)
-        self.words = np.zeros((n, max(map(len, blocks)) // 2 + 2), np.uint16)
+        n, wide = len(blocks), max(map(len, blocks)) // 2 + 4
+        words = np.zeros((n, wide), np.uint16)
         for k, b in enumerate(blocks):
-            self.words[k, : len(b) // 2] = np.frombuffer(b, np.uint16)
-        w = self.words[:, :3].astype(np.uint64)
-        self.code = (w[:, 0] << np.uint64(32)) | (w[:, 1] << np.uint64(16)) | w[:, 2]
-        self.range, self.used = np.full(n, _MASK), np.full(n, 3)
-
-    def value(self, at: np.ndarray | slice) -> np.ndarray:
-        self.part = self.range[at] >> np.uint64(BITS)
-        return np.minimum(self.code[at] // self.part, np.uint64(ONE - 1)).astype(np.int64)
-
-    def take(self, at: np.ndarray | slice, start: np.ndarray, share: np.ndarray) -> None:
-        code = self.code[at] - self.part * start.astype(np.uint64)
-        r = self.part * share.astype(np.uint64)
-        small = np.flatnonzero(r < _SMALL)
-        if len(small):
-            row = at[small] if isinstance(at, np.ndarray) else small
-            code[small] = (code[small] << np.uint64(16)) | self.words[row, self.used[row]]
-            self.used[row] += 1
-            r[small] <<= np.uint64(16)
-        self.code[at], self.range[at] = code, r
+            words[k, : len(b) // 2] = np.frombuffer(b, "<u2")
+        w = words[:, :4].astype(np.uint64)
+        self.code = (w[:, 0] << _48) | (w[:, 1] << _32) | (w[:, 2] << _16) | w[:, 3]
+        self.words, self.range, self.at = words.reshape(-1), np.full(n, _ALL), np.arange(n) * wide + 4
+
+    def value(self, n: int) -> np.ndarray:
+        """Where in 2^32 the codes of the first n blocks lie."""
+        self.part = self.range[:n] >> _32
+        return np.minimum(self.code[:n] // self.part, np.uint64(0xFFFFFFFF)).view(np.int64)
+
+    def take(self, start: np.ndarray, share: np.ndarray) -> None:
+        n = len(start)
+        code = self.code[:n] - self.part * start.view(np.uint64)
+        r = self.part * share.view(np.uint64)
+        small = r < _SMALL
+        shift = small * _16
+        code <<= shift
+        code |= self.words.take(self.at[:n], mode="clip") * small.astype(np.uint64)
+        self.at[:n] += small
+        r <<= shift
+        again = np.flatnonzero(r < _SMALL)
+        if len(again):
+            code[again] = (code[again] << _16) | self.words.take(self.at[again], mode="clip")
+            self.at[again] += 1
+            r[again] <<= _16
+        self.code[:n], self.range[:n] = code, r
+
+
+def _layout(total: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.arange(0, total, block)
+    return starts, np.minimum(block, total - starts)
 
 
 def _step(lengths: np.ndarray, t: int) -> int:
@@ -160,27 +193,28 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[list[bytes], list[int]]
         return [], []
     if ids.min() < 0 or ids.max() > 0xFFFF:
         raise ValueError("ids must be from 0 to 65,535")
-    starts = np.arange(0, len(ids), block)
-    lengths = np.minimum(block, len(ids) - starts)
+    starts, lengths = _layout(len(ids), block)
     padded = np.zeros(len(starts) * block, np.int64)
     padded[: len(ids)] = ids
     columns = np.ascontiguousarray(padded.reshape(-1, block).T)
-    mixer, out = _Mixer(len(starts)), _Encoder(len(starts), int(lengths[0]))
-    every = np.arange(len(starts))
-    for t in range(int(lengths[0])):
-        n = _step(lengths, t)
-        now = columns[t, :n]
-        p2, p1 = mixer.predict(n)
-        two, one = mixer.id2 == now, mixer.id1 == now
-        one &= ~two
-        out.put(slice(0, n), np.where(two, 0, np.where(one, p2, p2 + p1)), np.where(two, p2, np.where(one, p1, ONE - p2 - p1)))
-        rest = every[:n][~(two | one)]
-        if len(rest):
-            left = now[rest]
-            for k, part in ((0, left >> 8), (1, left & 255)):
-                start = mixer.edges[k][rest, part]
-                out.put(rest, start, mixer.edges[k][rest, part + 1] - start)
-        mixer.learn(now)
+    mixer, out = _Mixer(len(starts), False), _Encoder(len(starts), int(lengths[0]))
+    known = 0
+    with np.errstate(over="ignore"):
+        for t in range(int(lengths[0])):
+            if t in RENEW:
+                mixer.renew(columns[known:t])
+                known = t
+            n = _step(lengths, t)
+            now = columns[t, :n]
+            first, second = mixer.predict(n)
+            parts = (mixer.parts[0].take(mixer.at256[:n] + (now >> 8)), mixer.parts[1].take(mixer.at256[:n] + (now & 255)))
+            start, share = _third(*parts, first + second)
+            two = mixer.id2 == now
+            one = (mixer.id1 == now) & ~two
+            start = np.where(two, 0, np.where(one, first << (2 * BYTE), start))
+            share = np.where(two, first << (2 * BYTE), np.where(one, second << (2 * BYTE), share))
+            out.put(start, share)
+            mixer.learn(now)
     raw = ids.astype("<u4").tobytes()
     return out.done(), [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
 
@@ -189,34 +223,37 @@ def decode(blocks: list[bytes], checks: list[int], total: int, block: int = BLOC
     """The ids of a run; a block whose ids don't have their checksum raises ValueError."""
     if not total:
         return np.zeros(0, np.int64)
-    starts = np.arange(0, total, block)
-    lengths = np.minimum(block, total - starts)
+    starts, lengths = _layout(total, block)
     if len(blocks) != len(starts):
         raise ValueError("the number of blocks does not fit the number of ids")
-    mixer, code = _Mixer(len(starts)), _Decoder(blocks)
+    mixer, code = _Mixer(len(starts), True), _Decoder(blocks)
     columns = np.zeros((block, len(starts)), np.int64)
-    every = np.arange(len(starts))
-    for t in range(int(lengths[0])):
-        n = _step(lengths, t)
-        p2, p1 = mixer.predict(n)
-        v = code.value(slice(0, n))
-        two = v < p2
-        one = ~two & (v < p2 + p1)
-        code.take(slice(0, n), np.where(two, 0, np.where(one, p2, p2 + p1)), np.where(two, p2, np.where(one, p1, ONE - p2 - p1)))
-        now = np.where(two, mixer.id2, np.where(one, mixer.id1, 0)).astype(np.int64)
-        rest = every[:n][~(two | one)]
-        if len(rest):
-            for k in range(2):
-                v = code.value(rest)
-                edges = mixer.edges[k]
-                lo = np.zeros(len(rest), np.int64)
-                for half in (128, 64, 32, 16, 8, 4, 2, 1):
-                    lo += half * (edges[rest, lo + half] <= v)
-                code.take(rest, edges[rest, lo], edges[rest, lo + 1] - edges[rest, lo])
-                now[rest] |= lo << (8 * (1 - k))
-        columns[t, :n] = now
-        mixer.learn(now)
-    ids = np.ascontiguousarray(columns.T).reshape(-1)[: (len(starts) - 1) * block + int(lengths[-1])]
+    known = 0
+    with np.errstate(over="ignore"):
+        for t in range(int(lengths[0])):
+            if t in RENEW:
+                mixer.renew(columns[known:t])
+                known = t
+            n = _step(lengths, t)
+            first, second = mixer.predict(n)
+            v = code.value(n)
+            taken = first + second
+            two, any_ = v < first << (2 * BYTE), v < taken << (2 * BYTE)
+            # Whole quotients below 2^22 of numbers below 2^32: doubles have them exactly.
+            q = np.maximum((v - (taken << (2 * BYTE))) / (ONE - taken), 0).astype(np.int64)
+            high = mixer.byte_at[0].take(mixer.at_share[:n] + (q >> BYTE)).astype(np.int64)
+            part = mixer.parts[0].take(mixer.at256[:n] + high)
+            inner = ((q - ((part >> 12).astype(np.int64) << BYTE)) / (part & 4095)).astype(np.int64)
+            low = mixer.byte_at[1].take(mixer.at_share[:n] + inner).astype(np.int64)
+            start, share = _third(part, mixer.parts[1].take(mixer.at256[:n] + low), taken)
+            start = np.where(two, 0, np.where(any_, first << (2 * BYTE), start))
+            share = np.where(two, first << (2 * BYTE), np.where(any_, second << (2 * BYTE), share))
+            now = np.where(two, mixer.id2, np.where(any_, mixer.id1, (high << 8) | low))
+            code.take(start, share)
+            now &= 0xFFFF  # a damaged block must not lead out of the tables
+            columns[t, :n] = now
+            mixer.learn(now)
+    ids = np.ascontiguousarray(columns.T).reshape(-1)[:total]
     raw = ids.astype("<u4").tobytes()
     for k, (a, n) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
         if zlib.crc32(raw[4 * a : 4 * (a + n)]) != checks[k]:

@@ -11,6 +11,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ END_ID = 2
 #: Ids of a row of the file format; a longer document is a row of its own.
 SEGMENT = 1 << 21
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
 
 FORMAT = "part int, segment int, doc_ids array<long>, n_tokens array<int>, blocks array<binary>, checks array<long>"
 
@@ -46,37 +47,60 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.end = np.zeros(1 << 20, np.int32), 0  # of all known words, one after the other
+        self.start, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+
+    def _add(self, words: list[str]) -> None:
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        first, ends = len(self.known), self.end + np.cumsum(size)
+        while first + len(words) > len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+        while ends[-1] > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.ids[self.end : ends[-1]] = np.fromiter(chain.from_iterable(got), np.int32, int(size.sum()))
+        self.start[first : first + len(words)], self.size[first : first + len(words)] = ends - size, size
+        self.end = int(ends[-1])
+        self.known.update(zip(words, range(first, first + len(words)), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and each text's offsets in them; a null is empty."""
         lists = pc.ascii_split_whitespace(texts.fill_null(""))
         words = lists.flatten().dictionary_encode()
-        fresh = self.known
-        if len(fresh) > KEPT_WORDS:
-            fresh = self.known = {}
+        if len(self.known) > KEPT_WORDS:
+            self._forget()
         names = words.dictionary.to_pylist()
-        new = [w for w in names if w not in fresh]
-        for w, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            fresh[w] = np.array(got.ids, dtype=np.int32)
-        each = [fresh[w] for w in names]
-        size = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.concatenate(each) if each else np.zeros(0, np.int32)
-        at = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        n = size[at]
+        if new := [w for w in names if w not in self.known]:
+            self._add(new)
+        place = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[words.indices.to_numpy(zero_copy_only=False)]
+        n = self.size[place]
         ends = np.cumsum(n)
-        ids = flat[np.repeat((np.cumsum(size) - size)[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = self.ids[np.repeat(self.start[place] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
         offsets = np.concatenate(([0], ends))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         return ids, offsets
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """This process's encoder: a worker keeps the words that it knows from one task to the next."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def write_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> None:
     """Writes all documents to path, in ascending order of ids (null first; equal ids in any order)."""
     spark = docs.sparkSession
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        words, part = encoder(tokenizer), TaskContext.get().partitionId()
         names: list[int | None] = []
         sizes: list[int] = []
         held: list[np.ndarray] = []
@@ -92,7 +116,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             texts = batch.column(1).fill_null("")
             offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
             for lo, hi in chunks(offsets):
-                ids, at = encoder.encode(texts.slice(lo, hi - lo))
+                ids, at = words.encode(texts.slice(lo, hi - lo))
                 for k in range(hi - lo):
                     own = ids[at[k] : at[k + 1]]
                     if total and total + len(own) + 1 > SEGMENT:
