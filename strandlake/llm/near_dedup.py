@@ -1,6 +1,7 @@
 """SimHash near-dedup: fingerprints of word shingles, joined by a binary trie with a Hamming error budget.
 
-Fingerprints within `radius` bits are linked, and the connected components of the links are the groups of near copies.
+Fingerprints within `radius` bits are linked, and the connected components of the links are the groups of near copies. A
+text may have fingerprints of several hash families; each family is joined by itself.
 
 The join walks a binary trie against itself. The 64 bits are cut into radius + 2 blocks; two fingerprints within the
 radius agree on two blocks at least. So one trie is kept for each pair of blocks, with these bits as its top levels,
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import park, table
+from .base import mix64, park, table
 
 RADIUS = 4
 WIDTH = 4
@@ -33,37 +34,39 @@ SUBTREE = 4000
 BROADCAST_ROWS = 100_000
 
 
-def simhash(text: bytes, width: int = WIDTH) -> int:
-    """The fingerprint of a text: bit k is 1 if it is set in over half of the shingles' XXH64 (seed 42).
+def simhashes(text: bytes, width: int = WIDTH, families: int = 1) -> list[int]:
+    """The fingerprints of a text: bit k is 1 if it is set in over half of the shingles' hashes.
 
-    A-Z become a-z; words are runs outside ASCII white space; fewer words than `width` are one shingle; none give zero.
+    The first family's hashes are XXH64 (seed 42), the others' are bijections of these. A-Z become a-z; words are runs
+    outside ASCII white space; fewer words than `width` are one shingle; none give zero.
     """
     words = text.lower().split()
     n = len(words)
     if n == 0:
-        return 0
+        return [0] * families
     line = b" ".join(words)
-    if n <= width:
-        return xxhash.xxh64_intdigest(line, 42)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    total = n - width + 1
+    total = max(1, n - width + 1)
+    first, last = starts[:total], ends[-total:]
+    ones, digest = np.zeros((families, 64), np.int64), xxhash.xxh64_intdigest
     for at in range(0, total, 1 << 15):
-        to = min(total, at + (1 << 15))
-        hashes = np.array([digest(line[a:b], 42) for a, b in zip(starts[at:to].tolist(), ends[at + width - 1 : to + width - 1].tolist(), strict=True)], dtype=np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int((np.uint64(1) << np.arange(64, dtype=np.uint64))[2 * ones > total].sum(dtype=np.uint64))
+        hashes = np.array([digest(line[a:b], 42) for a, b in zip(first[at : at + (1 << 15)].tolist(), last[at : at + (1 << 15)].tolist(), strict=True)], dtype=np.uint64)
+        for f in range(families):
+            own = mix64(hashes ^ np.uint64(f * 0x9E3779B97F4A7C15 & 2**64 - 1)) if f else hashes
+            ones[f] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return ((2 * ones > total) * (np.uint64(1) << np.arange(64, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).tolist()
 
 
-def fingerprint(text: Column | str, width: int = WIDTH) -> Column:
-    """The text's fingerprint as a long (the 64 bits as they are); null and empty texts have zero."""
+def fingerprints(text: Column | str, width: int = WIDTH, families: int = 1) -> Column:
+    """The text's fingerprints as an array of longs (the 64 bits as they are); null and empty texts have zeros."""
 
-    @F.arrow_udf("long")
+    @F.arrow_udf("array<long>")
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            got = [simhash(x.as_buffer().to_pybytes(), width) if x.is_valid else 0 for x in batch.cast(pa.large_binary())]
-            yield pa.array(np.array(got, dtype=np.uint64).view(np.int64))
+            got = [simhashes(x.as_buffer().to_pybytes() if x.is_valid else b"", width, families) for x in batch.cast(pa.large_binary())]
+            flat = np.array(got, dtype=np.uint64).view(np.int64).reshape(-1)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, families, dtype=np.int32)), pa.array(flat))
 
     return of(text)
 
@@ -229,28 +232,45 @@ def components(links: DataFrame) -> DataFrame:
 _NO_ID = (1 << 63) - 1
 
 
-def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+def _family_links(prints: DataFrame, family: int, radius: int) -> DataFrame:
+    """(a, b): links that a further family of fingerprints adds, told in fingerprints of the first one."""
+    pairs = park(prints.select("fp", F.col("fps")[family].alias("other")).distinct())
+    stands = park(pairs.groupBy("other").agg(F.min("fp").alias("stand")))
+    same = pairs.join(stands, "other").filter("fp != stand").select(F.col("fp").alias("a"), F.col("stand").alias("b"))
+    links = hamming_links(stands.select(F.col("other").alias("fp")), radius)
+    for end in ("a", "b"):
+        links = links.join(stands.select(F.col("other").alias(end), "stand"), end).drop(end).withColumnRenamed("stand", end)
+    return links.select("a", "b").unionByName(same)
+
+
+def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS, families: int = 1) -> DataFrame:
     """(id, fp long, component_id): component_id is the smallest id that links within `radius` bits reach.
 
-    One row for each row of docs; repeated ids stay repeated. Null and empty texts have fingerprint zero and link like
-    any other; a null id is never the smallest (it stands as the largest long, and comes back as null). Other columns of
-    docs are not used, whatever their names.
+    With more families, texts whose fingerprints of any family are that close are linked: what one family misses by a few
+    bits another one finds. One row for each row of docs; repeated ids stay repeated. Null and empty texts have fingerprint
+    zero and link like any other; a null id is never the smallest (it stands as the largest long, and comes back as null).
+    Other columns of docs are not used, whatever their names.
     """
-    prints = park(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), fingerprint(F.col(text_col), width).alias("fp")))
+    prints = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), fingerprints(F.col(text_col), width, families).alias("fps"))
+    prints = park(prints.select("id", F.col("fps")[0].alias("fp"), *(["fps"] if families > 1 else [])))
     each = park(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(hamming_links(each, radius))
+    links = hamming_links(each, radius)
+    for family in range(1, families):
+        links = links.unionByName(_family_links(prints, family, radius))
+    roots = components(links)
     each = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = each.groupBy("root").agg(F.min("least").alias("component_id"))
     named = each.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(*(F.nullif(F.col(c), F.lit(_NO_ID)).alias(c) if c != "fp" else "fp" for c in ("id", "fp", "component_id")))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS, families: int = 4) -> DataFrame:
     """The documents, of each group of near copies only that with the smallest id.
 
     Rows that share an id are versions of one document; one of them stays. Documents without an id are one document.
+    Links are looked for in `families` fingerprints, as one of them at a small radius misses many copies with edits.
     """
-    groups = near_copy_groups(docs, id_col, text_col, width, radius)
+    groups = near_copy_groups(docs, id_col, text_col, width, radius, families)
     stay = groups.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.coalesce("id", F.lit(_NO_ID)).alias("near_copy_key")).distinct()
     keyed = docs.withColumn("near_copy_key", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)))
     return keyed.join(stay, "near_copy_key", "left_semi").dropDuplicates(["near_copy_key"]).select(docs.columns)

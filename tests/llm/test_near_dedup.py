@@ -38,7 +38,9 @@ def plain_groups(ids, prints, radius=4):
 
 @pytest.mark.parametrize("text", [None, "", " \t\n", "One", "a b c", "a b c d", "A b  C\td e f g " * 9, "éÈ ß x\u00a0y z w", "w " * 70000])
 def test_fingerprint(text):
-    assert nd.simhash((text or "").encode()) == plain_print(text)
+    assert nd.simhashes((text or "").encode()) == [plain_print(text)]
+    four = nd.simhashes((text or "").encode(), families=4)
+    assert four[0] == plain_print(text) and len(four) == 4
 
 
 def test_groups_equal_brute_force(spark):
@@ -94,3 +96,22 @@ def test_one_of_each_group_stays(spark):
     got = nd.drop_near_copies(docs)
     assert got.columns == docs.columns
     assert sorted(r.doc_id for r in got.collect()) == [1, 7]
+
+
+def test_more_families_find_more_copies(spark):
+    import random
+
+    rng = random.Random(12)
+    docs = []
+    for k in range(40):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(300)]
+        docs.append((k, " ".join(words)))
+        for _ in range(2):
+            words[rng.randint(0, 299)] = "changed"
+        docs.append((1000 + k, " ".join(words)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    caught = [sum(r.component_id == r.id - 1000 for r in nd.near_copy_groups(frame, families=f).collect()) for f in (1, 4)]
+    assert caught[0] < caught[1] and caught[1] >= 35
+    groups = nd.near_copy_groups(frame, families=4).collect()
+    assert all(r.component_id % 1000 == r.id % 1000 for r in groups)
+    assert nd.drop_near_copies(frame).count() == 80 - caught[1]
