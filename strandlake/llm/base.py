@@ -87,8 +87,11 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs of bytes outside `gap`) of all rows, and for each row the number of words before it."""
+def word_spans(raw: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of bytes outside `gap`) of all rows, and for each row the number of words before it.
+
+    Words also end before the places in `cuts`.
+    """
     n = len(raw)
     if n == 0:
         none = np.zeros(0, np.int64)
@@ -96,6 +99,8 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) ->
     word = ~gap[raw]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True  # a row's end also ends its last word
+    if cuts is not None:
+        edge[cuts] = True
     starts = np.flatnonzero(word & np.concatenate(([True], ~word[:-1] | edge[1:n])))
     ends = np.flatnonzero(word & np.concatenate((~word[1:] | edge[1:n], [True]))) + 1
     return starts, ends, np.searchsorted(starts, offsets)

@@ -15,13 +15,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .base import chunks, shared_dir, table
+from .base import CHUNK_BYTES, chunks, shared_dir, span_hashes, table, text_buffer, word_spans
 
 END_ID = 2
 #: Ids of a row of the file format; a longer document is a row of its own.
@@ -39,8 +38,21 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+#: 1 for a-z, 2 for ASCII punctuation but the apostrophe.
+_SIDE = np.zeros(256, np.uint8)
+_SIDE[0x61:0x7B] = 1
+_SIDE[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and c != 0x27]] = 2
+
+
 class WordEncoder:
-    """Ids of whole texts, for a tokenizer that drops white space and never joins over it: each word is encoded once."""
+    """Ids of whole texts, for a tokenizer that puts them in lower case, drops white space and joins neither over it nor
+    over the border of letters and punctuation.
+
+    So each word between ASCII white space, or such borders, has its ids, whatever stands beside it, and is encoded once.
+    Words are known by a 64-bit hash of their bytes.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,38 +62,49 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # in order of the hashes
         self.ids, self.end = np.zeros(1 << 20, np.int32), 0  # of all known words, one after the other
-        self.start, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.start, self.size, self.n = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64), 0
 
-    def _add(self, words: list[str]) -> None:
+    def _add(self, words: list[str]) -> np.ndarray:
+        """The places of new words."""
         got = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         size = np.fromiter(map(len, got), np.int64, len(got))
-        first, ends = len(self.known), self.end + np.cumsum(size)
-        while first + len(words) > len(self.start):
+        places, ends = np.arange(self.n, self.n + len(words)), self.end + np.cumsum(size)
+        while self.n + len(words) > len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
         while ends[-1] > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.ids[self.end : ends[-1]] = np.fromiter(chain.from_iterable(got), np.int32, int(size.sum()))
-        self.start[first : first + len(words)], self.size[first : first + len(words)] = ends - size, size
-        self.end = int(ends[-1])
-        self.known.update(zip(words, range(first, first + len(words)), strict=True))
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, and each text's offsets in them; a null is empty."""
-        lists = pc.ascii_split_whitespace(texts.fill_null(""))
-        words = lists.flatten().dictionary_encode()
-        if len(self.known) > KEPT_WORDS:
+        self.start[places], self.size[places] = ends - size, size
+        self.end, self.n = int(ends[-1]), self.n + len(words)
+        return places
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a buffer, and each text's offsets in them."""
+        if self.n > KEPT_WORDS:
             self._forget()
-        names = words.dictionary.to_pylist()
-        if new := [w for w in names if w not in self.known]:
-            self._add(new)
-        place = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[words.indices.to_numpy(zero_copy_only=False)]
-        n = self.size[place]
-        ends = np.cumsum(n)
-        ids = self.ids[np.repeat(self.start[place] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        offsets = np.concatenate(([0], ends))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        return ids, offsets
+        cuts = None
+        if b"<|" not in raw.tobytes():  # a special token is one in lower case only, and has borders inside
+            raw = _LOWER[raw]
+            side = _SIDE[raw]
+            cuts = np.flatnonzero(side[1:] * side[:-1] == 2) + 1
+        starts, ends, before = word_spans(raw, offsets, cuts=cuts)
+        hashes, first, back = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, hashes)
+        near = np.minimum(at, max(0, len(self.hashes) - 1))
+        there = self.hashes[near] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        places = self.place[near] if len(self.hashes) else np.zeros(len(hashes), np.int64)
+        new = np.flatnonzero(~there)
+        if len(new):
+            data = raw.tobytes()
+            places[new] = self._add([data[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            self.hashes, self.place = np.insert(self.hashes, at[new], hashes[new]), np.insert(self.place, at[new], places[new])
+        of_word = places[back]
+        n = self.size[of_word]
+        stops = np.concatenate(([0], np.cumsum(n)))
+        ids = self.ids[np.repeat(self.start[of_word] - stops[:-1], n) + np.arange(stops[-1])]
+        return ids, stops[before]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -113,10 +136,9 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["part", "segment", "doc_ids", "n_tokens", "blocks", "checks"])
 
         for batch in batches:
-            texts = batch.column(1).fill_null("")
-            offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-            for lo, hi in chunks(offsets):
-                ids, at = words.encode(texts.slice(lo, hi - lo))
+            raw, offsets = text_buffer(batch.column(1))
+            for lo, hi in chunks(offsets, 2 * CHUNK_BYTES):
+                ids, at = words.encode(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 for k in range(hi - lo):
                     own = ids[at[k] : at[k + 1]]
                     if total and total + len(own) + 1 > SEGMENT:

@@ -48,7 +48,7 @@ def test_files(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(tb, "SEGMENT", 3000)
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
-    odd = ["", None, " \n\t", "Don't STOP\x0bé\u00a0x\u2028y", "<|endoftext|> a<|startoftext|>b", "ÀÉ ﬁ ½ 12345", "end.\r\nNew"]
+    odd = ["", None, " \n\t", "Don't STOP\x0bé\u00a0x\u2028y", "<|endoftext|> a<|startoftext|>b", "ÀÉ ﬁ ½ 12345", "end.\r\nNew", "it's,o'clock... (A)b-c_d!!e 's't ,.'d x,\u0301y <<|a|>> 3.5,a1,b é,è.", "a.b,c;;d''e\"f"]
     docs = docs.unionByName(spark.createDataFrame([(9000 + k, t) for k, t in enumerate(odd)], "doc_id long, text string"))
     tb.write_blocks(docs, f"{tmp_path}/t", tb.default_tokenizer(), parts=5)
     tokenizer = Tokenizer.from_file(tb.default_tokenizer())
