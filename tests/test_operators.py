@@ -117,7 +117,7 @@ def test_blocks_one_hot_and_deltas(spark):
         sequences.one_hot(F.lit("aN")).alias("h"),
         F.struct(*(c.alias(k) for k, c in scores.delta_of_tracks(F.array(*map(F.lit, [0.1, 0.2, 0.9])), F.array(*map(F.lit, [0.1, 0.7, 0.2])), 1).items())).alias("d"),
     ).first()
-    assert [(x.index, x.piece) for x in row.b] == [(0, "NNACGTA"), (1, "CGTACGN"), (2, "ACGNNNN")]
+    assert [(x["index"], x["piece"]) for x in row.b] == [(0, "NNACGTA"), (1, "CGTACGN"), (2, "ACGNNNN")]
     assert row.h == [[1.0, 0.0, 0.0, 0.0], [0.0] * 4]
     assert (round(row.d.gain, 6), row.d.gain_at, round(row.d.loss, 6), row.d.loss_at) == (0.5, 0, 0.7, 1)
 
