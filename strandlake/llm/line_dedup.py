@@ -35,7 +35,9 @@ FILTER_IDS = 20_000_000
 #: Classes of byte values in a line's sketch; 2 * EDITS must be fewer.
 CLASSES = 10
 #: Cells of a batch of pairs in the verification.
-CELLS = 4 << 20
+CELLS = 2 << 20
+#: Bytes of texts, and pairs that meet, that a task handles at once: each stage has workers of its own, and all of them keep memory.
+CHUNK, PAIRS = 1 << 19, 1 << 18
 
 _NEWLINE = np.zeros(256, bool)
 _NEWLINE[0x0A] = True
@@ -59,7 +61,7 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw_all, offsets_all = text_buffer(batch.column(1))
-            for lo, hi in chunks(offsets_all):
+            for lo, hi in chunks(offsets_all, CHUNK):
                 base = offsets_all[lo]
                 raw, offsets = raw_all[base : offsets_all[hi]], offsets_all[lo : hi + 1] - base
                 starts, ends, rows, number = _lines(raw, offsets)
@@ -124,7 +126,7 @@ def meeting_lines(docs: DataFrame, text_col: str = "text", edits: int = EDITS, s
         seen = np.zeros(0, np.uint64)  # of this task, so that a very common line is sent once by each task
         for batch in batches:
             raw_all, offsets_all = text_buffer(batch.column(0))
-            for lo, hi in chunks(offsets_all):
+            for lo, hi in chunks(offsets_all, CHUNK):
                 base = offsets_all[lo]
                 raw, offsets = raw_all[base : offsets_all[hi]], offsets_all[lo : hi + 1] - base
                 starts, ends, _, _ = _lines(raw, offsets)
@@ -162,7 +164,7 @@ def meeting_lines(docs: DataFrame, text_col: str = "text", edits: int = EDITS, s
         kept, probing = split - first, last - split
         alone = (kept == 1) & (probing == 1) & (ids[first] == ids[last - 1])
         runs = np.flatnonzero((kept > 0) & (probing > 0) & ~alone)
-        for some in np.array_split(runs, max(1, int((kept[runs] * probing[runs]).sum()) >> 20)):
+        for some in np.array_split(runs, max(1, int((kept[runs] * probing[runs]).sum()) // PAIRS)):
             n = kept[some] * probing[some]
             if not len(some) or not n.sum():
                 continue
@@ -234,7 +236,7 @@ def close_lines(docs: DataFrame, text_col: str = "text", edits: int = EDITS, sho
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw_all, offsets_all = text_buffer(batch.column(0))
-            for lo, hi in chunks(offsets_all):
+            for lo, hi in chunks(offsets_all, CHUNK):
                 base = offsets_all[lo]
                 raw, offsets = raw_all[base : offsets_all[hi]], offsets_all[lo : hi + 1] - base
                 starts, ends, _, _ = _lines(raw, offsets)
