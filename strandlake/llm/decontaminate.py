@@ -6,6 +6,9 @@ shingles are taken up. Their SimHash fingerprints are looked up in a multi-index
 and each block's values within RADIUS // BLOCKS bits list their items, which finds every item within RADIUS bits. The
 candidates are then compared exactly. A pair of similarity 0.8 differs in 10 bits on average, with a deviation below 3.
 
+A document of fewer words than an item is one window itself: both shingle counts enter the similarity, and as there is but
+one such window, it is compared with every item that shares a shingle and has not too many more, whatever its fingerprint.
+
 Words are runs of letters and digits (and of bytes beyond ASCII), in lower case, so that punctuation does not hide a copy.
 """
 
@@ -87,15 +90,29 @@ class ItemIndex:
                 continue
             pos = np.minimum(np.searchsorted(keys, shingles[k]), len(keys) - 1)
             true = keys[pos] == shingles[k]
+            self._compare_whole(shingles, {i for at in set(pos[true].tolist()) for i, _ in places[at] if self.size[i] > len(words)}, best)
             windows: dict[int, list[tuple[int, int]]] = defaultdict(list)
             for p, at in zip(k[true].tolist(), pos[true].tolist(), strict=True):
-                for size in {self.size[i] for i, _ in places[at]}:
+                for size in {self.size[i] for i, _ in places[at] if self.size[i] <= len(words)}:
                     windows[size].append((max(0, p - (size - width)), min(p, len(words) - size)))
             for size, spans in windows.items():
                 starts = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in sorted(set(spans))]))
                 if len(starts):
                     self._compare(shingles, starts.astype(np.int64), size, size - width + 1, best)
-        return [(self.ids[i], start, self.size[i], bits, sim) for i, (sim, start, bits) in sorted(best.items())]
+        return [(self.ids[i], start, min(self.size[i], len(words)), bits, sim) for i, (sim, start, bits) in sorted(best.items())]
+
+    def _compare_whole(self, shingles: np.ndarray, items: set[int], best: dict[int, tuple[float, int, int]]) -> None:
+        """Compares a text as one window with longer items."""
+        n = len(shingles)
+        items = {i for i in items if n >= self.similarity * len(self.shingles[i])}
+        if not items:
+            return
+        mine, own = Counter(shingles.tolist()), simhash_windows(shingles, np.array([0]), n)[0]
+        for i in items:
+            both = sum((mine & Counter(self.shingles[i].tolist())).values())
+            sim = both / (n + len(self.shingles[i]) - both)
+            if sim >= self.similarity:
+                best[i] = (sim, 0, int(np.bitwise_count(own ^ self.prints[i])))
 
     def _compare(self, shingles: np.ndarray, starts: np.ndarray, size: int, n: int, best: dict[int, tuple[float, int, int]]) -> None:
         prints = simhash_windows(shingles, starts, n)

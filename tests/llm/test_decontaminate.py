@@ -79,3 +79,38 @@ def test_empty_tables(spark, cases):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert dc.drop_contaminated(frame, none).count() == len(docs)
     assert dc.drop_contaminated(frame.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def brute_whole(text, items):
+    """brute, and a document shorter than an item as one window of its own."""
+    out = {i: (s, len(words_of(dict(items)[i])), sim) for i, (s, sim) in brute(text, items).items()}
+    w = words_of(text)
+    for item, t in items:
+        v = words_of(t)
+        k = min(5, len(v))
+        if not v or not k <= len(w) < len(v):
+            continue
+        mine, want = (Counter(tuple(x[i : i + k]) for i in range(len(x) - k + 1)) for x in (w, v))
+        both = sum((mine & want).values())
+        sim = both / (sum(mine.values()) + sum(want.values()) - both)
+        if sim >= 0.8:
+            out[item] = (0, len(w), round(sim, 9))
+    return out
+
+
+def test_documents_shorter_than_an_item(spark):
+    rng = random.Random(9)
+    items = [(k, " ".join(f"w{rng.randint(0, 400)}" for _ in range(n))) for k, n in enumerate([3, 6, 9, 10, 14, 25, 40, 55, 59])]
+    items.append((20, " ".join(["again"] * 30)))
+    docs = []
+    for _, t in items:
+        w = t.split()
+        for cut in (1, 2, 5, 8, 12):
+            docs += [w[:-cut], w[cut:], w[cut // 2 : len(w) - cut + cut // 2], [*w[cut + 1 :], "other"]]
+    docs = [(d, " ".join(w)) for d, w in enumerate(docs)]
+    want = {d: brute_whole(t, items) for d, t in docs}
+    assert sum(len(brute(t, items)) for _, t in docs) < sum(map(len, want.values()))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: {h.item_id: (h.start, h.words, round(h.similarity, 9)) for h in r.hits} for r in dc.with_copied_items(frame, spark.createDataFrame(items, "item_id long, text string"), "hits").collect()}
+    assert got == want
+    assert dc.drop_contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).count() == sum(not x for x in want.values())
