@@ -119,6 +119,41 @@ def agree(a: np.ndarray, b: np.ndarray, edits: int = EDITS) -> np.ndarray:
     return same >= CLASSES - 2 * edits
 
 
+def meeting_pairs(key: np.ndarray, ids: np.ndarray, probe: np.ndarray, sketch: np.ndarray, edits: int = EDITS) -> Iterator[pa.RecordBatch]:
+    """(a, b): ids of an index entry and a probe of one key whose sketches agree. PAIRS at most are taken up at once, of a large key too."""
+    if len(key) < 2:
+        return
+    order = np.lexsort((ids, probe, key))
+    key, ids, probe, sketch = key[order], ids[order], probe[order], sketch[order]
+    again = np.concatenate(([False], (key[1:] == key[:-1]) & (ids[1:] == ids[:-1]) & (probe[1:] == probe[:-1])))
+    key, ids, probe, sketch = key[~again], ids[~again], probe[~again], sketch[~again]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    last = np.append(first[1:], len(key))
+    split = first + np.add.reduceat((~probe).astype(np.int64), first)  # index entries stand before probes
+    kept, probing = split - first, last - split
+    alone = (kept == 1) & (probing == 1) & (ids[first] == ids[last - 1])
+    runs = np.flatnonzero((kept > 0) & (probing > 0) & ~alone)
+    # A row is an index entry with PAIRS of its key's probes at most, from `start` on.
+    pieces = -(-probing[runs] // PAIRS)
+    rows = kept[runs] * pieces
+    k = np.arange(int(rows.sum())) - np.repeat(np.cumsum(rows) - rows, rows)
+    run, wide = np.repeat(runs, rows), np.repeat(pieces, rows)
+    entry, start = first[run] + k // wide, split[run] + k % wide * PAIRS
+    n = np.minimum(last[run] - start, PAIRS)
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+        some, at = slice(at, stop), stop
+        i = np.repeat(entry[some], n[some])
+        j = np.repeat(start[some] - (np.cumsum(n[some]) - n[some]), n[some]) + np.arange(len(i))
+        close = (ids[i] != ids[j]) & agree(sketch[i], sketch[j], edits)
+        x, y = ids[i[close]], ids[j[close]]
+        if len(x):
+            both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+
 def meeting_lines(docs: DataFrame, text_col: str = "text", edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """(a, b): ids of different lines, a < b, that meet in the segment index."""
 
@@ -147,35 +182,9 @@ def meeting_lines(docs: DataFrame, text_col: str = "text", edits: int = EDITS, s
         for batch in batches:
             now = [np.concatenate((h, batch.column(k).to_numpy(zero_copy_only=False))) for k, h in enumerate(held)]
             whole = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
-            yield from pairs(*(x[:whole] for x in now))
+            yield from meeting_pairs(*(x[:whole] for x in now), edits)
             held = [x[whole:] for x in now]
-        yield from pairs(*held)
-
-    def pairs(key: np.ndarray, ids: np.ndarray, probe: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(key) < 2:
-            return
-        order = np.lexsort((ids, probe, key))
-        key, ids, probe, sketch = key[order], ids[order], probe[order], sketch[order]
-        again = np.concatenate(([False], (key[1:] == key[:-1]) & (ids[1:] == ids[:-1]) & (probe[1:] == probe[:-1])))
-        key, ids, probe, sketch = key[~again], ids[~again], probe[~again], sketch[~again]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        last = np.append(first[1:], len(key))
-        split = first + np.add.reduceat((~probe).astype(np.int64), first)  # index entries stand before probes
-        kept, probing = split - first, last - split
-        alone = (kept == 1) & (probing == 1) & (ids[first] == ids[last - 1])
-        runs = np.flatnonzero((kept > 0) & (probing > 0) & ~alone)
-        for some in np.array_split(runs, max(1, int((kept[runs] * probing[runs]).sum()) // PAIRS)):
-            n = kept[some] * probing[some]
-            if not len(some) or not n.sum():
-                continue
-            k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            wide = np.repeat(probing[some], n)
-            i, j = np.repeat(first[some], n) + k // wide, np.repeat(split[some], n) + k % wide
-            close = (ids[i] != ids[j]) & agree(sketch[i], sketch[j], edits)
-            x, y = ids[i[close]], ids[j[close]]
-            if len(x):
-                both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+        yield from meeting_pairs(*held, edits)
 
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 

@@ -108,3 +108,22 @@ def test_removed_lines_equal_brute_force(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ld.drop_repeated_lines(docs).count() == 0
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_a_large_key_is_expanded_in_blocks(block, monkeypatch):
+    rng = np.random.default_rng(3)
+    key = np.concatenate((np.full(400, 5), rng.integers(6, 60, 300)))
+    ids, probe = rng.integers(0, 500, 700), rng.random(700) < 0.5
+    sketch = rng.integers(0, 2**60, 500)[ids // 20 * 20]
+    sizes, agree = [], ld.agree
+    monkeypatch.setattr(ld, "PAIRS", block)
+    monkeypatch.setattr(ld, "agree", lambda a, b, edits: (sizes.append(len(a)), agree(a, b, edits))[1])
+    got = {(r["a"], r["b"]) for batch in ld.meeting_pairs(key, ids, probe, sketch) for r in batch.to_pylist()}
+    want = set()
+    for i in np.flatnonzero(~probe):
+        for j in np.flatnonzero(probe & (key == key[i])):
+            if ids[i] != ids[j] and agree(sketch[[i]], sketch[[j]])[0]:
+                want.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    assert got == want and want
+    assert max(sizes) <= block
