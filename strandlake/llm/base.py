@@ -8,8 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: A table with more rows than this is joined by a shuffle; the others are counted and broadcast.
+BROADCAST_ROWS = 100_000
 #: Bytes of text that the array code handles at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 2 << 20
 
@@ -20,23 +23,93 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where none is set.
+
+    A temporary folder is of use only where all tasks run on this machine; elsewhere the setting must be made.
+    """
     known = spark.sparkContext.getCheckpointDir()
     if known is None:
-        known = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='strandlake-')}"
+        known = spark.conf.get("spark.checkpoint.dir", None)
+        if known is None:
+            if not (spark.sparkContext.master or "").split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            known = f"file://{tempfile.mkdtemp(prefix='strandlake-')}"
         spark.sparkContext.setCheckpointDir(known)
         known = spark.sparkContext.getCheckpointDir() or known
     return known
 
 
 def park(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again: lineage ends there, and a lost executor costs no earlier stage."""
+    """df, written to the shared folder and read again: lineage ends there, and a lost executor costs no earlier stage.
+
+    What is written stays until `clean`, as frames that are not yet computed may read it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/park-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables and files that operators have written to the shared folder; frames that read them cannot be computed any more."""
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    store = paths.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in store.listStatus(paths):
+        if found.getPath().getName().split("-")[0] in ("park", "tokens", "shards", "pipeline"):
+            store.delete(found.getPath(), True)
+
+
+def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it has `most` rows at most; it should be parked, as it is counted."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores added until no column is called so."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """(no_id, id, text_hash): what tells rows apart, in the order in which they are preferred: ids first, null ids last, then a hash of the text."""
+    id_ = F.col(id_col).cast("long")
+    return [id_.isNull().alias("no_id"), F.coalesce(id_, F.lit(0)).alias("id"), F.xxhash64(F.lit(77), F.col(text_col).cast("string")).alias("text_hash")]
+
+
+def first_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs, of each group only the first one, with the columns of docs.
+
+    rows has (no_id, id, text_hash, root) for each row of docs, root naming the group. First is the smallest id, a null id
+    after all others; of equal ids the smaller hash of the text; of equal texts the row that is the smaller one as JSON.
+    """
+    key = ["no_id", "id", "text_hash"]
+    each = park(rows.groupBy("root", *key).agg(F.count("*").alias("n")))
+    first = each.groupBy("root").agg(F.min(F.struct(*key)).alias("first"), F.count("*").alias("kinds"), F.max("n").alias("most"))
+    first = if_small(park(first.filter("kinds > 1 or most > 1").select("root", "first")))
+    known = each.join(first, "root").select(*key, "n", (F.struct(*key) == F.col("first")).alias("stays"))
+    known = park(known.filter("not stays or n > 1"))
+    names = unused(docs.columns, *key)
+    docs_key = dict(zip(key, names, strict=True))
+    keyed = docs.select("*", *(c.alias(n) for c, n in zip(row_key(id_col, text_col), names, strict=True)))
+
+    def among(some: DataFrame) -> DataFrame:
+        return if_small(some.select(*(F.col(k).alias(n) for k, n in docs_key.items())).distinct())
+
+    kept = keyed.join(among(known.filter("not stays")), names, "left_anti")
+    twice = known.filter("stays")
+    if not twice.isEmpty():
+        again = among(twice)
+        whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        one = kept.join(again, names, "left_semi").groupBy(*names).agg(F.min_by(whole, F.to_json(whole)).alias("row"))
+        kept = kept.join(again, names, "left_anti").select(docs.columns).unionByName(one.select("row.*"))
+    return kept.select(docs.columns)
+
+
 def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` bytes each, one row at least."""
     at, n = 0, len(offsets) - 1
@@ -83,6 +156,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def byte_map(raw: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """What a table of 256 one-byte values has for each byte."""
+    return np.frombuffer(bytearray(raw.tobytes().translate(table.tobytes())), table.dtype)
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -96,7 +174,7 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE, cu
     if n == 0:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    word = ~gap[raw]
+    word = byte_map(raw, ~gap)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True  # a row's end also ends its last word
     if cuts is not None:
@@ -128,9 +206,38 @@ class SpanHasher:
             return mix64(sums if self.down is None else sums * self.down[starts])
 
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans up to this length are hashed by words of eight bytes, longer ones by SpanHasher.
+_BY_WORDS = 64
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span's bytes."""
-    return SpanHasher(raw)(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    n = len(raw)
+    padded = np.zeros(-(-n // 8) * 8 + 80, np.uint8)
+    padded[:n] = raw
+    eights = padded.view("<u8")
+    length = ends - starts
+
+    def load(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        word, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        got = eights.take(word) >> shift
+        got |= (eights.take(word + 1) << np.uint64(1)) << (np.uint64(63) - shift)
+        return got & _MASKS.take(np.minimum(size, 8))
+
+    with np.errstate(over="ignore"):
+        out = mix64(load(starts, length) ^ (length.astype(np.uint64) * _STEP))
+        for k in range(8, _BY_WORDS, 8):
+            more = (length > k).nonzero()[0]
+            if not len(more):
+                return out
+            out[more] = mix64(out[more] * np.uint64(3) + load(starts[more] + k, length[more] - k))
+        more = (length > _BY_WORDS).nonzero()[0]
+        if len(more):
+            out[more] = SpanHasher(raw)(starts[more], ends[more])
+    return out
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:

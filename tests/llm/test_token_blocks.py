@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF_DIR
 from hypothesis import given, settings
@@ -10,6 +11,7 @@ from hypothesis import strategies as st
 
 from strandlake.llm import range_coder as rc
 from strandlake.llm import token_blocks as tb
+from strandlake.llm.base import text_buffer
 
 
 @given(st.lists(st.integers(0, 65535), max_size=300), st.sampled_from([1, 2, 7, 64]))
@@ -24,7 +26,7 @@ def test_round_trip_of_patterns(ids):
     blocks, checks = rc.encode(ids, 512)
     assert (rc.decode(blocks, checks, len(ids), 512) == ids).all()
     if len(set(ids.tolist())) < 10:
-        assert sum(map(len, blocks)) < len(ids)
+        assert sum(map(len, blocks)) < len(ids) // 2
 
 
 def test_a_block_does_not_need_the_others():
@@ -33,6 +35,60 @@ def test_a_block_does_not_need_the_others():
     assert (rc.decode(blocks[3:4], checks[3:4], 100, 100) == ids[300:400]).all()
 
 
+@given(st.lists(st.integers(0, 2**20 - 1), max_size=200), st.sampled_from([1, 3, 64]))
+@settings(max_examples=30, deadline=None)
+def test_round_trip_of_large_vocabularies(ids, block):
+    blocks, checks = rc.encode(np.array(ids, dtype=np.int64), block, bits=20)
+    assert rc.decode(blocks, checks, len(ids), block, bits=20).tolist() == ids
+
+
+def test_blocks_in_groups_of_lanes(monkeypatch):
+    ids = np.random.default_rng(4).zipf(1.3, 1000) % 3000
+    whole = rc.encode(ids, 64)
+    monkeypatch.setattr(rc, "LANES", 3)
+    assert rc.encode(ids, 64) == whole
+    assert (rc.decode(*whole, 1000, 64) == ids).all()
+
+
+def test_smaller_than_zlib():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"{SF_DIR}/documents.parquet")["text"].combine_chunks()
+    ids, _ = tb.encoder(tb.default_tokenizer()).encode(*text_buffer(texts))
+    blocks, _ = rc.encode(ids)
+    assert sum(map(len, blocks)) < 0.9 * sum(len(zlib.compress(ids[k : k + rc.BLOCK].astype("<u2").tobytes(), 9)) for k in range(0, len(ids), rc.BLOCK))
+
+
+MARKS = [*map(chr, range(0x300, 0x346)), "\u1dc0", "\u20d0", "\u05b0"]
+LETTERS = [*"abIHTWYJKkİißÄäÖÉéñÿ×÷ƒŁΣσςǅ'.,;:-<>=|()!?019½ﬁ \u00a0\u0085\t\n\x1fÅÅΩ가각क़", "ᄀ", "ᅡ", "<|endoftext|>", "'s", "'T", "≮"]
+
+
+@given(st.lists(st.lists(st.sampled_from(LETTERS) | st.sampled_from(MARKS), max_size=12).map("".join), min_size=1, max_size=30))
+@settings(max_examples=150, deadline=None)
+def test_words_encode_as_whole_texts(texts):
+    words = tb.encoder(tb.default_tokenizer())
+    ids, at = words.encode(*text_buffer(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_share_slots(monkeypatch):
+    monkeypatch.setattr(tb.WordEncoder, "SLOTS", 4)
+    words = tb.WordEncoder(tb.default_tokenizer())
+    for text in ("one two three four five six seven eight nine ten", "ten nine eleven five twelve one", "one one two"):
+        ids, _ = words.encode(*text_buffer(pa.array([text])))
+        assert ids.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+
+    words = tb.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Don't  stop, 12 of\n them", "", "éa  b"]
+    ids, at = words.encode(*text_buffer(pa.array(texts)))
+    assert not words.by_word
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_damage_is_found():
     blocks, checks = rc.encode(np.random.default_rng(3).integers(0, 9000, 400), 200)
     spoilt = bytearray(blocks[1])
