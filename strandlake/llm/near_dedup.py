@@ -9,13 +9,15 @@ and there the error budget is zero: a subtree below the top levels only meets it
 by a shuffle. Within a task all subtrees are walked at once, level by level: a pair of nodes splits into its up to four
 pairs of children, differing bits add up, and a pair over the budget is dropped. Every link is found in some trie.
 
-Subtrees of more than `SUBTREE` fingerprints are cut into slices; each pair of slices is walked by a task of its own.
-A task sends on a spanning forest of its links only, so that a large group of near copies stays small.
+Subtrees of more than `SUBTREE` fingerprints are dealt out by their next bits in the same way, with the whole budget, and
+only what is large even then, a cluster of near copies, is cut into slices; each pair of slices is walked by a task of its
+own. A task sends on a spanning forest of its links only, so that a large group of near copies stays small.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -24,14 +26,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import mix64, park, table
+from .base import first_of_each, if_small, mix64, park, row_key, table
 
 RADIUS = 4
 WIDTH = 4
-#: Most fingerprints of a subtree that one task walks; a larger one is walked by pairs of slices of half this size.
+#: Most fingerprints of a subtree that one task walks; a larger one is dealt out further.
 SUBTREE = 4000
-#: A table of large subtrees with more rows than this is joined by a shuffle.
-BROADCAST_ROWS = 100_000
 
 
 def simhashes(text: bytes, width: int = WIDTH, families: int = 1) -> list[int]:
@@ -71,9 +71,9 @@ def fingerprints(text: Column | str, width: int = WIDTH, families: int = 1) -> C
     return of(text)
 
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
+def _blocks(radius: int, bits: int = 64) -> list[tuple[int, int]]:
     """(lowest bit, number of bits) of the radius + 2 blocks."""
-    edges = [round(64 * k / (radius + 2)) for k in range(radius + 3)]
+    edges = [round(bits * k / (radius + 2)) for k in range(radius + 3)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
@@ -159,21 +159,35 @@ def hamming_links(prints: DataFrame, radius: int = RADIUS, subtree: int = SUBTRE
     blocks = _blocks(radius)
     tries = list(combinations(range(len(blocks)), 2))
 
-    def part(lo: int, n: int) -> Column:
-        return F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << n) - 1))
-
-    cells = [F.struct(F.lit(t).alias("trie"), (part(*blocks[i]) * F.lit(1 << blocks[j][1]) + part(*blocks[j])).alias("cell")) for t, (i, j) in enumerate(tries)]
-    dealt = prints.select("fp", F.explode(F.array(*cells)).alias("at")).select("fp", "at.trie", "at.cell")
-    # Slices of large subtrees: a fingerprint's slice meets every slice of its subtree, itself included.
-    large = dealt.groupBy("trie", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > subtree)
-    large = park(large.select("trie", "cell", F.ceil(F.col("n") * 2 / subtree).alias("slices")))
-    if large.count() <= BROADCAST_ROWS:
-        large = F.broadcast(large)
-    dealt = dealt.join(large, ["trie", "cell"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
-    mine = F.pmod(F.xxhash64("fp"), F.col("slices"))
-    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda k: F.least(k, mine) * F.col("slices") + F.greatest(k, mine))
-    dealt = dealt.select("fp", F.explode(meets).alias("pair"), "trie", "cell")
-    dealt = dealt.select("fp", F.xxhash64("trie", "cell", "pair").alias("task"))
+    def part(fp: str, lo: int, n: int) -> Column:
+        return F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << n) - 1))
+
+    def cells(fp: str, parts: list[tuple[int, int]]) -> Column:
+        """For each pair of parts (lowest bit, number of bits) its number and the values of both."""
+        value = [part(fp, *p) for p in parts]
+        return F.array(*(F.struct(F.lit(t).alias("trie"), (value[i] * F.lit(1 << parts[j][1]) + value[j]).alias("cell")) for t, (i, j) in enumerate(tries)))
+
+    dealt = prints.select("fp", F.explode(cells("fp", blocks)).alias("at")).select("fp", "at.trie", "at.cell")
+    tasks = dealt.select("fp", F.xxhash64("trie", "cell").alias("task"))
+    large = park(dealt.groupBy("trie", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > subtree).select("trie", "cell"))
+    if not large.isEmpty():
+        large = if_small(large)
+        tasks = dealt.join(large, ["trie", "cell"], "left_anti").select("fp", F.xxhash64("trie", "cell").alias("task"))
+        # The other bits of a large subtree have the whole budget left: they are cut into blocks and paired once more.
+        others = [[blocks[k] for k in range(len(blocks)) if k not in pair] for pair in tries]
+        rest = F.coalesce(*(F.when(F.col("trie") == t, reduce(lambda x, b: x * F.lit(1 << b[1]) + part("fp", *b), of, F.lit(0).cast("long"))) for t, of in enumerate(others)))
+        deep = dealt.join(large, ["trie", "cell"], "left_semi").withColumn("rest", rest)
+        least = min(sum(n for _, n in of) for of in others)
+        deep = deep.select("fp", F.xxhash64("trie", "cell").alias("above"), F.explode(cells("rest", _blocks(radius, least))).alias("at")).select("fp", F.xxhash64("above", "at.trie", "at.cell").alias("below"))
+        # What is large even so, a cluster of near copies, is cut into slices: a fingerprint's slice meets every slice, itself included.
+        dense = deep.groupBy("below").agg(F.count("*").alias("n")).filter(F.col("n") > subtree)
+        dense = if_small(park(dense.select("below", F.ceil(F.col("n") * 2 / subtree).alias("slices"))))
+        deep = deep.join(dense, "below", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+        mine = F.pmod(F.xxhash64("fp"), F.col("slices"))
+        meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda k: F.least(k, mine) * F.col("slices") + F.greatest(k, mine))
+        deep = deep.select("fp", "below", F.explode(meets).alias("pair")).select("fp", F.xxhash64("below", "pair").alias("task"))
+        tasks = tasks.unionByName(deep)
+    dealt = tasks
     dealt = dealt.repartition(F.col("task")).sortWithinPartitions("task")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,9 +243,6 @@ def components(links: DataFrame) -> DataFrame:
     return known if known is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-_NO_ID = (1 << 63) - 1
-
-
 def _family_links(prints: DataFrame, family: int, radius: int) -> DataFrame:
     """(a, b): links that a further family of fingerprints adds, told in fingerprints of the first one."""
     pairs = park(prints.select("fp", F.col("fps")[family].alias("other")).distinct())
@@ -243,37 +254,46 @@ def _family_links(prints: DataFrame, family: int, radius: int) -> DataFrame:
     return links.select("a", "b").unionByName(same)
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, families: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, members): (no_id, id, text_hash, fp) of each row, and (fp, root) of the fingerprints that have a link."""
+    rows = docs.select(*row_key(id_col, text_col), fingerprints(F.col(text_col), width, families).alias("fps"))
+    rows = park(rows.select("no_id", "id", "text_hash", F.col("fps")[0].alias("fp"), *(["fps"] if families > 1 else [])))
+    links = hamming_links(park(rows.select("fp").distinct()), radius)
+    for family in range(1, families):
+        links = links.unionByName(_family_links(rows, family, radius))
+    return rows.drop("fps"), components(links).select(F.col("node").alias("fp"), "root")
+
+
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS, families: int = 1) -> DataFrame:
     """(id, fp long, component_id): component_id is the smallest id that links within `radius` bits reach.
 
     With more families, texts whose fingerprints of any family are that close are linked: what one family misses by a few
     bits another one finds. One row for each row of docs; repeated ids stay repeated. Null and empty texts have fingerprint
-    zero and link like any other; a null id is never the smallest (it stands as the largest long, and comes back as null).
-    Other columns of docs are not used, whatever their names.
+    zero and link like any other; a null id comes back as null and is never the smallest, unless its group has no other.
+    An empty table gives an empty one. Other columns of docs are not used, whatever their names.
     """
-    prints = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), fingerprints(F.col(text_col), width, families).alias("fps"))
-    prints = park(prints.select("id", F.col("fps")[0].alias("fp"), *(["fps"] if families > 1 else [])))
-    each = park(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    links = hamming_links(each, radius)
-    for family in range(1, families):
-        links = links.unionByName(_family_links(prints, family, radius))
-    roots = components(links)
-    each = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = each.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = each.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(*(F.nullif(F.col(c), F.lit(_NO_ID)).alias(c) if c != "fp" else "fp" for c in ("id", "fp", "component_id")))
+    rows, members = _grouped(docs, id_col, text_col, width, radius, families)
+    members = park(members)
+    each = park(rows.groupBy("fp").agg(F.min(F.when(~F.col("no_id"), F.col("id"))).alias("least")))
+    # Only groups of several fingerprints need a name of their own; a large group is one row of `smallest`.
+    linked = park(each.join(members, "fp"))
+    smallest = if_small(park(linked.groupBy("root").agg(F.min("least").alias("smallest"))))
+    named = linked.select("fp", "root").join(smallest, "root").select("fp", "smallest", F.lit(True).alias("linked"))
+    each = park(each.join(named, "fp", "left").select("fp", F.when(F.col("linked"), F.col("smallest")).otherwise(F.col("least")).alias("component_id")))
+    return rows.join(each, "fp").select(F.when(~F.col("no_id"), F.col("id")).alias("id"), "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS, families: int = 4) -> DataFrame:
-    """The documents, of each group of near copies only that with the smallest id.
+    """The documents, of each group of near copies one row, with the columns of docs.
 
-    Rows that share an id are versions of one document; one of them stays. Documents without an id are one document.
-    Links are looked for in `families` fingerprints, as one of them at a small radius misses many copies with edits.
+    It is the first by `first_of_each`: the smallest id, null ids last, then by hash of the text, then by the other columns.
+    Groups are of rows, so rows of one id (or without one) whose texts differ are in groups of their own. Links are looked
+    for in `families` fingerprints, as one of them at a small radius misses many copies with edits. Null and empty texts are
+    copies of each other; an empty table stays empty; columns may have any names.
     """
-    groups = near_copy_groups(docs, id_col, text_col, width, radius, families)
-    stay = groups.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.coalesce("id", F.lit(_NO_ID)).alias("near_copy_key")).distinct()
-    keyed = docs.withColumn("near_copy_key", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)))
-    return keyed.join(stay, "near_copy_key", "left_semi").dropDuplicates(["near_copy_key"]).select(docs.columns)
+    rows, members = _grouped(docs, id_col, text_col, width, radius, families)
+    roots = rows.join(if_small(park(members)), "fp", "left").select("no_id", "id", "text_hash", F.coalesce("root", "fp").alias("root"))
+    return first_of_each(docs, roots, id_col, text_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,12 +60,12 @@ def test_empty_table(spark):
     assert nd.drop_near_copies(docs).count() == 0
 
 
-@pytest.mark.parametrize("subtree", [8, 4000])
+@pytest.mark.parametrize("subtree", [2, 8, 4000])
 def test_links_join_all_components(spark, subtree):
     rng = np.random.default_rng(5)
     codes = [int(x) for x in rng.integers(0, 2**63, 60, dtype=np.uint64)]
     for c in codes[:20]:
-        for _ in range(12):
+        for _ in range(60 if c == codes[0] else 12):
             for b in rng.choice(64, rng.integers(1, 6), replace=False):
                 c ^= 1 << int(b)
             codes.append(c)
@@ -92,10 +92,17 @@ def test_components_of_chains(spark):
 
 def test_one_of_each_group_stays(spark):
     text = "one two three four five six seven eight nine ten " * 6
-    docs = spark.createDataFrame([(3, text, "a"), (1, text.upper().replace(" ", "\n"), "b"), (7, "quite another text with words of its own", "c"), (7, "quite another text with words of its own", "c")], "doc_id long, text string, near string")
-    got = nd.drop_near_copies(docs)
-    assert got.columns == docs.columns
-    assert sorted(r.doc_id for r in got.collect()) == [1, 7]
+    other = "quite another text with words of its own"
+    docs = [(3, text, "a"), (1, text.upper().replace(" ", "\n"), "b"), (7, other, "c"), (7, other, "c"), (7, text, "d"), (None, "a text without an id", "e"), (None, "one more text, also without", "f"), (None, other, "g"), (9, None, "h"), (10, " ", "i")]
+    got = nd.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string, fp string"))
+    assert got.columns == ["doc_id", "text", "fp"]
+    assert sorted(r.fp for r in got.collect()) == ["b", "c", "e", "f", "h"]
+
+
+def test_rows_without_ids(spark):
+    docs = spark.createDataFrame([(None, "same words here and there"), (None, "same words here and there"), (None, "quite other words in this one")], "doc_id long, text string")
+    assert all(r.id is None and r.component_id is None for r in nd.near_copy_groups(docs).collect())
+    assert nd.drop_near_copies(docs).count() == 2
 
 
 def test_more_families_find_more_copies(spark):
