@@ -3,12 +3,17 @@
 A window of as many words as an item has is a copy of it if the weighted Jaccard similarity of their five-word shingles
 (repeats count) is 0.8 or more. A window without a shingle of the item has similarity 0, so only windows around such
 shingles are taken up. Their SimHash fingerprints are looked up in a multi-index: the 64 bits are cut into BLOCKS blocks,
-and each block's values within RADIUS // BLOCKS bits list their items, which finds every item within RADIUS bits. The
-candidates are then compared exactly. A pair of similarity 0.8 differs in 10 bits on average, with a deviation below 3.
+and each block's values within RADIUS // BLOCKS bits list their items, which finds every item within RADIUS bits. With so
+wide a radius a block lists a good part of all items of a size, so of these only the items that share a shingle with the
+text are taken up. The candidates are then compared exactly. A pair of similarity 0.8 differs in 10 bits on average, with a
+deviation below 3, so by calculation the radius leaves out one in a million.
 
 A document of fewer words than an item is one window itself: both shingle counts enter the similarity, and as there is but
 one such window, it is compared with every item that shares a shingle and has not too many more, whatever its fingerprint.
 
+A benchmark of more than PASS_BYTES is taken in passes, one after the other: each reads the documents anew with its own
+part of the index, and keeps the hits alone. An index is broadcast, and is gone when its pass is over.
+
 Words are runs of letters and digits (and of bytes beyond ASCII), in lower case, so that punctuation does not hide a copy.
 """
 
@@ -22,14 +27,15 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import chunks, mix64, shingle_hashes, span_hashes, table, text_buffer, word_spans
+from .base import chunks, if_small, mix64, park, shingle_hashes, span_hashes, table, text_buffer, unused, word_spans
 
 WIDTH = 5
 SIMILARITY = 0.8
-RADIUS = 20
+RADIUS = 24
 BLOCKS = 8
 #: Bytes of items that one pass sends to the tasks; a larger benchmark is taken in several passes.
 PASS_BYTES = 16 << 20
@@ -71,12 +77,12 @@ class ItemIndex:
         bits, most = 64 // BLOCKS, radius // BLOCKS
         near = [sum(1 << b for b in flip) for r in range(most + 1) for flip in combinations(range(bits), r)]
         #: (size, block, block's value) -> items of that size within most bits in that block.
-        self.blocks: dict[tuple[int, int, int], list[int]] = defaultdict(list)
+        self.blocks: dict[tuple[int, int, int], set[int]] = defaultdict(set)
         for i, p in enumerate(self.prints.tolist()):
             for b in range(BLOCKS):
                 v = (p >> (b * bits)) & ((1 << bits) - 1)
                 for flip in near:
-                    self.blocks[self.size[i], b, v ^ flip].append(i)
+                    self.blocks[self.size[i], b, v ^ flip].add(i)
 
     def hits(self, words: np.ndarray) -> list[tuple[int, int, int, int, float]]:
         """(item_id, start, words, bits, similarity) of the best window of each item that a text of these words copies."""
@@ -92,13 +98,17 @@ class ItemIndex:
             true = keys[pos] == shingles[k]
             self._compare_whole(shingles, {i for at in set(pos[true].tolist()) for i, _ in places[at] if self.size[i] > len(words)}, best)
             windows: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            sharing: dict[int, set[int]] = defaultdict(set)
             for p, at in zip(k[true].tolist(), pos[true].tolist(), strict=True):
+                for i, _ in places[at]:
+                    if self.size[i] <= len(words):
+                        sharing[self.size[i]].add(i)
                 for size in {self.size[i] for i, _ in places[at] if self.size[i] <= len(words)}:
                     windows[size].append((max(0, p - (size - width)), min(p, len(words) - size)))
             for size, spans in windows.items():
                 starts = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in sorted(set(spans))]))
                 if len(starts):
-                    self._compare(shingles, starts.astype(np.int64), size, size - width + 1, best)
+                    self._compare(shingles, starts.astype(np.int64), size, size - width + 1, sharing[size], best)
         return [(self.ids[i], start, min(self.size[i], len(words)), bits, sim) for i, (sim, start, bits) in sorted(best.items())]
 
     def _compare_whole(self, shingles: np.ndarray, items: set[int], best: dict[int, tuple[float, int, int]]) -> None:
@@ -114,14 +124,15 @@ class ItemIndex:
             if sim >= self.similarity:
                 best[i] = (sim, 0, int(np.bitwise_count(own ^ self.prints[i])))
 
-    def _compare(self, shingles: np.ndarray, starts: np.ndarray, size: int, n: int, best: dict[int, tuple[float, int, int]]) -> None:
+    def _compare(self, shingles: np.ndarray, starts: np.ndarray, size: int, n: int, among: set[int], best: dict[int, tuple[float, int, int]]) -> None:
         prints = simhash_windows(shingles, starts, n)
         bits = 64 // BLOCKS
         pairs: set[tuple[int, int]] = set()
+        none: set[int] = set()
         for b in range(BLOCKS):
             values = ((prints >> np.uint64(b * bits)) & np.uint64((1 << bits) - 1)).tolist()
             for w, v in enumerate(values):
-                pairs.update((w, i) for i in self.blocks.get((size, b, v), ()))
+                pairs.update((w, i) for i in among & self.blocks.get((size, b, v), none))
         if not pairs:
             return
         w, i = np.array(sorted(pairs), dtype=np.int64).T
@@ -150,21 +161,26 @@ def simhash_windows(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndar
     return ((2 * inside > n) * (np.uint64(1) << np.arange(64, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
 
 
+def _n_passes(benchmark: DataFrame, text_col: str) -> int:
+    total = benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(1, -(-total // PASS_BYTES))
+
+
 def _passes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """The benchmark's items, in lists of at most about PASS_BYTES."""
     items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("t is not null")
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, -(-total // PASS_BYTES))
+    n = _n_passes(benchmark, text_col)
     for k in range(n):
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
         yield sorted(((r.i, r.t) for r in part.collect()), key=lambda x: (x[0] is None, x))
 
 
-def copied_items(text: Column | str, index: ItemIndex) -> Column:
-    """HITS of each text: the items that it copies, each with its best window (the first of equal ones)."""
+def copied_items(text: Column | str, shared: Broadcast) -> Column:
+    """HITS of each text: the items of the broadcast index that it copies, each with its best window (the first of equal ones)."""
 
     @F.arrow_udf(HITS)
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = shared.value
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("words", pa.int32()), ("bits", pa.int32()), ("similarity", pa.float64())]))
         for batch in texts:
             raw_all, offsets_all = text_buffer(pc.utf8_lower(batch))
@@ -196,14 +212,33 @@ def _rows_with_shingle(index: ItemIndex, words: np.ndarray, before: np.ndarray)
 
 
 def with_copied_items(docs: DataFrame, benchmark: DataFrame, name: str, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """docs with a column `name` of HITS. Null and empty texts and items copy nothing; items of equal text each count."""
-    found = [copied_items(F.col(text_col), ItemIndex(items, similarity, radius)) for items in _passes(benchmark, item_col, item_text_col) if items]
-    return docs.withColumn(name, reduce(F.concat, found) if found else F.array().cast(HITS))
+    """docs with a column `name` of HITS, which replaces one of that name.
+
+    Null and empty texts and items copy nothing; items of equal text each count, items without an id have a null item_id.
+    Rows are judged one by one, so repeated rows and ids make no difference; empty tables give no hits. With several passes
+    hits are carried by a 64-bit hash of the text.
+    """
+    sc = docs.sparkSession.sparkContext
+    text = F.col(text_col).cast("string")
+    passes = [items for items in _passes(benchmark, item_col, item_text_col) if items] if _n_passes(benchmark, item_text_col) == 1 else None
+    if passes is not None:
+        return docs.withColumn(name, copied_items(text, sc.broadcast(ItemIndex(passes[0], similarity, radius))) if passes else F.array().cast(HITS))
+    found: list[DataFrame] = []
+    for items in _passes(benchmark, item_col, item_text_col):
+        shared = sc.broadcast(ItemIndex(items, similarity, radius))
+        hits = docs.select(F.xxhash64(text).alias("text_hash"), copied_items(text, shared).alias("hits"))
+        found.append(park(hits.filter("size(hits) > 0").dropDuplicates(["text_hash"])))
+        shared.destroy()
+    hash_, hits = unused(docs.columns, "text_hash", "hits")
+    each = reduce(DataFrame.unionByName, found).groupBy("text_hash").agg(F.flatten(F.collect_list("hits")).alias(hits)).withColumnRenamed("text_hash", hash_)
+    rows = docs.withColumn(hash_, F.xxhash64(text)).join(if_small(park(each)), hash_, "left")
+    return rows.withColumn(name, F.coalesce(F.col(hits), F.array().cast(HITS))).select(*(c for c in docs.columns if c.lower() != name.lower()), name)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The documents that copy no item, with the columns of docs."""
-    return with_copied_items(docs, benchmark, "copied_items", text_col, similarity=similarity).filter("size(copied_items) = 0").select(docs.columns)
+    """The documents that copy no item, with the columns of docs, whatever their names; see `with_copied_items`."""
+    (name,) = unused(docs.columns, "copied_items")
+    return with_copied_items(docs, benchmark, name, text_col, similarity=similarity).filter(F.size(name) == 0).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
