@@ -139,6 +139,12 @@ def length_class(n: int) -> int:
     return int(math.log2(n) * 4)
 
 
+def _points(raw: np.ndarray, *places: np.ndarray) -> list[np.ndarray]:
+    """Places of bytes as places of code points."""
+    heads = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+    return [heads[x] for x in places]
+
+
 def scan(text: Column | str, battery: Battery) -> Column:
     """struct(base, tokens): spans (kind, start, end) by the patterns, and tokens with their length class and step.
 
@@ -156,20 +162,19 @@ def scan(text: Column | str, battery: Battery) -> Column:
             tokens: list[list[dict]] = [[] for _ in range(len(batch))]
             for r, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 data = raw[a:b].tobytes()
-                ascii_ = data.isascii()
-
-                def point(k: int, data: bytes = data, ascii_: bool = ascii_) -> int:
-                    return k if ascii_ else len(data[:k].decode())
-
                 found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(data) if m.end(2) - m.start(2) >= 12]
                 found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(data)]
                 found += [(m.start(), 2, m.end()) for m in HEX.finditer(data)]
                 found.sort()
-                base[r] = [{"kind": k, "start": point(s), "stop": point(e)} for s, k, e in found]
-                for m in TOKEN.finditer(data):
-                    step = battery.step(m.group())
-                    clear = not any(s < m.end() and m.start() < e for s, _, e in found)
-                    tokens[r].append({"start": point(m.start()), "stop": point(m.end()), "class": length_class(m.end() - m.start()), "step": step, "clear": clear})
+                marks = [m.span() for m in TOKEN.finditer(data)]
+                spans = np.array([(s, e) for s, _, e in found], np.int64).reshape(-1, 2)
+                places = np.array(marks, np.int64).reshape(-1, 2)
+                points, at = (spans, places) if data.isascii() else _points(raw[a:b], spans, places)
+                base[r] = [{"kind": k, "start": s, "stop": e} for (_, k, _), (s, e) in zip(found, points.tolist(), strict=True)]
+                # A token is clear if of the spans that begin before its end, none ends after its start.
+                furthest = np.append(np.maximum.accumulate(spans[:, 1]), 0)
+                clear = furthest[np.searchsorted(spans[:, 0], places[:, 1]) - 1] <= places[:, 0]
+                tokens[r] = [{"start": s, "stop": e, "class": length_class(y - x), "step": battery.step(data[x:y]), "clear": c} for (s, e), (x, y), c in zip(at.tolist(), marks, clear.tolist(), strict=True)]
             yield pa.StructArray.from_arrays([pa.array(base, pa.list_(kind)), pa.array(tokens, pa.list_(token))], ["base", "tokens"])
 
     return of(text)
@@ -190,7 +195,9 @@ def lowest_steps(counts: dict[int, dict[int, int]], share: float = FALSE_SHARE)
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = FALSE_SHARE) -> DataFrame:
     """(id, base, found): spans by the patterns, and all spans, sorted by start and kind.
 
-    One row for each row of docs. Texts are read twice: for the corpus's letters, and by the scan.
+    One row for each row of docs, repeated and null ids included; other columns are not used. Null and empty texts have no
+    span, an empty table no row. Equal p-values are called secret together. Texts are read twice: for the corpus's letters,
+    and by the scan; a text takes time and memory in proportion to its length.
     """
     battery = Battery(byte_counts(docs, text_col))
     seen = park(docs.select(F.col(id_col).alias("id"), scan(F.col(text_col), battery).alias("s")).select("id", "s.base", "s.tokens"))
