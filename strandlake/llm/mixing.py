@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import park, table
+from .base import park, table, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeating.
@@ -137,7 +137,7 @@ def mixed_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _on(docs: DataFrame, copies: DataFrame, id_col: str, source_col: str) -> DataFrame:
     copies = copies.select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), "source_size", "target", "copies")
     docs = docs.alias("docs")
-    mine = (F.col(f"docs.{id_col}").cast("long").eqNullSafe(F.col("mix_id"))) & (F.col(f"docs.{source_col}").cast("string").eqNullSafe(F.col("mix_source")))
+    mine = (F.col(f"docs.{id_col}").cast("long").eqNullSafe(F.col("mix.mix_id"))) & (F.col(f"docs.{source_col}").cast("string").eqNullSafe(F.col("mix.mix_source")))
     return docs.join(copies.alias("mix"), mine)
 
 
@@ -145,7 +145,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The mixed documents: every row of docs as often as it was taken, with the columns of docs."""
     _, copies = mixed_copies(docs, id_col, text_col, source_col, weights, most, seed)
     rows = _on(docs, copies.filter("copies > 0"), id_col, source_col)
-    return rows.select("docs.*", F.explode(F.array_repeat(F.lit(0), F.col("mix.copies"))).alias("mix_copy")).drop("mix_copy")
+    (copy,) = unused(docs.columns, "mix_copy")
+    return rows.select("docs.*", F.explode(F.array_repeat(F.lit(0), F.col("mix.copies"))).alias(copy)).drop(copy)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
