@@ -1,22 +1,35 @@
 """Quality rules: base counts of each text, and a hashed n-gram log-likelihood ratio of trusted text against the corpus.
 
-Words and word pairs are hashed to `BUCKETS` buckets. Two multinomials are counted: over documents that labels trust (a
-bounded sample of them), and over the whole corpus. A document's score is the mean over its n-grams of log2(trusted /
-corpus), in whole steps of 2^-20, so that sums do not depend on their order; below `THRESHOLD` it is rejected.
+Words and word pairs are hashed to buckets, one for every BUCKET_BYTES of the corpus's text (a power of two), so that what
+is counted grows with the corpus. Two multinomials are counted: over documents that labels trust (a bounded sample of
+them), and over the whole corpus. A document's score is the mean over its n-grams of log2(trusted / corpus), in whole steps
+of 2^-20, so that sums do not depend on their order; below `THRESHOLD` it is rejected.
+
+The ratios are broadcast, SLICE buckets at a time: with more of them the documents are read once for each slice, and what
+its n-grams add to a text's sum is kept by a hash of the text.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import SPACE, chunks, mix64, shingle_hashes, span_hashes, table, text_buffer, word_spans
+from .base import SPACE, byte_map, chunks, mix64, park, shingle_hashes, span_hashes, table, text_buffer, unused, word_spans
 
-BUCKETS = 1 << 16
+#: Bytes of text for each bucket, and the least number of buckets.
+BUCKET_BYTES, LEAST_BUCKETS = 2048, 1 << 16
+#: Most ratios that a task holds at once (4 bytes each).
+SLICE = 1 << 23
+#: Most buckets that a task counts in an array; with more it sends on the counts of each chunk of text.
+DENSE = 1 << 20
 #: Trusted documents that the target is counted over, in expectation; more labels are thinned by a hash of the id.
 TRUSTED = 20_000
 #: Bits an n-gram, below which a document is rejected.
@@ -34,9 +47,15 @@ _NEWLINE = np.zeros(256, bool)
 _NEWLINE[0x0A] = True
 
 
-def _ngrams(words: np.ndarray, row_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def n_buckets(docs: DataFrame, text_col: str = "text") -> int:
+    """The number of buckets for a corpus, by its bytes."""
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(LEAST_BUCKETS, 1 << round(math.log2(max(1, total / BUCKET_BYTES))))
+
+
+def _ngrams(words: np.ndarray, row_of: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of the words, buckets of the word pairs, and each pair's row, from the words' hashes and rows."""
-    low = np.uint64(BUCKETS - 1)
+    low = np.uint64(buckets - 1)
     ones = (words & low).astype(np.int64)
     if len(words) < 2:
         return ones, np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -56,7 +75,22 @@ def _repeats(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def base_counts(texts: pa.Array, ratio: np.ndarray | None = None) -> dict[str, np.ndarray]:
+@dataclass(frozen=True)
+class Ratios:
+    """Ratios of some of `buckets` buckets, from bucket `first` on; others count for nothing."""
+
+    buckets: int
+    first: int
+    steps: np.ndarray
+
+    def __call__(self, at: np.ndarray) -> np.ndarray:
+        if len(self.steps) == self.buckets:
+            return self.steps.take(at).astype(np.int64)
+        inside = (at >= self.first) & (at < self.first + len(self.steps))
+        return np.where(inside, self.steps.take(at - self.first, mode="clip"), 0).astype(np.int64)
+
+
+def base_counts(texts: pa.Array, ratio: Ratios | None = None) -> dict[str, np.ndarray]:
     """The counts in FIELDS of every text, and with the buckets' ratios also the sum `llr` over `n_grams`."""
     raw_all, offsets_all = text_buffer(texts)
     parts: dict[str, list[np.ndarray]] = {}
@@ -70,7 +104,7 @@ def base_counts(texts: pa.Array, ratio: np.ndarray | None = None) -> dict[str, n
         def per_row(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
             return np.diff(np.concatenate(([0], np.cumsum(flags)))[at])  # noqa: B023
 
-        got = {"n_words": np.diff(before), "word_chars": per_row(_HEAD[raw], offsets), "n_symbols": per_row(_SYMBOL[raw], offsets)}
+        got = {"n_words": np.diff(before), "word_chars": per_row(byte_map(raw, _HEAD), offsets), "n_symbols": per_row(byte_map(raw, _SYMBOL), offsets)}
         words = span_hashes(raw, starts, ends)
         threes = shingle_hashes(words, 3)
         inside = row_of[2:] == row_of[:-2] if len(words) > 2 else np.zeros(0, bool)
@@ -91,9 +125,9 @@ def base_counts(texts: pa.Array, ratio: np.ndarray | None = None) -> dict[str, n
         again = order[1:][keys[order][1:] == keys[order][:-1]]
         got["n_dup_lines"] = np.bincount(l_row[again], minlength=n)
         if ratio is not None:
-            ones, pairs, pair_rows = _ngrams(words, row_of)
+            ones, pairs, pair_rows = _ngrams(words, row_of, ratio.buckets)
             pair_before = np.searchsorted(pair_rows, np.arange(n + 1))
-            got["llr"] = per_row(ratio[ones], before) + per_row(ratio[pairs], pair_before)
+            got["llr"] = per_row(ratio(ones), before) + per_row(ratio(pairs), pair_before)
             got["n_grams"] = got["n_words"] + np.diff(pair_before)
         for k, v in got.items():
             parts.setdefault(k, []).append(v.astype(np.int64))
@@ -108,75 +142,117 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
     return good.filter(F.pmod(F.xxhash64(F.lit(11), "trusted_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
-def ngram_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRUSTED) -> np.ndarray:
-    """log2(trusted / corpus) of each bucket in steps of 1/SCALE; every document of docs counts for the corpus.
+def ngram_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRUSTED, buckets: int | None = None) -> Iterator[Ratios]:
+    """log2(trusted / corpus) of each bucket in steps of 1/SCALE, SLICE buckets at a time; every document of docs counts for the corpus.
 
     PRIOR occurrences are added on both sides, the corpus's counts being scaled to the size of the trusted text. Without
     trusted documents all ratios are zero.
     """
+    n = buckets or n_buckets(docs, text_col)
     trusted = F.broadcast(trusted_ids(labels, most))  # about `most` ids
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(trusted, F.col("id") == F.col("trusted_id"), "left")
     rows = rows.select("text", F.col("trusted_id").isNotNull().alias("trusted"))
 
+    def batch(corpus: np.ndarray, good: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(corpus), pa.array(good)], ["bucket", "corpus", "trusted"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
-            raw_all, offsets_all = text_buffer(batch.column(0))
-            good = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        counts = np.zeros((2, n), np.int64) if n <= DENSE else None
+        for b in batches:
+            raw_all, offsets_all = text_buffer(b.column(0))
+            good = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi in chunks(offsets_all):
                 base = offsets_all[lo]
                 raw, offsets = raw_all[base : offsets_all[hi]], offsets_all[lo : hi + 1] - base
                 starts, ends, before = word_spans(raw, offsets)
                 row_of = np.repeat(np.arange(hi - lo), np.diff(before))
-                ones, twos, two_rows = _ngrams(span_hashes(raw, starts, ends), row_of)
-                counts[0] += np.bincount(ones, minlength=BUCKETS) + np.bincount(twos, minlength=BUCKETS)
+                ones, twos, two_rows = _ngrams(span_hashes(raw, starts, ends), row_of, n)
                 t = good[lo:hi]
+                if counts is None:
+                    at, back = np.unique(np.concatenate((ones, twos)), return_inverse=True)
+                    weights = np.concatenate((t[row_of], t[two_rows]))
+                    yield batch(np.bincount(back, minlength=len(at)), np.bincount(back, weights, len(at)).astype(np.int64), at)
+                    continue
+                counts[0] += np.bincount(ones, minlength=n) + np.bincount(twos, minlength=n)
                 if t.any():
-                    counts[1] += np.bincount(ones[t[row_of]], minlength=BUCKETS) + np.bincount(twos[t[two_rows]], minlength=BUCKETS)
-        k = np.flatnonzero(counts[0])
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(counts[0, k]), pa.array(counts[1, k])], ["bucket", "corpus", "trusted"])
-
-    summed = rows.mapInArrow(count, "bucket int, corpus long, trusted long").groupBy("bucket").agg(F.sum("corpus").alias("corpus"), F.sum("trusted").alias("trusted"))
-    got = summed.toArrow()  # BUCKETS rows at most
-    counts = np.zeros((2, BUCKETS))
-    at = got.column("bucket").to_numpy()
-    counts[0, at] = got.column("corpus").to_numpy()
-    counts[1, at] = got.column("trusted").to_numpy()
-    all_, good = counts.sum(axis=1)
-    if good == 0:
-        return np.zeros(BUCKETS, np.int64)
-    expected = counts[0] * (good / all_)  # what trusted text would have if it were like the corpus
-    return np.rint(np.log2((counts[1] + PRIOR) / (expected + PRIOR)) * SCALE).astype(np.int64)
-
-
-def judge(text: Column | str, ratio: np.ndarray, threshold: float = THRESHOLD) -> Column:
-    """struct of FIELDS, llr (bits an n-gram), base_failed and kept, for each text; a null text has no words."""
+                    counts[1] += np.bincount(ones[t[row_of]], minlength=n) + np.bincount(twos[t[two_rows]], minlength=n)
+        if counts is not None:
+            k = np.flatnonzero(counts[0])
+            yield batch(counts[0, k], counts[1, k], k)
+
+    summed = park(rows.mapInArrow(count, "bucket long, corpus long, trusted long").groupBy("bucket").agg(F.sum("corpus").alias("corpus"), F.sum("trusted").alias("trusted")))
+    all_, good = summed.agg(F.sum("corpus"), F.sum("trusted")).first()
+    for first in range(0, n, SLICE):
+        steps = np.zeros(min(n, SLICE), np.int32)
+        if good:
+            got = summed.filter(F.col("bucket").between(first, first + SLICE - 1)).toArrow()  # SLICE rows at most
+            expected = got.column("corpus").to_numpy() * (good / all_)  # what trusted text would have if it were like the corpus
+            steps[got.column("bucket").to_numpy() - first] = np.rint(np.log2((got.column("trusted").to_numpy() + PRIOR) / (expected + PRIOR)) * SCALE)
+            # Buckets without an occurrence have ratio 0, and no text asks for them.
+        yield Ratios(n, first, steps)
+
+
+def _sums(text: Column, shared: Broadcast) -> Column:
+    """What the ratios of a slice add to the sum of each text."""
+
+    @F.arrow_udf("long")
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array(base_counts(batch, shared.value)["llr"])
+
+    return of(text)
+
+
+def _judge(text: Column, shared: Broadcast, further: Column, threshold: float) -> Column:
+    """The verdict on each text, `further` being what other slices add to its sum."""
     counts = ",".join(f"{k}:long" for k in FIELDS)
 
     @F.arrow_udf(f"struct<{counts},llr:double,base_failed:boolean,kept:boolean>")
-    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
-            got = base_counts(batch, ratio)
+    def of(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch, more in texts:
+            got = base_counts(batch, shared.value)
+            llr = got["llr"] + more.to_numpy()
             failed = (got["n_words"] < 50) | (100 * got["n_repeat_words"] > 50 * got["n_words"])
             # Compared in whole steps: sum >= threshold * n.
-            good = got["llr"] >= int(round(threshold * SCALE)) * got["n_grams"]
-            llr = got["llr"] / np.maximum(got["n_grams"], 1) / SCALE
-            yield pa.StructArray.from_arrays([*(pa.array(got[k]) for k in FIELDS), pa.array(llr), pa.array(failed), pa.array(good & ~failed)], [*FIELDS, "llr", "base_failed", "kept"])
+            good = llr >= int(round(threshold * SCALE)) * got["n_grams"]
+            yield pa.StructArray.from_arrays([*(pa.array(got[k]) for k in FIELDS), pa.array(llr / np.maximum(got["n_grams"], 1) / SCALE), pa.array(failed), pa.array(good & ~failed)], [*FIELDS, "llr", "base_failed", "kept"])
 
-    return of(text)
+    return of(text, further)
+
+
+def with_verdict(docs: DataFrame, labels: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int | None = None) -> DataFrame:
+    """docs with a column `name`: a struct of FIELDS, llr (bits an n-gram), base_failed and kept.
+
+    A null or empty text has no words, and fails. Rows are judged one by one by their text, so repeated rows and ids make no
+    difference; a null id is never trusted. An empty table gives an empty one; without labels the base rules alone decide.
+    """
+    sc = docs.sparkSession.sparkContext
+    text = F.col(text_col).cast("string")
+    ratios = ngram_ratios(docs, labels, id_col, text_col, buckets=buckets)
+    first, found = sc.broadcast(next(ratios)), []
+    for ratio in ratios:
+        shared = sc.broadcast(ratio)
+        part = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text")).dropDuplicates(["text_hash"])
+        found.append(park(part.select("text_hash", _sums(F.col("text"), shared).alias("llr"))))
+        shared.destroy()
+    if not found:
+        return docs.withColumn(name, _judge(text, first, F.lit(0).cast("long"), threshold))
+    hash_, more = unused([*docs.columns, name], "text_hash", "more")
+    sums = reduce(DataFrame.unionByName, found).groupBy("text_hash").agg(F.sum("llr").alias(more)).withColumnRenamed("text_hash", hash_)
+    rows = docs.withColumn(hash_, F.xxhash64(text)).join(park(sums), hash_)
+    return rows.withColumn(name, _judge(text, first, F.col(more), threshold)).select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()), name)
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that pass the base rules and the ratio, with the columns of docs."""
-    ratio = ngram_ratio(docs, labels, id_col, text_col)
-    return docs.withColumn("quality_verdict", judge(F.col(text_col), ratio, threshold)).filter("quality_verdict.kept").select(docs.columns)
+    """The documents that pass the base rules and the ratio, with the columns of docs, whatever their names; see `with_verdict`."""
+    (name,) = unused(docs.columns, "quality_verdict")
+    return with_verdict(docs, labels, name, id_col, text_col, threshold).filter(F.col(name)["kept"]).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: counts and verdict of every document."""
-    docs = table(spark, sf_dir, "documents")
-    ratio = ngram_ratio(docs, table(spark, sf_dir, "labels"))
-    return docs.select("doc_id", judge(F.col("text"), ratio).alias("v")).select("doc_id", "v.*")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_verdict(docs, table(spark, sf_dir, "labels"), "v").select("doc_id", "v.*")
 
 
 QUERIES = {"op10_quality_llr": query}

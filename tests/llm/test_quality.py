@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter
 
 import pyarrow as pa
 import pytest
+from conftest import SF_DIR
 
 from strandlake.llm import quality as q
 
@@ -51,19 +53,55 @@ def test_ratio_and_verdicts(spark):
     labels = [(k, int(k % 4 > 0), 0) for k in range(100)] + [(None, 1, 0), (3, 1, 0)]
     frame = spark.createDataFrame(docs, "doc_id long, text string, kept int")
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    ratio = q.ngram_ratio(frame, known)
-    assert (ratio == q.ngram_ratio(frame.repartition(5), known)).all()
-    kept = {r.doc_id for r in q.drop_low_quality(frame, known).collect()}
-    assert kept == {k for k in range(200) if k % 4} | {902}
+    assert {r.doc_id for r in q.drop_low_quality(frame, known).collect()} == {k for k in range(200) if k % 4} | {902}
     assert q.drop_low_quality(frame, known).columns == frame.columns
-    v = {r.doc_id: r.v for r in frame.select("doc_id", q.judge("text", ratio).alias("v")).collect()}
+    v = {r.doc_id: r.v for r in q.with_verdict(frame.repartition(5), known, "v", buckets=1 << 24).collect()}
     assert v[900].n_words == 0 and v[900].base_failed and not v[900].kept
-    words = docs[1][1].split()
-    assert v[1].llr == pytest.approx(q.base_counts(pa.array([docs[1][1]]), ratio)["llr"][0] / (2 * len(words) - 1) / q.SCALE)
+    assert {d: (round(x.llr, 4), x.kept) for d, x in v.items()} == plain_verdicts(docs, labels)
+
+
+def plain_verdicts(docs, labels):
+    """Means of log2(trusted / corpus) over words and word pairs, by the n-grams themselves."""
+    trusted = {d for d, quality, toxic in labels if quality == 1 and toxic == 0 and d is not None}
+    grams = {d: [*(w := WORD.findall(t or "")), *zip(w, w[1:], strict=False)] for d, t, *_ in docs}
+    corpus, good = Counter(g for x in grams.values() for g in x), Counter(g for d, x in grams.items() if d in trusted for g in x)
+    share = sum(good.values()) / sum(corpus.values())
+    out = {}
+    for d, t, *_ in docs:
+        sums = [math.log2((good[g] + q.PRIOR) / (corpus[g] * share + q.PRIOR)) for g in grams[d]]
+        mean = sum(sums) / max(1, len(sums))
+        n_words, _, _, _, n_repeat = brute(t)
+        out[d] = (round(mean, 4), not (n_words < 50 or 100 * n_repeat > 50 * n_words) and mean >= q.THRESHOLD)
+    return out
+
+
+@pytest.mark.parametrize(("slice_", "dense"), [(1 << 14, 1 << 20), (1 << 16, 1), (1 << 15, 1)])
+def test_slices_give_the_same_verdicts(spark, monkeypatch, slice_, dense):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(None, None, "x"), (5, "", "y")], docs.schema))
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    want = sorted(map(str, q.with_verdict(docs, labels, "LANG").collect()))
+    monkeypatch.setattr(q, "SLICE", slice_)
+    monkeypatch.setattr(q, "DENSE", dense)
+    got = q.with_verdict(docs, labels, "LANG")
+    assert sorted(map(str, got.collect())) == want and got.columns == ["doc_id", "text", "LANG"]
+
+
+def test_buckets_grow_with_the_corpus(spark):
+    texts = [("w" * 1000,)] * 512
+    assert q.n_buckets(spark.createDataFrame(texts, "text string")) == q.LEAST_BUCKETS
+    monkey = spark.range(1000).selectExpr("repeat('w', 1000000) as text")
+    assert q.n_buckets(monkey) == 1 << 19
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "w " * 80 + "x y z", 1, 2, 3), (1, " ".join(f"a{k}" for k in range(90)), 4, 5, 6)], "doc_id long, text string, quality_verdict int, trusted_id int, kept int")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert [tuple(r) for r in q.drop_low_quality(docs, none).collect()] == [(1, docs.collect()[1].text, 4, 5, 6)]
 
 
 def test_nothing_trusted_and_empty(spark):
     frame = spark.createDataFrame([(1, "w " * 80 + "x y z")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert not q.ngram_ratio(frame, none).any()
+    assert all(not r.steps.any() for r in q.ngram_ratios(frame, none))
     assert q.drop_low_quality(frame.limit(0), none).count() == 0
