@@ -110,18 +110,50 @@ def gene_score_delta(v: Views) -> DataFrame:
     return rows.select("gene_id", F.round("b", 9).alias("base_score"), F.round("m", 9).alias("meta_score"), F.round(F.col("m") - F.col("b"), 9).alias("delta"))
 
 
-@query("""select gene_id, position, pred_type, true_position from (
-  select gene_id, t as position, 'FN' as pred_type, t as true_position from (select gene_id, position as t from pos1 where splice_type = 'donor' and position % 11 = 0) x where not exists (select 1 from pos1 p where p.gene_id = x.gene_id and p.score >= 0.5 and abs(p.position - t) <= 2))""", name="evaluate_missed_sites")
-def evaluate_missed(v: Views) -> DataFrame:
-    # True sites lie more than two windows apart here, so each one's fate does not depend on the others.
-    true = v.pos1.filter("splice_type = 'donor' and position % 11 = 0").select("gene_id", "position")
-    return evaluate.evaluate(v.pos1.select("gene_id", "position", "score"), true, "gene_id", "long", "score").filter("pred_type = 'FN'")
+def _evaluation(tag: str, kind: str, score: str, threshold: float, mode: str) -> str:
+    """Common tables: `tag` has the evaluation of one site type, matched by recursion over each gene's positives."""
+    gap = f"(select min(abs(n.position - c.position)) from {tag}_called c where c.gene_id = n.gene_id and c.pred_type <> 'FN')"
+    md5 = "md5('42|' || gene_id || '|' || position)"
+    order = {"random": f"{md5}, position", "proximity": f"gap, case when gap is null then {md5} end, position", "window": f"coalesce(gap > 50, false), {md5}, position"}[mode]
+    some = "where size <= quota or not coalesce(gap > 50, false)" if mode == "window" else ""
+    return f"""{tag}_true as (select gene_id, position as t, row_number() over (partition by gene_id order by position) as j from (select distinct gene_id, position from pos1 where splice_type = '{kind}')),
+{tag}_pos as (select gene_id, position, row_number() over (partition by gene_id order by position) as i, (select count(*) from {tag}_true t where t.gene_id = p.gene_id and t.t < p.position - 2) as lo, (select count(*) from {tag}_true t where t.gene_id = p.gene_id and t.t <= p.position + 2) as hi
+  from pos1 p where {score} >= {threshold} and gene_id in (select gene_id from {tag}_true)),
+{tag}_step as (select distinct gene_id, cast(0 as bigint) as i, cast(null as bigint) as position, cast(0 as bigint) as taken, false as hit from {tag}_true
+  union all select p.gene_id, p.i, p.position, greatest(s.taken, p.lo) + case when greatest(s.taken, p.lo) < p.hi then 1 else 0 end, greatest(s.taken, p.lo) < p.hi from {tag}_step s join {tag}_pos p on p.gene_id = s.gene_id and p.i = s.i + 1),
+{tag}_hits as (select s.gene_id, s.position, case when hit then 'TP' else 'FP' end as pred_type, t.t as true_position from {tag}_step s left join {tag}_true t on hit and t.gene_id = s.gene_id and t.j = s.taken where s.i > 0),
+{tag}_called as (select * from {tag}_hits union all select gene_id, t, 'FN', t from {tag}_true t where not exists (select 1 from {tag}_hits h where h.gene_id = t.gene_id and h.true_position = t.t)),
+{tag}_negative as (select gene_id, position, {gap} as gap, quota, count(*) over (partition by gene_id) as size from pos1 n join (select gene_id, floor(count(*) * 1.2) as quota from {tag}_called group by 1) using (gene_id)
+  where {score} < {threshold} and not exists (select 1 from {tag}_called c where c.gene_id = n.gene_id and abs(c.true_position - n.position) <= 2 and (c.pred_type = 'FN' or c.position > n.position))),
+{tag} as (select * from {tag}_called union all select gene_id, position, 'TN', null from (select *, row_number() over (partition by gene_id order by {order}) as r from {tag}_negative {some}) where r <= quota)"""
 
 
-@query(None)
+def _evaluated(v: Views, mode: str) -> DataFrame:
+    kinds = {"donor": "donor_score", "acceptor": "acceptor_score"}
+    true = v.pos1.filter("splice_type is not null").select("gene_id", "position", F.col("splice_type").alias("site_type"))
+    return evaluate.evaluate_sites(v.pos1, true, "gene_id", "long", kinds, threshold=0.4, tn_factor=1.2, tn_mode=mode)
+
+
+_ALL_TYPES = "select *, 'donor' as site_type from {0}_donor union all select *, 'acceptor' from {0}_acceptor"
+
+
+def _both(mode: str) -> dict[str, str]:
+    return {"sql": _ALL_TYPES.format(mode), "more": ",\n".join(_evaluation(f"{mode}_{kind}", kind, f"{kind}_score", 0.4, mode) for kind in ("donor", "acceptor"))}
+
+
+@query(**_both("random"))
 def evaluate_predictions(v: Views) -> DataFrame:
-    true = v.pos1.filter("splice_type = 'donor'").select("gene_id", "position")
-    return evaluate.evaluate(v.pos1.select("gene_id", "position", "donor_score"), true, "gene_id", "long", "donor_score", threshold=0.4, tn_factor=1.2)
+    return _evaluated(v, evaluate.RANDOM)
+
+
+@query(**_both("proximity"))
+def evaluate_near_negatives(v: Views) -> DataFrame:
+    return _evaluated(v, evaluate.PROXIMITY)
+
+
+@query(**_both("window"))
+def evaluate_window_negatives(v: Views) -> DataFrame:
+    return _evaluated(v, evaluate.WINDOW)
 
 
 _SHIFTS = """sh as (select k, 2.0 * count(*) filter (where h and s) / nullif(2 * count(*) filter (where h and s) + count(*) filter (where h <> s), 0) as f1 from (

@@ -172,4 +172,4 @@ positions as (
 
 def with_views(body: str, more: str = "") -> str:
     """SQL over the views; more holds further common tables."""
-    return f"with {SQL.strip()}{', ' + more if more else ''}\n{body}"
+    return f"with recursive {SQL.strip()}{', ' + more if more else ''}\n{body}"
