@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,11 +15,23 @@ def letters(seq: Column) -> Column:
     return F.filter(F.split(seq, ""), lambda c: c != "")
 
 
+def _by_phase(seq: Column, k: int) -> list[Column]:
+    """The k-mers that start at places 0, k, 2k, ...; at 1, k + 1, ...; and so on: a pass of a pattern for each phase."""
+    return [F.regexp_extract_all(F.substring(seq, o + 1, 2**31 - 1), F.lit(f"(?s).{{{k}}}"), F.lit(0)) for o in range(k)]
+
+
+def kmer_bag(seq: Column, k: int) -> Column:
+    """All k-mers, in no order; none for a null or shorter string."""
+    return F.coalesce(F.flatten(F.array(*_by_phase(seq, k))), F.array().cast("array<string>"))
+
+
 def kmers(seq: Column, k: int) -> Column:
     """All k-mers in order; none for a null or shorter string."""
-    n = F.length(seq) - k + 1
-    every = F.transform(F.array(letters(seq)), lambda cs: F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(cs, i, F.lit(k)), "")))[0]
-    return F.when(n >= 1, every).otherwise(F.array().cast("array<string>"))
+    if k == 1:
+        return kmer_bag(seq, 1)
+    phases = F.arrays_zip(*_by_phase(seq, k))
+    every = F.array_compact(F.flatten(F.transform(phases, lambda x: F.array(*(x[str(o)] for o in range(k))))))
+    return F.coalesce(every, F.array().cast("array<string>"))
 
 
 def valid_kmer(kmer: Column) -> Column:
@@ -51,6 +67,26 @@ def motif_starts(seq: Column, motif: str) -> Column:
     return F.filter(F.transform(kmers(seq, len(motif)), lambda x, i: F.when(x == motif, i)), lambda i: i.isNotNull())
 
 
+def pattern_matches(seq: Column | str, pattern: str) -> Column:
+    """(start, match) of a regular expression's matches from left to right, none overlapping an earlier one."""
+    found = re.compile(pattern)
+
+    @F.arrow_udf("array<struct<start:int,match:string>>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("match", pa.string())]))
+        for batch in batches:
+            yield pa.array([[{"start": m.start(), "match": m.group()} for m in found.finditer(x or "")] for x in batch.to_pylist()], kind)
+
+    return of(seq)
+
+
+def composition_entropy(seq: Column) -> Column:
+    """Shannon entropy in bits of all letters of a string, whatever its alphabet; 0 for an empty string."""
+    n = F.length(seq)
+    each = F.transform(F.array_distinct(letters(seq)), lambda c: F.regexp_count(seq, F.concat(F.lit("\\Q"), c, F.lit("\\E"))) / n)
+    return F.when(n > 0, F.aggregate(each, F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(0.0)
+
+
 def window_slice(seq: Column, position: Column, radius: int) -> Column:
     """seq[max(position - radius, 0) : min(position + radius, length)], by 0-based positions."""
     start = F.greatest(position - radius, F.lit(0))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .sequences import letters
+
 # Clinical significance by order of the test, and stars of review.
-SIGNIFICANCE = (("pathogenic", "pathogenic"), ("likely_pathogenic", "likely_pathogenic"), ("benign", "benign"), ("uncertain", "uncertain"))
+SIGNIFICANCE = (("likely_pathogenic", "likely_pathogenic"), ("pathogenic", "pathogenic"), ("benign", "benign"), ("uncertain", "uncertain"))
 REVIEW = (("practice guideline", 4), ("reviewed by expert panel", 3), ("multiple submitters", 2), ("single submitter", 1), ("no assertion", 0))
 
 
@@ -40,8 +42,10 @@ def site_hint(offset: Column) -> tuple[Column, Column]:
 
 
 def _common(a: Column, b: Column) -> Column:
-    """Length of the longest common prefix: the longest start of a that b starts with as well."""
-    return F.length(F.regexp_extract(F.concat(a, F.lit("\n"), b), r"^(.*).*\n\1", 1))
+    """Length of the longest common prefix: the letters before the first that differ."""
+    same = F.zip_with(letters(a), letters(b), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    first = F.array_position(same, False)
+    return F.when(first == 0, F.length(a)).otherwise(first - 1).cast("int")
 
 
 def trim_alleles(ref: Column, alt: Column) -> tuple[Column, Column]:
@@ -86,6 +90,18 @@ def first_contained(text: Column, choices: tuple[tuple[str, object], ...], defau
     return out.otherwise(F.lit(default))
 
 
+def review_stars(text: Column) -> Column:
+    """The most stars of the review states that the text names, in any case; 0 where it names none."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.greatest(F.lit(0), *(F.when(low.contains(state), F.lit(stars)).otherwise(F.lit(0)) for state, stars in REVIEW))
+
+
+def affects_splicing(consequences: Column, terms: tuple[str, ...]) -> Column:
+    """Whether any of the terms, comma- or ampersand-separated in any case, is named as a whole."""
+    named = F.transform(F.split(F.lower(F.coalesce(consequences, F.lit(""))), r"[,&|]"), F.trim)
+    return F.arrays_overlap(named, F.array(*(F.lit(t.lower()) for t in terms)))
+
+
 def gtf_attribute(attribute: Column, key: str) -> Column:
     """The value of key "value"; in a GTF attribute column; null where it is missing."""
     return _part(attribute, rf'(?:^|[;\s]){key} "([^"]*)"', 1)

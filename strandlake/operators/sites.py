@@ -25,11 +25,20 @@ def exon_sites(exons: DataFrame, transcript: str = "transcript_id") -> DataFrame
     return exons.select(transcript, "strand", "exon_rank", F.explode(F.array_compact(F.array(acceptor, donor))).alias("s")).select(transcript, "strand", "s.site_type", "s.position", "exon_rank")
 
 
-def all_junctions(sites: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every donor with every later acceptor of the same keys: (keys, donor_pos, acceptor_pos, intron_length)."""
+def all_junctions(sites: DataFrame, keys: Sequence[str], most_intron: int | None = None) -> DataFrame:
+    """Every donor with every later acceptor of the same keys: (keys, donor_pos, acceptor_pos, intron_length).
+
+    With most_intron only acceptors at most that far away: pairs then meet in bins of that length, not by the keys alone.
+    """
     donors = sites.filter("site_type = 'donor'").select(*keys, F.col("position").alias("donor_pos"))
     acceptors = sites.filter("site_type = 'acceptor'").select(*keys, F.col("position").alias("acceptor_pos"))
-    return donors.join(acceptors, list(keys)).filter("donor_pos < acceptor_pos").withColumn("intron_length", F.col("acceptor_pos") - F.col("donor_pos"))
+    if most_intron is not None:
+        bin_of = lambda c: F.floor(F.col(c) / most_intron)
+        donors = donors.withColumn("bin", F.explode(F.array(bin_of("donor_pos"), bin_of("donor_pos") + 1)))
+        pairs = donors.join(acceptors.withColumn("bin", bin_of("acceptor_pos")), [*keys, "bin"]).drop("bin").filter(F.col("acceptor_pos") - F.col("donor_pos") <= most_intron)
+    else:
+        pairs = donors.join(acceptors, list(keys))
+    return pairs.filter("donor_pos < acceptor_pos").withColumn("intron_length", F.col("acceptor_pos") - F.col("donor_pos"))
 
 
 def best_acceptors(sites: DataFrame, by: Sequence[str], k: int = 3, least: float = 0.0, top: int | None = None) -> DataFrame:
@@ -40,11 +49,15 @@ def best_acceptors(sites: DataFrame, by: Sequence[str], k: int = 3, least: float
     if top is not None:
         rank = F.row_number().over(Window.partitionBy(*by, "site_type").orderBy(F.col("score").desc(), "position"))
         sites = sites.withColumn("r", rank).filter(F.col("r") <= top).drop("r")
-    after = Window.partitionBy(*by).orderBy("position").rangeBetween(1, Window.unboundedFollowing)
-    later = F.collect_list(F.when(F.col("site_type") == "acceptor", F.struct("position", "score"))).over(after)
-    near = F.slice(F.array_sort(later), 1, k)
-    means = F.transform(near, lambda a: F.struct(((a["score"] + F.col("score")) / 2).alias("mean"), (-a["position"]).alias("minus")))
-    out = sites.withColumn("best", F.array_max(means)).filter((F.col("site_type") == "donor") & (F.col("best.mean") > least))
+    # An acceptor's number in its group tells which ones come after a donor: those numbered from `passed` on.
+    w = Window.partitionBy(*by).orderBy("position")
+    is_acceptor = (F.col("site_type") == "acceptor").cast("long")
+    numbered = sites.withColumn("passed", F.sum(is_acceptor).over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    acceptors = sites.filter("site_type = 'acceptor'").select(*by, (F.row_number().over(w) - 1).cast("long").alias("number"), F.col("position").alias("acceptor_pos"), F.col("score").alias("acceptor_score"))
+    donors = numbered.filter("site_type = 'donor'").select(*by, "position", "score", F.explode(F.sequence(F.col("passed"), F.col("passed") + k - 1)).alias("number"))
+    met = donors.join(acceptors, [*by, "number"])
+    best = F.max(F.struct(((F.col("score") + F.col("acceptor_score")) / 2).alias("mean"), (-F.col("acceptor_pos")).alias("minus"))).alias("best")
+    out = met.groupBy(*by, "position").agg(best).filter(F.col("best.mean") > least)
     return out.select(*by, F.col("position").alias("donor_pos"), (-F.col("best.minus")).alias("acceptor_pos"), F.col("best.mean").alias("mean_score"))
 
 
@@ -151,6 +164,15 @@ def clusters(sites: DataFrame, by: Sequence[str], reach: int) -> DataFrame:
     return s.groupBy(*by, "cluster").agg(F.count("*").alias("n"), F.min("position").alias("first_position"), F.max("position").alias("last_position"))
 
 
+def complex_patterns(sites: DataFrame, by: Sequence[str], reach: int, least: int = 3, activated: int = 2, suppressed: int = 2) -> DataFrame:
+    """The clusters with at least `least` sites, of which so many are activated and suppressed, each with these counts."""
+    w = Window.partitionBy(*by).orderBy("position")
+    fresh = F.coalesce((F.col("position") - F.lag("position").over(w) > reach).cast("long"), F.lit(1).cast("long"))
+    s = sites.withColumn("fresh", fresh).withColumn("cluster", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = s.groupBy(*by, "cluster").agg(F.count("*").alias("n"), F.count_if("is_activated").alias("n_activated"), F.count_if("is_suppressed").alias("n_suppressed"), F.min("position").alias("first_position"), F.max("position").alias("last_position"))
+    return out.filter((F.col("n") >= least) & (F.col("n_activated") >= activated) & (F.col("n_suppressed") >= suppressed))
+
+
 def score_batches(rows: DataFrame, model, columns: Sequence[str], schema: str) -> DataFrame:
     """rows through an opaque model: model(frame of columns) gives a frame of the schema, batch by batch."""
 

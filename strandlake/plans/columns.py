@@ -139,7 +139,7 @@ def chromosome_codes(v: Views) -> DataFrame:
 
 @query("""select kmer, cast(count(*) as bigint) as n from (select unnest(list_transform(range(1, length(sequence) - 1), lambda i: substr(sequence, i, 3))) as kmer from seqs where length(sequence) >= 3) group by kmer""")
 def kmer_counts(v: Views) -> DataFrame:
-    return v.seqs.select(F.explode(sequences.kmers(F.col("sequence"), 3)).alias("kmer")).filter(sequences.valid_kmer(F.col("kmer"))).groupBy("kmer").agg(F.count("*").alias("n"))
+    return v.seqs.select(F.explode(sequences.kmer_bag(F.col("sequence"), 3)).alias("kmer")).filter(sequences.valid_kmer(F.col("kmer"))).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
 @query("select id, round(case when length(sequence) > 0 then (length(sequence) - length(translate(sequence, 'GC', ''))) / length(sequence) else 0 end, 6) as gc, cast(length(sequence) as bigint) as length from seqs")
@@ -166,6 +166,23 @@ def motif_scan(v: Views) -> DataFrame:
     return rows.select("id", F.size("s").cast("long").alias("n_gt"), F.array_min("s").cast("long").alias("first_gt"), F.when(F.size("s") > 0, F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x)).alias("sum_gt"))
 
 
+@query("""select id, cast(len(hits) as bigint) as n_hits, cast(list_sum(hits) as bigint) as sum_starts from (select id, list_filter(range(0, length(sequence) - 2), lambda i: substr(sequence, i + 1, 3) in ('CAT', 'CGT')) as hits from seqs where length(sequence) >= 3)""")
+def pattern_scan(v: Views) -> DataFrame:
+    rows = v.seqs.filter("length(sequence) >= 3").select("id", sequences.pattern_matches("sequence", "C[AG]T").alias("m"))
+    return rows.select("id", F.size("m").cast("long").alias("n_hits"), F.when(F.size("m") > 0, F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + x["start"])).alias("sum_starts"))
+
+
+@query("""select id, md5(string_agg(kmer, ',' order by i)) as in_order from (select id, i, substr(sequence, i, 4) as kmer from (select id, sequence, unnest(range(1, length(sequence) - 2)) as i from seqs where length(sequence) >= 4)) group by id""")
+def ordered_kmers(v: Views) -> DataFrame:
+    return v.seqs.filter("length(sequence) >= 4").select("id", F.md5(F.array_join(sequences.kmers(F.col("sequence"), 4), ",")).alias("in_order"))
+
+
+@query("""select id, round(-sum(p * log2(p)), 6) as entropy from (select id, count(*) / sum(count(*)) over (partition by id) as p from (select doc_id as id, unnest(string_split(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), '')) as c from documents) where c <> '' group by id, c) group by id""")
+def letter_entropy(v: Views) -> DataFrame:
+    rows = v.table("documents").select(F.col("doc_id").alias("id"), F.regexp_replace("text", "[^a-zA-Z ]", "").alias("s")).filter("s != ''")
+    return rows.select("id", F.round(sequences.composition_entropy(F.col("s")), 6).alias("entropy"))
+
+
 @query("""select id, w as window_no, round((length(s) - length(translate(s, 'GC', ''))) / 50.0, 6) as gc from (
   select id, cast(unnest(range(0, length(sequence) // 50)) as bigint) as w, substr(sequence, unnest(range(0, length(sequence) // 50)) * 50 + 1, 50) as s from seqs where length(sequence) >= 50)""")
 def tumbling_kmers(v: Views) -> DataFrame:
@@ -226,6 +243,22 @@ def info_map(v: Views) -> DataFrame:
     return v.variants.select("order_id", "line_id", m["CLNSIG"].alias("clnsig"), m["AF"].cast("double").alias("af"))
 
 
+_REVIEW = "case l_linenumber when 1 then 'Reviewed by expert panel' when 2 then 'criteria provided, multiple submitters, no conflicts' when 3 then 'criteria provided, single submitter' when 4 then 'practice guideline; single submitter' when 5 then 'no assertion criteria' end"
+
+
+@query(f"select l_orderkey as order_id, cast(l_linenumber as bigint) as line_id, case l_linenumber when 1 then 3 when 2 then 2 when 3 then 1 when 4 then 4 else 0 end as stars from lineitem where case l_linenumber when 1 then 3 when 2 then 2 when 3 then 1 when 4 then 4 else 0 end >= 1")
+def review_confidence(v: Views) -> DataFrame:
+    rows = v.table("lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").cast("long").alias("line_id"), variants.review_stars(F.expr(_REVIEW)).alias("stars"))
+    return rows.filter("stars >= 1")
+
+
+@query("select order_id, line_id from (select l_orderkey as order_id, cast(l_linenumber as bigint) as line_id, case l_linenumber % 3 when 0 then 'Splice_Donor_Variant&intron_variant' when 1 then 'missense_variant' else 'not_splice_donor_variant' end as c from lineitem) where lower(c) like 'splice_donor_variant%'")
+def splice_consequences(v: Views) -> DataFrame:
+    c = F.expr("case l_linenumber % 3 when 0 then 'Splice_Donor_Variant&intron_variant' when 1 then 'missense_variant' else 'not_splice_donor_variant' end")
+    rows = v.table("lineitem").filter(variants.affects_splicing(c, ("splice_donor_variant", "splice_acceptor_variant")))
+    return rows.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").cast("long").alias("line_id"))
+
+
 @query("""select significance, cast(count(*) as bigint) as n from (select case when info like '%Pathogenic%' then 'pathogenic' when info like '%enign%' then 'benign' else 'uncertain' end as significance from variants) group by 1""")
 def significance(v: Views) -> DataFrame:
     return v.variants.groupBy(variants.first_contained(F.col("info"), variants.SIGNIFICANCE, "other").alias("significance")).agg(F.count("*").alias("n"))

@@ -219,6 +219,12 @@ def site_components(v: Views) -> DataFrame:
     return sites.clusters(v.sites.filter("is_activated"), ["gene_id"], 14)
 
 
+@query("""select gene_id, cluster, n, n_activated, n_suppressed, first_position, last_position from (select gene_id, cluster, cast(count(*) as bigint) as n, cast(count(*) filter (where is_activated) as bigint) as n_activated, cast(count(*) filter (where is_suppressed) as bigint) as n_suppressed, min(position) as first_position, max(position) as last_position from (
+  select *, cast(sum(fresh) over (partition by gene_id order by position) as bigint) as cluster from (select *, case when position - lag(position) over (partition by gene_id order by position) <= 7 then 0 else 1 end as fresh from sites where score >= 0.1)) group by 1, 2) where n >= 3 and n_activated >= 2 and n_suppressed >= 2""")
+def complex_patterns(v: Views) -> DataFrame:
+    return sites.complex_patterns(v.sites.filter("score >= 0.1"), ["gene_id"], 7)
+
+
 @query("""select cast(width_start as timestamp) as start, event_type, cast(count(*) as bigint) as n, round(sum(value), 4) as total from (select time_bucket(interval '1 day', ts) as width_start, event_type, value from events) group by all""")
 def tumbling_window(v: Views) -> DataFrame:
     rows = streams.tumbling(v.table("events"))

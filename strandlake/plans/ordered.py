@@ -87,17 +87,38 @@ def knn_junctions(v: Views) -> DataFrame:
     return rounded(sites.best_acceptors(s, ["gene_id"], 3), "mean_score")
 
 
-@query(None)
+_GREEDY = """gs as (select gene_id, position, splice_type, score from pos1 where splice_type is not null and score >= 0.3),
+gd as (select gene_id, position, row_number() over (partition by gene_id order by score desc, position) as i from gs where splice_type = 'donor'),
+gt as (select gene_id, cast(0 as bigint) as i, cast(null as bigint) as donor_pos, cast(null as bigint) as acceptor_pos, list(position) as free from gs where splice_type = 'acceptor' group by gene_id
+  union all select gene_id, i, p, a, list_filter(free, lambda x: a is null or x <> a) from (select gt.gene_id, d.i, d.position as p, list_min(list_filter(gt.free, lambda x: x > d.position)) as a, gt.free from gt join gd d on d.gene_id = gt.gene_id and d.i = gt.i + 1))"""
+
+
+@query("select gene_id, donor_pos, acceptor_pos from gt where acceptor_pos is not null", _GREEDY)
 def greedy_junctions(v: Views) -> DataFrame:
     s = v.pos1.filter("splice_type is not null").select("gene_id", "position", F.col("splice_type").alias("site_type"), "score")
     return sites.greedy_junctions(s, ["gene_id"], "gene_id long", 0.3)
 
 
-@query(None)
+_PEAKS = """pk as (select *, row_number() over (partition by gene_id order by score desc, n) as i from (
+  select gene_id, position, score, row_number() over w as n, lag(score) over w as before, lead(score) over w as after from pos1 window w as (partition by gene_id order by position)) where score >= 0.5 and before < score and after < score),
+pt as (select distinct gene_id, cast(0 as bigint) as i, cast(null as bigint) as n, cast([] as bigint[]) as kept from pk
+  union all select gene_id, i, case when ok then n end, case when ok then list_append(kept, n) else kept end from (select p.gene_id, p.i, p.n, pt.kept, len(list_filter(pt.kept, lambda x: abs(x - p.n) < 10)) = 0 as ok from pt join pk p on p.gene_id = pt.gene_id and p.i = pt.i + 1)),
+pr as (select gene_id, position, score, row_number() over (partition by gene_id order by position) as n from pos1),
+pl as (select k.gene_id, k.position, k.score, k.n,
+  coalesce((select max(o.n) from pr o where o.gene_id = k.gene_id and o.n < k.n and o.score > k.score), 0) as low_n, coalesce((select min(o.n) from pr o where o.gene_id = k.gene_id and o.n > k.n and o.score > k.score), 1000000000) as high_n from pk k join pt on pt.gene_id = k.gene_id and pt.n = k.n)"""
+
+
+@query("""select gene_id, position, score from pl where score - greatest(coalesce((select min(o.score) from pr o where o.gene_id = pl.gene_id and o.n > low_n and o.n < pl.n), score), coalesce((select min(o.score) from pr o where o.gene_id = pl.gene_id and o.n < high_n and o.n > pl.n), score)) >= 0.1""", _PEAKS)
 def score_peaks(v: Views) -> DataFrame:
     return sites.score_peaks(v.pos1.select("gene_id", "position", "score"), ["gene_id"], "gene_id long")
 
 
+@query("""select gene_id, a.position - d.position as intron_length, d.position as donor_pos, a.position as acceptor_pos from pos1 d join pos1 a using (gene_id) where d.splice_type = 'donor' and a.splice_type = 'acceptor' and a.position > d.position and a.position - d.position <= 300""")
+def short_junctions(v: Views) -> DataFrame:
+    s = v.pos1.filter("splice_type is not null").select("gene_id", "position", F.col("splice_type").alias("site_type"))
+    return sites.all_junctions(s, ["gene_id"], 300)
+
+
 @query("""select order_id, line_id, gene_id, transcript_id, position, pred_type from (select *, pred_type = 'TN' and greatest(donor_score, acceptor_score) < 0.3 and not near as easy from (
   select *, count(*) filter (where pred_type <> 'TN') over (partition by gene_id order by position range between 3 preceding and 3 following) > 0 as near from positions)) where not easy""", name="tn_downsample_kept")
 def tn_downsample(v: Views) -> DataFrame:
