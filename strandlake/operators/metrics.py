@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import chi2_tail, normal_tail, student_quantile, student_tail, tail
+from .ranks import least_from, running, with_mean_rank
+
 TYPES = ("TP", "FP", "FN", "TN")
 
 
@@ -142,14 +146,19 @@ def contingency(rows: DataFrame, a: str, b: str) -> DataFrame:
     return out.select("n", chi2.alias("chi2"), F.sqrt(F.try_divide(chi2, F.col("n") * (F.least("ka", "kb") - 1))).alias("cramers_v"), "mutual_information")
 
 
-def benjamini_hochberg(rows: DataFrame, p: str, ties: Sequence[str]) -> DataFrame:
-    """rows with q: the smallest p * n / rank from this rank on, at most 1; a null or invalid p counts as 1."""
+def benjamini_hochberg(rows: DataFrame, p: str) -> DataFrame:
+    """rows with q: the smallest p * n / rank from this rank on, at most 1; a null or invalid p counts as 1.
+
+    Equal p share the last one's rank, so that only the different p are put in order.
+    """
     clean = F.when((F.col(p) >= 0) & (F.col(p) <= 1), F.col(p)).otherwise(1.0)
     rows = rows.withColumn("p_clean", clean)
-    up, all_ = Window.orderBy("p_clean", *ties), Window.partitionBy(F.lit(1))
-    rows = rows.withColumn("p_scaled", F.col("p_clean") * F.count("*").over(all_) / F.row_number().over(up))
-    q = F.least(F.min("p_scaled").over(up.rowsBetween(0, Window.unboundedFollowing)), F.lit(1.0))
-    return rows.withColumn("q", q).drop("p_clean", "p_scaled")
+    counts = rows.groupBy("p_clean").agg(F.count("*").alias("p_n"))
+    total = counts.agg(F.sum("p_n").alias("p_total"))
+    ranked = running(counts, "p_clean", "p_n").join(F.broadcast(total))
+    ranked = ranked.withColumn("p_scaled", F.col("p_clean") * F.col("p_total") / (F.col("before") + F.col("p_n")))
+    q = least_from(ranked, "p_clean", "p_scaled", "q").select("p_clean", F.least("q", F.lit(1.0)).alias("q"))
+    return rows.join(q, "p_clean").drop("p_clean")
 
 
 def describe(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -171,11 +180,93 @@ def correlations(rows: DataFrame, target: str, features: Sequence[str], least: f
     return one.select(each.alias("x")).select("x.*").withColumn("leaky", F.abs("correlation") >= least)
 
 
+def rank_correlations(rows: DataFrame, target: str, features: Sequence[str], least: float = 0.95) -> DataFrame:
+    """(feature, correlation, leaky): Spearman correlation with the target after nulls became 0; equal values share a mean rank."""
+    filled = rows.select(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in (target, *features)))
+    for c in (target, *features):
+        filled = with_mean_rank(filled, c, f"rank_{c}").drop(c)
+    one = filled.agg(*(F.corr(f"rank_{f}", f"rank_{target}").alias(f) for f in features))
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("correlation")) for f in features)))
+    return one.select(each.alias("x")).select("x.*").withColumn("leaky", F.abs("correlation") >= least)
+
+
+def feature_tests(rows: DataFrame, label: Column, numeric: Sequence[str] = (), categorical: Sequence[str] = ()) -> DataFrame:
+    """(feature, test, statistic, df, p, importance): Welch's t or chi-squared of each feature, importance being -log10 p, at most 10."""
+    parts = []
+    if numeric:
+        parts.append(welch(rows, label, numeric).select("feature", F.lit("welch").alias("test"), F.col("t").alias("statistic"), "df", tail(student_tail, F.col("t"), F.col("df")).alias("p")))
+    for c in categorical:
+        one = contingency(rows.withColumn("label", label.cast("int")), c, "label")
+        df = rows.agg((F.countDistinct(c) - 1).cast("double").alias("df"))
+        parts.append(one.join(F.broadcast(df)).select(F.lit(c).alias("feature"), F.lit("chi2").alias("test"), F.col("chi2").alias("statistic"), "df", tail(chi2_tail, F.col("chi2"), F.col("df")).alias("p")))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("importance", -F.log10(F.greatest("p", F.lit(1e-10))))
+
+
+def signed_ranks(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """(n, w_plus, w_minus, z, p) of the signed-rank test of two metrics of the same groups, by the normal limit with ties.
+
+    Differences of zero, and rows that lack either metric, don't count.
+    """
+    d = rows.select((F.col(a) - F.col(b)).alias("d")).filter("d != 0").withColumn("size", F.abs("d"))
+    ranked = with_mean_rank(d, "size", "rank")
+    ties = d.groupBy("size").agg(F.count("*").alias("t")).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    one = ranked.agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0)).alias("w_minus"))
+    n = F.col("n")
+    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
+    out = one.join(F.broadcast(ties)).withColumn("z", F.try_divide(F.least("w_plus", "w_minus") - n * (n + 1) / 4, F.sqrt(var)))
+    return out.select("n", "w_plus", "w_minus", "z", tail(normal_tail, F.col("z")).alias("p"))
+
+
+def fold_summary(rows: DataFrame, columns: Sequence[str], confidence: float = 0.95) -> DataFrame:
+    """(metric, n, mean, std, ci_low, ci_high): population deviation over the folds, and Student's interval of the mean."""
+    one = rows.agg(*(x for c in columns for x in (F.count(c).alias(f"{c}|n"), F.avg(c).alias(f"{c}|mean"), F.stddev_pop(c).alias(f"{c}|std"))))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), *(F.col(f"`{c}|{k}`").alias(k) for k in ("n", "mean", "std"))) for c in columns)))
+    out = one.select(each.alias("x")).select("x.*")
+    critical = tail(lambda n, c: student_quantile((1 + c) / 2, n - 1) if n > 1 else math.nan, F.col("n"), F.lit(confidence))
+    half = critical * F.col("std") / F.sqrt("n")
+    return out.select("*", (F.col("mean") - half).alias("ci_low"), (F.col("mean") + half).alias("ci_high"))
+
+
+def error_rates(rows: DataFrame, label: Column, predicted: Column, classes: Sequence[object], eps: float = 1e-10) -> DataFrame:
+    """(class, fp_rate, fn_rate): of each class, false calls over the rows of others, and missed ones over its own."""
+    aggs = []
+    for k, c in enumerate(classes):
+        is_, called = label == F.lit(c), predicted == F.lit(c)
+        aggs += [F.count_if(~is_ & called).alias(f"fp{k}"), F.count_if(~is_).alias(f"neg{k}"), F.count_if(is_ & ~called).alias(f"fn{k}"), F.count_if(is_).alias(f"pos{k}")]
+    one = rows.agg(*aggs)
+    each = F.array(*(F.struct(F.lit(c).alias("class"), (F.col(f"fp{k}") / (F.col(f"neg{k}") + eps)).alias("fp_rate"), (F.col(f"fn{k}") / (F.col(f"pos{k}") + eps)).alias("fn_rate")) for k, c in enumerate(classes)))
+    return one.select(F.explode(each).alias("x")).select("x.*")
+
+
+#: Ways to choose groups: by errors of both types or one, by those that hard_groups finds, at random, or all of them.
+POLICIES = ("error_total", "error_fp", "error_fn", "hard", "random", "all")
+
+
+def choose_groups(rows: DataFrame, by: Sequence[str], policy: str, n: int = 1000, seed: int = 42) -> DataFrame:
+    """The rows of n groups chosen by a policy; those with most errors first, ties in order of their names."""
+    if policy not in POLICIES:
+        raise ValueError(f"no such policy: {policy}")
+    if policy == "all":
+        return rows
+    if policy == "hard":
+        chosen = hard_groups(confusion(rows, by), by, n=n)
+    elif policy == "random":
+        chosen = rows.select(*by).distinct().orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in by))), *by).limit(n)
+    else:
+        types = {"error_total": ("FP", "FN"), "error_fp": ("FP",), "error_fn": ("FN",)}[policy]
+        chosen = effective_errors(rows, by, types=types).orderBy(F.col("total").desc(), *by).limit(n)
+    return rows.join(chosen.select(*by), list(by), "left_semi")
+
+
 def paired(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """(n, mean_difference, t) of two metrics of the same groups; rows that lack either don't count."""
+    """(n, mean_difference, t, p) of two metrics of the same groups; rows that lack either don't count."""
     d = F.col(a) - F.col(b)
     one = rows.agg(F.count(d).alias("n"), F.avg(d).alias("mean_difference"), F.stddev_samp(d).alias("s"))
-    return one.select("n", "mean_difference", F.try_divide(F.col("mean_difference") * F.sqrt("n"), F.col("s")).alias("t"))
+    out = one.select("n", "mean_difference", F.try_divide(F.col("mean_difference") * F.sqrt("n"), F.col("s")).alias("t"))
+    return out.withColumn("p", tail(student_tail, F.col("t"), F.col("n") - 1))
 
 
 def tune(rows: DataFrame, masks: dict[str, Column], target: float) -> DataFrame:

@@ -61,6 +61,25 @@ def chromosome_split(chrom: Column, validation: Sequence[str] = ("5", "10"), tes
     return F.when(chrom.isin(*test), "test").when(chrom.isin(*validation), "val").otherwise("train")
 
 
+def leave_out_folds(rows: DataFrame, chrom: str, group: str, groups: Sequence[Sequence[str]], validation: float = 0.15, seed: int = 42) -> DataFrame:
+    """rows once for each fold with `fold` and `role`: a fold's chromosomes are its test rows, the others train or validate.
+
+    Validation takes whole groups (genes) by a hash, in the share of all rows that `validation` says, 0.4 of the others at
+    most. The folds are few and named; a row is repeated for each of them without a join.
+    """
+    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(chrom).cast("string")).agg(F.count("*")).collect()}  # one row a chromosome
+    total = sum(sizes.values())
+    folds = []
+    for names in groups:
+        test = sum(sizes.get(n, 0) for n in names) / max(1, total)
+        share = 0.0 if test >= 0.99 else min(validation / max(0.01, 1 - test), 0.4)
+        place = F.conv(F.substring(hash_order(seed, group), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+        role = F.when(F.col(chrom).cast("string").isin(*names), "test").when(place < share, "valid").otherwise("train")
+        if test > 0:
+            folds.append(F.struct(F.lit(",".join(names)).alias("fold"), role.alias("role")))
+    return rows.select("*", F.explode(F.array(*folds)).alias("x")).select(*rows.columns, "x.fold", "x.role")
+
+
 def pack_small(sizes: dict[str, int], least: int) -> list[list[str]]:
     """Groups of keys: those from `least` rows on stand alone, smaller ones are packed, in order of size, up to that many."""
     out, open_, n = [], [], 0

@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from ..functions import sequences
 from pyspark.sql import types as T
 
 # Groups of columns that a training table leaves out.
@@ -75,6 +77,43 @@ def label_code(col: str = "splice_type", codes: dict[str, int] | None = None) ->
     return out
 
 
+def positive_label(rows: DataFrame, positive: str = "FP", col: str = "pred_type", label: str = "label") -> DataFrame:
+    """rows with a label of 1 where col is the positive class, else 0, in place of col; unchanged if they have a label."""
+    if label in rows.columns:
+        return rows
+    return rows.withColumn(label, F.coalesce((F.col(col) == positive).cast("int"), F.lit(0))).drop(col)
+
+
+def fill_by(rows: DataFrame, values: dict[str, object]) -> DataFrame:
+    """Nulls of each named column as the value given for it; names that rows don't have are passed over."""
+    return rows.fillna({c: v for c, v in values.items() if c in rows.columns})
+
+
+def fill_by_kind(rows: DataFrame, number: float = 0.0, text: str = "unknown", flag: bool = False) -> DataFrame:
+    """Nulls as a sentinel of their column's kind: numbers, texts and flags."""
+    kinds = dict(rows.dtypes)
+    return rows.fillna({c: flag if k == "boolean" else text if k == "string" else number for c, k in kinds.items() if k in ("boolean", "string", "double", "float", "int", "bigint")})
+
+
+def kmer_features(rows: DataFrame, key: str, seq: str, sizes: Sequence[int], least: int = 1, valid: bool = True) -> DataFrame:
+    """(key, {k}mer_X for each k-mer, gc_content, sequence_length, sequence_complexity): counts, 0 where there are none.
+
+    Only k-mers that occur `least` times in all sequences together have a column; their names, at most 4^k for letters of
+    DNA, are gathered on the driver. Keys name one row each.
+    """
+    out, columns = rows, []
+    for k in sizes:
+        bag = sequences.kmer_bag(F.col(seq), k)
+        bag = F.filter(bag, sequences.valid_kmer) if valid else bag
+        counts = rows.select(F.explode(bag).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+        names = sorted(r.kmer for r in counts.select("kmer").collect())
+        each = rows.select(key, F.explode(bag).alias("kmer")).groupBy(key).pivot("kmer", names).agg(F.count(F.lit(1)))
+        out = out.join(each.select(F.col(key), *(F.col(f"`{n}`").alias(f"{k}mer_{n}") for n in names)), key, "left")
+        columns += [F.coalesce(f"{k}mer_{n}", F.lit(0)).cast("long").alias(f"{k}mer_{n}") for n in names]
+    gc, size, complexity = sequences.gc_content(F.col(seq)), F.length(seq).cast("long"), sequences.composition_entropy(F.col(seq))
+    return out.select(key, *columns, F.coalesce(gc, F.lit(0.0)).alias("gc_content"), F.coalesce(size, F.lit(0)).alias("sequence_length"), F.coalesce(complexity, F.lit(0.0)).alias("sequence_complexity"))
+
+
 def ordinal(rows: DataFrame, col: str, name: str) -> DataFrame:
     """rows with the place of col among its distinct values in order, from 0; a null has none."""
     codes = rows.select(col).filter(F.col(col).isNotNull()).distinct().withColumn(name, F.row_number().over(Window.orderBy(col)) - 1)

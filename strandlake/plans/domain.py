@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, metrics, registry, sites, windows
+from ..operators import evaluate, metrics, registry, sampling, sites, tables, windows
 from ..streaming import events as streams
 from .registry import longs, query, r6, rounded
 from .views import Views
@@ -83,7 +83,7 @@ def contingency(v: Views) -> DataFrame:
 def bh_fdr(v: Views) -> DataFrame:
     p = v.positions.groupBy("gene_id").agg(F.round(F.avg("donor_score"), 12).alias("p"))
     # Nine places: means of a few dozen scores often end in a 5 at the seventh.
-    out = metrics.benjamini_hochberg(p, "p", ["gene_id"])
+    out = metrics.benjamini_hochberg(p, "p")
     return out.select("gene_id", F.round("p", 9).alias("p"), F.round("q", 9).alias("q"))
 
 
@@ -219,6 +219,79 @@ def site_components(v: Views) -> DataFrame:
     return sites.clusters(v.sites.filter("is_activated"), ["gene_id"], 14)
 
 
+_RANKS = """rk as (select d - 0.0 as d, a, n, rank() over (order by d) + (count(*) over (partition by d) - 1) / 2.0 as rd, rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 as ra, rank() over (order by n) + (count(*) over (partition by n) - 1) / 2.0 as rn from (select round(donor_score, 6) as d, round(acceptor_score, 6) as a, round(neither_score, 6) as n from positions))"""
+
+
+@query("select 'd' as feature, round(corr(rd, rn), 6) as correlation, abs(corr(rd, rn)) >= 0.95 as leaky from rk union all select 'a', round(corr(ra, rn), 6), abs(corr(ra, rn)) >= 0.95 from rk", _RANKS)
+def leakage_rank_correlation(v: Views) -> DataFrame:
+    rows = v.positions.select(F.round("donor_score", 6).alias("d"), F.round("acceptor_score", 6).alias("a"), F.round("neither_score", 6).alias("n"))
+    return rounded(metrics.rank_correlations(rows, "n", ["d", "a"]), "correlation")
+
+
+_SIGNED = """sg as (select gene_id, round(avg(donor_score) - avg(score), 6) as d from positions group by 1), sr as (select d, rank() over (order by abs(d)) + (count(*) over (partition by abs(d)) - 1) / 2.0 as r from sg where d <> 0),
+ss as (select cast(count(*) as bigint) as n, coalesce(sum(r) filter (where d > 0), 0) as w_plus, coalesce(sum(r) filter (where d < 0), 0) as w_minus, (select sum(t * t * t - t) from (select count(*)::double as t from sg where d <> 0 group by abs(d))) as ties from sr)"""
+
+
+@query("select n, round(w_plus, 3) as w_plus, round(w_minus, 3) as w_minus, round((least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(n * (n + 1.0) * (2 * n + 1) / 24 - ties / 48), 6) as z from ss", _SIGNED)
+def signed_rank_test(v: Views) -> DataFrame:
+    per = v.positions.groupBy("gene_id").agg(F.round(F.avg("donor_score") - F.avg("score"), 6).alias("d")).withColumn("zero", F.lit(0.0))
+    out = metrics.signed_ranks(per, "d", "zero")
+    return out.select("n", F.round(F.col("w_plus").cast("double"), 3).alias("w_plus"), F.round(F.col("w_minus").cast("double"), 3).alias("w_minus"), F.round("z", 6).alias("z"))
+
+
+@query("""select class, round(cast(fp as double) / (neg + 1e-10), 6) as fp_rate, round(cast(fn as double) / (pos + 1e-10), 6) as fn_rate from (
+  select c as class, count(*) filter (where l <> c and p = c) as fp, count(*) filter (where l <> c) as neg, count(*) filter (where l = c and p <> c) as fn, count(*) filter (where l = c) as pos
+  from (select case splice_type when 'donor' then 1 when 'acceptor' then 2 else 0 end as l, case when donor_score >= 0.25 then 1 when acceptor_score >= 0.25 then 2 else 0 end as p from positions), (values (0), (1), (2)) k(c) group by c)""")
+def class_error_rates(v: Views) -> DataFrame:
+    label = F.when(F.col("splice_type") == "donor", 1).when(F.col("splice_type") == "acceptor", 2).otherwise(0)
+    called = F.when(F.col("donor_score") >= 0.25, 1).when(F.col("acceptor_score") >= 0.25, 2).otherwise(0)
+    return rounded(metrics.error_rates(v.positions, label, called, [0, 1, 2]), "fp_rate", "fn_rate")
+
+
+@query("""select metric, n, round(mean, 6) as mean, round(std, 6) as std from (select 'precision' as metric, cast(count(*) as bigint) as n, avg(precision) as mean, stddev_pop(precision) as std from ev union all select 'recall', count(*), avg(recall), stddev_pop(recall) from ev)""",
+  f"ev as (select strand, {_RATES} from (select strand, {_COUNTS} from positions group by strand))")
+def fold_intervals(v: Views) -> DataFrame:
+    per = rounded(metrics.confusion(v.positions, ["strand"]), "precision", "recall")
+    return rounded(metrics.fold_summary(per, ["precision", "recall"]).select("metric", "n", "mean", "std"), "mean", "std")
+
+
+_CHOSEN = "select order_id, line_id from positions where gene_id in (select gene_id from (select gene_id, count(distinct position) as e from positions where pred_type in ({types}) group by 1) order by e desc, gene_id limit 20)"
+
+
+@query(_CHOSEN.format(types="'FP', 'FN'"))
+def genes_by_errors(v: Views) -> DataFrame:
+    return metrics.choose_groups(v.positions, ["gene_id"], "error_total", 20).select("order_id", "line_id")
+
+
+@query(_CHOSEN.format(types="'FP'"))
+def genes_by_false_positives(v: Views) -> DataFrame:
+    return metrics.choose_groups(v.positions, ["gene_id"], "error_fp", 20).select("order_id", "line_id")
+
+
+@query("select order_id, line_id from positions where gene_id in (select gene_id from (select distinct gene_id from positions) order by md5('42|' || gene_id), gene_id limit 20)")
+def genes_at_random(v: Views) -> DataFrame:
+    return metrics.choose_groups(v.positions, ["gene_id"], "random", 20).select("order_id", "line_id")
+
+
+_PLACE = "('0x' || substr(md5('42|' || gene_id), 1, 8))::uint64 / 4294967296.0"
+
+
+@query(f"""select fold, role, cast(count(*) as bigint) as n from (select f as fold, case when list_contains(string_split(f, ','), strand) then 'test' when {_PLACE} < least(0.15 / greatest(0.01, 1 - (select count(*) filter (where list_contains(string_split(f, ','), p.strand)) / count(*) from positions p)), 0.4) then 'valid' else 'train' end as role
+  from positions, (values ('+'), ('-')) k(f)) group by 1, 2""")
+def leave_out_folds(v: Views) -> DataFrame:
+    return sampling.leave_out_folds(v.positions.select("gene_id", "strand"), "strand", "gene_id", [["+"], ["-"]]).groupBy("fold", "role").agg(F.count("*").alias("n"))
+
+
+@query("select order_id, line_id, case when pred_type = 'FP' then 1 else 0 end as label from positions")
+def positive_class(v: Views) -> DataFrame:
+    return tables.positive_label(v.positions.select("order_id", "line_id", "pred_type"))
+
+
+@query("""select id, cast(coalesce(sum(1) filter (where k = 'AC'), 0) as bigint) as "2mer_AC", cast(coalesce(sum(1) filter (where k = 'GT'), 0) as bigint) as "2mer_GT", round(max(gc), 6) as gc_content from (select id, unnest(list_concat(['-'], list_transform(range(1, length(sequence)), lambda i: substr(sequence, i, 2)))) as k, case when length(sequence) > 0 then (length(sequence) - length(translate(sequence, 'GC', ''))) / length(sequence) else 0 end as gc from seqs) group by id""")
+def kmer_features(v: Views) -> DataFrame:
+    return rounded(tables.kmer_features(v.seqs, "id", "sequence", [2], least=5).select("id", "2mer_AC", "2mer_GT", "gc_content"), "gc_content")
+
+
 @query("""select gene_id, cluster, n, n_activated, n_suppressed, first_position, last_position from (select gene_id, cluster, cast(count(*) as bigint) as n, cast(count(*) filter (where is_activated) as bigint) as n_activated, cast(count(*) filter (where is_suppressed) as bigint) as n_suppressed, min(position) as first_position, max(position) as last_position from (
   select *, cast(sum(fresh) over (partition by gene_id order by position) as bigint) as cluster from (select *, case when position - lag(position) over (partition by gene_id order by position) <= 7 then 0 else 1 end as fresh from sites where score >= 0.1)) group by 1, 2) where n >= 3 and n_activated >= 2 and n_suppressed >= 2""")
 def complex_patterns(v: Views) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +22,13 @@ def session(master: str | None = None, **more: str) -> SparkSession:
     for k, v in (settings | more).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where all tasks run on this machine."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if (spark.sparkContext.master or "").split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='strandlake-')}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"

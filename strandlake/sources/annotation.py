@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.coords import chrom_name
@@ -94,14 +94,28 @@ def on_chromosomes(rows: DataFrame, names: Sequence[str], col: str = "chrom") ->
     return rows.join(F.broadcast(wanted), chrom_name(F.col(col)) == F.col("name"), "left_semi")
 
 
-def read_fasta(spark: SparkSession, path: str, chunk: int = 60) -> DataFrame:
-    """(chrom, line, piece): the sequence lines of a FASTA file in order, each with the name of its record.
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, line, piece): the sequence lines of a FASTA file in order, from 0, each with the name of its record.
 
-    One record is one Spark row of text, cut at lines; `chunk` is the number of letters of a full line, as index files have it.
+    The file is read by lines, in blocks as Spark cuts it. A line belongs to the last header before it, in its own block or
+    in an earlier one; what goes over from block to block is a table with one row a block. Empty lines don't count.
     """
-    records = spark.read.option("lineSep", ">").text(path).filter("value != ''")
-    lines = F.split("value", "\n")
-    return records.select(F.regexp_extract(lines[0], r"^(\S+)", 1).alias("chrom"), F.posexplode(F.filter(F.slice(lines, 2, F.size(lines)), lambda x: F.trim(x) != "")).alias("line", "piece")).select("chrom", F.col("line").cast("long"), F.trim("piece").alias("piece"))
+    lines = spark.read.text(path).select(F.trim(F.rtrim("value")).alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).withColumn("at", F.monotonically_increasing_id())
+    lines = lines.filter("text != ''").withColumn("name", F.when(F.col("text").startswith(">"), F.regexp_extract("text", r"^>\s*(\S*)", 1)))
+    w = Window.partitionBy("file", "block").orderBy("at")
+    marked = lines.withColumns({"own": F.last("name", ignorenulls=True).over(w), "headers": F.count("name").over(w)})
+    marked = marked.withColumn("inside", F.sum(F.col("name").isNull().cast("long")).over(Window.partitionBy("file", "block", "headers").orderBy("at")) - 1)
+    # The largest mark of a block is its end: the last header, and the lines since.
+    end = F.max_by(F.struct("own", F.when(F.col("name").isNull(), F.col("inside") + 1).otherwise(0).alias("tail")), "at")
+    tails = marked.groupBy("file", "block").agg(end.alias("end")).select("file", "block", F.col("end.own").alias("last_name"), F.col("end.tail").alias("tail"))
+    by_block = Window.partitionBy("file").orderBy("block")
+    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    tails = tails.withColumns({"carried": F.last("last_name", ignorenulls=True).over(earlier), "run": F.count("last_name").over(by_block)})
+    so_far = F.sum("tail").over(Window.partitionBy("file", "run").orderBy("block"))
+    tails = tails.withColumn("so_far", so_far).withColumn("skipped", F.coalesce(F.lag("so_far").over(by_block), F.lit(0))).select("file", "block", "carried", "skipped")
+    rows = marked.filter("name is null").join(F.broadcast(tails), ["file", "block"])
+    own = F.col("headers") > 0
+    return rows.select(F.when(own, F.col("own")).otherwise(F.col("carried")).alias("chrom"), F.when(own, F.col("inside")).otherwise(F.col("inside") + F.col("skipped")).alias("line"), F.col("text").alias("piece"))
 
 
 def slices(pieces: DataFrame, spans: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
@@ -137,37 +151,48 @@ def _line(*parts: Column | str) -> Column:
     return F.concat_ws("\t", *(F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts))
 
 
-def write_bed(rows: DataFrame, path: str, track: str, name: str = "gene_id") -> None:
+def write_bed(rows: DataFrame, path: str, track: str, name: str = "gene_id", single: bool = False) -> None:
     """A BED file with colours of error types: FP red, FN blue, others black; sorted by place, the track line first."""
     colour = F.when(F.col("pred_type") == "FP", "255,0,0").when(F.col("pred_type") == "FN", "0,0,255").otherwise("0,0,0")
     lines = rows.select("chrom", (F.col("position") - 1).alias("start"), F.col("position").alias("end"), _line("chrom", F.col("position") - 1, "position", name, F.lit(0), "strand", colour).alias("value"))
-    _write_sorted(lines, path, f'track name="{track}" itemRgb="On"')
+    write_track(lines, path, f'track name="{track}" itemRgb="On"', single)
 
 
-def write_bedgraph(rows: DataFrame, path: str, track: str, score: str = "score", pred_type: str | None = None) -> None:
+def write_calls(rows: DataFrame, path: str, track: str, score: str, threshold: float = 0.5, name: str = "gene_id", single: bool = False) -> None:
+    """A BED file of the positions whose score is at least the threshold, the score in thousandths as its fifth column."""
+    called = rows.filter(F.col(score) >= threshold)
+    lines = called.select("chrom", (F.col("position") - 1).alias("start"), F.col("position").alias("end"), _line("chrom", F.col("position") - 1, "position", name, F.round(F.col(score) * 1000).cast("int"), "strand").alias("value"))
+    write_track(lines, path, f'track name="{track}" useScore=1', single)
+
+
+def write_bedgraph(rows: DataFrame, path: str, track: str, score: str = "score", pred_type: str | None = None, single: bool = False) -> None:
     """A bedGraph of scores at single positions."""
     if pred_type is not None:
         rows = rows.filter(F.col("pred_type") == pred_type)
     lines = rows.select("chrom", (F.col("position") - 1).alias("start"), F.col("position").alias("end"), _line("chrom", F.col("position") - 1, "position", score).alias("value"))
-    _write_sorted(lines, path, f'track type=bedGraph name="{track}"')
+    write_track(lines, path, f'track type=bedGraph name="{track}"', single)
 
 
-def write_wig(rows: DataFrame, path: str, score: str, base: float = 10.0, eps: float = 1e-10) -> None:
+def write_wig(rows: DataFrame, path: str, score: str, base: float = 10.0, eps: float = 1e-10, single: bool = False) -> None:
     """fixedStep blocks of the logarithm of a score; a block ends where the positions of a chromosome have a gap."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("chrom").orderBy("position")
     rows = rows.withColumn("fresh", F.coalesce((F.col("position") - F.lag("position").over(w) != 1).cast("int"), F.lit(1)))
     value = F.format_string("%.6f", F.log(base, F.col(score) + eps))
     head = F.concat(F.lit("fixedStep chrom="), F.col("chrom"), F.lit(" start="), F.col("position").cast("string"), F.lit(" step=1\n"))
-    _write_sorted(rows.select("chrom", F.col("position").alias("start"), F.col("position").alias("end"), F.concat(F.when(F.col("fresh") == 1, head).otherwise(""), value).alias("value")), path, "track type=wiggle_0")
+    write_track(rows.select("chrom", F.col("position").alias("start"), F.col("position").alias("end"), F.concat(F.when(F.col("fresh") == 1, head).otherwise(""), value).alias("value")), path, "track type=wiggle_0", single)
 
 
-def _write_sorted(lines: DataFrame, path: str, header: str) -> None:
-    """Text files that, in order of their names, are one file: the header, then lines by place."""
-    spark = lines.sparkSession
-    spark.createDataFrame([(header,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
-    lines.orderBy("chrom", "start", "end", "value").select("value").write.mode("overwrite").text(f"{path}/body")
+def write_track(lines: DataFrame, path: str, header: str, single: bool = False) -> None:
+    """(chrom, start, end, value) as text: the header, then the lines by place.
+
+    The folder's parts, one after the other in order of their names, are the file. A browser wants one file: with `single`
+    there is one part, which one task sorts and writes, so that is for tracks that people look at.
+    """
+    first = lines.sparkSession.createDataFrame([(header,)], "value string").select(F.lit(0).alias("rank"), F.lit("").alias("chrom"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), "value")
+    every = first.unionByName(lines.select(F.lit(1).alias("rank"), F.col("chrom").cast("string"), F.col("start").cast("long"), F.col("end").cast("long"), "value"))
+    order = ["rank", "chrom", "start", "end", "value"]
+    every = every.repartition(1).sortWithinPartitions(*order) if single else every.orderBy(*order)
+    every.select("value").write.mode("overwrite").text(path)
 
 
 def write_by_chromosome(rows: DataFrame, path: str, col: str = "chrom") -> None:
@@ -177,16 +202,26 @@ def write_by_chromosome(rows: DataFrame, path: str, col: str = "chrom") -> None:
 def append_batches(rows: DataFrame, path: str, batch: str = "gene_batch") -> DataFrame:
     """Writes the batches that path does not have yet, in folders by batch, and returns those rows: a job that stopped goes on."""
     spark = rows.sparkSession
-    try:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"{batch}=*"))
+    if found:  # a folder for each batch that was written
         there = spark.read.parquet(path).select(batch).distinct()
         rows = rows.join(there, batch, "left_anti")
-    except Exception as error:  # nothing written yet
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
     rows.write.mode("append").option("compression", "zstd").partitionBy(batch).parquet(path)
     return rows
 
 
+def write_manifest(rows: DataFrame, path: str) -> None:
+    """feature_manifest as lines of JSON below path."""
+    spark = rows.sparkSession
+    spark.createDataFrame([tuple(x.values()) for x in feature_manifest(rows)], "name string, dtype string, type string").coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(name, dtype, type) of a table's columns, as write_manifest has them."""
+    return spark.read.schema("name string, dtype string, type string").json(path)
+
+
 def feature_manifest(rows: DataFrame) -> list[dict[str, str]]:
     """Names and types of the columns, for a JSON file beside a table."""
     return [{"name": c, "dtype": k, "type": "numeric" if k in ("double", "float", "int", "bigint") else "categorical"} for c, k in rows.dtypes]

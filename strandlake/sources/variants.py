@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.variants import first_contained, hgvs, info_map, intronic_site, record_class
+from ..functions.variants import SIGNIFICANCE, first_contained, hgvs, info_map, intronic_site, record_class
+from .annotation import write_track
 
 # Sequence ontology terms of splicing, with mechanism and confidence, and looser words.
 SPLICE_TERMS = (
@@ -21,11 +22,15 @@ SPLICE_TERMS = (
 SPLICE_WORDS = ("splice", "splicing", "cryptic", "exon skipping", "intron retention")
 
 
-def read_vcf(spark: SparkSession, path: str, info: Sequence[str] = (), first_alt_only: bool = True) -> DataFrame:
-    """Records with INFO keys as columns INFO_*, the class of the alleles, and what they do to splicing."""
+def read_vcf(spark: SparkSession, path: str, info: Sequence[str] = (), first_alt_only: bool = False) -> DataFrame:
+    """Records with INFO keys as columns INFO_*, the class of the alleles, and what they do to splicing.
+
+    A record of several alternative alleles is a row for each, or with first_alt_only a row for the first one.
+    """
     lines = spark.read.text(path).filter(~F.col("value").startswith("#"))
     f = F.split("value", "\t")
-    alt = F.split(f[4], ",")[0] if first_alt_only else f[4]
+    alts = F.split(f[4], ",")
+    alt = alts[0] if first_alt_only else F.explode(alts)
     rows = lines.filter(F.size(f) >= 5).select(f[0].alias("chrom"), f[1].try_cast("long").alias("pos"), f[2].alias("id"), f[3].alias("ref"), alt.alias("alt"), F.get(f, 5).alias("qual"), F.get(f, 6).alias("filter"), F.get(f, 7).alias("info"))
     keys = info_map(F.coalesce("info", F.lit("")))
     rows = rows.withColumns({f"INFO_{k}": F.try_element_at(keys, F.lit(k)) for k in info})
@@ -49,7 +54,7 @@ def read_mutations(spark: SparkSession, path: str, hgvs_col: str, significance_c
     rows = spark.read.option("header", True).option("sep", "\t").csv(path)
     parts = hgvs(F.col(hgvs_col))
     rows = rows.withColumns({f"hgvs_{k}": v for k, v in parts.items()})
-    return rows.withColumns({"site_type": intronic_site(F.col("hgvs_intronic")), "parsed": F.col("hgvs_base").isNotNull(), "significance": first_contained(F.col(significance_col), (("pathogenic", "pathogenic"), ("benign", "benign"), ("uncertain", "uncertain")), "unknown")})
+    return rows.withColumns({"site_type": intronic_site(F.col("hgvs_intronic")), "parsed": F.col("hgvs_base").isNotNull(), "significance": first_contained(F.col(significance_col), SIGNIFICANCE, "unknown")})
 
 
 def split_location(col: Column) -> dict[str, Column]:
@@ -65,9 +70,8 @@ def delta_annotation(col: Column) -> dict[str, Column]:
     return {n: F.get(p, k) if k < 2 else F.get(p, k).try_cast("double" if n.startswith("DS") else "int") for k, n in enumerate(names)}
 
 
-def write_vcf(rows: DataFrame, path: str) -> None:
-    """(chrom, pos, id, ref, alt, qual, filter, info) as text, sorted; the header lies in a folder beside the body."""
-    spark = rows.sparkSession
-    spark.createDataFrame([("##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO",)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
+def write_vcf(rows: DataFrame, path: str, single: bool = False) -> None:
+    """(chrom, pos, id, ref, alt, qual, filter, info) as text, the header first, then by place; see `write_track`."""
     cols = [F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info")]
-    rows.orderBy("chrom", "pos", "ref", "alt").select(F.concat_ws("\t", *cols).alias("value")).write.mode("overwrite").text(f"{path}/body")
+    lines = rows.select("chrom", F.col("pos").alias("start"), F.col("pos").alias("end"), F.concat_ws("\t", *cols).alias("value"))
+    write_track(lines, path, "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO", single)

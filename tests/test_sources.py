@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -24,6 +25,11 @@ def put(path, text):
     return str(path)
 
 
+def whole(path):
+    """The lines of a folder's parts in order of their names."""
+    return [line for name in sorted(os.listdir(path)) if name.startswith("part-") for line in open(f"{path}/{name}").read().splitlines()]
+
+
 def test_gtf(spark, tmp_path):
     gtf = an.read_gtf(spark, put(tmp_path / "a.gtf", GTF_TEXT)).cache()
     assert gtf.count() == 5
@@ -46,6 +52,42 @@ def test_fasta_slices(spark, tmp_path):
     assert got == {"x": "ACG", "y": "GTTTTTGGGGCC", "z": "AAAC", "w": "AC"}
 
 
+def test_fasta_in_blocks(spark, tmp_path):
+    """Records that end anywhere, cut by Spark into blocks of a few lines."""
+    import random
+
+    rng = random.Random(4)
+    records = {f"r{k}": ["".join(rng.choice("ACGT") for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(0, 12))] for k in range(40)}
+    text = "".join(f">{n} some > text\n" + "".join(f"{x}\n" + "\n" * (rng.random() < 0.2) for x in lines) for n, lines in records.items())
+    path = put(tmp_path / "many.fa", text)
+    sizes = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for size in ("64b", "700b", "1m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        rows = an.read_fasta(spark, path).collect()
+        got: dict[str, list] = {}
+        for r in sorted(rows, key=lambda r: (r.chrom, r.line)):
+            got.setdefault(r.chrom, []).append((r.line, r.piece))
+        assert got == {n: list(enumerate(x)) for n, x in records.items() if x}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+
+
+def test_single_tracks(spark, tmp_path):
+    rows = spark.createDataFrame([(str(c), p, "+", "FP", "g", 0.5 + p / 100) for c in (1, 2, 3) for p in range(9, 1, -1)], "chrom string, position long, strand string, pred_type string, gene_id string, score double").repartition(4)
+    an.write_bed(rows, f"{tmp_path}/b", "t", single=True)
+    assert sum(x.startswith("part-") for x in os.listdir(f"{tmp_path}/b")) == 1
+    lines = whole(f"{tmp_path}/b")
+    assert lines[0] == 'track name="t" itemRgb="On"' and len(lines) == 25
+    assert [(x.split("\t")[0], int(x.split("\t")[1])) for x in lines[1:]] == [(str(c), p - 1) for c in (1, 2, 3) for p in range(2, 10)]
+    an.write_bed(rows, f"{tmp_path}/m", "t")
+    assert whole(f"{tmp_path}/m") == lines
+    an.write_calls(rows, f"{tmp_path}/c", "t", "score", 0.55)
+    assert len(whole(f"{tmp_path}/c")) == 1 + 3 * 5 and whole(f"{tmp_path}/c")[1].split("\t")[4] == "550"
+    an.write_manifest(rows, f"{tmp_path}/j")
+    assert [tuple(r) for r in an.read_manifest(spark, f"{tmp_path}/j").collect()][:2] == [("chrom", "string", "categorical"), ("position", "bigint", "numeric")]
+
+
 def test_delimited(spark, tmp_path):
     rows = an.read_delimited(spark, put(tmp_path / "a.txt", "chrom;start;score\n1;5;0.5\nX;NA;1\n")).collect()
     assert [(r.chrom, r.start, r.score) for r in rows] == [("1", 5, 0.5), ("X", None, 1.0)]
@@ -53,20 +95,20 @@ def test_delimited(spark, tmp_path):
 
 def test_vcf(spark, tmp_path):
     text = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n1\t10\trs1\tA\tG,T\t50\tPASS\tAF=0.1;MC=splice_donor_variant\n2\t7\t.\tAC\tA\t.\t.\tCLNSIG=Benign\nbad line\n"
-    rows = va.read_vcf(spark, put(tmp_path / "v.vcf", text), ["AF", "CLNSIG"]).orderBy("chrom").collect()
-    assert [(r.chrom, r.pos, r.alt, r.INFO_AF, r.INFO_CLNSIG, r.variant_type, r.affects_splicing, r.splice_mechanism) for r in rows] == [("1", 10, "G", "0.1", None, "SNV", True, "donor_loss"), ("2", 7, "A", None, "Benign", "deletion", False, "none")]
+    rows = va.read_vcf(spark, put(tmp_path / "v.vcf", text), ["AF", "CLNSIG"]).orderBy("chrom", "alt").collect()
+    assert [(r.chrom, r.pos, r.alt, r.INFO_AF, r.INFO_CLNSIG, r.variant_type, r.affects_splicing, r.splice_mechanism) for r in rows] == [("1", 10, "G", "0.1", None, "SNV", True, "donor_loss"), ("1", 10, "T", "0.1", None, "SNV", True, "donor_loss"), ("2", 7, "A", None, "Benign", "deletion", False, "none")]
     va.write_vcf(spark.createDataFrame([("1", 3, "a", "A", "C", None, "PASS", "X=1")], "chrom string, pos long, id string, ref string, alt string, qual double, filter string, info string"), f"{tmp_path}/out")
-    assert [r.value for r in spark.read.text(f"{tmp_path}/out/body").collect()] == ["1\t3\ta\tA\tC\t.\tPASS\tX=1"]
+    assert [r.value for r in spark.read.text(f"{tmp_path}/out").collect()][2:] == ["1\t3\ta\tA\tC\t.\tPASS\tX=1"]
 
 
 def test_browser_tracks(spark, tmp_path):
     rows = spark.createDataFrame([("2", 5, "+", "FP", "g", 0.5), ("1", 9, "-", "FN", "h", 0.25), ("1", 10, "-", "TP", "h", 1.0)], "chrom string, position long, strand string, pred_type string, gene_id string, score double")
     an.write_bed(rows, f"{tmp_path}/bed", "t")
-    assert [r.value for r in spark.read.text(f"{tmp_path}/bed/body").collect()] == ["1\t8\t9\th\t0\t-\t0,0,255", "1\t9\t10\th\t0\t-\t0,0,0", "2\t4\t5\tg\t0\t+\t255,0,0"]
+    assert whole(f"{tmp_path}/bed")[1:] == ["1\t8\t9\th\t0\t-\t0,0,255", "1\t9\t10\th\t0\t-\t0,0,0", "2\t4\t5\tg\t0\t+\t255,0,0"]
     an.write_bedgraph(rows, f"{tmp_path}/bg", "t", pred_type="FP")
-    assert [r.value for r in spark.read.text(f"{tmp_path}/bg/body").collect()] == ["2\t4\t5\t0.5"]
+    assert whole(f"{tmp_path}/bg")[1:] == ["2\t4\t5\t0.5"]
     an.write_wig(rows, f"{tmp_path}/wig", "score")
-    assert [r.value for r in spark.read.text(f"{tmp_path}/wig/body").collect()] == ["fixedStep chrom=1 start=9 step=1", "-0.602060", "0.000000", "fixedStep chrom=2 start=5 step=1", "-0.301030"]
+    assert whole(f"{tmp_path}/wig")[1:] == ["fixedStep chrom=1 start=9 step=1", "-0.602060", "0.000000", "fixedStep chrom=2 start=5 step=1", "-0.301030"]
 
 
 def test_batches_go_on_where_they_stopped(spark, tmp_path):
