@@ -287,7 +287,8 @@ def positive_class(v: Views) -> DataFrame:
     return tables.positive_label(v.positions.select("order_id", "line_id", "pred_type"))
 
 
-@query("""select id, cast(coalesce(sum(1) filter (where k = 'AC'), 0) as bigint) as "2mer_AC", cast(coalesce(sum(1) filter (where k = 'GT'), 0) as bigint) as "2mer_GT", round(max(gc), 6) as gc_content from (select id, unnest(list_concat(['-'], list_transform(range(1, length(sequence)), lambda i: substr(sequence, i, 2)))) as k, case when length(sequence) > 0 then (length(sequence) - length(translate(sequence, 'GC', ''))) / length(sequence) else 0 end as gc from seqs) group by id""")
+@query("""select id, cast((length(sequence) - length(replace(sequence, 'AC', ''))) // 2 as bigint) as "2mer_AC", cast((length(sequence) - length(replace(sequence, 'GT', ''))) // 2 as bigint) as "2mer_GT",
+  round(case when length(sequence) > 0 then (length(sequence) - length(translate(sequence, 'GC', ''))) / length(sequence) else 0 end, 6) as gc_content from seqs""")
 def kmer_features(v: Views) -> DataFrame:
     return rounded(tables.kmer_features(v.seqs, "id", "sequence", [2], least=5).select("id", "2mer_AC", "2mer_GT", "gc_content"), "gc_content")
 
