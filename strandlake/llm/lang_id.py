@@ -130,7 +130,8 @@ def predict(text: Column | str, model: Model, spark: SparkSession) -> Column:
     """struct(lang_pred, score): the language of the shortest code (the first by name of equal ones) and its share.
 
     The share is 2^-bits of the language over the sum of all languages', for the mean text of 1,000 bytes at most. A null
-    text, one without a letter, and any text where nothing was learned is `und` with score 0.
+    text, one without a letter, and any text where nothing was learned is `und` with score 0. Rows are judged one by one by
+    their text alone, so repeated rows, null ids and other columns make no difference; an empty table gives an empty one.
     """
     shared = spark.sparkContext.broadcast(model)
 
