@@ -11,43 +11,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def matched(candidates: DataFrame, key: str, key_type: str, window: int) -> DataFrame:
-    """(key, position, pred_type, true_position): TP, FP and FN of the positives and true positions of each key.
+#: Kinds of rows that `matched` reads.
+SITE, POSITIVE, NEGATIVE = range(3)
+
+
+def matched(rows: DataFrame, key: str, key_type: str, window: int) -> DataFrame:
+    """(key, position, pred_type, true_position) of (key, position, kind): true sites, positives and negatives of each key.
 
     Positives are taken in ascending order; each one takes the lowest free true position within the window (TP), or is a
-    false one (FP). True positions that are left are missed (FN). As positives ascend, a true position that lies a window
-    before one is never wanted again. So the rows, a true position coming up as soon as a positive may take it, are read
-    once in their order; what is kept of a key are the true positions of the last two windows.
+    false one (FP). A negative is true (TN) unless a true position within the window is free as it is passed; then it is
+    nothing. True positions that are left are missed (FN). As positives ascend, a true position that lies a window before
+    one is never wanted again. So the rows, a true position coming up as soon as one may take it, are read once in their
+    order; what is kept of a key are the true positions of the last two windows.
     """
-    when = F.when(F.col("is_true"), F.col("position") - window).otherwise(F.col("position"))
-    rows = candidates.select(key, "position", "is_true", when.alias("when"))
-    rows = rows.repartition(F.col(key)).sortWithinPartitions(key, "when", F.desc("is_true"), "position").select(key, "position", "is_true")
+    when = F.when(F.col("kind") == SITE, F.col("position") - window).otherwise(F.col("position"))
+    rows = rows.select(key, "position", "kind", when.alias("when"))
+    rows = rows.repartition(F.col(key)).sortWithinPartitions(key, "when", "kind", "position").select(key, "position", "kind")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free: deque[int] = deque()
         current: object = free  # no key's value
         for batch in batches:
             out: list[tuple] = []
-            for k, p, true in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, p, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != current:
                     out += [(current, t, "FN", t) for t in free]
                     free.clear()
                     current = k
-                if true:
+                if kind == SITE:
                     free.append(p)
                     continue
                 while free and free[0] < p - window:
                     t = free.popleft()
                     out.append((k, t, "FN", t))
-                out.append((k, p, "TP", free.popleft()) if free else (k, p, "FP", None))
-            kind = batch.schema.field(0).type
-            yield table(out, kind)
+                if kind == POSITIVE:
+                    out.append((k, p, "TP", free.popleft()) if free else (k, p, "FP", None))
+                elif not free:
+                    out.append((k, p, "TN", None))
+            of = batch.schema.field(0).type
+            yield table(out, of)
         if free:
-            yield table([(current, t, "FN", t) for t in free], kind)
+            yield table([(current, t, "FN", t) for t in free], of)
 
-    def table(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    def table(out: list[tuple], of: pa.DataType) -> pa.RecordBatch:
         columns = list(zip(*out, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.int64(), pa.string(), pa.int64()), strict=True)], [key, "position", "pred_type", "true_position"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (of, pa.int64(), pa.string(), pa.int64()), strict=True)], [key, "position", "pred_type", "true_position"])
 
     return rows.mapInArrow(scan, f"{key} {key_type}, position long, pred_type string, true_position long")
 
@@ -56,53 +64,39 @@ def matched(candidates: DataFrame, key: str, key_type: str, window: int) -> Data
 RANDOM, PROXIMITY, WINDOW = "random", "proximity", "window"
 
 
-def _nearest_call(tn: DataFrame, called: DataFrame, key: str) -> DataFrame:
-    """tn with gap: the distance to the nearest TP or FP of the key, null where it has none."""
-    calls = called.filter("pred_type in ('TP', 'FP')").select(key, "position", F.lit(True).alias("is_call"))
-    every = tn.select(key, "position", F.lit(False).alias("is_call")).unionByName(calls)
-    w = Window.partitionBy(key).orderBy("position")
-    at = F.when(F.col("is_call"), F.col("position"))
-    below, above = F.max(at).over(w), F.min(at).over(w.rangeBetween(0, Window.unboundedFollowing))
-    gap = F.least(F.col("position") - below, above - F.col("position"))
-    return every.withColumn("gap", gap).filter("not is_call").drop("is_call")
-
-
 def evaluate(scores: DataFrame, sites: DataFrame, key: str, key_type: str, score: str, threshold: float = 0.5, window: int = 2, tn_factor: float | None = None, seed: int = 42, tn_mode: str = RANDOM, tn_radius: int = 50) -> DataFrame:
     """All prediction types of (key, position, score) against sites (key, position); groups without a site have none.
 
     A negative within the window of a site that no prediction has taken is neither TN nor anything else. With tn_factor,
     a group has at most that many times its other rows as TN: by a hash of their position (RANDOM), those nearest to a
     positive (PROXIMITY), or by hash among those within tn_radius of one (WINDOW). Groups without a positive go by hash.
+    Rows without a score don't count. The scores are read once.
     """
     if tn_mode not in (RANDOM, PROXIMITY, WINDOW):
         raise ValueError(f"no such mode: {tn_mode}")
     known = sites.select(key, "position").distinct()
-    scores = scores.join(known.select(key).distinct(), key, "left_semi")
-    positive = scores.filter(F.col(score) >= threshold).select(key, "position", F.lit(False).alias("is_true"))
-    true = known.select(key, "position", F.lit(True).alias("is_true"))
-    called = matched(positive.unionByName(true), key, key_type, window)
-    # A negative p is no TN if a site within the window was still free when p was passed: never taken, or taken later.
-    taken = called.filter("true_position is not null").select(F.col(key).alias("k"), "true_position", F.when(F.col("pred_type") == "TP", F.col("position")).alias("taken_at"))
-    near = taken.select("k", "taken_at", F.explode(F.sequence(F.col("true_position") - window, F.col("true_position") + window)).alias("p"))
-    negative = scores.filter(F.col(score) < threshold).select(key, "position")
-    tn = negative.join(near, (F.col(key) == F.col("k")) & (F.col("position") == F.col("p")) & (F.col("taken_at").isNull() | (F.col("taken_at") > F.col("position"))), "left_anti")
-    if tn_factor is not None:
-        others = called.groupBy(key).agg(F.floor(F.count("*") * tn_factor).alias("quota"))
-        order = [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), F.col("position").cast("string"))), F.col("position")]
-        tn = tn.join(others, key)
-        if tn_mode != RANDOM:
-            tn = tn.select(key, "position", "quota")
-            tn = _nearest_call(tn, called, key).join(others, key)
-        if tn_mode == PROXIMITY:
-            order = [F.col("gap"), *(F.when(F.col("gap").isNull(), x) for x in order), F.col("position")]
-        if tn_mode == WINDOW:
-            # Where all fit, all stay; else those outside come last, and don't come at all.
-            outside = F.col("gap") > tn_radius
-            order = [F.coalesce(outside, F.lit(False)), *order]
-            tn = tn.withColumn("fits", F.count("*").over(Window.partitionBy(key)) <= F.col("quota")).filter(F.col("fits") | ~F.coalesce(outside, F.lit(False)))
-        tn = tn.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("r <= quota")
-    tn = tn.select(key, "position", F.lit("TN").alias("pred_type"), F.lit(None).cast("long").alias("true_position"))
-    return called.unionByName(tn)
+    scored = scores.filter(F.col(score).isNotNull()).join(known.select(key).distinct(), key, "left_semi")
+    rows = scored.select(key, "position", F.when(F.col(score) >= threshold, POSITIVE).otherwise(NEGATIVE).alias("kind")).unionByName(known.select(key, "position", F.lit(SITE).alias("kind")))
+    called = matched(rows, key, key_type, window)
+    if tn_factor is None:
+        return called
+    of_key, along = Window.partitionBy(key), Window.partitionBy(key).orderBy("position")
+    is_tn = F.col("pred_type") == "TN"
+    wanted = F.floor(F.sum((~is_tn).cast("long")).over(of_key) * tn_factor)
+    marked = called.withColumns({"is_tn": is_tn, "wanted": wanted, "n_tn": F.sum(is_tn.cast("long")).over(of_key)})
+    order = [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), F.col("position").cast("string"))), F.col("position")]
+    if tn_mode != RANDOM:
+        at = F.when(F.col("pred_type").isin("TP", "FP"), F.col("position"))
+        below, above = F.max(at).over(along.rangeBetween(Window.unboundedPreceding, 0)), F.min(at).over(along.rangeBetween(0, Window.unboundedFollowing))
+        marked = marked.withColumn("gap", F.least(F.col("position") - below, above - F.col("position")))
+    if tn_mode == PROXIMITY:
+        order = [F.col("gap"), *(F.when(F.col("gap").isNull(), x) for x in order), F.col("position")]
+    if tn_mode == WINDOW:  # where all fit, all stay; else none of those outside
+        outside = F.coalesce(F.col("gap") > tn_radius, F.lit(False))
+        marked = marked.filter(~F.col("is_tn") | (F.col("n_tn") <= F.col("wanted")) | ~outside)
+    rank = F.row_number().over(Window.partitionBy(key, "is_tn").orderBy(*order))
+    kept = marked.withColumn("place", rank).filter(~F.col("is_tn") | (F.col("place") <= F.col("wanted")))
+    return kept.select(key, "position", "pred_type", "true_position")
 
 
 def evaluate_sites(scores: DataFrame, sites: DataFrame, key: str, key_type: str, columns: dict[str, str], **options: object) -> DataFrame:

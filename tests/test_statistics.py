@@ -114,14 +114,18 @@ def test_matching(spark, window):
     rng = random.Random(window)
     rows, want = [], set()
     for key in range(12):
-        true, positive = sorted(rng.sample(range(60), rng.randint(0, 20))), sorted(rng.sample(range(60), rng.randint(0, 25)))
-        rows += [(key, p, True) for p in true] + [(key, p, False) for p in positive]
+        true, called = sorted(rng.sample(range(60), rng.randint(0, 20))), sorted(rng.sample(range(60), rng.randint(0, 40)))
+        positive = {p for p in called if rng.random() < 0.6}
+        rows += [(key, p, evaluate.SITE) for p in true] + [(key, p, evaluate.POSITIVE if p in positive else evaluate.NEGATIVE) for p in called]
         free = list(true)
-        for p in positive:
+        for p in called:
             t = next((t for t in free if abs(p - t) <= window), None)
+            if p not in positive:
+                want |= {(key, p, "TN", None)} if t is None else set()
+                continue
             want.add((key, p, "FP", None) if t is None else (key, p, "TP", t))
             if t is not None:
                 free.remove(t)
         want |= {(key, t, "FN", t) for t in free}
-    got = evaluate.matched(spark.createDataFrame(rows, "key long, position long, is_true boolean").repartition(3), "key", "long", window)
+    got = evaluate.matched(spark.createDataFrame(rows, "key long, position long, kind int").repartition(3), "key", "long", window)
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
