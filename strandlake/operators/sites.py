@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runs import for_each_group
+
 
 def exon_sites(exons: DataFrame, transcript: str = "transcript_id") -> DataFrame:
     """Sites of transcripts with two exons or more: (transcript, strand, site_type, position, exon_rank).
@@ -61,56 +64,54 @@ def best_acceptors(sites: DataFrame, by: Sequence[str], k: int = 3, least: float
     return out.select(*by, F.col("position").alias("donor_pos"), (-F.col("best.minus")).alias("acceptor_pos"), F.col("best.mean").alias("mean_score"))
 
 
-def greedy_junctions(sites: DataFrame, by: Sequence[str], spec: str, least: float = 0.0) -> DataFrame:
+def _pair_up(rows: list[tuple[str, int, float]]) -> list[tuple[int, int]]:
+    """(donor, acceptor) of (site_type, position, score): donors by falling score take the nearest later free acceptor."""
+    donors = sorted((-score, at) for kind, at, score in rows if kind == "donor")
+    free = sorted(at for kind, at, _ in rows if kind == "acceptor")
+    out = []
+    for _, p in donors:
+        k = bisect_right(free, p)
+        if k < len(free):
+            out.append((p, free.pop(k)))
+    return out
+
+
+def greedy_junctions(sites: DataFrame, by: Sequence[str], least: float = 0.0) -> DataFrame:
     """Donors by falling probability take the nearest later acceptor that is still free.
 
     The choice depends on all earlier ones of a gene, so a gene's sites above `least`, which are few, go to one function.
-    spec is the schema of `by`.
     """
+    return for_each_group(sites.filter(F.col("score") >= least), by, ["site_type", "position", "score"], ["position"], "donor_pos long, acceptor_pos long", _pair_up)
 
-    def pair(rows: pd.DataFrame) -> pd.DataFrame:
-        donors = rows[rows.site_type == "donor"].sort_values(["score", "position"], ascending=[False, True])
-        free = sorted(rows.loc[rows.site_type == "acceptor", "position"])
-        out = []
-        for p in donors.position:
-            k = int(np.searchsorted(free, p, side="right"))
-            if k < len(free):
-                out.append((p, free.pop(k)))
-        found = pd.DataFrame(out, columns=["donor_pos", "acceptor_pos"]).astype("int64")
-        for n, c in enumerate(by):
-            found.insert(n, c, rows[c].iloc[0])
-        return found
-
-    return sites.filter(F.col("score") >= least).groupBy(*by).applyInPandas(pair, f"{spec}, donor_pos long, acceptor_pos long")
 
-
-def score_peaks(rows: DataFrame, by: Sequence[str], spec: str, score: str = "score", threshold: float = 0.5, distance: int = 10, prominence: float = 0.1) -> DataFrame:
+def score_peaks(rows: DataFrame, by: Sequence[str], score: str = "score", threshold: float = 0.5, distance: int = 10, prominence: float = 0.1) -> DataFrame:
     """Local maxima from a threshold up, thinned to a distance (higher ones first), with a least prominence.
 
-    A sequential choice along one gene's track; spec is the schema of `by`.
+    A sequential choice along one gene's track.
     """
 
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        x, at = pdf[score].to_numpy(), pdf["position"].to_numpy()
-        peak = [i for i in range(1, len(x) - 1) if x[i] >= threshold and x[i - 1] < x[i] > x[i + 1]]
+    def find(track: list[tuple[int, float]]) -> list[tuple[int, float]]:
+        at, x = [r[0] for r in track], np.array([r[1] for r in track])
+        if len(x) < 3:
+            return []
+        peak = 1 + np.flatnonzero((x[1:-1] >= threshold) & (x[:-2] < x[1:-1]) & (x[2:] < x[1:-1]))
         kept: list[int] = []
-        for i in sorted(peak, key=lambda i: (-x[i], i)):
-            if all(abs(i - j) >= distance for j in kept):
-                kept.append(i)
+        for i in sorted(peak.tolist(), key=lambda i: (-x[i], i)):
+            k = bisect_right(kept, i)
+            if all(abs(i - j) >= distance for j in kept[max(0, k - 1) : k + 1]):
+                kept.insert(k, i)
         out = []
-        for i in sorted(kept):
+        for i in kept:
             left, right = x[:i][::-1], x[i + 1 :]
-            higher = (np.flatnonzero(left > x[i]), np.flatnonzero(right > x[i]))
-            lows = [side[: h[0]].min() if len(h) and h[0] else side.min() if not len(h) else x[i] for side, h in zip((left, right), higher, strict=True)]
+            lows = []
+            for side in (left, right):
+                higher = np.flatnonzero(side > x[i])
+                lows.append(side[: higher[0]].min() if len(higher) and higher[0] else x[i] if len(higher) else side.min())
             if x[i] - max(lows) >= prominence:
-                out.append((at[i], x[i]))
-        found = pd.DataFrame(out, columns=["position", "score"]).astype({"position": "int64", "score": "float64"})
-        for n, c in enumerate(by):
-            found.insert(n, c, pdf[c].iloc[0])
-        return found
+                out.append((at[i], float(x[i])))
+        return out
 
-    return rows.groupBy(*by).applyInPandas(find, f"{spec}, position long, score double")
+    return for_each_group(rows, by, ["position", score], ["position"], "position long, score double", find)
 
 
 def delta_sites(rows: DataFrame, threshold: float = 0.2, high: float = 0.8, middle: float = 0.5) -> DataFrame:
@@ -183,36 +184,27 @@ def score_batches(rows: DataFrame, model, columns: Sequence[str], schema: str) -
     return rows.select(*columns).mapInPandas(run, schema)
 
 
-def junctions_to_number(sites: DataFrame, by: Sequence[str], spec: str, target: str, first: float = 0.7, step: float = 0.02, rounds: int = 50) -> DataFrame:
+def junctions_to_number(sites: DataFrame, by: Sequence[str], target: str, first: float = 0.7, step: float = 0.02, rounds: int = 50) -> DataFrame:
     """greedy_junctions at the threshold, moved by steps from `first`, that gives each group the number in column `target`.
 
     The search is a loop over one gene's sites, so a gene goes to one function.
     """
 
-    def at(rows: pd.DataFrame, threshold: float) -> list[tuple[int, int]]:
-        kept = rows[rows.score >= threshold]
-        free, out = sorted(kept.loc[kept.site_type == "acceptor", "position"]), []
-        for p in kept[kept.site_type == "donor"].sort_values(["score", "position"], ascending=[False, True]).position:
-            k = int(np.searchsorted(free, p, side="right"))
-            if k < len(free):
-                out.append((p, free.pop(k)))
-        return out
+    def search(rows: list[tuple]) -> list[tuple[int, int]]:
+        wanted, threshold = int(rows[0][3]), first
+
+        def at(least: float) -> list[tuple[int, int]]:
+            return _pair_up([r[:3] for r in rows if r[2] >= least])
 
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        wanted, threshold = int(rows[target].iloc[0]), first
-        best = at(rows, threshold)
+        best = at(threshold)
         for _ in range(rounds):
             if len(best) == wanted or not 0 <= threshold <= 1:
                 break
             threshold += step if len(best) > wanted else -step
-            trial = at(rows, threshold)
-            if abs(len(trial) - wanted) <= abs(len(best) - wanted):
-                best = trial
-            else:
+            trial = at(threshold)
+            if abs(len(trial) - wanted) > abs(len(best) - wanted):
                 break
-        found = pd.DataFrame(best, columns=["donor_pos", "acceptor_pos"]).astype("int64")
-        for n, c in enumerate(by):
-            found.insert(n, c, rows[c].iloc[0])
-        return found
+            best = trial
+        return best
 
-    return sites.groupBy(*by).applyInPandas(search, f"{spec}, donor_pos long, acceptor_pos long")
+    return for_each_group(sites, by, ["site_type", "position", "score", target], ["position"], "donor_pos long, acceptor_pos long", search)

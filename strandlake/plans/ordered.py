@@ -96,7 +96,7 @@ gt as (select gene_id, cast(0 as bigint) as i, cast(null as bigint) as donor_pos
 @query("select gene_id, donor_pos, acceptor_pos from gt where acceptor_pos is not null", _GREEDY)
 def greedy_junctions(v: Views) -> DataFrame:
     s = v.pos1.filter("splice_type is not null").select("gene_id", "position", F.col("splice_type").alias("site_type"), "score")
-    return sites.greedy_junctions(s, ["gene_id"], "gene_id long", 0.3)
+    return sites.greedy_junctions(s, ["gene_id"], 0.3)
 
 
 _PEAKS = """pk as (select *, row_number() over (partition by gene_id order by score desc, n) as i from (
@@ -110,7 +110,7 @@ pl as (select k.gene_id, k.position, k.score, k.n,
 
 @query("""select gene_id, position, score from pl where score - greatest(coalesce((select min(o.score) from pr o where o.gene_id = pl.gene_id and o.n > low_n and o.n < pl.n), score), coalesce((select min(o.score) from pr o where o.gene_id = pl.gene_id and o.n < high_n and o.n > pl.n), score)) >= 0.1""", _PEAKS)
 def score_peaks(v: Views) -> DataFrame:
-    return sites.score_peaks(v.pos1.select("gene_id", "position", "score"), ["gene_id"], "gene_id long")
+    return sites.score_peaks(v.pos1.select("gene_id", "position", "score"), ["gene_id"])
 
 
 @query("""select gene_id, a.position - d.position as intron_length, d.position as donor_pos, a.position as acceptor_pos from pos1 d join pos1 a using (gene_id) where d.splice_type = 'donor' and a.splice_type = 'acceptor' and a.position > d.position and a.position - d.position <= 300""")

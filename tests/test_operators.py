@@ -51,13 +51,13 @@ def test_evaluation_equals_the_scan(spark):
 def test_greedy_junctions(spark):
     rows = [(1, 10, "donor", 0.9), (1, 12, "donor", 0.95), (1, 20, "acceptor", 0.5), (1, 30, "acceptor", 0.8), (1, 40, "donor", 0.99), (2, 5, "acceptor", 0.9)]
     df = spark.createDataFrame(rows, "g long, position long, site_type string, score double")
-    assert rows_of(sites.greedy_junctions(df, ["g"], "g long"), "g", "donor_pos", "acceptor_pos") == [(1, 10, 30), (1, 12, 20)]
+    assert rows_of(sites.greedy_junctions(df, ["g"]), "g", "donor_pos", "acceptor_pos") == [(1, 10, 30), (1, 12, 20)]
 
 
 def test_peaks(spark):
     track = [0, 0.9, 0, 0.6, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0.7, 0.2, 0]
     df = spark.createDataFrame([(1, k, float(x)) for k, x in enumerate(track)], "g long, position long, score double")
-    assert rows_of(sites.score_peaks(df, ["g"], "g long"), "position", "score") == [(1, 0.9), (13, 0.7)]
+    assert rows_of(sites.score_peaks(df, ["g"]), "position", "score") == [(1, 0.9), (13, 0.7)]
 
 
 def test_stack_ensure_and_standardise(spark):
@@ -132,7 +132,7 @@ def test_tuning_pairs_and_numbers(spark):
     p = metrics.paired(df, "b", "a").first()
     assert p.n == 10 and round(p.mean_difference, 6) == 0.2 and p.t > 5
     s = spark.createDataFrame([(1, 10, "donor", 0.9, 1), (1, 12, "donor", 0.71, 1), (1, 20, "acceptor", 0.8, 1), (1, 30, "acceptor", 0.95, 1)], "g long, position long, site_type string, score double, wanted int")
-    assert rows_of(sites.junctions_to_number(s, ["g"], "g long", "wanted"), "donor_pos", "acceptor_pos") == [(10, 20)]
+    assert rows_of(sites.junctions_to_number(s, ["g"], "wanted"), "donor_pos", "acceptor_pos") == [(10, 20)]
     q = spark.createDataFrame([(1, 105, 100, 120), (1, 119, 100, 120), (2, 3, 100, 120), (2, 20, 100, 120)], "g long, p long, s long, e long")
     got = q.groupBy("g").agg(coords.position_kind(F.col("p"), F.col("s"), F.col("e")).alias("kind"))
     assert rows_of(got, "g", "kind") == [(1, "absolute"), (2, "relative")]
