@@ -111,10 +111,11 @@ def error_windows(rows: DataFrame, length: Column, before: int = 500, after: int
     return wrong.withColumns({"window_start": F.greatest(F.lit(0), F.col("position") - before), "window_end": F.least(length, F.col("position") + after)})
 
 
-def best_shift(scores: DataFrame, by: Sequence[str], score: str, label: Column, threshold: float, shifts: Sequence[int], gain: float = 0.0) -> DataFrame:
-    """(shift, f1) of the row shift whose F1 is largest, 0 unless another one is better by more than gain.
+def best_shift(scores: DataFrame, by: Sequence[str], score: str, label: Column, threshold: float, shifts: Sequence[int], gain: float = 0.0, over: Sequence[str] = ()) -> DataFrame:
+    """(over, shift, f1) of the row shift whose F1 is largest, 0 unless another one is better by more than gain.
 
-    All shifts are counted in one pass: each is a window column of the same sorted groups.
+    All shifts are counted in one pass: each is a window column of the same sorted groups. With `over`, each of its values
+    has a shift of its own.
     """
     w = Window.partitionBy(*by).orderBy("position")
     hits = {f"h{k}": F.lag(score, s, 0.0).over(w) >= threshold if s > 0 else F.lead(score, -s, 0.0).over(w) >= threshold if s < 0 else F.col(score) >= threshold for k, s in enumerate(shifts)}
@@ -123,10 +124,21 @@ def best_shift(scores: DataFrame, by: Sequence[str], score: str, label: Column,
     for k in range(len(shifts)):
         h = F.col(f"h{k}")
         counts += [F.count_if(h & F.col("is_site")).alias(f"tp{k}"), F.count_if(h & ~F.col("is_site")).alias(f"fp{k}"), F.count_if(~h & F.col("is_site")).alias(f"fn{k}")]
-    one = marked.agg(*counts)
+    each = marked.groupBy(*over).agg(*counts)
     f1 = [F.coalesce(F.try_divide(2 * F.col(f"tp{k}"), 2 * F.col(f"tp{k}") + F.col(f"fp{k}") + F.col(f"fn{k}")), F.lit(0.0)) for k in range(len(shifts))]
     best = F.array_max(F.array(*(F.struct(f.alias("f1"), F.lit(-k).alias("order"), F.lit(s).alias("shift")) for k, (f, s) in enumerate(zip(f1, shifts, strict=True)))))
     zero = f1[list(shifts).index(0)]
-    picked = one.select(best.alias("b"), zero.alias("z"))
+    picked = each.select(*over, best.alias("b"), zero.alias("z"))
     better = F.col("b.f1") > F.col("z") + gain
-    return picked.select(F.when(better, F.col("b.shift")).otherwise(0).cast("long").alias("shift"), F.when(better, F.col("b.f1")).otherwise(F.col("z")).alias("f1"))
+    return picked.select(*over, F.when(better, F.col("b.shift")).otherwise(0).cast("long").alias("shift"), F.when(better, F.col("b.f1")).otherwise(F.col("z")).alias("f1"))
+
+
+def shift_grid(scores: DataFrame, by: Sequence[str], columns: dict[str, str], kind: str, threshold: float, shifts: Sequence[int], over: Sequence[str] = ("strand",), gain: float = 0.0) -> DataFrame:
+    """(over, site_type, shift, f1): best_shift for each value of `over` and each site type, whose score column `columns` tells, in one plan.
+
+    kind is the column of the true site type, null where there is none.
+    """
+    types = F.explode(F.array(*(F.struct(F.lit(t).alias("site_type"), F.col(c).alias("shifted_score")) for t, c in columns.items())))
+    each = scores.select("*", types.alias("of")).select(*(c for c in scores.columns if c != "site_type"), "of.site_type", "of.shifted_score")
+    label = F.coalesce(F.col(kind) == F.col("site_type"), F.lit(False))
+    return best_shift(each, [*by, *over, "site_type"], "shifted_score", label, threshold, shifts, gain, [*over, "site_type"])

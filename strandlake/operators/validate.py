@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -58,3 +59,22 @@ def overlap_free(parts: dict[str, DataFrame], key: str) -> DataFrame:
     from .joins import common_to
 
     return common_to(parts, key, 2)
+
+
+def schema_violations(rows: DataFrame, required: dict[str, str], patterns: dict[str, str] | None = None, least_columns: dict[str, int] | None = None) -> DataFrame:
+    """(column, problem): required columns that lack or have another type, columns of a pattern with another type, and patterns with too few columns.
+
+    Types are Spark's names; required ones may be several, joined by a bar. Only the schema is looked at.
+    """
+    kinds, out = dict(rows.dtypes), []
+    for name, wanted in required.items():
+        if name not in kinds:
+            out.append((name, "missing"))
+        elif kinds[name] not in wanted.split("|"):
+            out.append((name, f"{kinds[name]} instead of {wanted}"))
+    for pattern, wanted in (patterns or {}).items():
+        found = [c for c in kinds if re.fullmatch(pattern, c)]
+        out += [(c, f"{kinds[c]} instead of {wanted}") for c in found if kinds[c] not in wanted.split("|")]
+        if len(found) < (least_columns or {}).get(pattern, 0):
+            out.append((pattern, f"{len(found)} columns"))
+    return rows.sparkSession.createDataFrame(out, "column string, problem string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, metrics, registry, sampling, sites, tables, windows
+from ..operators import evaluate, metrics, registry, sampling, sites, tables, validate, windows
 from ..streaming import events as streams
 from .registry import longs, query, r6, rounded
 from .views import Views
@@ -167,6 +167,21 @@ def shift_search(v: Views) -> DataFrame:
     return rounded(evaluate.best_shift(v.pos1, ["gene_id"], "donor_score", label, 0.4, [0, -2, -1, 1, 2]), "f1")
 
 
+_GRID = """sg as (select strand, t, k, o, coalesce(2.0 * count(*) filter (where h and s) / nullif(2 * count(*) filter (where h and s) + count(*) filter (where h <> s), 0), 0) as f1 from (
+  select strand, t, k, o, coalesce(splice_type = t, false) as s, case when k > 0 then coalesce(lag(x, k) over w, 0) when k < 0 then coalesce(lead(x, -k) over w, 0) else x end >= 0.4 as h
+  from (select p.*, k, o, t, case t when 'donor' then donor_score else acceptor_score end as x from pos1 p, (values (0, 0), (-2, 1), (-1, 2), (1, 3), (2, 4)) v(k, o), (values ('donor'), ('acceptor')) u(t)) window w as (partition by k, t, strand, gene_id order by position)) group by strand, t, k, o)"""
+
+
+@query("select strand, t as site_type, cast(case when f1 > z then k else 0 end as bigint) as shift, round(case when f1 > z then f1 else z end, 6) as f1 from (select *, (select f1 from sg z where z.k = 0 and z.strand = sg.strand and z.t = sg.t) as z from sg qualify row_number() over (partition by strand, t order by f1 desc, o) = 1)", _GRID)
+def shift_grid(v: Views) -> DataFrame:
+    return rounded(evaluate.shift_grid(v.pos1, ["gene_id"], {"donor": "donor_score", "acceptor": "acceptor_score"}, "splice_type", 0.4, [0, -2, -1, 1, 2]), "f1")
+
+
+@query("""select * from (values ('absent', 'missing'), ('strand', 'string instead of bigint'), ('donor_score', 'double instead of float'), ('acceptor_score', 'double instead of float'), ('neither_score', 'double instead of float'), ('[0-9]mer_.*', '0 columns')) t("column", problem)""")
+def schema_report(v: Views) -> DataFrame:
+    return validate.schema_violations(v.positions, {"gene_id": "int|bigint", "strand": "bigint", "absent": "string"}, {".*_score": "float", "[0-9]mer_.*": "bigint"}, {"[0-9]mer_.*": 64})
+
+
 @query("""select order_id, line_id, position, greatest(0, position - 50) as window_start, least(2000, position + 50) as window_end from positions where pred_type in ('FP', 'FN')""")
 def error_windows(v: Views) -> DataFrame:
     return evaluate.error_windows(v.positions, F.lit(2000), 50, 50).select("order_id", "line_id", "position", "window_start", "window_end")
