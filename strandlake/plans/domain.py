@@ -137,8 +137,8 @@ def _evaluated(v: Views, mode: str) -> DataFrame:
 _ALL_TYPES = "select *, 'donor' as site_type from {0}_donor union all select *, 'acceptor' from {0}_acceptor"
 
 
-def _both(mode: str) -> dict[str, str]:
-    return {"sql": _ALL_TYPES.format(mode), "more": ",\n".join(_evaluation(f"{mode}_{kind}", kind, f"{kind}_score", 0.4, mode) for kind in ("donor", "acceptor"))}
+def _both(mode: str) -> dict[str, object]:
+    return {"recursive": True, "sql": _ALL_TYPES.format(mode), "more": ",\n".join(_evaluation(f"{mode}_{kind}", kind, f"{kind}_score", 0.4, mode) for kind in ("donor", "acceptor"))}
 
 
 @query(**_both("random"))

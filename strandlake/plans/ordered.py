@@ -93,7 +93,7 @@ gt as (select gene_id, cast(0 as bigint) as i, cast(null as bigint) as donor_pos
   union all select gene_id, i, p, a, list_filter(free, lambda x: a is null or x <> a) from (select gt.gene_id, d.i, d.position as p, list_min(list_filter(gt.free, lambda x: x > d.position)) as a, gt.free from gt join gd d on d.gene_id = gt.gene_id and d.i = gt.i + 1))"""
 
 
-@query("select gene_id, donor_pos, acceptor_pos from gt where acceptor_pos is not null", _GREEDY)
+@query("select gene_id, donor_pos, acceptor_pos from gt where acceptor_pos is not null", _GREEDY, recursive=True)
 def greedy_junctions(v: Views) -> DataFrame:
     s = v.pos1.filter("splice_type is not null").select("gene_id", "position", F.col("splice_type").alias("site_type"), "score")
     return sites.greedy_junctions(s, ["gene_id"], 0.3)
@@ -108,7 +108,7 @@ pl as (select k.gene_id, k.position, k.score, k.n,
   coalesce((select max(o.n) from pr o where o.gene_id = k.gene_id and o.n < k.n and o.score > k.score), 0) as low_n, coalesce((select min(o.n) from pr o where o.gene_id = k.gene_id and o.n > k.n and o.score > k.score), 1000000000) as high_n from pk k join pt on pt.gene_id = k.gene_id and pt.n = k.n)"""
 
 
-@query("""select gene_id, position, score from pl where score - greatest(coalesce((select min(o.score) from pr o where o.gene_id = pl.gene_id and o.n > low_n and o.n < pl.n), score), coalesce((select min(o.score) from pr o where o.gene_id = pl.gene_id and o.n < high_n and o.n > pl.n), score)) >= 0.1""", _PEAKS)
+@query("""select gene_id, position, score from pl where score - greatest(coalesce((select min(o.score) from pr o where o.gene_id = pl.gene_id and o.n > low_n and o.n < pl.n), score), coalesce((select min(o.score) from pr o where o.gene_id = pl.gene_id and o.n < high_n and o.n > pl.n), score)) >= 0.1""", _PEAKS, recursive=True)
 def score_peaks(v: Views) -> DataFrame:
     return sites.score_peaks(v.pos1.select("gene_id", "position", "score"), ["gene_id"])
 

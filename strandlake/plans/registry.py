@@ -14,14 +14,14 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None, more: str = "", name: str | None = None) -> Callable[[Callable[[Views], DataFrame]], Callable[[Views], DataFrame]]:
+def query(sql: str | None, more: str = "", name: str | None = None, recursive: bool = False) -> Callable[[Callable[[Views], DataFrame]], Callable[[Views], DataFrame]]:
     """Registers a function of the views under its name; sql is a statement over the views, or None where SQL can't tell it."""
 
     def add(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
         key = name or f.__name__
         QUERIES[key] = lambda spark, sf_dir: f(Views(spark, sf_dir))
         if sql is not None:
-            ORACLES[key] = with_views(sql, more)
+            ORACLES[key] = with_views(sql, more, recursive)
         return f
 
     return add

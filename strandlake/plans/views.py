@@ -170,6 +170,9 @@ positions as (
 """
 
 
-def with_views(body: str, more: str = "") -> str:
-    """SQL over the views; more holds further common tables."""
-    return f"with recursive {SQL.strip()}{', ' + more if more else ''}\n{body}"
+def with_views(body: str, more: str = "", recursive: bool = False) -> str:
+    """SQL over the views; more holds further common tables, of which some may be recursive.
+
+    Where recursion is allowed, a union takes the types of its first part, so it is only where it is needed.
+    """
+    return f"with {'recursive ' if recursive else ''}{SQL.strip()}{', ' + more if more else ''}\n{body}"
