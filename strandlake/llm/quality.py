@@ -1,7 +1,7 @@
 """Quality rules: base counts of each text, and a hashed n-gram log-likelihood ratio of trusted text against the corpus.
 
-Words and word pairs are hashed to buckets, one for every BUCKET_BYTES of the corpus's text (a power of two), so that what
-is counted grows with the corpus. Two multinomials are counted: over documents that labels trust (a bounded sample of
+Words and word pairs are hashed to buckets. Their number grows with the square root of the corpus's text, as that of its
+different n-grams grows more slowly than the text, and as every task has counts of most buckets. Two multinomials are counted: over documents that labels trust (a bounded sample of
 them), and over the whole corpus. A document's score is the mean over its n-grams of log2(trusted / corpus), in whole steps
 of 2^-20, so that sums do not depend on their order; below `THRESHOLD` it is rejected.
 
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .base import SPACE, byte_map, chunks, mix64, park, shingle_hashes, span_hashes, table, text_buffer, unused, word_spans
 
-#: Bytes of text for each bucket, and the least number of buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 2048, 1 << 16
+#: The least number of buckets, which is that of a corpus of so many bytes; four times the text has twice the buckets.
+LEAST_BUCKETS, LEAST_BYTES = 1 << 16, 64 << 20
 #: Most ratios that a task holds at once (4 bytes each).
 SLICE = 1 << 23
 #: Most buckets that a task counts in an array; with more it sends on the counts of each chunk of text.
@@ -50,17 +50,20 @@ _NEWLINE[0x0A] = True
 def n_buckets(docs: DataFrame, text_col: str = "text") -> int:
     """The number of buckets for a corpus, by its bytes."""
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return max(LEAST_BUCKETS, 1 << round(math.log2(max(1, total / BUCKET_BYTES))))
+    return max(LEAST_BUCKETS, round(LEAST_BUCKETS * math.sqrt(total / LEAST_BYTES)))
 
 
 def _ngrams(words: np.ndarray, row_of: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of the words, buckets of the word pairs, and each pair's row, from the words' hashes and rows."""
-    low = np.uint64(buckets - 1)
-    ones = (words & low).astype(np.int64)
+
+    def bucket(hashes: np.ndarray) -> np.ndarray:
+        """A share of the number of buckets, by the upper half of a hash."""
+        return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
     if len(words) < 2:
-        return ones, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return bucket(words), np.zeros(0, np.int64), np.zeros(0, np.int64)
     same = row_of[1:] == row_of[:-1]
-    return ones, (shingle_hashes(words, 2)[same] & low).astype(np.int64), row_of[:-1][same]
+    return bucket(words), bucket(shingle_hashes(words, 2)[same]), row_of[:-1][same]
 
 
 def _repeats(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
