@@ -167,6 +167,12 @@ def shift_search(v: Views) -> DataFrame:
     return rounded(evaluate.best_shift(v.pos1, ["gene_id"], "donor_score", label, 0.4, [0, -2, -1, 1, 2]), "f1")
 
 
+@query("select * from missed_called where pred_type = 'FN'", _evaluation("missed", "donor", "score", 0.5, "random"), recursive=True)
+def evaluate_missed_sites(v: Views) -> DataFrame:
+    true = v.pos1.filter("splice_type = 'donor'").select("gene_id", "position")
+    return evaluate.evaluate(v.pos1.select("gene_id", "position", "score"), true, "gene_id", "long", "score").filter("pred_type = 'FN'")
+
+
 _GRID = """sg as (select strand, t, k, o, coalesce(2.0 * count(*) filter (where h and s) / nullif(2 * count(*) filter (where h and s) + count(*) filter (where h <> s), 0), 0) as f1 from (
   select strand, t, k, o, coalesce(splice_type = t, false) as s, case when k > 0 then coalesce(lag(x, k) over w, 0) when k < 0 then coalesce(lead(x, -k) over w, 0) else x end >= 0.4 as h
   from (select p.*, k, o, t, case t when 'donor' then donor_score else acceptor_score end as x from pos1 p, (values (0, 0), (-2, 1), (-1, 2), (1, 3), (2, 4)) v(k, o), (values ('donor'), ('acceptor')) u(t)) window w as (partition by k, t, strand, gene_id order by position)) group by strand, t, k, o)"""
