@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lang_id, line_dedup, mixing, near_dedup, quality, secrets, sharding, token_blocks, url_filter
+from . import decontaminate, divergence, lang_id, line_dedup, mixing, near_dedup, quality, secrets, sharding, token_blocks, url_filter
 
-_MODULES = (decontaminate, token_blocks, near_dedup, line_dedup, mixing, url_filter, lang_id, sharding, secrets, quality)
+_MODULES = (decontaminate, token_blocks, near_dedup, line_dedup, mixing, url_filter, lang_id, sharding, secrets, quality, divergence)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
