@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, divergence, lang_id, line_dedup, mixing, near_dedup, quality, secrets, sharding, token_blocks, url_filter, warc
+from . import conversations, decontaminate, divergence, lang_id, line_dedup, mixing, near_dedup, quality, secrets, sharding, token_blocks, url_filter, warc
 
-_MODULES = (decontaminate, token_blocks, near_dedup, line_dedup, mixing, url_filter, lang_id, sharding, secrets, quality, warc, divergence)
+_MODULES = (decontaminate, token_blocks, near_dedup, line_dedup, mixing, url_filter, lang_id, sharding, secrets, quality, warc, conversations, divergence)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

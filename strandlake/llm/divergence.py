@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import chunks, park, table, text_buffer
-from .duck import ask, connect
+from .duck import ask, connect, whole_runs
 
 #: A term is kept in a language if so many of its documents have it.
 LEAST_DOCS = 30
@@ -79,40 +79,6 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, _COUNTS)
 
 
-def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int, merge=None) -> Iterator[pa.Table]:
-    """Tables of about `most` rows that never end within a run of equal keys; the batches are sorted by these.
-
-    A run of more rows is shortened by `merge`, which must leave its sums as they are.
-    """
-    held: list[pa.Table] = []
-    n = 0
-
-    def cut(rows: pa.Table) -> int:
-        """Where the last run begins."""
-        at = rows.num_rows - 1
-        same = None
-        for k in keys:
-            equal = pc.equal(rows.column(k), rows.column(k)[at])
-            same = equal if same is None else pc.and_(same, equal)
-        return pc.index(same, True).as_py()
-
-    for batch in batches:
-        if batch.num_rows:
-            held.append(pa.Table.from_batches([batch]))
-            n += batch.num_rows
-        if n >= most:
-            rows = pa.concat_tables(held)
-            at = cut(rows)
-            if at:
-                yield rows.slice(0, at)
-                rows = rows.slice(at)
-            if merge is not None and rows.num_rows >= most:
-                rows = merge(rows)
-            held, n = [rows], rows.num_rows
-    if n:
-        yield pa.concat_tables(held)
-
-
 _KEPT = "lang string, term string, source string, n long, lang_n long, first boolean"
 
 
