@@ -75,6 +75,16 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def named(name: str) -> Column:
+    """The column of that very name, whatever dots or backticks are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def every(docs: DataFrame, but: str | None = None) -> list[Column]:
+    """The columns of docs, without the one called `but`."""
+    return [named(c) for c in docs.columns if but is None or c.lower() != but.lower()]
+
+
 def row_key(id_col: str, text_col: str) -> list[Column]:
     """(no_id, id, text_hash): what tells rows apart, in the order in which they are preferred: ids first, null ids last, then a hash of the text."""
     id_ = F.col(id_col).cast("long")
@@ -104,10 +114,10 @@ def first_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str)
     twice = known.filter("stays")
     if not twice.isEmpty():
         again = among(twice)
-        whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        whole = F.struct(*every(docs))
         one = kept.join(again, names, "left_semi").groupBy(*names).agg(F.min_by(whole, F.to_json(whole)).alias("row"))
-        kept = kept.join(again, names, "left_anti").select(docs.columns).unionByName(one.select("row.*"))
-    return kept.select(docs.columns)
+        kept = kept.join(again, names, "left_anti").select(*every(docs)).unionByName(one.select("row.*"))
+    return kept.select(*every(docs))
 
 
 def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:

@@ -1,15 +1,16 @@
 """Benchmark decontamination: item-sized windows of each document, compared with the items by SimHash and then exactly.
 
 A window of as many words as an item has is a copy of it if the weighted Jaccard similarity of their five-word shingles
-(repeats count) is 0.8 or more. A window without a shingle of the item has similarity 0, so only windows around such
-shingles are taken up. Their SimHash fingerprints are looked up in a multi-index: the 64 bits are cut into BLOCKS blocks,
-and each block's values within RADIUS // BLOCKS bits list their items, which finds every item within RADIUS bits. With so
-wide a radius a block lists a good part of all items of a size, so of these only the items that share a shingle with the
-text are taken up. The candidates are then compared exactly. A pair of similarity 0.8 differs in 10 bits on average, with a
-deviation below 3, so by calculation the radius leaves out one in a million.
+(repeats count) is 0.8 or more. Each item has probes, its rarest shingles: so many that a text without any of them lacks
+too much of the item. An item is taken up where one of its probes stands, and then the windows that hold enough of its
+shingles by number; phrases that many items share are no probes. The SimHash fingerprints of these windows are looked up in
+a multi-index: the 64 bits are cut into BLOCKS blocks, and each block's values within RADIUS // BLOCKS bits list their
+items, which finds every item within RADIUS bits. The candidates are then compared exactly, in one pass over the windows of
+an item. A pair of similarity 0.8 differs in 10 bits on average, with a deviation below 3, so by calculation the radius
+leaves out one in a million.
 
 A document of fewer words than an item is one window itself: both shingle counts enter the similarity, and as there is but
-one such window, it is compared with every item that shares a shingle and has not too many more, whatever its fingerprint.
+one such window, it is compared with every item that shares a probe and has not too many more, whatever its fingerprint.
 
 A benchmark of more than PASS_BYTES is taken in passes, one after the other: each reads the documents anew with its own
 part of the index, and keeps the hits alone. An index is broadcast, and is gone when its pass is over.
@@ -31,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import chunks, if_small, mix64, park, shingle_hashes, span_hashes, table, text_buffer, unused, word_spans
+from .base import chunks, every, if_small, mix64, park, shingle_hashes, span_hashes, table, text_buffer, unused, word_spans
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -61,14 +62,15 @@ class ItemIndex:
                 self.ids.append(item)
                 self.size.append(int(hi - lo))
                 self.shingles.append(shingle_hashes(words[lo:hi], min(WIDTH, int(hi - lo))))
-        #: By shingle width: sorted shingles, and for each the (item, offset) where it stands.
-        self.places: dict[int, tuple[np.ndarray, list[list[tuple[int, int]]], np.ndarray]] = {}
+        holders = Counter(h for own in self.shingles for h in np.unique(own).tolist())
+        #: By shingle width: sorted probes, the items that each stands for, and a bit for each low end of a probe.
+        self.places: dict[int, tuple[np.ndarray, list[list[int]], np.ndarray]] = {}
         for width in {min(WIDTH, n) for n in self.size}:
-            at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for i, s in enumerate(self.shingles):
+            at: dict[int, list[int]] = defaultdict(list)
+            for i, own in enumerate(self.shingles):
                 if min(WIDTH, self.size[i]) == width:
-                    for k, h in enumerate(s.tolist()):
-                        at[h].append((i, k))
+                    for h in self._probes(own, holders):
+                        at[h].append(i)
             keys = np.array(sorted(at), dtype=np.uint64)
             seen = np.zeros(1 << 20, bool)
             seen[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
@@ -84,6 +86,17 @@ class ItemIndex:
                 for flip in near:
                     self.blocks[self.size[i], b, v ^ flip].add(i)
 
+    def _probes(self, shingles: np.ndarray, holders: Counter) -> list[int]:
+        """The item's rarest shingles, so many that a text without any of them lacks too much of the item to be similar."""
+        out, missing = [], 0
+        own = Counter(shingles.tolist())
+        for h in sorted(own, key=lambda h: (holders[h], h)):
+            out.append(h)
+            missing += own[h]
+            if len(shingles) - missing < self.similarity * len(shingles) - 1e-9:
+                break
+        return out
+
     def hits(self, words: np.ndarray) -> list[tuple[int, int, int, int, float]]:
         """(item_id, start, words, bits, similarity) of the best window of each item that a text of these words copies."""
         best: dict[int, tuple[float, int, int]] = {}
@@ -95,20 +108,13 @@ class ItemIndex:
             if not len(k):
                 continue
             pos = np.minimum(np.searchsorted(keys, shingles[k]), len(keys) - 1)
-            true = keys[pos] == shingles[k]
-            self._compare_whole(shingles, {i for at in set(pos[true].tolist()) for i, _ in places[at] if self.size[i] > len(words)}, best)
-            windows: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            sharing: dict[int, set[int]] = defaultdict(set)
-            for p, at in zip(k[true].tolist(), pos[true].tolist(), strict=True):
-                for i, _ in places[at]:
-                    if self.size[i] <= len(words):
-                        sharing[self.size[i]].add(i)
-                for size in {self.size[i] for i, _ in places[at] if self.size[i] <= len(words)}:
-                    windows[size].append((max(0, p - (size - width)), min(p, len(words) - size)))
-            for size, spans in windows.items():
-                starts = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in sorted(set(spans))]))
-                if len(starts):
-                    self._compare(shingles, starts.astype(np.int64), size, size - width + 1, sharing[size], best)
+            items = {i for at in np.unique(pos[keys[pos] == shingles[k]]).tolist() for i in places[at]}
+            self._compare_whole(shingles, {i for i in items if self.size[i] > len(words)}, best)
+            order = np.argsort(shingles, kind="stable")
+            ranked = shingles[order]
+            for i in sorted(items):
+                if self.size[i] <= len(words):
+                    self._compare(shingles, order, ranked, i, best)
         return [(self.ids[i], start, min(self.size[i], len(words)), bits, sim) for i, (sim, start, bits) in sorted(best.items())]
 
     def _compare_whole(self, shingles: np.ndarray, items: set[int], best: dict[int, tuple[float, int, int]]) -> None:
@@ -124,30 +130,71 @@ class ItemIndex:
             if sim >= self.similarity:
                 best[i] = (sim, 0, int(np.bitwise_count(own ^ self.prints[i])))
 
-    def _compare(self, shingles: np.ndarray, starts: np.ndarray, size: int, n: int, among: set[int], best: dict[int, tuple[float, int, int]]) -> None:
+    def _compare(self, shingles: np.ndarray, order: np.ndarray, ranked: np.ndarray, i: int, best: dict[int, tuple[float, int, int]]) -> None:
+        """Compares the windows of a text with an item that is not longer; order sorts the text's shingles, ranked has them so."""
+        own, n = Counter(self.shingles[i].tolist()), len(self.shingles[i])
+        wanted = np.array(sorted(own), dtype=np.uint64)
+        lo, hi = (np.searchsorted(ranked, wanted, side=side) for side in ("left", "right"))
+        at = np.sort(order[np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)[:-1])), hi - lo) + np.arange((hi - lo).sum())])
+        # A window is similar only if so many of its places hold shingles of the item.
+        need = max(1, int(np.ceil(2 * n * self.similarity / (1 + self.similarity) - 1e-9)))
+        first, last = at[: len(at) - need + 1], at[need - 1 :]
+        close = last - first < n
+        spans = zip(np.maximum(last[close] - n + 1, 0).tolist(), np.minimum(first[close], len(shingles) - n).tolist(), strict=True)
+        starts = np.array(sorted({s for a, b in _merged(spans) for s in range(a, b + 1)}), dtype=np.int64)
+        if not len(starts):
+            return
         prints = simhash_windows(shingles, starts, n)
         bits = 64 // BLOCKS
-        pairs: set[tuple[int, int]] = set()
-        none: set[int] = set()
+        listed = np.zeros(len(starts), bool)
         for b in range(BLOCKS):
             values = ((prints >> np.uint64(b * bits)) & np.uint64((1 << bits) - 1)).tolist()
-            for w, v in enumerate(values):
-                pairs.update((w, i) for i in among & self.blocks.get((size, b, v), none))
-        if not pairs:
-            return
-        w, i = np.array(sorted(pairs), dtype=np.int64).T
-        differ = np.bitwise_count(prints[w] ^ self.prints[i])
-        near = differ <= self.radius
-        items = {int(x): Counter(self.shingles[x].tolist()) for x in np.unique(i[near])}
-        for win, item, d in zip(w[near].tolist(), i[near].tolist(), differ[near].tolist(), strict=True):
-            s = int(starts[win])
-            mine = Counter(shingles[s : s + n].tolist())
-            both = sum((mine & items[item]).values())
-            sim = both / (2 * n - both)
-            if sim >= self.similarity:
-                old = best.get(item)
-                if old is None or (-sim, s) < (-old[0], old[1]):
-                    best[item] = (sim, s, d)
+            listed |= np.fromiter((i in self.blocks.get((self.size[i], b, v), ()) for v in values), bool, len(values))
+        differ = np.bitwise_count(prints ^ self.prints[i])
+        near = listed & (differ <= self.radius)
+        common = _common(shingles, at, own, starts, n)
+        sim = common / (2 * n - common)
+        ok = np.flatnonzero(near & (sim >= self.similarity))
+        if len(ok):
+            k = ok[np.argmax(sim[ok])]
+            best[i] = (float(sim[k]), int(starts[k]), int(differ[k]))
+
+
+def _merged(spans: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Spans (both ends included) in ascending order, those that touch as one."""
+    now: tuple[int, int] | None = None
+    for a, b in spans:
+        if a > b:
+            continue
+        if now is not None and a <= now[1] + 1:
+            now = (now[0], max(now[1], b))
+        else:
+            if now is not None:
+                yield now
+            now = (a, b)
+    if now is not None:
+        yield now
+
+
+def _common(shingles: np.ndarray, at: np.ndarray, own: Counter, starts: np.ndarray, n: int) -> np.ndarray:
+    """How many shingles (repeats count) each window has in common with an item: only its places `at` matter, and each enters and leaves once."""
+    held: Counter = Counter()
+    both = enter = leave = 0
+    places, found = at.tolist(), shingles[at].tolist()
+    out = np.zeros(len(starts), np.int64)
+    for k, start in enumerate(starts.tolist()):
+        while enter < len(places) and places[enter] < start + n:
+            h = found[enter]
+            held[h] += 1
+            both += held[h] <= own[h]
+            enter += 1
+        while leave < enter and places[leave] < start:
+            h = found[leave]
+            both -= held[h] <= own[h]
+            held[h] -= 1
+            leave += 1
+        out[k] = both
+    return out
 
 
 def simhash_windows(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
@@ -232,13 +279,13 @@ def with_copied_items(docs: DataFrame, benchmark: DataFrame, name: str, text_col
     hash_, hits = unused(docs.columns, "text_hash", "hits")
     each = reduce(DataFrame.unionByName, found).groupBy("text_hash").agg(F.flatten(F.collect_list("hits")).alias(hits)).withColumnRenamed("text_hash", hash_)
     rows = docs.withColumn(hash_, F.xxhash64(text)).join(if_small(park(each)), hash_, "left")
-    return rows.withColumn(name, F.coalesce(F.col(hits), F.array().cast(HITS))).select(*(c for c in docs.columns if c.lower() != name.lower()), name)
+    return rows.withColumn(name, F.coalesce(F.col(hits), F.array().cast(HITS))).select(*every(docs, name), name)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The documents that copy no item, with the columns of docs, whatever their names; see `with_copied_items`."""
     (name,) = unused(docs.columns, "copied_items")
-    return with_copied_items(docs, benchmark, name, text_col, similarity=similarity).filter(F.size(name) == 0).select(docs.columns)
+    return with_copied_items(docs, benchmark, name, text_col, similarity=similarity).filter(F.size(name) == 0).select(*every(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import SPACE, SpanHasher, byte_map, chunks, if_small, mix64, park, row_key, span_hashes, table, text_buffer, unused, word_spans
+from .base import SPACE, byte_map, chunks, every, if_small, mix64, park, row_key, span_hashes, SpanHasher, table, text_buffer, unused, word_spans
 from .near_dedup import _roots, components
 from .url_filter import _filter_of, _in
 
@@ -427,7 +427,7 @@ def with_repeated_lines(docs: DataFrame, n_lines: str, removed: str, id_col: str
     found = _repeated(docs, id_col, text_col, edits, share)
     found = found.select(*(F.col(a).alias(b) for a, b in zip(("no_id", "id", "text_hash"), key, strict=True)), F.struct("n_lines", "removed").alias(own))
     rows = docs.select("*", *(c.alias(n) for c, n in zip(row_key(id_col, text_col), key, strict=True))).join(found, key, "left")
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce(F.col(f"{own}.n_lines"), F.lit(0)).alias(n_lines), F.coalesce(F.col(f"{own}.removed"), F.array().cast("array<int>")).alias(removed))
+    return rows.select(*every(docs), F.coalesce(F.col(f"{own}.n_lines"), F.lit(0)).alias(n_lines), F.coalesce(F.col(f"{own}.removed"), F.array().cast("array<int>")).alias(removed))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, share: float = SHARE) -> DataFrame:
@@ -435,7 +435,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n_lines, removed = unused(docs.columns, "n_lines", "removed")
     rows = with_repeated_lines(docs, n_lines, removed, id_col, text_col, edits, share)
     left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, k: ~F.array_contains(removed, k)), "\n")
-    return rows.withColumn(text_col, left).select(docs.columns)
+    return rows.withColumn(text_col, left).select(*every(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

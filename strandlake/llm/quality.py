@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import SPACE, byte_map, chunks, mix64, park, shingle_hashes, span_hashes, table, text_buffer, unused, word_spans
+from .base import SPACE, byte_map, chunks, every, mix64, park, shingle_hashes, span_hashes, table, text_buffer, unused, word_spans
 
 #: The least number of buckets, which is that of a corpus of so many bytes; four times the text has twice the buckets.
 LEAST_BUCKETS, LEAST_BYTES = 1 << 16, 64 << 20
@@ -235,21 +235,20 @@ def with_verdict(docs: DataFrame, labels: DataFrame, name: str, id_col: str = "d
     first, found = sc.broadcast(next(ratios)), []
     for ratio in ratios:
         shared = sc.broadcast(ratio)
-        part = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text")).dropDuplicates(["text_hash"])
-        found.append(park(part.select("text_hash", _sums(F.col("text"), shared).alias("llr"))))
+        found.append(park(docs.select(F.xxhash64(text).alias("text_hash"), _sums(text, shared).alias("llr")).dropDuplicates(["text_hash"])))
         shared.destroy()
     if not found:
         return docs.withColumn(name, _judge(text, first, F.lit(0).cast("long"), threshold))
     hash_, more = unused([*docs.columns, name], "text_hash", "more")
     sums = reduce(DataFrame.unionByName, found).groupBy("text_hash").agg(F.sum("llr").alias(more)).withColumnRenamed("text_hash", hash_)
     rows = docs.withColumn(hash_, F.xxhash64(text)).join(park(sums), hash_)
-    return rows.withColumn(name, _judge(text, first, F.col(more), threshold)).select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()), name)
+    return rows.withColumn(name, _judge(text, first, F.col(more), threshold)).select(*every(docs, name), name)
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents that pass the base rules and the ratio, with the columns of docs, whatever their names; see `with_verdict`."""
     (name,) = unused(docs.columns, "quality_verdict")
-    return with_verdict(docs, labels, name, id_col, text_col, threshold).filter(F.col(name)["kept"]).select(docs.columns)
+    return with_verdict(docs, labels, name, id_col, text_col, threshold).filter(F.col(name)["kept"]).select(*every(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

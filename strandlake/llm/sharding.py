@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import shared_dir, table, unused
+from .base import every, shared_dir, table, unused
 
 #: Blocks of each old shard, and bytes of a block where there would be more of them.
 BLOCKS, BLOCK_BYTES = 1024, 64 << 20
@@ -164,7 +164,7 @@ def with_shards(docs: DataFrame, old_shard: Column | None = None, old_shards: in
     found = [(r.reshard_old, r.reshard_block, r.n_bytes, r.n_rows) for r in sizes]
     moves = plan_moves(found, old_shards, [int(c * (1 + slack)) for c in even(sum(x[2] for x in found), new_shards)])
     where = docs.sparkSession.createDataFrame([(m.old_shard, m.block, m.shard, m.first_slot) for m in moves], "reshard_old int, reshard_block int, reshard_shard int, reshard_first long")
-    return marked.join(F.broadcast(where), list(COLUMNS[:2])).select(*(F.col(f"`{c}`") for c in docs.columns), *COLUMNS), moves
+    return marked.join(F.broadcast(where), list(COLUMNS[:2])).select(*every(docs), *COLUMNS), moves
 
 
 def affected(moves: list[Move]) -> set[int]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import park, table
+from .base import park, table, unused
 
 #: Listed keys of one cascade; more are dealt to several.
 PART_KEYS = 4_000_000
@@ -173,13 +173,18 @@ def is_listed(host: Column, cascades: list[tuple[int, int, list[np.ndarray]]]) -
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, url_col: str = "url") -> DataFrame:
-    """pages with host, path, rule and verdict; a rule's verdict stands before the list's. Columns of these names are replaced."""
+    """pages with host, path, rule and verdict; a rule's verdict stands before the list's. Columns of these names are replaced, others stay.
+
+    A null url, or one without `://`, has an empty host and path and is allowed. Rows are judged one by one, repeated ones
+    alike; null and empty keys of the list count for nothing. An empty table stays empty, and so does an empty list's effect.
+    """
     host, path = host_and_path(F.col(url_col))
     cascades = build(pages.select(host.alias("host")), listed)
     marked = pages.withColumns({"host": host, "path": path})
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
-    marked = marked.withColumn("url_listed", is_listed(F.col("host"), cascades))
-    return marked.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("url_listed"), "block").otherwise("allow"))}).drop("url_listed")
+    (mark,) = unused([*marked.columns, "rule", "verdict"], "url_listed")
+    marked = marked.withColumn(mark, is_listed(F.col("host"), cascades))
+    return marked.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col(mark), "block").otherwise("allow"))}).drop(mark)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
