@@ -19,11 +19,11 @@ from operator import attrgetter
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .base import CHUNK_BYTES, byte_map, chunks, shared_dir, span_hashes, table, text_buffer, word_spans
+from .base import CHUNK_BYTES, byte_map, chunks, if_small, park, shared_dir, span_hashes, table, text_buffer, word_spans
 
 END_ID = 2
 #: Ids of a row of the file format; a longer document is a row of its own.
@@ -278,7 +278,10 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, bytes) of all documents, decoded from the files."""
+    """(doc_id, start, n_tokens, ids_crc32) of all documents, decoded from the files; a file that is damaged is an error, one without rows has none.
+
+    Documents of equal or null ids each have a row. Where a segment begins is summed up within its part and over the parts.
+    """
 
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,14 +294,12 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r["part"]] * m, pa.int32()), pa.array([r["segment"]] * m, pa.int32()), pa.array(r["doc_ids"], pa.int64()), pa.array(ends - np.array(sizes), pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], ["part", "segment", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
     files = spark.read.schema(FORMAT).parquet(path)
-    sums = files.select("part", "segment", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).orderBy("part", "segment").collect()  # a row for each two million ids
-    before, starts = 0, []
-    for r in sums:
-        starts.append((r.part, r.segment, before))
-        before += r.n
-    where = spark.createDataFrame(starts, "part int, segment int, before long")
-    if len(starts) < 100_000:
-        where = F.broadcast(where)
+    sums = files.select("part", "segment", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+    earlier = (Window.unboundedPreceding, -1)
+    parts = sums.groupBy("part").agg(F.sum("n").alias("n"))  # a row for each task that wrote
+    parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(*earlier)), F.lit(0)).alias("parts_before"))
+    where = sums.withColumn("n", F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("segment").rowsBetween(*earlier)), F.lit(0)))
+    where = if_small(park(where.join(parts, "part").select("part", "segment", (F.col("parts_before") + F.col("n")).alias("before"))))
     rows = files.mapInArrow(crc, "part int, segment int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return rows.join(where, ["part", "segment"]).select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
