@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import columns, domain, files, further, ordered, relations
+from . import columns, domain, files, further, genome, ordered, relations
 from .registry import ORACLES, QUERIES, Query
 from .views import Views
 
-_FAMILIES = (columns, relations, ordered, domain, further, files)
+_FAMILIES = (columns, relations, ordered, domain, further, files, genome)
 
 
 def queries() -> dict[str, Query]:
