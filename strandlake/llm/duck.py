@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
-import duckdb
 import pyarrow as pa
 import pyarrow.compute as pc
 
+if TYPE_CHECKING:
+    import duckdb
+
 #: Memory of a task's database. It spills nowhere, so what is put into it must be bounded.
 MEMORY = "400MB"
 
 
 def connect() -> duckdb.DuckDBPyConnection:
     """A database in memory for one task, on the one core that the task has."""
+    import duckdb  # loaded by the tasks that ask it, as every worker holds what it has loaded
+
     return duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": "", "preserve_insertion_order": False})
 
 

@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pyarrow as pa
-from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +45,13 @@ INDEX = "page_id long, url string, digest string, record_type string, record_id
 RECORD = f"{INDEX}, refers_id string, payload_bytes long, payload binary"
 
 
+def _store(folder: str):
+    """(file system, path) of a folder; loaded by the tasks that need it, as every worker holds what it has loaded."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(folder)
+
+
 def _uri(url: str) -> str:
     """A url that fits into a header line."""
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
@@ -126,7 +132,7 @@ def write_archives(rows: DataFrame, folder: str, date: str | None = None) -> Dat
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = FileSystem.from_uri(folder)
+        store, root = _store(folder)
         store.create_dir(root, recursive=True)
         part, out, name, at = TaskContext.get().partitionId(), None, "", 0
         try:
@@ -196,7 +202,7 @@ def read_records(index: DataFrame, folder: str, payloads: bool = True, gap: int
     parts = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = FileSystem.from_uri(folder)
+        store, root = _store(folder)
         name, source = None, None
         for batch in batches:
             rows = batch.to_pylist()
