@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,27 +76,38 @@ def inference_differences(d: Column, a: Column, n: Column) -> dict[str, Column]:
     return {"donor_acceptor_diff": d - a, "splice_neither_diff": d + a - n}
 
 
-def uncertainty(d: Column, a: Column, n: Column, low: float = 0.02, high: float = 0.8, most_entropy: float = 0.6, least_spread: float = 0.2, most_variance: float = 0.08) -> dict[str, Column]:
-    """Confidence, normalised entropy, spread of the two best, variance, and whether any of them is doubtful."""
+CONFIDENCE_ONLY, ENTROPY_ONLY, HYBRID = "confidence_only", "entropy_only", "hybrid_entropy"
+
+
+def uncertainty(d: Column, a: Column, n: Column, low: float = 0.02, high: float = 0.8, most_entropy: float = 0.6, least_spread: float = 0.2, most_variance: float = 0.08, strategy: str = HYBRID) -> dict[str, Column]:
+    """max_score of donor and acceptor; entropy (over its largest), spread of the two best, and variance of all three; whether the row is uncertain, and why.
+
+    The reasons name every test that holds, with its figure to three places, whatever the strategy.
+    """
+    if strategy not in (CONFIDENCE_ONLY, ENTROPY_ONLY, HYBRID):
+        raise ValueError(f"no such strategy: {strategy}")
     total = d + a + n
 
     def part(x: Column) -> Column:
-        p = F.try_divide(x, total)
-        return F.when(p > 0, -p * F.ln(p)).otherwise(0.0)
+        p = F.greatest(F.try_divide(x, total), F.lit(1e-10))
+        return -p * F.ln(p)
 
     best = F.greatest(d, a, n)
-    second = total - best - F.least(d, a, n)
+    spread = best - (total - best - F.least(d, a, n))
     mean = total / 3
     entropy = F.when(total > 0, (part(d) + part(a) + part(n)) / F.ln(F.lit(3.0))).otherwise(0.0)
     variance = ((d - mean) * (d - mean) + (a - mean) * (a - mean) + (n - mean) * (n - mean)) / 3
-    tests = {"confidence": (best >= low) & (best < high), "entropy": entropy > most_entropy, "spread": (best - second) < least_spread, "variance": variance > most_variance}
+    site = F.greatest(d, a)
+    zone = (site >= low) & (site < high)
+    figures = {"high_entropy": (entropy > most_entropy, entropy), "low_spread": (spread < least_spread, spread), "high_variance": (variance > most_variance, variance)}
+    chosen = {CONFIDENCE_ONLY: zone, ENTROPY_ONLY: figures["high_entropy"][0], HYBRID: reduce(lambda x, y: x | y, [test for test, _ in figures.values()], zone)}
     return {
-        "max_score": best,
+        "max_score": site,
         "score_entropy": entropy,
-        "score_spread": best - second,
+        "score_spread": spread,
         "score_variance": variance,
-        "is_uncertain": tests["confidence"] | tests["entropy"] | tests["spread"] | tests["variance"],
-        "reasons": F.concat_ws(";", *(F.when(v, k) for k, v in tests.items())),
+        "is_uncertain": chosen[strategy],
+        "reasons": F.concat_ws(";", F.when(zone, "confidence_zone"), *(F.when(test, F.format_string(f"{name}(%.3f)", F.round(x, 3))) for name, (test, x) in figures.items())),
     }
 
 

@@ -71,9 +71,9 @@ def variant_end(position: Column, ref: Column, alt: Column) -> Column:
 
 
 def record_class(ref: Column, alt: Column) -> Column:
-    """SNV, deletion, insertion or complex of alleles as a record has them."""
+    """SNV, deletion, insertion or complex of alleles as a record has them; unknown without an alternative (`.`)."""
     r, a = F.length(ref), F.length(alt)
-    return F.when((r == 1) & (a == 1), "SNV").when(r > a, "deletion").when(r < a, "insertion").otherwise("complex")
+    return F.when(alt == ".", "unknown").when((r == 1) & (a == 1), "SNV").when(r > a, "deletion").when(r < a, "insertion").otherwise("complex")
 
 
 def info_map(info: Column) -> Column:

@@ -87,7 +87,7 @@ def evaluate(scores: DataFrame, sites: DataFrame, key: str, key_type: str, score
     order = [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), F.col("position").cast("string"))), F.col("position")]
     if tn_mode != RANDOM:
         at = F.when(F.col("pred_type").isin("TP", "FP"), F.col("position"))
-        below, above = F.max(at).over(along.rangeBetween(Window.unboundedPreceding, 0)), F.min(at).over(along.rangeBetween(0, Window.unboundedFollowing))
+        below, above = F.max(at).over(along.rangeBetween(Window.unboundedPreceding, 0)), F.min(at).over(Window.partitionBy(key).orderBy(F.col("position").desc()).rangeBetween(Window.unboundedPreceding, 0))
         marked = marked.withColumn("gap", F.least(F.col("position") - below, above - F.col("position")))
     if tn_mode == PROXIMITY:
         order = [F.col("gap"), *(F.when(F.col("gap").isNull(), x) for x in order), F.col("position")]

@@ -64,7 +64,7 @@ def near_semi(left: DataFrame, right: DataFrame, on: Sequence[str], tolerance: i
 
 def next_position(rows: DataFrame, by: Sequence[str], from_: Column, to: Column, at: str = "position") -> DataFrame:
     """Rows where from_ holds, with next_position: the smallest later position of their group where `to` holds; rows without one go."""
-    after = Window.partitionBy(*by).orderBy(at).rangeBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*by).orderBy(F.col(at).desc()).rangeBetween(Window.unboundedPreceding, -1)  # a frame that ends at the last row would be read anew for each row
     found = rows.withColumn("next_position", F.min(F.when(to, F.col(at))).over(after))
     return found.filter(from_ & F.col("next_position").isNotNull())
 

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scores
 from ..functions.stats import chi2_tail, normal_tail, student_quantile, student_tail, tail
 from .ranks import least_from, running, with_mean_rank
 
@@ -277,6 +278,14 @@ def tune(rows: DataFrame, masks: dict[str, Column], target: float) -> DataFrame:
     return one.select(F.array_min(each).alias("x")).select("x.mask", "x.rate")
 
 
+def tune_uncertainty(rows: DataFrame, donor: Column, acceptor: Column, neither: Column, target: float = 0.1, entropies: Sequence[float] = (0.4, 0.5, 0.6, 0.7, 0.8), spreads: Sequence[float] = (0.1, 0.15, 0.2, 0.25, 0.3), highs: Sequence[float] = (0.7, 0.75, 0.8, 0.85, 0.9), **limits: object) -> DataFrame:
+    """(entropy, spread, high, rate): the limits whose share of uncertain rows is closest to the target, the first of equal ones in this order."""
+    grid = [(e, s, h) for e in entropies for s in spreads for h in highs]
+    masks = {f"{e}|{s}|{h}": scores.uncertainty(donor, acceptor, neither, high=h, most_entropy=e, least_spread=s, **limits)["is_uncertain"] for e, s, h in grid}
+    parts = F.split("mask", "[|]")
+    return tune(rows, masks, target).select(*(parts[k].cast("double").alias(name) for k, name in enumerate(("entropy", "spread", "high"))), "rate")
+
+
 def average_blocks(rows: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Means of predictions that overlapping blocks made for the same place."""
     return rows.groupBy(*by).agg(*(F.avg(c).alias(c) for c in columns))

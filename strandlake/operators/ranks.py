@@ -31,9 +31,9 @@ def least_from(values: DataFrame, col: str, of: str, name: str, parts: int = 64)
     """values with `name`: the least `of` among this value of col and all larger ones."""
     marked = values.withColumn("bucket", _bucket(values, col, parts))
     least = marked.groupBy("bucket").agg(F.min(of).alias("m"))
-    later = Window.orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
     beyond = least.select("bucket", F.min("m").over(later).alias("beyond"))
-    inside = Window.partitionBy("bucket").orderBy(col).rowsBetween(0, Window.unboundedFollowing)
+    inside = Window.partitionBy("bucket").orderBy(F.col(col).desc()).rowsBetween(Window.unboundedPreceding, 0)
     return marked.join(F.broadcast(beyond), "bucket").withColumn(name, F.least(F.min(of).over(inside), "beyond")).drop("bucket", "beyond")
 
 

@@ -122,34 +122,12 @@ def delta_sites(rows: DataFrame, threshold: float = 0.2, high: float = 0.8, midd
     return out.withColumn("category", F.when(F.col("delta_score") >= high, "high").when(F.col("delta_score") >= middle, "moderate").otherwise("low"))
 
 
-def _next(by: Sequence[str], col: str) -> Column:
-    return F.lead(col).over(Window.partitionBy(*by).orderBy("position", "site_type"))
-
-
-def _with_next(sites: DataFrame, by: Sequence[str]) -> DataFrame:
-    return sites.withColumns({f"next_{c}": _next(by, c) for c in ("site_type", "position", "is_canonical", "is_suppressed", "is_activated")})
-
-
-def skipped_exons(sites: DataFrame, by: Sequence[str], least: int = 1, most: int = 10_000) -> DataFrame:
-    """Consecutive acceptor and donor, both canonical and suppressed, at an exon's distance."""
-    s = _with_next(sites, by)
-    size = F.col("next_position") - F.col("position")
-    both = F.col("is_canonical") & F.col("next_is_canonical") & F.col("is_suppressed") & F.col("next_is_suppressed")
-    return s.filter((F.col("site_type") == "acceptor") & (F.col("next_site_type") == "donor") & both & size.between(least, most)).select(*by, F.col("position").alias("exon_start"), F.col("next_position").alias("exon_end"), size.alias("exon_size"))
-
-
-def retained_introns(sites: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Consecutive donor and acceptor that are both suppressed."""
-    s = _with_next(sites, by)
-    return s.filter((F.col("site_type") == "donor") & (F.col("next_site_type") == "acceptor") & F.col("is_suppressed") & F.col("next_is_suppressed")).select(*by, F.col("position").alias("intron_start"), F.col("next_position").alias("intron_end"))
-
-
 def nearest_of(rows: DataFrame, by: Sequence[str], mark: Column, at: str = "position") -> DataFrame:
     """rows with nearest_marked: the closest position of the group where mark holds (the lower of two), itself included."""
     w = Window.partitionBy(*by).orderBy(at)
     marked = F.when(mark, F.col(at))
     below = F.max(marked).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    above = F.min(marked).over(w.rangeBetween(0, Window.unboundedFollowing))
+    above = F.min(marked).over(Window.partitionBy(*by).orderBy(F.col(at).desc()).rangeBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("nearest_marked", F.when(above.isNull() | (F.col(at) - below <= above - F.col(at)), below).otherwise(above))
 
 
@@ -165,15 +143,6 @@ def clusters(sites: DataFrame, by: Sequence[str], reach: int) -> DataFrame:
     return s.groupBy(*by, "cluster").agg(F.count("*").alias("n"), F.min("position").alias("first_position"), F.max("position").alias("last_position"))
 
 
-def complex_patterns(sites: DataFrame, by: Sequence[str], reach: int, least: int = 3, activated: int = 2, suppressed: int = 2) -> DataFrame:
-    """The clusters with at least `least` sites, of which so many are activated and suppressed, each with these counts."""
-    w = Window.partitionBy(*by).orderBy("position")
-    fresh = F.coalesce((F.col("position") - F.lag("position").over(w) > reach).cast("long"), F.lit(1).cast("long"))
-    s = sites.withColumn("fresh", fresh).withColumn("cluster", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = s.groupBy(*by, "cluster").agg(F.count("*").alias("n"), F.count_if("is_activated").alias("n_activated"), F.count_if("is_suppressed").alias("n_suppressed"), F.min("position").alias("first_position"), F.max("position").alias("last_position"))
-    return out.filter((F.col("n") >= least) & (F.col("n_activated") >= activated) & (F.col("n_suppressed") >= suppressed))
-
-
 def score_batches(rows: DataFrame, model, columns: Sequence[str], schema: str) -> DataFrame:
     """rows through an opaque model: model(frame of columns) gives a frame of the schema, batch by batch."""
 

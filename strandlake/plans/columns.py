@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import coords, scores, sequences, variants
-from ..operators import tables
+from ..operators import metrics, tables
 from ..sources.annotation import with_attributes
 from ..sources.variants import with_splice_impact
 from .registry import longs, query, r6, rounded
@@ -90,12 +90,33 @@ def inference_differences(v: Views) -> DataFrame:
     return v.positions.select("order_id", "line_id", *r6(**scores.inference_differences(*_dan())))
 
 
-@query("""select gene_id, position, round(best, 6) as max_score, round(case when t > 0 then (e(d / t) + e(a / t) + e(n / t)) / ln(3.0) else 0 end, 6) as score_entropy,
-  round(best - (t - best - least(d, a, n)), 6) as score_spread
-  from (select gene_id, position, donor_score as d, acceptor_score as a, neither_score as n, donor_score + acceptor_score + neither_score as t, greatest(donor_score, acceptor_score, neither_score) as best from pos1)""".replace("e(d / t)", "case when d / t > 0 then -d / t * ln(d / t) else 0 end").replace("e(a / t)", "case when a / t > 0 then -a / t * ln(a / t) else 0 end").replace("e(n / t)", "case when n / t > 0 then -n / t * ln(n / t) else 0 end"))
+def _uncertain(entropy: str, spread: str, high: str) -> str:
+    return f"(site >= 0.02 and site < {high}) or score_entropy > {entropy} or score_spread < {spread} or score_variance > 0.08"
+
+
+_UNCERTAIN = """doubts as (
+  select *, greatest(d, a) as site, case when t > 0 then (e(d) + e(a) + e(n)) / ln(3.0) else 0 end as score_entropy, best - (t - best - least(d, a, n)) as score_spread,
+    ((d - t / 3) * (d - t / 3) + (a - t / 3) * (a - t / 3) + (n - t / 3) * (n - t / 3)) / 3 as score_variance
+  from (select gene_id, position, donor_score as d, acceptor_score as a, neither_score as n, donor_score + acceptor_score + neither_score as t, greatest(donor_score, acceptor_score, neither_score) as best from pos1)
+)"""
+for _x in "dan":
+    _UNCERTAIN = _UNCERTAIN.replace(f"e({_x})", f"-greatest({_x} / t, 1e-10) * ln(greatest({_x} / t, 1e-10))")
+
+
+@query(f"""select gene_id, position, round(site, 6) as max_score, round(score_entropy, 6) as score_entropy, round(score_spread, 6) as score_spread, round(score_variance, 6) as score_variance, {_uncertain('0.6', '0.2', '0.8')} as is_uncertain,
+  concat_ws(';', case when site >= 0.02 and site < 0.8 then 'confidence_zone' end, case when score_entropy > 0.6 then 'high_entropy(' || printf('%.3f', round(score_entropy, 3)) || ')' end,
+    case when score_spread < 0.2 then 'low_spread(' || printf('%.3f', round(score_spread, 3)) || ')' end, case when score_variance > 0.08 then 'high_variance(' || printf('%.3f', round(score_variance, 3)) || ')' end) as reasons from doubts""", _UNCERTAIN)
 def uncertainty(v: Views) -> DataFrame:
     u = scores.uncertainty(*_dan())
-    return v.pos1.select("gene_id", "position", *r6(max_score=u["max_score"], score_entropy=u["score_entropy"], score_spread=u["score_spread"]))
+    return v.pos1.select("gene_id", "position", *r6(**{k: u[k] for k in ("max_score", "score_entropy", "score_spread", "score_variance")}), u["is_uncertain"].alias("is_uncertain"), u["reasons"].alias("reasons"))
+
+
+@query(f"""select entropy::double as entropy, spread::double as spread, high::double as high, round(rate, 6) as rate from (
+  select entropy, spread, high, avg(case when {_uncertain('entropy', 'spread', 'high')} then 1.0 else 0 end) as rate from doubts, (values (0.4), (0.5), (0.6), (0.7), (0.8)) e(entropy), (values (0.1), (0.15), (0.2), (0.25), (0.3)) s(spread), (values (0.7), (0.75), (0.8), (0.85), (0.9)) h(high) group by all)
+  order by round(abs(rate - 0.6), 12), 1, 2, 3 limit 1""", _UNCERTAIN)
+def adaptive_thresholds(v: Views) -> DataFrame:
+    """The limits of the grid whose share of uncertain positions is closest to six in ten."""
+    return rounded(metrics.tune_uncertainty(v.pos1, *_dan(), target=0.6), "rate")
 
 
 @query("""select k as threshold, cast(count(*) filter (where greatest(donor_score, acceptor_score) >= k / 10.0 and greatest(donor_score, acceptor_score) < 0.8) as bigint) as n
@@ -277,12 +298,13 @@ def filter_cascade_counts(v: Views) -> DataFrame:
 
 
 @query("""select splice_mechanism, splice_confidence, cast(count(*) as bigint) as n from (
-  select case when p = 0 then 'donor_loss' when p = 1 then 'region' when p = 2 then 'intronic' else 'none' end as splice_mechanism, case when p = 0 then 'high' when p = 1 then 'medium' when p = 2 then 'low' else 'none' end as splice_confidence
-  from (select POS % 4 as p from variants)) group by all""")
+  select ['direct_splice_site', 'exonic_boundary_effect', 'polypyrimidine_tract_effect', 'intronic_cryptic_site', 'exonic_ese_ess_effect', 'exonic_extended_region', 'utr_regulatory_effect', 'structural_splice_effect', 'indirect_splice_effect', 'keyword_based_detection', 'none', 'direct_splice_site'][p + 1] as splice_mechanism,
+    ['high', 'high', 'high', 'medium', 'low', 'low', 'low', 'low', 'low', 'low', 'none', 'high'][p + 1] as splice_confidence
+  from (select POS % 12 as p from variants)) group by all""")
 def splice_mechanism(v: Views) -> DataFrame:
-    p = F.pmod("POS", F.lit(4))
-    text = F.when(p == 0, "MC=splice_donor_variant").when(p == 1, "MC=Splice_Region_variant").when(p == 2, "MC=intron_variant").otherwise("MC=missense")
-    rows = with_splice_impact(v.variants.withColumn("so", text), F.col("so"))
+    texts = ["MC=SO:0001575", "MC=Splice_Region_variant|missense_variant", "so:0001629,intron_variant", "stop_lost|SO:0001627", "synonymous_variant|5_prime_UTR_variant", "splice_donor_5th_base_variant|inframe_insertion", "3_prime_utr_variant", "SO:0001821", "Start_Lost", "branch_point", "AF=0.1", "intron_variant&splice_acceptor_variant"]
+    text = F.element_at(F.array(*map(F.lit, texts)), (F.pmod("POS", F.lit(len(texts))) + 1).cast("int"))
+    rows = with_splice_impact(v.variants.withColumn("so", text), F.col("so"), F.lit("."))
     return rows.groupBy("splice_mechanism", "splice_confidence").agg(F.count("*").alias("n"))
 
 

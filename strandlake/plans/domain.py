@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, metrics, registry, sampling, sites, tables, validate, windows
+from ..operators import evaluate, metrics, patterns, registry, sampling, sites, tables, validate, windows
 from ..streaming import events as streams
 from .registry import longs, query, r6, rounded
 from .views import Views
@@ -205,33 +205,65 @@ def delta_to_sites(v: Views) -> DataFrame:
     return rounded(out.select(key[0].cast("long").alias("order_id"), key[1].cast("long").alias("line_id"), "POS", "site_type", "event", "delta_score", "position", "category"), "delta_score")
 
 
-_NEXT = """nx as (select *, lead(site_type) over w as nt, lead(position) over w as np, lead(is_canonical) over w as nc, lead(is_suppressed) over w as ns from sites window w as (partition by gene_id order by position, site_type))"""
+#: Sites with changes: canonical or cryptic ones that are raised or lowered, or stay as they are; the factor keeps rounded figures off halves.
+_CHANGED = """changed as (
+  select gene_id, (position + case when site_type = 'donor' then 0 else position % 3 end) as position, site_type, case when is_suppressed then -score when score > 0.05 then score else 0.0 end * 0.7310585 as delta_score, is_canonical, not is_canonical as is_cryptic from sites
+), nx as (
+  select *, lead(site_type) over w as nt, lead(position) over w as np, lead(delta_score) over w as nd, lead(is_canonical) over w as nc from changed window w as (partition by gene_id order by position, site_type)
+), pair_down as (
+  select * from nx where is_canonical and nc and delta_score < 0 and nd < 0
+)"""
 
 
-@query("select gene_id, position as exon_start, np as exon_end, np - position as exon_size from nx where site_type = 'acceptor' and nt = 'donor' and is_canonical and nc and is_suppressed and ns", _NEXT)
+def _changed(v: Views) -> DataFrame:
+    at = F.col("position") + F.when(F.col("site_type") == "donor", 0).otherwise(F.col("position") % 3)
+    delta = F.when(F.col("is_suppressed"), -F.col("score")).when(F.col("score") > 0.05, F.col("score")).otherwise(0.0) * 0.7310585
+    return v.sites.select("gene_id", at.alias("position"), "site_type", delta.alias("delta_score"), "is_canonical", (~F.col("is_canonical")).alias("is_cryptic"))
+
+
+def _severity_sql(deltas: str) -> str:
+    sizes = f"list_transform(list_filter([{deltas}], lambda x: x is not null), lambda x: abs(x))"
+    return f"(list_max({sizes}) + list_avg({sizes})) / 2"
+
+
+@query(f"""select gene_id, position as exon_start, np as exon_end, np - position as exon_size, up.position as upstream_donor, dn.position as downstream_acceptor, len(list_filter([up.position, dn.position], lambda x: x is not null)) + 2 as num_sites, round(severity, 6) as severity,
+  round(least(1.0, least(1.0, severity) * case when abs(delta_score) > 0.5 and abs(nd) > 0.5 then 1.2 else 1 end), 6) as confidence from (
+  select *, {_severity_sql('delta_score, nd, up.delta_score, dn.delta_score')} as severity from (
+    select p.*, (select case when c.delta_score > 0 then {{'position': c.position, 'delta_score': c.delta_score}} end from changed c where c.gene_id = p.gene_id and c.site_type = 'donor' and c.position < p.position order by c.position desc limit 1) as up,
+      (select case when c.delta_score > 0 then {{'position': c.position, 'delta_score': c.delta_score}} end from changed c where c.gene_id = p.gene_id and c.site_type = 'acceptor' and c.position > p.np order by c.position limit 1) as dn
+    from pair_down p where site_type = 'acceptor' and nt = 'donor' and np - position between 5 and 5000))""", _CHANGED)
 def exon_skip_pattern(v: Views) -> DataFrame:
-    return sites.skipped_exons(v.sites, ["gene_id"])
+    return rounded(patterns.skipped_exons(_changed(v), ["gene_id"], least=5), "severity", "confidence")
 
 
-@query("select gene_id, position as intron_start, np as intron_end from nx where site_type = 'donor' and nt = 'acceptor' and is_suppressed and ns", _NEXT)
+@query(f"""select gene_id, position as intron_start, np as intron_end, np - position as intron_size, round(severity, 6) as severity, round(least(1.0, severity), 6) as confidence from (select *, {_severity_sql('delta_score, nd')} as severity from pair_down where site_type = 'donor' and nt = 'acceptor')""", _CHANGED)
 def intron_retention(v: Views) -> DataFrame:
-    return sites.retained_introns(v.sites, ["gene_id"])
+    return rounded(patterns.retained_introns(_changed(v), ["gene_id"]), "severity", "confidence")
 
 
-@query("select a.gene_id, a.position as activated, b.position as suppressed from sites a join sites b on a.gene_id = b.gene_id and a.site_type = b.site_type and a.is_activated and b.is_suppressed and abs(a.position - b.position) <= 30")
+@query(f"""select gene_id, case site_type when 'donor' then 'alternative_5ss' else 'alternative_3ss' end as pattern_type, canonical_position, alternative_position, alternative_position - canonical_position as shift, round(severity, 6) as severity, round(least(1.0, severity), 6) as confidence from (
+  select a.gene_id, a.site_type, a.position as canonical_position, b.position as alternative_position, {_severity_sql('a.delta_score, b.delta_score')} as severity
+  from changed a join changed b on a.gene_id = b.gene_id and a.site_type = b.site_type and a.is_canonical and a.delta_score < 0 and b.delta_score > 0 and abs(a.position - b.position) <= 30)""", _CHANGED)
 def alt_site_pairs(v: Views) -> DataFrame:
-    from ..operators.joins import band_join
+    return rounded(patterns.alternative_sites(_changed(v), ["gene_id"], 30), "severity", "confidence")
 
-    a = v.sites.filter("is_activated").select("gene_id", "site_type", F.col("position"))
-    b = v.sites.filter("is_suppressed").select("gene_id", "site_type", F.col("position"))
-    return band_join(a, b, ["gene_id", "site_type"], 30).select("gene_id", F.col("position").alias("activated"), F.col("position_r").alias("suppressed"))
 
-
-@query("""select gene_id, position, case when above is null or position - below <= above - position then below else above end as nearest_marked from (select *, max(case when is_canonical then position end) over (partition by gene_id order by position) as below,
-  min(case when is_canonical then position end) over (partition by gene_id order by position range between current row and unbounded following) as above from sites) where is_activated""")
+@query(f"""select gene_id, case when delta_score > 0 then 'cryptic_activation' else 'cryptic_suppression' end as pattern_type, cryptic_position, site_type, near.position as canonical_position, case when near is null then 1 else 2 end::bigint as num_sites, round(severity, 6) as severity,
+  round(least(1.0, least(1.0, severity) * case when delta_score > 0.8 then 1.15 else 1 end), 6) as confidence from (select *, {_severity_sql('delta_score, near.delta_score')} as severity from (
+    select gene_id, site_type, position as cryptic_position, delta_score, (select {{'position': c.position, 'delta_score': c.delta_score}} from changed c where c.gene_id = p.gene_id and c.site_type = p.site_type and c.is_canonical order by abs(c.position - p.position), c.position limit 1) as near
+    from changed p where is_cryptic and abs(delta_score) >= 0.2))""", _CHANGED)
 def cryptic_nearest(v: Views) -> DataFrame:
-    rows = sites.nearest_of(v.sites, ["gene_id"], F.col("is_canonical"))
-    return rows.filter("is_activated").select("gene_id", "position", "nearest_marked")
+    return rounded(patterns.cryptic_sites(_changed(v), ["gene_id"]), "severity", "confidence")
+
+
+@query("""select pattern_type, cast(count(*) as bigint) as n from (
+  select 'exon_skipping' as pattern_type from pair_down where site_type = 'acceptor' and nt = 'donor' and np - position between 50 and 5000
+  union all select 'intron_retention' from pair_down where site_type = 'donor' and nt = 'acceptor'
+  union all select case a.site_type when 'donor' then 'alternative_5ss' else 'alternative_3ss' end from changed a join changed b on a.gene_id = b.gene_id and a.site_type = b.site_type and a.is_canonical and a.delta_score < 0 and b.delta_score > 0 and abs(a.position - b.position) <= 300
+  union all select case when delta_score > 0 then 'cryptic_activation' else 'cryptic_suppression' end from changed where is_cryptic and abs(delta_score) >= 0.2) group by 1""", _CHANGED)
+def ranked_patterns(v: Views) -> DataFrame:
+    """All patterns but the complex ones, which SQL can't put together, by kind."""
+    return patterns.ranked_patterns(_changed(v), ["gene_id"]).filter("pattern_type <> 'complex_pattern'").groupBy("pattern_type").agg(F.count("*").alias("n"))
 
 
 @query("""select gene_id, cluster, cast(count(*) as bigint) as n, min(position) as first_position, max(position) as last_position from (select *, cast(sum(fresh) over (partition by gene_id order by position) as bigint) as cluster from (
@@ -314,10 +346,24 @@ def kmer_features(v: Views) -> DataFrame:
     return rounded(tables.kmer_features(v.seqs, "id", "sequence", [2], least=5).select("id", "2mer_AC", "2mer_GT", "gc_content"), "gc_content")
 
 
-@query("""select gene_id, cluster, n, n_activated, n_suppressed, first_position, last_position from (select gene_id, cluster, cast(count(*) as bigint) as n, cast(count(*) filter (where is_activated) as bigint) as n_activated, cast(count(*) filter (where is_suppressed) as bigint) as n_suppressed, min(position) as first_position, max(position) as last_position from (
-  select *, cast(sum(fresh) over (partition by gene_id order by position) as bigint) as cluster from (select *, case when position - lag(position) over (partition by gene_id order by position) <= 7 then 0 else 1 end as fresh from sites where score >= 0.1)) group by 1, 2) where n >= 3 and n_activated >= 2 and n_suppressed >= 2""")
+@query("""select gene_id, min(position) as first_position, max(position) as last_position, cast(count(*) as bigint) as num_sites, cast(count(*) filter (where delta_score > 0) as bigint) as activated, cast(count(*) filter (where delta_score < 0) as bigint) as suppressed,
+  case when count(*) filter (where site_type = 'donor') > 2 and count(*) filter (where site_type = 'acceptor') > 2 then 'multiple_exon_changes' when bool_or(not is_canonical) and bool_or(is_canonical) then 'mixed_canonical_cryptic' else 'unclassified_complex' end as subtype from members group by gene_id, root having count(distinct position) >= 3 and activated >= 2 and suppressed >= 2""", _CHANGED + """, runs as (
+  select gene_id, position, sign(delta_score) as sign, cast(sum(fresh) over (partition by gene_id, sign(delta_score) order by position) as bigint) as run from (select *, case when position - lag(position) over (partition by gene_id, sign(delta_score) order by position) <= 14 then 0 else 1 end as fresh from changed where delta_score <> 0)
+), ends as (
+  select distinct gene_id, sign, run, position from runs
+), linked as (
+  select a.gene_id, a.sign * 1000000 + a.run as a, b.sign * 1000000 + b.run as b from ends a join ends b on a.gene_id = b.gene_id and a.position = b.position group by all
+), reach(gene_id, a, b) as (
+  select gene_id, a, b from linked union select r.gene_id, r.a, l.b from reach r join linked l on r.gene_id = l.gene_id and r.b = l.a
+), roots as (
+  select gene_id, a, min(b) as root from reach group by 1, 2
+), places as (
+  select distinct e.gene_id, e.position, r.root from ends e join roots r on e.gene_id = r.gene_id and e.sign * 1000000 + e.run = r.a
+), members as (
+  select c.*, p.root from changed c join places p on c.gene_id = p.gene_id and c.position = p.position
+)""", recursive=True)
 def complex_patterns(v: Views) -> DataFrame:
-    return sites.complex_patterns(v.sites.filter("score >= 0.1"), ["gene_id"], 7)
+    return patterns.complex_groups(_changed(v), ["gene_id"], 14).drop("severity", "confidence")
 
 
 @query("""select cast(width_start as timestamp) as start, event_type, cast(count(*) as bigint) as n, round(sum(value), 4) as total from (select time_bucket(interval '1 day', ts) as width_start, event_type, value from events) group by all""")

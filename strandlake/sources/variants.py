@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,16 +11,44 @@ from pyspark.sql import functions as F
 from ..functions.variants import SIGNIFICANCE, first_contained, hgvs, info_map, intronic_site, record_class
 from .annotation import write_track
 
-# Sequence ontology terms of splicing, with mechanism and confidence, and looser words.
-SPLICE_TERMS = (
-    ("splice_donor_variant", "donor_loss", "high"),
-    ("splice_acceptor_variant", "acceptor_loss", "high"),
-    ("splice_donor_5th_base_variant", "donor_weakening", "medium"),
-    ("splice_region_variant", "region", "medium"),
-    ("splice_polypyrimidine_tract_variant", "tract", "medium"),
-    ("intron_variant", "intronic", "low"),
+# Sequence ontology terms of splicing by accession, first those of the strict mode, then the others.
+CORE_TERMS = (
+    ("SO:0001575", "splice_donor_variant"),
+    ("SO:0001574", "splice_acceptor_variant"),
+    ("SO:0001630", "splice_region_variant"),
+    ("SO:0001629", "splice_polypyrimidine_tract_variant"),
 )
-SPLICE_WORDS = ("splice", "splicing", "cryptic", "exon skipping", "intron retention")
+FURTHER_TERMS = (
+    ("SO:0001627", "intron_variant"),
+    ("SO:0002019", "start_lost"),
+    ("SO:0001624", "5_prime_UTR_variant"),
+    ("SO:0001623", "3_prime_UTR_variant"),
+    ("SO:0001583", "missense_variant"),
+    ("SO:0001819", "synonymous_variant"),
+    ("SO:0001587", "stop_gained"),
+    ("SO:0001578", "stop_lost"),
+    ("SO:0001968", "splice_donor_5th_base_variant"),
+    ("SO:0001969", "splice_donor_region_variant"),
+    ("SO:0001970", "splice_acceptor_region_variant"),
+    ("SO:0001822", "inframe_insertion"),
+    ("SO:0001821", "inframe_deletion"),
+)
+# Words that hint at splicing, and those that count in the permissive mode too.
+SPLICE_WORDS = ("splice", "donor", "acceptor", "intron", "exon", "splice_site", "canonical_splice", "cryptic_splice", "branch_point", "polypyrimidine", "splicing", "splice_region", "exon_boundary")
+BROAD_WORDS = ("variant", "mutation")
+# Mechanism and confidence of the first line of which a term is found.
+MECHANISMS = (
+    (("splice_donor_variant", "splice_acceptor_variant"), "direct_splice_site", "high"),
+    (("splice_region_variant",), "exonic_boundary_effect", "high"),
+    (("splice_polypyrimidine_tract_variant",), "polypyrimidine_tract_effect", "high"),
+    (("intron_variant",), "intronic_cryptic_site", "medium"),
+    (("missense_variant", "synonymous_variant", "stop_gained", "stop_lost"), "exonic_ese_ess_effect", "low"),
+    (("splice_donor_region_variant", "splice_acceptor_region_variant", "splice_donor_5th_base_variant"), "exonic_extended_region", "low"),
+    (("5_prime_UTR_variant", "3_prime_UTR_variant"), "utr_regulatory_effect", "low"),
+    (("inframe_insertion", "inframe_deletion"), "structural_splice_effect", "low"),
+)
+INDIRECT, BY_WORD = ("indirect_splice_effect", "low"), ("keyword_based_detection", "low")
+STRICT, COMPREHENSIVE, PERMISSIVE = "strict", "comprehensive", "permissive"
 
 
 def read_vcf(spark: SparkSession, path: str, info: Sequence[str] = (), first_alt_only: bool = False) -> DataFrame:
@@ -37,16 +66,30 @@ def read_vcf(spark: SparkSession, path: str, info: Sequence[str] = (), first_alt
     return with_splice_impact(rows.withColumn("variant_type", record_class(F.col("ref"), F.col("alt"))), F.col("info"))
 
 
-def with_splice_impact(rows: DataFrame, text: Column) -> DataFrame:
-    """splice_terms, affects_splicing, and mechanism and confidence of the first term found."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    terms = F.array_compact(F.array(*(F.when(low.contains(t), t) for t, _, _ in SPLICE_TERMS)))
-    word = F.lit(False)
-    for w in SPLICE_WORDS:
-        word = word | low.contains(w)
-    mechanism = first_contained(low, tuple((t, m) for t, m, _ in SPLICE_TERMS), "none")
-    trust = first_contained(low, tuple((t, c) for t, _, c in SPLICE_TERMS), "none")
-    return rows.withColumns({"splice_terms": terms, "affects_splicing": (F.size(terms) > 0) | word, "splice_mechanism": mechanism, "splice_confidence": trust})
+def with_splice_impact(rows: DataFrame, *texts: Column, mode: str = COMPREHENSIVE) -> DataFrame:
+    """splice_terms (accessions), affects_splicing, splice_mechanism and splice_confidence by what the texts name.
+
+    A term is found by accession or name in any case. Without one, a word is enough in all modes but STRICT, which knows the
+    core terms alone. A text that is null or `.` names nothing; rows without terms and words have mechanism and confidence
+    `none`.
+    """
+    if mode not in (STRICT, COMPREHENSIVE, PERMISSIVE):
+        raise ValueError(f"no such mode: {mode}")
+    low = [F.when(t != ".", F.lower(t)) for t in texts]
+
+    def has(*words: str) -> Column:
+        return F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(t.contains(w.lower()), F.lit(False)) for t in low for w in words], F.lit(False)), F.lit(False))
+
+    terms = CORE_TERMS if mode == STRICT else CORE_TERMS + FURTHER_TERMS
+    found = {name: has(accession, name) for accession, name in terms}
+    word = F.lit(False) if mode == STRICT else has(*SPLICE_WORDS, *(BROAD_WORDS if mode == PERMISSIVE else ()))
+    known = reduce(lambda a, b: a | b, found.values())
+    mechanism, trust = (F.when(known, INDIRECT[k]).when(word, BY_WORD[k]).otherwise("none") for k in (0, 1))
+    for names, *what in reversed(MECHANISMS):
+        here = reduce(lambda a, b: a | b, [found[n] for n in names if n in found], F.lit(False))
+        mechanism, trust = (F.when(here, what[k]).otherwise(x) for k, x in enumerate((mechanism, trust)))
+    named = F.array_compact(F.array(*(F.when(found[name], accession) for accession, name in terms)))
+    return rows.withColumns({"splice_terms": named, "affects_splicing": known | word, "splice_mechanism": mechanism, "splice_confidence": trust})
 
 
 def read_mutations(spark: SparkSession, path: str, hgvs_col: str, significance_col: str) -> DataFrame:

@@ -96,7 +96,7 @@ def test_delimited(spark, tmp_path):
 def test_vcf(spark, tmp_path):
     text = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n1\t10\trs1\tA\tG,T\t50\tPASS\tAF=0.1;MC=splice_donor_variant\n2\t7\t.\tAC\tA\t.\t.\tCLNSIG=Benign\nbad line\n"
     rows = va.read_vcf(spark, put(tmp_path / "v.vcf", text), ["AF", "CLNSIG"]).orderBy("chrom", "alt").collect()
-    assert [(r.chrom, r.pos, r.alt, r.INFO_AF, r.INFO_CLNSIG, r.variant_type, r.affects_splicing, r.splice_mechanism) for r in rows] == [("1", 10, "G", "0.1", None, "SNV", True, "donor_loss"), ("1", 10, "T", "0.1", None, "SNV", True, "donor_loss"), ("2", 7, "A", None, "Benign", "deletion", False, "none")]
+    assert [(r.chrom, r.pos, r.alt, r.INFO_AF, r.INFO_CLNSIG, r.variant_type, r.affects_splicing, r.splice_mechanism) for r in rows] == [("1", 10, "G", "0.1", None, "SNV", True, "direct_splice_site"), ("1", 10, "T", "0.1", None, "SNV", True, "direct_splice_site"), ("2", 7, "A", None, "Benign", "deletion", False, "none")]
     va.write_vcf(spark.createDataFrame([("1", 3, "a", "A", "C", None, "PASS", "X=1")], "chrom string, pos long, id string, ref string, alt string, qual double, filter string, info string"), f"{tmp_path}/out")
     assert [r.value for r in spark.read.text(f"{tmp_path}/out").collect()][2:] == ["1\t3\ta\tA\tC\t.\tPASS\tX=1"]
 
