@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, metrics, patterns, registry, sampling, sites, tables, validate, windows
+from ..session import scratch_dir
 from ..streaming import events as streams
+from ..streaming import peaks
 from .registry import longs, query, r6, rounded
 from .views import Views
 
@@ -377,6 +379,29 @@ def session_window(v: Views) -> DataFrame:
     return streams.sessions(v.table("events")).select("user_id", "start", "n")
 
 
+_PEAKS = """apart as (
+  select *, sum(fresh) over (partition by user_id order by ts, event_id) as s from (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval '2 hours' then 0 else 1 end as fresh from events)
+)"""
+_PEAK_SQL = """select user_id, cast(min(ts) as timestamp) as start, cast(max(ts) as timestamp) as "end", cast(count(*) as bigint) as n, max(value) as peak, cast(arg_max(ts, {'v': value, 'late': -epoch_us(ts)}) as timestamp) as peak_at from apart group by user_id, s"""
+
+
+@query(_PEAK_SQL, _PEAKS)
+def session_peaks(v: Views) -> DataFrame:
+    return peaks.session_peaks(v.table("events"))
+
+
+@query(_PEAK_SQL, _PEAKS)
+def session_peaks_streamed(v: Views) -> DataFrame:
+    """The same by a stream over files of the table and a row far ahead, which closes the last sessions."""
+    folder = scratch_dir(v.spark, "stream")
+    rows = v.table("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    ahead = rows.agg(F.lit(-1).cast("long").alias("user_id"), (F.max("ts") + F.expr("interval 30 days")).alias("ts"), F.lit(0.0).alias("value"))
+    rows.unionByName(ahead).write.parquet(f"{folder}/in")
+    stream = peaks.session_peaks(streams.read_events(v.spark, f"{folder}/in", files_a_trigger=1_000_000))
+    streams.to_table(stream, f"{folder}/out", f"{folder}/check").awaitTermination()
+    return v.spark.read.schema(peaks.OUT).parquet(f"{folder}/out")
+
+
 @query("select user_id, cast(count(value) as bigint) as n, round(avg(value), 4) as mean, round(var_pop(value), 2) as variance, round(min(value), 4) as least, round(max(value), 4) as most from events group by user_id")
 def running_stats(v: Views) -> DataFrame:
     rows = streams.running_stats(v.table("events"))
