@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.stats import chi2_tail, normal_tail, student_quantile, student_tail, tail
+from .orderstats import quantiles
 from .ranks import least_from, running, with_mean_rank
 
 TYPES = ("TP", "FP", "FN", "TN")
@@ -167,9 +168,11 @@ def describe(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     aggs = []
     for c in columns:
         x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}|n"), F.count_if(x.isNull()).alias(f"{c}|nulls"), F.countDistinct(x).alias(f"{c}|distinct"), F.min(x).alias(f"{c}|min"), F.max(x).alias(f"{c}|max"), F.avg(x).alias(f"{c}|mean"), F.stddev_samp(x).alias(f"{c}|std"), *(F.percentile(x, F.lit(q)).alias(f"{c}|p{int(q * 100)}") for q in (0.25, 0.5, 0.75))]
+        aggs += [F.count(x).alias(f"{c}|n"), F.count_if(x.isNull()).alias(f"{c}|nulls"), F.countDistinct(x).alias(f"{c}|distinct"), F.min(x).alias(f"{c}|min"), F.max(x).alias(f"{c}|max"), F.avg(x).alias(f"{c}|mean"), F.stddev_samp(x).alias(f"{c}|std")]
+    exact = quantiles(rows, {c: F.col(c).cast("double") for c in columns}, (0.25, 0.5, 0.75))
     parts = ("n", "nulls", "distinct", "min", "max", "mean", "std", "p25", "p50", "p75")
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), *(F.col(f"`{c}|{k}`").alias(k) for k in parts)) for c in columns)))
+    known = {f"{c}|{k}": F.lit(x).cast("double") for c, values in exact.items() for k, x in zip(("p25", "p50", "p75"), values, strict=True)}
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), *(known.get(f"{c}|{k}", F.col(f"`{c}|{k}`") if not k.startswith("p") else F.lit(None)).alias(k) for k in parts)) for c in columns)))
     return rows.agg(*aggs).select(each.alias("x")).select("x.*")
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .orderstats import first_by
+
 
 def hash_order(seed: int, *keys: str) -> Column:
     """A text that orders rows at random, the same in every engine that knows md5."""
@@ -14,8 +16,8 @@ def hash_order(seed: int, *keys: str) -> Column:
 
 
 def sample_rows(rows: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
-    """n rows."""
-    return rows.orderBy(hash_order(seed, *keys), *keys).limit(n)
+    """Exactly n rows, or all."""
+    return first_by(rows, n, hash_order(seed, *keys), keys)
 
 
 def sample_strata(rows: DataFrame, by: Sequence[str], keys: Sequence[str], n: int | None = None, share: float = 1.0, least: int = 0, most: int | None = None, seed: int = 42) -> DataFrame:
@@ -40,15 +42,13 @@ def sample_groups(rows: DataFrame, group: str, most: int, seed: int = 42, slack:
 
 
 def thin_negatives(rows: DataFrame, by: Sequence[str], keys: Sequence[str], pred_type: str = "pred_type", at: str = "position", hard: float = 0.1, radius: int = 50, ratio: float = 1.0, seed: int = 42) -> DataFrame:
-    """All rows but TN, hard TN (score from `hard`), TN near another type, and of the easy TN `ratio` times as many as there are others."""
+    """All rows but TN, hard TN (score from `hard`), TN near another type, and of the easy TN exactly `ratio` times as many as there are others, or all."""
     near = F.count_if(F.col(pred_type) != "TN").over(Window.partitionBy(*by).orderBy(at).rangeBetween(-radius, radius)) > 0
     easy = (F.col(pred_type) == "TN") & (F.greatest("donor_score", "acceptor_score") < hard)
     rows = rows.withColumn("is_easy", easy & ~near)
-    others = rows.agg(F.count_if(F.col(pred_type) != "TN").alias("n_others"), F.count_if("is_easy").alias("n_easy"))
-    # The share of easy rows by the place of their hash: exact enough at any size, and no row order over all of them.
-    share = F.least(F.try_divide(F.col("n_others") * ratio, F.col("n_easy")), F.lit(1.0))
-    place = F.conv(F.substring(hash_order(seed, *keys), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    return rows.crossJoin(F.broadcast(others)).filter(~F.col("is_easy") | (place < share)).drop("is_easy", "n_others", "n_easy")
+    others = rows.filter(F.col(pred_type) != "TN").count()
+    easy_rows = first_by(rows.filter("is_easy"), int(ratio * others), hash_order(seed, *keys), keys)
+    return rows.filter(~F.col("is_easy")).unionByName(easy_rows).drop("is_easy")
 
 
 def fold_of(group: str, folds: int, seed: int = 42) -> Column:

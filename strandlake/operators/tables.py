@@ -7,9 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import sequences
-from pyspark.sql import types as T
+from .orderstats import quantiles
 
 # Groups of columns that a training table leaves out.
 LEAKAGE = ("splice_type", "pred_type", "true_position", "predicted_position")
@@ -128,9 +129,8 @@ def fill_nulls(rows: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     out = rows.withColumns(texts) if texts else rows
     if not numbers:
         return out
-    medians = rows.agg(*(F.median(c).alias(f"{c}|median") for c in numbers))
-    out = out.crossJoin(F.broadcast(medians))
-    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"`{c}|median`").cast(kinds[c]), F.lit(0).cast(kinds[c])) for c in numbers}).drop(*(f"{c}|median" for c in numbers))
+    medians = quantiles(rows, {c: F.col(c) for c in numbers}, [0.5])
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c][0]).cast(kinds[c]), F.lit(0).cast(kinds[c])) for c in numbers})
 
 
 def null_shares(rows: DataFrame) -> DataFrame:
@@ -182,5 +182,6 @@ def counts_by(rows: DataFrame, by: Sequence[str], col: str, values: Sequence[str
 
 def bins_by_quantile(rows: DataFrame, col: str, n: int) -> DataFrame:
     """rows with bin 0 to n: how many of the n + 1 quantile edges lie at or below the value, less 1."""
-    edges = rows.agg(F.percentile(col, F.array(*(F.lit(k / n) for k in range(n + 1)))).alias("edges"))
-    return rows.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col(col))) - 1).drop("edges")
+    edges = quantiles(rows, {col: F.col(col)}, [k / n for k in range(n + 1)])[col]
+    passed = [F.coalesce((F.col(col) >= e).cast("int"), F.lit(0)) for e in edges if e is not None]
+    return rows.withColumn("bin", reduce(lambda a, b: a + b, passed, F.lit(0)) - 1)

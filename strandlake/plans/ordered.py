@@ -119,10 +119,33 @@ def short_junctions(v: Views) -> DataFrame:
     return sites.all_junctions(s, ["gene_id"], 300)
 
 
-@query("""select order_id, line_id, gene_id, transcript_id, position, pred_type from (select *, pred_type = 'TN' and greatest(donor_score, acceptor_score) < 0.3 and not near as easy from (
-  select *, count(*) filter (where pred_type <> 'TN') over (partition by gene_id order by position range between 3 preceding and 3 following) > 0 as near from positions)) where not easy""", name="tn_downsample_kept")
+_EASY = """easy_rows as (
+  select *, pred_type = 'TN' and greatest(donor_score, acceptor_score) < 0.3 and not near as easy from (select *, count(*) filter (where pred_type <> 'TN') over (partition by gene_id order by position range between 3 preceding and 3 following) > 0 as near from positions)
+), numbered as (
+  select *, row_number() over (partition by easy order by md5('42|' || order_id || '|' || line_id || '|' || transcript_id || '|' || position), order_id, line_id, transcript_id, position) as k from easy_rows
+)"""
+
+
+@query("select order_id, line_id, gene_id, transcript_id, position, pred_type from easy_rows where not easy", _EASY, name="tn_downsample_kept")
+def tn_downsample_none(v: Views) -> DataFrame:
+    """No easy negatives at all."""
+    return _thinned(v, 0.0)
+
+
+@query("select order_id, line_id, gene_id, transcript_id, position, pred_type from numbered where not easy or k <= cast(floor((select count(*) from positions where pred_type <> 'TN') * 0.05) as bigint)", _EASY)
 def tn_downsample(v: Views) -> DataFrame:
-    rows = sampling.thin_negatives(v.positions, ["gene_id"], ["order_id", "line_id", "transcript_id", "position"], hard=0.3, radius=3, ratio=0.0)
+    """Exactly a twentieth as many easy negatives as there are other rows."""
+    return _thinned(v, 0.05)
+
+
+@query("select order_id, line_id, gene_id, transcript_id, position, pred_type from numbered where not easy or k <= (select count(*) from positions where pred_type <> 'TN')", _EASY)
+def tn_downsample_even(v: Views) -> DataFrame:
+    """As many easy negatives as there are other rows, or all."""
+    return _thinned(v, 1.0)
+
+
+def _thinned(v: Views, ratio: float) -> DataFrame:
+    rows = sampling.thin_negatives(v.positions, ["gene_id"], ["order_id", "line_id", "transcript_id", "position"], hard=0.3, radius=3, ratio=ratio)
     return rows.select("order_id", "line_id", "gene_id", "transcript_id", "position", "pred_type")
 
 
