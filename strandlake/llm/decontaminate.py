@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import chunks, every, if_small, mix64, park, shingle_hashes, span_hashes, table, text_buffer, unused, word_spans
+from .base import chunks, every, if_small, lean, mix64, park, shingle_hashes, span_hashes, table, text_buffer, unused, word_spans
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -226,6 +226,7 @@ def copied_items(text: Column | str, shared: Broadcast) -> Column:
     """HITS of each text: the items of the broadcast index that it copies, each with its best window (the first of equal ones)."""
 
     @F.arrow_udf(HITS)
+    @lean
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = shared.value
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("words", pa.int32()), ("bits", pa.int32()), ("similarity", pa.float64())]))

@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import SPACE, byte_map, chunks, every, mix64, park, shingle_hashes, span_hashes, table, text_buffer, unused, word_spans
+from .base import SPACE, byte_map, chunks, every, lean, mix64, park, shingle_hashes, span_hashes, table, text_buffer, unused, word_spans
 
 #: The least number of buckets, which is that of a corpus of so many bytes; four times the text has twice the buckets.
 LEAST_BUCKETS, LEAST_BYTES = 1 << 16, 64 << 20
@@ -159,6 +159,7 @@ def ngram_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     def batch(corpus: np.ndarray, good: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(at), pa.array(corpus), pa.array(good)], ["bucket", "corpus", "trusted"])
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, n), np.int64) if n <= DENSE else None
         for b in batches:
@@ -199,6 +200,7 @@ def _sums(text: Column, shared: Broadcast) -> Column:
     """What the ratios of a slice add to the sum of each text."""
 
     @F.arrow_udf("long")
+    @lean
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
             yield pa.array(base_counts(batch, shared.value)["llr"])
@@ -211,6 +213,7 @@ def _judge(text: Column, shared: Broadcast, further: Column, threshold: float) -
     counts = ",".join(f"{k}:long" for k in FIELDS)
 
     @F.arrow_udf(f"struct<{counts},llr:double,base_failed:boolean,kept:boolean>")
+    @lean
     def of(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for batch, more in texts:
             got = base_counts(batch, shared.value)
