@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -11,42 +11,73 @@ from conftest import SF_DIR
 from strandlake.llm import lang_id as li
 
 
-def brute_bits(train: list[bytes], text: bytes) -> float:
+def brute_bits(train: list[bytes], text: bytes, order: int = 4, least: int = 2) -> float:
     """The same code length, from nested counters."""
-    counts = [Counter(), Counter(), Counter()]
+    counts: dict[bytes, Counter] = defaultdict(Counter)
     for t in train:
-        p = b"\n\n" + t
-        for k in range(2, len(p)):
-            counts[2][p[k - 2 : k], p[k]] += 1
-            counts[1][p[k - 1 : k], p[k]] += 1
-            counts[0][b"", p[k]] += 1
-    total, p = 0.0, b"\n\n" + text
-    for k in range(2, len(p)):
-        out, spent, found = set(), 0.0, False
-        for order in (2, 1, 0):
-            ctx = p[k - order : k]
-            seen = {s: n for (c, s), n in counts[order].items() if c == ctx and s not in out}
-            if seen:
-                n, kinds = sum(seen.values()), len(seen)
-                if p[k] in seen:
-                    total += spent - math.log2(seen[p[k]] / (n + kinds))
-                    found = True
-                    break
-                spent -= math.log2(kinds / (n + kinds))
-                out |= set(seen)
-        if not found:
-            total += spent + math.log2(256 - len(out))
+        p = b"\n" * order + t
+        for k in range(order, len(p)):
+            for o in range(order + 1):
+                counts[p[k - o : k]][p[k]] += 1
+    for c in list(counts):
+        if len(c) > 2:
+            counts[c] = Counter({s: n for s, n in counts[c].items() if n >= least})
+    total, p = 0.0, b"\n" * order + text
+    for k in range(order, len(p)):
+        for o in range(order, -1, -1):
+            seen = counts.get(p[k - o : k]) or Counter()
+            n, kinds = sum(seen.values()), len(seen)
+            if p[k] in seen:
+                total -= math.log2(seen[p[k]] / (n + kinds))
+                break
+            total -= math.log2(kinds / (n + kinds)) if kinds else 0
+        else:
+            total += 8
     return total
 
 
 def test_code_lengths(spark):
-    train = ["the cat sat on the mat", "that hat", "él niño", ""]
-    docs = spark.createDataFrame([(k * 7 + 1, t, "en") for k, t in enumerate(train)], "doc_id long, text string, lang string")
+    train = {"en": ["the cat sat on the mat the cat sat", "that hat and the hat", "él niño", "", "aaaaaaaaaaaa"], "de": ["der hut und die katze und der hut", "", None, "ß" * 9]}
+    docs = spark.createDataFrame([(k * 7 + 1 + 100 * (lang == "de"), t, lang) for lang, own in train.items() for k, t in enumerate(own)], "doc_id long, text string, lang string")
     model = li.learn(docs)
-    used = [t.encode() for k, t in enumerate(train) if zlib.crc32(str(k * 7 + 1).encode()) % 5]
-    for text in (b"the hat", b"zebra", b"", "ñandú the".encode(), b"q"):
-        got = model.bits(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0, 0] / li.STEPS
-        assert got == pytest.approx(brute_bits(used, text), abs=len(text) / li.STEPS)
+    assert model.langs == ["de", "en"]
+    texts = [b"the hat", b"zebra", b"", "ñandú the und der hut".encode(), b"q", b"aaaaaaaaaa", b"\xff\x00", b"the cat sat on the mat"]
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    got = model.bits(np.frombuffer(b"".join(texts), np.uint8), offsets) / li.STEPS
+    for k, lang in enumerate(model.langs):
+        used = [t.encode() for j, t in enumerate(train[lang]) if t is not None and zlib.crc32(str(j * 7 + 1 + 100 * (lang == "de")).encode()) % 5]
+        for i, text in enumerate(texts):
+            assert got[i, k] == pytest.approx(brute_bits(used, text), abs=5 * max(1, len(text)) / li.STEPS)
+
+
+def test_lookup():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 2**40, 5000))
+    lookup = li.Lookup(keys)
+    assert (lookup(keys) == np.arange(len(keys))).all() and len(lookup.rest) > 100
+    other = np.setdiff1d(rng.integers(0, 2**40, 9000), keys)
+    assert (lookup(other) == -1).all()
+    assert li.Lookup(keys[:0])(other).tolist() == [-1] * len(other)
+
+
+def test_a_small_model_keeps_what_is_common(spark, monkeypatch):
+    rows = [(k, f"common words {'abcdefghij'[k % 10]} rare{k} rare{k}", "en") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sizes = []
+    for cells in (1 << 25, 120, 1):
+        monkeypatch.setattr(li, "CELLS", cells)
+        model = li.learn(docs)
+        sizes.append(sum(len(x.keys) for x in model.entries[3:]))
+        assert len(model.entries[2].keys) > 100
+    assert sizes[0] > 1000 and 0 < sizes[1] <= 120 and sizes[2] == 0
+
+
+def test_repeated_and_long_rows(spark):
+    long = "the cat and the hat " * 40_000
+    docs = spark.createDataFrame([(1, long, "en"), (1, long, "en"), (None, "der hut und die katze", "de"), (3, "der hut und die katze", "de"), (4, long + "x", None)], "doc_id long, text string, lang string")
+    model = li.learn(docs)
+    got = docs.select("doc_id", li.predict("text", model, spark).alias("p")).collect()
+    assert [r.p.lang_pred for r in got] == ["en", "en", "de", "de", "en"] and got[0].p == got[1].p
 
 
 def test_held_out_accuracy(spark):
