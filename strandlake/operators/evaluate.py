@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
 #: Kinds of rows that `matched` reads.
 SITE, POSITIVE, NEGATIVE = range(3)
 
@@ -21,9 +20,13 @@ def matched(rows: DataFrame, key: str, key_type: str, window: int) -> DataFrame:
     Positives are taken in ascending order; each one takes the lowest free true position within the window (TP), or is a
     false one (FP). A negative is true (TN) unless a true position within the window is free as it is passed; then it is
     nothing. True positions that are left are missed (FN). As positives ascend, a true position that lies a window before
-    one is never wanted again. So the rows, a true position coming up as soon as one may take it, are read once in their
-    order; what is kept of a key are the true positions of the last two windows.
+    one is never wanted again. So positives and true positions, one of these coming up as soon as a positive may take it, are
+    read once in their order; what is kept of a key are the true positions of the last two windows. Negatives stay out of
+    that: a true position is free from a window before it until it is taken, so the places where it makes a negative nothing
+    are known, and an anti join with them leaves the true ones.
     """
+    negatives = rows.filter(F.col("kind") == NEGATIVE).select(key, "position")
+    rows = rows.filter(F.col("kind") != NEGATIVE)
     when = F.when(F.col("kind") == SITE, F.col("position") - window).otherwise(F.col("position"))
     rows = rows.select(key, "position", "kind", when.alias("when"))
     rows = rows.repartition(F.col(key)).sortWithinPartitions(key, "when", "kind", "position").select(key, "position", "kind")
@@ -44,10 +47,7 @@ def matched(rows: DataFrame, key: str, key_type: str, window: int) -> DataFrame:
                 while free and free[0] < p - window:
                     t = free.popleft()
                     out.append((k, t, "FN", t))
-                if kind == POSITIVE:
-                    out.append((k, p, "TP", free.popleft()) if free else (k, p, "FP", None))
-                elif not free:
-                    out.append((k, p, "TN", None))
+                out.append((k, p, "TP", free.popleft()) if free else (k, p, "FP", None))
             of = batch.schema.field(0).type
             yield table(out, of)
         if free:
@@ -57,7 +57,14 @@ def matched(rows: DataFrame, key: str, key_type: str, window: int) -> DataFrame:
         columns = list(zip(*out, strict=True)) or [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (of, pa.int64(), pa.string(), pa.int64()), strict=True)], [key, "position", "pred_type", "true_position"])
 
-    return rows.mapInArrow(scan, f"{key} {key_type}, position long, pred_type string, true_position long")
+    called = rows.mapInArrow(scan, f"{key} {key_type}, position long, pred_type string, true_position long")
+    first = F.col("true_position") - window
+    last = F.when(F.col("pred_type") == "TP", F.least(F.col("true_position") + window, F.col("position") - 1)).otherwise(F.col("true_position") + window)
+    held = called.filter(F.col("true_position").isNotNull()).withColumns({"first": first, "last": last}).filter("first <= last")
+    held = held.select(F.col(key).alias("held_key"), F.explode(F.sequence("first", "last")).alias("held_position"))
+    there = (F.col(key).eqNullSafe(F.col("held_key"))) & (F.col("position") == F.col("held_position"))
+    true = negatives.join(held, there, "left_anti").select(key, "position", F.lit("TN").alias("pred_type"), F.lit(None).cast("long").alias("true_position"))
+    return called.unionByName(true)
 
 
 #: How true negatives are chosen where there are more than wanted.

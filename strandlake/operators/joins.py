@@ -55,11 +55,11 @@ def band_join(left: DataFrame, right: DataFrame, on: Sequence[str], tolerance: i
 
 
 def near_semi(left: DataFrame, right: DataFrame, on: Sequence[str], tolerance: int, left_at: str = "position", right_at: str = "position", anti: bool = False) -> DataFrame:
-    """Rows of left with (anti: without) a row of right with equal `on` at most tolerance away."""
-    places = F.explode(F.sequence(F.col(right_at) - tolerance, F.col(right_at) + tolerance))
-    near = right.select(*on, places.alias("near_at")).distinct()
-    meet = reduce(lambda x, y: x & y, [left[c] == near[c] for c in on], left[left_at] == near["near_at"])
-    return left.join(near, meet, "left_anti" if anti else "left_semi")
+    """Rows of left with (anti: without) a row of right with equal `on` at most tolerance away; right rows stand in their bin and the two beside it."""
+    width = 2 * tolerance + 1
+    near = right.select(*on, F.col(right_at).alias("near_at"), F.explode(F.array(*(F.floor(F.col(right_at) / width) + k for k in (-1, 0, 1)))).alias("near_bin"))
+    meet = reduce(lambda x, y: x & y, [left[c] == near[c] for c in on], F.floor(left[left_at] / width) == near["near_bin"])
+    return left.join(near, meet & (F.abs(left[left_at] - near["near_at"]) <= tolerance), "left_anti" if anti else "left_semi")
 
 
 def next_position(rows: DataFrame, by: Sequence[str], from_: Column, to: Column, at: str = "position") -> DataFrame:

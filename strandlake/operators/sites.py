@@ -5,7 +5,6 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,36 +83,6 @@ def greedy_junctions(sites: DataFrame, by: Sequence[str], least: float = 0.0) ->
     return for_each_group(sites.filter(F.col("score") >= least), by, ["site_type", "position", "score"], ["position"], "donor_pos long, acceptor_pos long", _pair_up)
 
 
-def score_peaks(rows: DataFrame, by: Sequence[str], score: str = "score", threshold: float = 0.5, distance: int = 10, prominence: float = 0.1) -> DataFrame:
-    """Local maxima from a threshold up, thinned to a distance (higher ones first), with a least prominence.
-
-    A sequential choice along one gene's track.
-    """
-
-    def find(track: list[tuple[int, float]]) -> list[tuple[int, float]]:
-        at, x = [r[0] for r in track], np.array([r[1] for r in track])
-        if len(x) < 3:
-            return []
-        peak = 1 + np.flatnonzero((x[1:-1] >= threshold) & (x[:-2] < x[1:-1]) & (x[2:] < x[1:-1]))
-        kept: list[int] = []
-        for i in sorted(peak.tolist(), key=lambda i: (-x[i], i)):
-            k = bisect_right(kept, i)
-            if all(abs(i - j) >= distance for j in kept[max(0, k - 1) : k + 1]):
-                kept.insert(k, i)
-        out = []
-        for i in kept:
-            left, right = x[:i][::-1], x[i + 1 :]
-            lows = []
-            for side in (left, right):
-                higher = np.flatnonzero(side > x[i])
-                lows.append(side[: higher[0]].min() if len(higher) and higher[0] else x[i] if len(higher) else side.min())
-            if x[i] - max(lows) >= prominence:
-                out.append((at[i], float(x[i])))
-        return out
-
-    return for_each_group(rows, by, ["position", score], ["position"], "position long, score double", find)
-
-
 def delta_sites(rows: DataFrame, threshold: float = 0.2, high: float = 0.8, middle: float = 0.5) -> DataFrame:
     """Up to four rows for each variant, one for each delta score from the threshold on, with position, type and category."""
     kinds = (("AG", "acceptor", "gain"), ("AL", "acceptor", "loss"), ("DG", "donor", "gain"), ("DL", "donor", "loss"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
-from ..sources import annotation, variants
+from ..sources import annotation, bgzip, variants
 from .registry import query, rounded
 from .views import Views
 
@@ -140,7 +140,29 @@ def resumed_batches(v: Views) -> DataFrame:
     rows = v.positions.select("gene_id", "position", "score", (F.col("gene_id") % 4).cast("int").alias("gene_batch"))
     annotation.append_batches(rows.filter("gene_batch < 2"), path)  # a job that stopped half way
     annotation.append_batches(rows, path)
-    return annotation.read_parts(v.spark, path, columns=["gene_id", "score"]).groupBy("gene_id").agg(F.count("*").alias("n"))
+    return annotation.read_batches(v.spark, path, "gene_id long, position long, score double, gene_batch int").groupBy("gene_id").agg(F.count("*").alias("n"))
+
+
+@query("select CHROM as chrom, POS as pos, ref, alt from variants where CHROM in ('3', '7') and POS between 20 and 120")
+def bgzip_regions(v: Views) -> DataFrame:
+    """Two regions of a sorted, block-compressed file of variants, through an index of its blocks."""
+    path = scratch_dir(v.spark, "bgzip")
+    rows = v.variants.select("CHROM", "POS", "ref", "alt", F.concat_ws("\t", "CHROM", F.col("POS").cast("string"), "ref", "alt").alias("value"))
+    bgzip.write_lines(rows.repartitionByRange(5, "CHROM", "POS").sortWithinPartitions("CHROM", "POS"), path)
+    index = f"{path}-index"
+    bgzip.block_index(v.spark, path, split=100_000).write.parquet(index)
+    index_rows = v.spark.read.schema(bgzip.INDEX).parquet(index)
+    regions = [bgzip.read_region(v.spark, path, index_rows, c, 20, 120) for c in ("3", "7")]
+    f = F.split("line", "\t")
+    return regions[0].unionByName(regions[1]).select("chrom", "pos", f[2].alias("ref"), f[3].alias("alt"))
+
+
+@query("select cast(count(*) as bigint) as n, cast(sum(POS) as bigint) as total, cast(count(distinct CHROM) as bigint) as chroms from variants")
+def bgzip_whole(v: Views) -> DataFrame:
+    """A block-compressed file read by several tasks."""
+    path = scratch_dir(v.spark, "bgzip")
+    bgzip.write_lines(v.variants.select(F.concat_ws("\t", "CHROM", F.col("POS").cast("string"), "ref", "alt").alias("value")).coalesce(1), path)
+    return bgzip.read_lines(v.spark, path, split=50_000).agg(F.count("*").alias("n"), F.sum("pos").alias("total"), F.countDistinct("chrom").alias("chroms"))
 
 
 @query("select * from (values ('gene_id', 'bigint', 'numeric'), ('strand', 'string', 'categorical'), ('score', 'double', 'numeric')) t(name, dtype, type)")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import metrics, sampling, sites, tables, windows
+from ..operators import peaks as peak_tracks
 from .registry import longs, query, rounded
 from .views import Views
 
@@ -110,7 +111,7 @@ pl as (select k.gene_id, k.position, k.score, k.n,
 
 @query("""select gene_id, position, score from pl where score - greatest(coalesce((select min(o.score) from pr o where o.gene_id = pl.gene_id and o.n > low_n and o.n < pl.n), score), coalesce((select min(o.score) from pr o where o.gene_id = pl.gene_id and o.n < high_n and o.n > pl.n), score)) >= 0.1""", _PEAKS, recursive=True)
 def score_peaks(v: Views) -> DataFrame:
-    return sites.score_peaks(v.pos1.select("gene_id", "position", "score"), ["gene_id"])
+    return peak_tracks.score_peaks(v.pos1.select("gene_id", "position", "score"), ["gene_id"])
 
 
 @query("""select gene_id, a.position - d.position as intron_length, d.position as donor_pos, a.position as acceptor_pos from pos1 d join pos1 a using (gene_id) where d.splice_type = 'donor' and a.splice_type = 'acceptor' and a.position > d.position and a.position - d.position <= 300""")

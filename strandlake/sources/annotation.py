@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -199,16 +200,53 @@ def write_by_chromosome(rows: DataFrame, path: str, col: str = "chrom") -> None:
     rows.repartition(col).write.mode("overwrite").partitionBy(col).parquet(path)
 
 
+COMMITS = "_commits"
+_COMMIT = "n_rows long, run string, at timestamp"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
+def batch_log(spark: SparkSession, path: str, kind: str, batch: str = "gene_batch") -> DataFrame:
+    """(batch, n_rows, run, at) of the batches that are complete at path; kind is the batch column's type."""
+    schema = f"{batch} {kind}, {_COMMIT}"
+    if not _exists(spark, f"{path}/{COMMITS}"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/{COMMITS}")
+
+
 def append_batches(rows: DataFrame, path: str, batch: str = "gene_batch") -> DataFrame:
-    """Writes the batches that path does not have yet, in folders by batch, and returns those rows: a job that stopped goes on."""
+    """Writes the batches that are not complete at path, in folders by batch, and returns those rows: a job that stopped goes on.
+
+    A batch is complete when the log says so, which is written after the data, with the number of rows that were read back. A
+    run that was killed leaves folders without an entry; these batches are written anew, over what is there, so nothing is
+    lost and nothing comes twice. A null is a batch.
+    """
     spark = rows.sparkSession
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"{batch}=*"))
-    if found:  # a folder for each batch that was written
-        there = spark.read.parquet(path).select(batch).distinct()
-        rows = rows.join(there, batch, "left_anti")
-    rows.write.mode("append").option("compression", "zstd").partitionBy(batch).parquet(path)
-    return rows
+    kind = rows.schema[batch].dataType.simpleString()
+    done = batch_log(spark, path, kind, batch).select(F.col(batch).alias("done_batch"))
+    todo = rows.join(F.broadcast(done), F.col(batch).eqNullSafe(F.col("done_batch")), "left_anti")  # one row a batch
+    todo.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(batch).parquet(path)
+    if not _exists(spark, path):
+        return todo
+    stored = spark.read.option("pathGlobFilter", "*.parquet").schema(rows.schema).parquet(path).groupBy(batch).agg(F.count("*").alias("n_rows"))
+    fresh = stored.join(todo.select(F.col(batch).alias("todo_batch")).distinct(), F.col(batch).eqNullSafe(F.col("todo_batch")), "left_semi")
+    fresh.select(batch, "n_rows", F.lit(uuid.uuid4().hex).alias("run"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{path}/{COMMITS}")
+    return todo
+
+
+def read_batches(spark: SparkSession, path: str, schema: str, batch: str = "gene_batch") -> DataFrame:
+    """The rows of the batches that are complete at path; one whose number of rows is not that of the log is an error when it is read."""
+    rows = spark.read.schema(schema).parquet(path)
+    kind = rows.schema[batch].dataType.simpleString()
+    log = batch_log(spark, path, kind, batch).groupBy(F.col(batch).alias("log_batch")).agg(F.max_by("n_rows", "at").alias("log_rows"))
+    there = rows.groupBy(F.col(batch).alias("there_batch")).agg(F.count("*").alias("n"))
+    known = log.join(there, F.col("log_batch").eqNullSafe(F.col("there_batch")), "left")
+    wrong = F.raise_error(F.concat(F.lit("batch "), F.coalesce(F.col("log_batch").cast("string"), F.lit("null")), F.lit(" does not have the rows that were written")))
+    known = known.select("log_batch", F.when(F.coalesce("n", F.lit(0)) == F.col("log_rows"), F.lit(True)).otherwise(wrong.cast("boolean")).alias("whole"))
+    return rows.join(F.broadcast(known), F.col(batch).eqNullSafe(F.col("log_batch"))).filter("whole").drop("log_batch", "whole")
 
 
 def write_manifest(rows: DataFrame, path: str) -> None:

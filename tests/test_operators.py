@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlake.operators import evaluate, joins, registry, sampling, sites, tables
+from strandlake.operators import peaks as peak_tracks
 from strandlake.streaming import events as streams
 
 
@@ -57,7 +58,7 @@ def test_greedy_junctions(spark):
 def test_peaks(spark):
     track = [0, 0.9, 0, 0.6, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0.7, 0.2, 0]
     df = spark.createDataFrame([(1, k, float(x)) for k, x in enumerate(track)], "g long, position long, score double")
-    assert rows_of(sites.score_peaks(df, ["g"]), "position", "score") == [(1, 0.9), (13, 0.7)]
+    assert rows_of(peak_tracks.score_peaks(df, ["g"]), "position", "score") == [(1, 0.9), (13, 0.7)]
 
 
 def test_stack_ensure_and_standardise(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandlake.functions import coords, sequences, variants
@@ -146,3 +147,27 @@ def test_literals(spark):
     assert value(F.struct(*va.split_location(lit("1-5-A-G")).values())) == ("1", 5, "A", "G")
     d = va.delta_annotation(lit("G|SYM|0.1|0.2|0.3|.|1|2|-3|4"))
     assert value(F.struct(d["symbol"], d["DS_DG"], d["DS_DL"], d["DP_DG"])) == ("SYM", 0.3, None, -3)
+
+
+def test_batches_are_taken_up(spark, tmp_path):
+    """A run that was killed after its data, or in the middle of them, is done again; complete batches are left alone."""
+    schema, path = "k int, gene_batch int", f"{tmp_path}/b"
+    rows = spark.createDataFrame([(k, k % 5 or None) for k in range(50)], schema)
+    known = lambda: sorted((r.gene_batch or 0, r.k) for r in an.read_batches(spark, path, schema).collect())
+    an.append_batches(rows.filter("gene_batch = 1"), path)
+    first = known()
+    assert first == [(1, k) for k in range(1, 50, 5)]
+    rows.filter("gene_batch = 2 and k < 20").write.mode("append").partitionBy("gene_batch").parquet(path)  # killed before its entry
+    rows.filter("gene_batch = 4").write.mode("append").partitionBy("gene_batch").parquet(path)
+    assert known() == first
+    an.append_batches(rows.filter("gene_batch <> 4 or gene_batch is null"), path)
+    assert known() == sorted((k % 5, k) for k in range(50) if k % 5 != 4)
+    an.append_batches(rows, path)
+    an.append_batches(rows, path)
+    assert known() == sorted((k % 5, k) for k in range(50))
+    log = an.batch_log(spark, path, "int").collect()
+    assert sorted((r.gene_batch or 0, r.n_rows) for r in log) == [(k, 10) for k in range(5)]
+    rows.filter("gene_batch = 3").limit(1).write.mode("append").partitionBy("gene_batch").parquet(path)  # rows that no run has written
+    with pytest.raises(Exception, match="does not have the rows"):
+        known()
+    an.append_batches(rows.limit(0), f"{tmp_path}/none")
