@@ -349,8 +349,10 @@ def kmer_features(v: Views) -> DataFrame:
 
 
 @query("""select gene_id, min(position) as first_position, max(position) as last_position, cast(count(*) as bigint) as num_sites, cast(count(*) filter (where delta_score > 0) as bigint) as activated, cast(count(*) filter (where delta_score < 0) as bigint) as suppressed,
-  case when count(*) filter (where site_type = 'donor') > 2 and count(*) filter (where site_type = 'acceptor') > 2 then 'multiple_exon_changes' when bool_or(not is_canonical) and bool_or(is_canonical) then 'mixed_canonical_cryptic' else 'unclassified_complex' end as subtype from members group by gene_id, root having count(distinct position) >= 3 and activated >= 2 and suppressed >= 2""", _CHANGED + """, runs as (
-  select gene_id, position, sign(delta_score) as sign, cast(sum(fresh) over (partition by gene_id, sign(delta_score) order by position) as bigint) as run from (select *, case when position - lag(position) over (partition by gene_id, sign(delta_score) order by position) <= 14 then 0 else 1 end as fresh from changed where delta_score <> 0)
+  case when count(*) filter (where site_type = 'donor') > 2 and count(*) filter (where site_type = 'acceptor') > 2 then 'multiple_exon_changes' when bool_or(not is_canonical) and bool_or(is_canonical) then 'mixed_canonical_cryptic' else 'unclassified_complex' end as subtype from members group by gene_id, root having count(distinct position) >= 3 and activated >= 2 and suppressed >= 2""", _CHANGED + """, coarse as (
+  select * replace ((position // 28) * 28 as position) from changed
+), runs as (
+  select gene_id, position, sign(delta_score) as sign, cast(sum(fresh) over (partition by gene_id, sign(delta_score) order by position) as bigint) as run from (select *, case when position - lag(position) over (partition by gene_id, sign(delta_score) order by position) <= 56 then 0 else 1 end as fresh from coarse where delta_score <> 0)
 ), ends as (
   select distinct gene_id, sign, run, position from runs
 ), linked as (
@@ -362,10 +364,12 @@ def kmer_features(v: Views) -> DataFrame:
 ), places as (
   select distinct e.gene_id, e.position, r.root from ends e join roots r on e.gene_id = r.gene_id and e.sign * 1000000 + e.run = r.a
 ), members as (
-  select c.*, p.root from changed c join places p on c.gene_id = p.gene_id and c.position = p.position
+  select c.*, p.root from coarse c join places p on c.gene_id = p.gene_id and c.position = p.position
 )""", recursive=True)
 def complex_patterns(v: Views) -> DataFrame:
-    return patterns.complex_groups(_changed(v), ["gene_id"], 14).drop("severity", "confidence")
+    """Groups of places, each 28 bases wide, so that donors and acceptors meet in them."""
+    coarse = _changed(v).withColumn("position", F.expr("position div 28 * 28"))
+    return patterns.complex_groups(coarse, ["gene_id"], 56).drop("severity", "confidence")
 
 
 @query("""select cast(width_start as timestamp) as start, event_type, cast(count(*) as bigint) as n, round(sum(value), 4) as total from (select time_bucket(interval '1 day', ts) as width_start, event_type, value from events) group by all""")
