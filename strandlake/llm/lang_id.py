@@ -11,7 +11,7 @@ shortest code is the prediction.
 The trees lie on each other: a byte after a context has one entry, with its cost in every language, so a byte of a text costs
 about one look-up whatever the number of languages, and escapes cost further ones. The entries of all languages are at most
 CELLS costs (two bytes each): with many languages, contexts of three bytes and more are kept from a higher count on. Four
-languages of the test data have some 400,000 entries; a hundred languages have at most 320,000 entries, 64 MB.
+languages of the largest test table have some 500,000 counts; a hundred languages have at most 320,000 entries, 64 MB.
 """
 
 from __future__ import annotations
