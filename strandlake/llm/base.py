@@ -57,7 +57,7 @@ def clean(spark: SparkSession) -> None:
     paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     store = paths.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for found in store.listStatus(paths):
-        if found.getPath().getName().split("-")[0] in ("park", "tokens", "shards", "pipeline"):
+        if found.getPath().getName().split("-")[0] in ("park", "tokens", "shards", "warc", "pipeline"):
             store.delete(found.getPath(), True)
 
 
