@@ -171,3 +171,14 @@ def test_batches_are_taken_up(spark, tmp_path):
     with pytest.raises(Exception, match="does not have the rows"):
         known()
     an.append_batches(rows.limit(0), f"{tmp_path}/none")
+
+
+def test_scratch_folders_go(spark):
+    from strandlake.session import clean_scratch, scratch_dir
+
+    spark.sparkContext.setCheckpointDir(f"file://{os.path.abspath('/tmp')}/strandlake-test-scratch")
+    path = scratch_dir(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    clean_scratch(spark)
+    assert not os.path.exists(path.removeprefix("file:"))
