@@ -1,8 +1,9 @@
 """Sessions with their peaks: in a stream as keyed state with timers, in a batch as windows, with the same rows.
 
 The state of a key is its open sessions, a few rows of a list in the state store. Rows join or bridge them, in any order within
-the allowed lateness; each session has a timer at its end plus the gap. When the watermark has passed it no row can join any
-more: the session is given out and forgotten, so the state holds what is open and no more.
+the allowed lateness; a key has one timer, at the end of its first session plus the gap. When the watermark has passed that of
+a session no row can join it any more: all such sessions of the key are given out and forgotten in one call, and the timer
+goes on to the next one, so the state holds what is open and no more.
 """
 
 from __future__ import annotations
@@ -68,34 +69,33 @@ class PeakSessions(StatefulProcessor):
     def _timer(self, session: Session) -> int:
         return -(-(session[1] + self.gap) // 1000)
 
-    def _keep(self, sessions: list[Session]) -> None:
+    def _keep(self, sessions: list[Session], before: list[Session]) -> None:
+        """Stores the open sessions in place of those before, and sets the timer to the first one that ends."""
         if sessions:
             self.open.put(sessions)
-        else:
+        elif before:
             self.open.clear()
-        wanted, there = {self._timer(s) for s in sessions}, set(self.handle.listTimers())
+        wanted, there = ({min(map(self._timer, x))} if x else set() for x in (sessions, before))
         for t in there - wanted:
             self.handle.deleteTimer(t)
         for t in wanted - there:
             self.handle.registerTimer(t)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - the interface's names
-        sessions = [tuple(s) for s in self.open.get()]
+        before = [tuple(s) for s in self.open.get()]
+        sessions = before
         for part in rows:
             if len(part):
                 sessions = merge(sessions + _of_rows(part, self.gap), self.gap)
-        self._keep(sessions)
+        self._keep(sessions, before)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         sessions = [tuple(s) for s in self.open.get()]
         over = [s for s in sessions if self._timer(s) <= now]
         left = [s for s in sessions if self._timer(s) > now]
-        if left:
-            self.open.put(left)
-        else:
-            self.open.clear()
+        self._keep(left, sessions)
         if over:
             start, end, n, peak, at = zip(*over, strict=True)
             moment = lambda x: pd.to_datetime(pd.Series(x, dtype="Int64"), unit="us")

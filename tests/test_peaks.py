@@ -74,3 +74,52 @@ def test_batch_of_nulls(spark):
     rows = [(1, DAY, None), (1, DAY, None), (None, DAY, 1.0), (2, None, 1.0)]
     assert [tuple(r) for r in peaks.session_peaks(spark.createDataFrame(rows, SCHEMA)).collect()] == [(1, DAY, DAY, 2, None, None)]
     assert peaks.session_peaks(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_key_has_one_timer_and_one_expiry(spark, tmp_path, monkeypatch):
+    """All sessions that the watermark has passed go in one call; the next one's timer is set."""
+
+    class Handle:
+        def __init__(self):
+            self.rows, self.timers, self.put_calls = [], set(), 0
+
+        def getListState(self, *_):  # noqa: N802
+            return self
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def clear(self):
+            self.rows = []
+
+        def registerTimer(self, t):  # noqa: N802
+            self.timers.add(t)
+
+        def deleteTimer(self, t):  # noqa: N802
+            self.timers.remove(t)
+
+        def listTimers(self):  # noqa: N802
+            return iter(self.timers)
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms  # noqa: N815
+
+    import pandas as pd
+
+    handle, hour = Handle(), 3_600_000
+    of = peaks.PeakSessions(hour * 1000)
+    of.init(handle)
+    starts = [DAY + timedelta(hours=3 * k) for k in range(50)]
+    list(of.handleInputRows((1,), iter([pd.DataFrame({"ts": starts, "value": 1.0})]), Now(0)))
+    first = int((DAY - datetime(1970, 1, 1)).total_seconds() * 1000) + hour
+    assert handle.timers == {first} and len(handle.rows) == 50
+    handle.timers.clear()  # the engine forgets a timer before it calls
+    handle.timers.add(first)
+    late = Now(first + 40 * 3 * hour)
+    out = pd.concat(of.handleExpiredTimer((1,), late, Now(first)))
+    assert len(out) == 41 and len(handle.rows) == 9
+    assert handle.timers == {first + 41 * 3 * hour}
