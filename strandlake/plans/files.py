@@ -148,7 +148,7 @@ def bgzip_regions(v: Views) -> DataFrame:
     """Two regions of a sorted, block-compressed file of variants, through an index of its blocks."""
     path = scratch_dir(v.spark, "bgzip")
     rows = v.variants.select("CHROM", "POS", "ref", "alt", F.concat_ws("\t", "CHROM", F.col("POS").cast("string"), "ref", "alt").alias("value"))
-    bgzip.write_lines(rows.repartitionByRange(5, "CHROM", "POS").sortWithinPartitions("CHROM", "POS"), path)
+    bgzip.write_lines(rows.repartitionByRange(bgzip.files_for(rows, least=5), "CHROM", "POS").sortWithinPartitions("CHROM", "POS"), path)
     index = f"{path}-index"
     bgzip.block_index(v.spark, path, split=100_000).write.parquet(index)
     index_rows = v.spark.read.schema(bgzip.INDEX).parquet(index)
@@ -159,9 +159,10 @@ def bgzip_regions(v: Views) -> DataFrame:
 
 @query("select cast(count(*) as bigint) as n, cast(sum(POS) as bigint) as total, cast(count(distinct CHROM) as bigint) as chroms from variants")
 def bgzip_whole(v: Views) -> DataFrame:
-    """A block-compressed file read by several tasks."""
+    """Block-compressed files, each read by several tasks."""
     path = scratch_dir(v.spark, "bgzip")
-    bgzip.write_lines(v.variants.select(F.concat_ws("\t", "CHROM", F.col("POS").cast("string"), "ref", "alt").alias("value")).coalesce(1), path)
+    rows = v.variants.select(F.concat_ws("\t", "CHROM", F.col("POS").cast("string"), "ref", "alt").alias("value"))
+    bgzip.write_lines(rows.repartition(bgzip.files_for(rows)), path)
     return bgzip.read_lines(v.spark, path, split=50_000).agg(F.count("*").alias("n"), F.sum("pos").alias("total"), F.countDistinct("chrom").alias("chroms"))
 
 

@@ -31,6 +31,8 @@ MOST = 65_280
 SPLIT = 64 << 20
 #: Bytes that are read at once.
 CHUNK = 1 << 20
+#: Lines of a file that is written.
+LINES = 1_000_000
 
 
 def make_block(raw: bytes) -> bytes:
@@ -234,6 +236,11 @@ def read_region(spark: SparkSession, path: str, index: DataFrame, chrom: str, st
     return read_lines(spark, path, blocks=wanted).filter((F.col("chrom") == chrom) & F.col("pos").between(start, end)).select("chrom", "pos", "line")
 
 
+def files_for(lines: DataFrame, least: int = 1, each: int = LINES) -> int:
+    """The number of files, one a task, of about `each` lines: what a task takes up does not grow with the table."""
+    return max(least, -(-lines.count() // each))
+
+
 def write_lines(lines: DataFrame, path: str, col: str = "value") -> int:
     """Writes text lines to a folder of block-compressed files, one a task, and gives their number; the order within a task stays."""
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

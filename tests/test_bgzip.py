@@ -100,3 +100,12 @@ def test_nothing(spark, tmp_path):
     (tmp_path / "in").mkdir()
     assert bgzip.read_lines(spark, f"file://{tmp_path}/in").count() == 0
     assert bgzip.block_size(b"") is None and bgzip.block_size(b"\x1f\x8b\x08\x00" + b"\0" * 20) is None
+
+
+def test_files_grow_in_number_not_in_size(spark, tmp_path):
+    lines = spark.range(1000).selectExpr("concat('c\t', id) as value")
+    n = bgzip.files_for(lines, each=150)
+    assert (n, bgzip.files_for(lines, least=5, each=1000), bgzip.files_for(lines.limit(0))) == (7, 5, 1)
+    path = f"file://{tmp_path}/many"
+    assert bgzip.write_lines(lines.repartition(n), path) == 7
+    assert bgzip.read_lines(spark, path).count() == 1000
