@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -48,8 +49,18 @@ _VALUES = ("start", "end", "value")
 _SUMMARY = ("start", "end", "valid", "least", "most", "total", "squares")
 
 
-def _pack(rows: DataFrame, columns: Sequence[str], folder: str, parts: int) -> pa.Table:
-    """Writes rows (chrom_id, columns) in order to files of the tasks; one row a block, in order."""
+@dataclass
+class Blocks:
+    """What the index needs of the blocks in order, the tasks' files in the same order, and bytes of the largest block and of all, unpacked."""
+
+    table: pa.Table  # (size, chrom_id, start, end)
+    files: list[str]
+    largest: int
+    raw: int
+
+
+def _pack(rows: DataFrame, columns: Sequence[str], folder: str, parts: int) -> Blocks:
+    """Writes rows (chrom_id, columns) in order to files of the tasks; one row a block goes to the driver, in few bytes."""
     zoom = len(columns) > 3
 
     def block(chrom: int, x: np.ndarray) -> bytes:
@@ -119,7 +130,12 @@ def _pack(rows: DataFrame, columns: Sequence[str], folder: str, parts: int) -> p
     dealt = rows.select("chrom_id", *columns).repartitionByRange(parts, "chrom_id", "start").sortWithinPartitions("chrom_id", "start")
     index = f"{folder}/index-{uuid.uuid4().hex}"
     dealt.mapInArrow(write, _BLOCKS).write.parquet(index)  # what lost tasks have written is in no row
-    return rows.sparkSession.read.schema(_BLOCKS).parquet(index).orderBy("part", "k").toArrow()
+    blocks = rows.sparkSession.read.schema(_BLOCKS).parquet(index)
+    files = blocks.groupBy("part", "file").agg(F.max("raw").alias("largest"), F.sum("raw").alias("raw")).orderBy("part").collect()  # a row for each task
+    half = 1 << 31  # places have 32 bits without a sign
+    small = blocks.orderBy("part", "k").select(F.col("size").cast("int"), "chrom_id", *((F.col(c) - half).cast("int").alias(c) for c in ("start", "end"))).toArrow()
+    table = pa.table({c: x.cast(pa.int64()) if c in ("size", "chrom_id") else pc.add(x.cast(pa.int64()), half) for c, x in zip(small.column_names, small.columns, strict=True)})
+    return Blocks(table, [r.file for r in files], max((r.largest for r in files), default=0), sum(r.raw for r in files))
 
 
 def _levels(n: int) -> list[int]:
@@ -221,10 +237,10 @@ def write_bigwig(values: DataFrame, path: str, chroms: DataFrame, reduction: int
     items = all_.items
     parts = parts or max(spark.sparkContext.defaultParallelism, -(-items // (ITEMS * 1024)))
     data = _pack(rows, _VALUES, folder, parts)
-    start, end, chrom = (data.column(c).to_numpy() for c in ("start", "end", "chrom_id"))
+    start, end, chrom = (data.table.column(c).to_numpy() for c in ("start", "end", "chrom_id"))
     if ((chrom[1:] == chrom[:-1]) & (start[1:] < end[:-1])).any() or (items and not _apart(rows)):
         raise ValueError("values overlap")
-    zooms: list[tuple[int, pa.Table]] = []
+    zooms: list[tuple[int, Blocks]] = []
     if items:
         reduction = reduction or max(10, round(10 * all_.covered / items))
         now = windows(rows, reduction)
@@ -248,7 +264,7 @@ def _apart(rows: DataFrame) -> bool:
     return cut.withColumn("before", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))).filter("before > start").isEmpty()
 
 
-def _assemble(path: str, folder: str, names: list[tuple[str, int]], data: pa.Table, zooms: list[tuple[int, pa.Table]], all_) -> None:
+def _assemble(path: str, folder: str, names: list[tuple[str, int]], data: Blocks, zooms: list[tuple[int, Blocks]], all_) -> None:
     key = max([len(c.encode()) for c, _ in names], default=1)
     leaf, branch = np.dtype([("key", f"S{key}"), ("id", "<u4"), ("size", "<u4")]), np.dtype([("key", f"S{key}"), ("offset", "<u8")])
     chroms = np.array([(c.encode(), k, s) for k, (c, s) in enumerate(names)], leaf)
@@ -259,11 +275,11 @@ def _assemble(path: str, folder: str, names: list[tuple[str, int]], data: pa.Tab
     at = chrom_at + len(tree)
     layout, raw = [], 0
     for blocks, head in [(data, 8), *((z, 4) for _, z in zooms)]:
-        size = sum(blocks.column("size").to_pylist())
+        size = int(blocks.table.column("size").to_numpy().sum(dtype=np.int64))
         index_at = at + head + size
         layout.append((at, head, index_at, blocks))
-        at = index_at + struct.calcsize(INDEX_HEADER) + _tree_size(blocks.num_rows, LEAF, BRANCH)
-        raw = max([raw, *blocks.column("raw").to_pylist()])
+        at = index_at + struct.calcsize(INDEX_HEADER) + _tree_size(blocks.table.num_rows, LEAF, BRANCH)
+        raw = max(raw, blocks.largest)
     source, root = FileSystem.from_uri(folder)
     store, target = FileSystem.from_uri(path)
     with store.open_output_stream(target, compression=None) as out:
@@ -273,13 +289,13 @@ def _assemble(path: str, folder: str, names: list[tuple[str, int]], data: pa.Tab
         out.write(struct.pack(SUMMARY, all_.covered or 0, all_.least or 0.0, all_.most or 0.0, all_.total or 0.0, all_.squares or 0.0))
         out.write(tree)
         for k, (data_at, head, index_at, blocks) in enumerate(layout):
-            n = blocks.num_rows if k == 0 else sum(-(-x // ZOOM.itemsize) for x in blocks.column("raw").to_pylist())
+            n = blocks.table.num_rows if k == 0 else blocks.raw // ZOOM.itemsize
             out.write(n.to_bytes(head, "little"))
-            for name in dict.fromkeys(blocks.column("file").to_pylist()):
+            for name in blocks.files:
                 with source.open_input_stream(f"{root}/{name}", compression=None) as part:
                     while piece := part.read(CHUNK):
                         out.write(piece)
-            out.write(_index(blocks, data_at + head, index_at))
+            out.write(_index(blocks.table, data_at + head, index_at))
 
 
 @dataclass

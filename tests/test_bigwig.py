@@ -145,3 +145,20 @@ def test_empty_and_errors(spark, tmp_path):
     with pytest.raises(ValueError, match="not a bigWig"):
         bw.layout(f"file://{tmp_path}/no.bw")
     assert np.dtype(bw.LEAF).itemsize == 32 and np.dtype(bw.ZOOM).itemsize == 32
+
+
+def test_blocks_come_to_the_driver_in_few_bytes(spark, tmp_path):
+    """A block for each chromosome: what tasks send of it is its size, chromosome and span, not its file's name."""
+    rows = spark.range(20_000).selectExpr("concat('c', id) as chrom", "4000000000L + id as start", "4000000001L + id as end", "1D as value")
+    sizes = rows.selectExpr("chrom", "4200000000L as size")
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._gateway.jvm.double, 0)
+
+    def sent():
+        found = store.stageList(None, False, False, none, None)
+        return sum(found.apply(k).resultSize() for k in range(found.size()))
+
+    before, path = sent(), f"file://{tmp_path}/many.bw"
+    bw.write_bigwig(rows, path, sizes, reduction=1000, levels=1)
+    got = sent() - before
+    assert got < 3_000_000, got
+    assert bw.read_bigwig(spark, path, [("c77", 0, 2**32 - 1)]).collect() == [("c77", 4_000_000_077, 4_000_000_078, 1.0)]
