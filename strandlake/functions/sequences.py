@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,9 +83,22 @@ def pattern_matches(seq: Column | str, pattern: str) -> Column:
 
 def composition_entropy(seq: Column) -> Column:
     """Shannon entropy in bits of all letters of a string, whatever its alphabet; 0 for an empty string."""
-    n = F.length(seq)
-    each = F.transform(F.array_distinct(letters(seq)), lambda c: F.regexp_count(seq, F.concat(F.lit("\\Q"), c, F.lit("\\E"))) / n)
-    return F.when(n > 0, F.aggregate(each, F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(0.0)
+
+    @F.arrow_udf("double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out: list[float | None] = []
+            for x in batch.to_pylist():
+                if x is None:
+                    out.append(None)
+                    continue
+                raw = np.frombuffer(x.encode(), np.uint8) if x.isascii() else np.unique(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)[1]
+                n = np.bincount(raw)
+                p = n[n > 0] / max(1, len(raw))
+                out.append(float(-(p * np.log2(p)).sum()) + 0.0)
+            yield pa.array(out, pa.float64())
+
+    return of(seq)
 
 
 def window_slice(seq: Column, position: Column, radius: int) -> Column:

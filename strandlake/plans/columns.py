@@ -200,7 +200,7 @@ def ordered_kmers(v: Views) -> DataFrame:
 
 @query("""select id, round(-sum(p * log2(p)), 6) as entropy from (select id, count(*) / sum(count(*)) over (partition by id) as p from (select doc_id as id, unnest(string_split(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), '')) as c from documents) where c <> '' group by id, c) group by id""")
 def letter_entropy(v: Views) -> DataFrame:
-    rows = v.table("documents").select(F.col("doc_id").alias("id"), F.regexp_replace("text", "[^a-zA-Z ]", "").alias("s")).filter("s != ''")
+    rows = v.table("documents").select(F.col("doc_id").alias("id"), F.col("text")).filter(F.col("text").rlike("[a-zA-Z ]")).select("id", F.regexp_replace("text", "[^a-zA-Z ]+", "").alias("s"))
     return rows.select("id", F.round(sequences.composition_entropy(F.col("s")), 6).alias("entropy"))
 
 

@@ -52,3 +52,21 @@ def test_entity_pairs_of_repeated_ids(spark):
     kinds = "id long, symbol string, chrom int, start long, end long"
     got = [((r.id_1, r.id_2), (r.strategy, round(r.confidence, 9))) for r in joins.entity_pairs(spark.createDataFrame(a, kinds), spark.createDataFrame(b, kinds), bin_width=10).collect()]
     assert len(got) == len(want) and dict(got) == {k: v[1:] for k, v in want.items()}
+
+
+def test_composition_entropy_runs_no_pattern_a_letter(spark):
+    """All letters of a string are counted at once, whatever its alphabet."""
+    import math
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from strandlake.functions import sequences
+
+    texts = [None, "", "aaaa", "abcd", "a \\E.b*" * 9, "ééa" * 5, "a\U0001f600\U0001f601\U0001f600", "".join(map(chr, range(32, 127)))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, s string").select("id", sequences.composition_entropy(F.col("s")).alias("e"))
+    assert "RegExpCount" not in (plan := frame._jdf.queryExecution().toString()) and "regexp_count" not in plan
+    for i, e in frame.collect():
+        n = Counter(texts[i] or "").values()
+        want = -sum(k / sum(n) * math.log2(k / sum(n)) for k in n)
+        assert (e is None) == (texts[i] is None) and (e is None or abs(e - want) < 1e-9)
