@@ -14,100 +14,138 @@ from pyspark.sql import functions as F
 SITE, POSITIVE, NEGATIVE = range(3)
 
 
-def matched(rows: DataFrame, key: str, key_type: str, window: int) -> DataFrame:
-    """(key, position, pred_type, true_position) of (key, position, kind): true sites, positives and negatives of each key.
+#: Rows of a task: there are as many tasks as the scores have of these, so that a task sorts no more when a table grows.
+TASK_ROWS = 1 << 18
 
-    Positives are taken in ascending order; each one takes the lowest free true position within the window (TP), or is a
-    false one (FP). A negative is true (TN) unless a true position within the window is free as it is passed; then it is
-    nothing. True positions that are left are missed (FN). As positives ascend, a true position that lies a window before
-    one is never wanted again. So positives and true positions, one of these coming up as soon as a positive may take it, are
-    read once in their order; what is kept of a key are the true positions of the last two windows. Negatives stay out of
-    that: a true position is free from a window before it until it is taken, so the places where it makes a negative nothing
-    are known, and an anti join with them leaves the true ones.
-    """
-    negatives = rows.filter(F.col("kind") == NEGATIVE).select(key, "position")
-    rows = rows.filter(F.col("kind") != NEGATIVE)
+
+def tasks_for(rows: DataFrame) -> int:
+    """The number of tasks that `rows` are dealt to by their key."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+
+
+def _called(rows: DataFrame, key: str, key_type: str, window: int, tasks: int) -> DataFrame:
+    """(key, position, pred_type, true_position, previous) of true sites and positives; previous is the positive before a positive."""
     when = F.when(F.col("kind") == SITE, F.col("position") - window).otherwise(F.col("position"))
     rows = rows.select(key, "position", "kind", when.alias("when"))
-    rows = rows.repartition(F.col(key)).sortWithinPartitions(key, "when", "kind", "position").select(key, "position", "kind")
+    rows = rows.repartition(tasks, F.col(key)).sortWithinPartitions(key, "when", "kind", "position").select(key, "position", "kind")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free: deque[int] = deque()
         current: object = free  # no key's value
+        previous: int | None = None
         for batch in batches:
             out: list[tuple] = []
             for k, p, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != current:
-                    out += [(current, t, "FN", t) for t in free]
+                    out += [(current, t, "FN", t, None) for t in free]
                     free.clear()
-                    current = k
+                    current, previous = k, None
                 if kind == SITE:
                     free.append(p)
                     continue
                 while free and free[0] < p - window:
                     t = free.popleft()
-                    out.append((k, t, "FN", t))
-                out.append((k, p, "TP", free.popleft()) if free else (k, p, "FP", None))
+                    out.append((k, t, "FN", t, None))
+                out.append((k, p, "TP", free.popleft(), previous) if free else (k, p, "FP", None, previous))
+                previous = p
             of = batch.schema.field(0).type
             yield table(out, of)
         if free:
-            yield table([(current, t, "FN", t) for t in free], of)
+            yield table([(current, t, "FN", t, None) for t in free], of)
 
     def table(out: list[tuple], of: pa.DataType) -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (of, pa.int64(), pa.string(), pa.int64()), strict=True)], [key, "position", "pred_type", "true_position"])
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        kinds = (of, pa.int64(), pa.string(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [key, "position", "pred_type", "true_position", "previous"])
+
+    return rows.mapInArrow(scan, f"{key} {key_type}, position long, pred_type string, true_position long, previous long")
+
+
+def _swept(rows: DataFrame, key: str, key_type: str, window: int, tasks: int, gaps: bool = False) -> DataFrame:
+    """(key, position, pred_type, true_position) of `matched`, with n_other and n_true, how many of the key's rows are no
+    negatives and have a true position, and with gaps the distance of the nearest positive.
 
-    called = rows.mapInArrow(scan, f"{key} {key_type}, position long, pred_type string, true_position long")
-    first = F.col("true_position") - window
-    last = F.when(F.col("pred_type") == "TP", F.least(F.col("true_position") + window, F.col("position") - 1)).otherwise(F.col("true_position") + window)
-    held = called.filter(F.col("true_position").isNotNull()).withColumns({"first": first, "last": last}).filter("first <= last")
-    held = held.select(F.col(key).alias("held_key"), F.explode(F.sequence("first", "last")).alias("held_position"))
-    there = (F.col(key).eqNullSafe(F.col("held_key"))) & (F.col("position") == F.col("held_position"))
-    true = negatives.join(held, there, "left_anti").select(key, "position", F.lit("TN").alias("pred_type"), F.lit(None).cast("long").alias("true_position"))
-    return called.unionByName(true)
+    Marks lie among the rows in their order: where a true position begins to be free, how far it is, and at each positive
+    (before all for the first one) which comes next. So one order by position tells which negatives are true and how far
+    positives are, by running maxima.
+    """
+    negatives = rows.filter(F.col("kind") == NEGATIVE).select(key, "position", F.lit("TN").alias("pred_type"))
+    called = _called(rows.filter(F.col("kind") != NEGATIVE), key, key_type, window, tasks)
+    position, true, none = F.col("position"), F.col("true_position"), F.lit(None).cast("long")
+    positive = F.col("pred_type") != "FN"
+    last = F.when(F.col("pred_type") == "TP", F.least(true + window, position - 1)).otherwise(true + window)
+
+    def mark(at: Column, pred_type: Column, true_position: Column, held: Column, below: Column, above: Column) -> Column:
+        return F.struct(at.alias("position"), pred_type.alias("pred_type"), true_position.alias("true_position"), held.alias("held"), below.alias("below"), above.alias("above"))
+
+    marks = [mark(position, F.col("pred_type"), true, none, F.when(positive, position), none), mark(F.when(true - window <= last, true - window), F.lit(None), none, last, none, none)]
+    if gaps:
+        marks.append(mark(F.when(positive, F.coalesce("previous", F.lit(-(1 << 63)))), F.lit(None), none, none, none, position))
+    marked = called.select(key, F.explode(F.array(*marks)).alias("of")).select(key, "of.*").filter("position is not null")
+    dealt = marked.unionByName(negatives, allowMissingColumns=True).repartition(tasks, F.col(key))
+    along = Window.partitionBy(key).orderBy("position")
+    so_far, whole = along.rangeBetween(Window.unboundedPreceding, 0), along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    told = {"held": F.max("held").over(so_far), "n_other": F.count(F.when(F.col("pred_type") != "TN", 1)).over(whole), "n_true": F.count("true_position").over(whole)}
+    if gaps:
+        told |= {"below": F.max("below").over(so_far), "above": F.max("above").over(so_far)}
+    told_rows = dealt.select(key, "position", "pred_type", "true_position", *(c.alias(name) for name, c in told.items()))
+    is_tn = F.col("pred_type") == "TN"
+    found = told_rows.filter(F.col("pred_type").isNotNull() & (~is_tn | F.col("held").isNull() | (F.col("held") < position)))
+    gap = [F.when(is_tn, F.least(position - F.col("below"), F.when(F.col("above") > position, F.col("above") - position))).alias("gap")] if gaps else []
+    return found.select(key, "position", "pred_type", "true_position", "n_other", "n_true", *gap)
+
+
+def matched(rows: DataFrame, key: str, key_type: str, window: int) -> DataFrame:
+    """(key, position, pred_type, true_position) of (key, position, kind): true sites, positives and negatives of each key.
+
+    Positives are taken in ascending order; each one takes the lowest free true position within the window (TP), or is a
+    false one (FP). A negative is true (TN) unless a true position within the window is free as it is passed; then it is
+    nothing. True positions that are left are missed (FN). As positives ascend, a true position that lies a window before
+    one is never wanted again. So positives and true positions, one of these coming up as soon as a positive may take it, are
+    read once in their order; what is kept of a key are the true positions of the last two windows. Negatives stay out of
+    that: a true position is free from a window before it until it is taken, so the places where it makes a negative nothing
+    are known.
+    """
+    return _swept(rows, key, key_type, window, tasks_for(rows)).select(key, "position", "pred_type", "true_position")
 
 
 #: How true negatives are chosen where there are more than wanted.
 RANDOM, PROXIMITY, WINDOW = "random", "proximity", "window"
 
 
-def evaluate(scores: DataFrame, sites: DataFrame, key: str, key_type: str, score: str, threshold: float = 0.5, window: int = 2, tn_factor: float | None = None, seed: int = 42, tn_mode: str = RANDOM, tn_radius: int = 50) -> DataFrame:
+def evaluate(scores: DataFrame, sites: DataFrame, key: str, key_type: str, score: str, threshold: float = 0.5, window: int = 2, tn_factor: float | None = None, seed: int = 42, tn_mode: str = RANDOM, tn_radius: int = 50, tasks: int | None = None) -> DataFrame:
     """All prediction types of (key, position, score) against sites (key, position); groups without a site have none.
 
     A negative within the window of a site that no prediction has taken is neither TN nor anything else. With tn_factor,
     a group has at most that many times its other rows as TN: by a hash of their position (RANDOM), those nearest to a
     positive (PROXIMITY), or by hash among those within tn_radius of one (WINDOW). Groups without a positive go by hash.
-    Rows without a score don't count. The scores are read once.
+    Rows without a score don't count. The keys are dealt to `tasks` tasks, or as many as the counted scores want.
     """
     if tn_mode not in (RANDOM, PROXIMITY, WINDOW):
         raise ValueError(f"no such mode: {tn_mode}")
-    known = sites.select(key, "position").distinct()
-    scored = scores.filter(F.col(score).isNotNull()).join(known.select(key).distinct(), key, "left_semi")
+    tasks = tasks or tasks_for(scores)
+    known = sites.select(key, "position").filter(F.col(key).isNotNull()).repartition(tasks, F.col(key)).distinct()
+    scored = scores.filter(F.col(score).isNotNull() & F.col(key).isNotNull())
     rows = scored.select(key, "position", F.when(F.col(score) >= threshold, POSITIVE).otherwise(NEGATIVE).alias("kind")).unionByName(known.select(key, "position", F.lit(SITE).alias("kind")))
-    called = matched(rows, key, key_type, window)
+    gaps = tn_factor is not None and tn_mode != RANDOM
+    # Each site is in a row of its own, taken or missed.
+    called = _swept(rows, key, key_type, window, tasks, gaps).filter("n_true > 0")
     if tn_factor is None:
-        return called
-    of_key, along = Window.partitionBy(key), Window.partitionBy(key).orderBy("position")
-    is_tn = F.col("pred_type") == "TN"
-    wanted = F.floor(F.sum((~is_tn).cast("long")).over(of_key) * tn_factor)
-    marked = called.withColumns({"is_tn": is_tn, "wanted": wanted, "n_tn": F.sum(is_tn.cast("long")).over(of_key)})
-    order = [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), F.col("position").cast("string"))), F.col("position")]
-    if tn_mode != RANDOM:
-        at = F.when(F.col("pred_type").isin("TP", "FP"), F.col("position"))
-        below, above = F.max(at).over(along.rangeBetween(Window.unboundedPreceding, 0)), F.min(at).over(Window.partitionBy(key).orderBy(F.col("position").desc()).rangeBetween(Window.unboundedPreceding, 0))
-        marked = marked.withColumn("gap", F.least(F.col("position") - below, above - F.col("position")))
-    if tn_mode == PROXIMITY:
-        order = [F.col("gap"), *(F.when(F.col("gap").isNull(), x) for x in order), F.col("position")]
+        return called.select(key, "position", "pred_type", "true_position")
+    is_tn, wanted = F.col("pred_type") == "TN", F.floor(F.col("n_other") * tn_factor)
+    hashed = [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), F.col("position").cast("string"))), F.col("position")]
+    outside = F.coalesce(F.col("gap") > tn_radius, F.lit(False))
+    order = {RANDOM: hashed, PROXIMITY: [F.col("gap"), *(F.when(F.col("gap").isNull(), x) for x in hashed), F.col("position")], WINDOW: [outside, *hashed]}[tn_mode]
+    by = Window.partitionBy(key, is_tn).orderBy(*order)
+    kept = F.row_number().over(by) <= wanted
     if tn_mode == WINDOW:  # where all fit, all stay; else none of those outside
-        outside = F.coalesce(F.col("gap") > tn_radius, F.lit(False))
-        marked = marked.filter(~F.col("is_tn") | (F.col("n_tn") <= F.col("wanted")) | ~outside)
-    rank = F.row_number().over(Window.partitionBy(key, "is_tn").orderBy(*order))
-    kept = marked.withColumn("place", rank).filter(~F.col("is_tn") | (F.col("place") <= F.col("wanted")))
-    return kept.select(key, "position", "pred_type", "true_position")
+        kept &= ~outside | (F.count("*").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) <= wanted)
+    return called.withColumn("kept", ~is_tn | kept).filter("kept").select(key, "position", "pred_type", "true_position")
 
 
 def evaluate_sites(scores: DataFrame, sites: DataFrame, key: str, key_type: str, columns: dict[str, str], **options: object) -> DataFrame:
     """evaluate for each site type, whose score column `columns` tells, with a column site_type; sites has (key, position, site_type)."""
+    options = {"tasks": tasks_for(scores)} | options
     each = [evaluate(scores, sites.filter(F.col("site_type") == kind), key, key_type, score, **options).withColumn("site_type", F.lit(kind)) for kind, score in columns.items()]
     return reduce(DataFrame.unionByName, each)
 

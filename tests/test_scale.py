@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
-from strandlake.operators import joins
+import pytest
+from test_operators import brute_evaluate
+
+from strandlake.operators import evaluate, joins
 
 
 def stages(spark, frame):
@@ -70,3 +74,26 @@ def test_composition_entropy_runs_no_pattern_a_letter(spark):
         n = Counter(texts[i] or "").values()
         want = -sum(k / sum(n) * math.log2(k / sum(n)) for k in n)
         assert (e is None) == (texts[i] is None) and (e is None or abs(e - want) < 1e-9)
+
+@pytest.mark.parametrize("mode", [evaluate.RANDOM, evaluate.PROXIMITY, evaluate.WINDOW])
+def test_evaluation_deals_more_rows_to_more_tasks(spark, monkeypatch, mode):
+    """A task sorts no more rows when there are more, and what it chooses is the same."""
+    monkeypatch.setattr(evaluate, "TASK_ROWS", 100, raising=False)
+    rng = random.Random(31)
+    scores, true, want = [(None, 1, 0.9), (40, 5, 0.9), (40, 6, 0.1)], [(None, 1)], set()  # gene 40 has no site
+    for g in range(40):
+        s = [(p, 0.9 if g % 5 and rng.random() < 0.1 else 0.1) for p in sorted(rng.sample(range(-200, 800), 50))]
+        t = rng.sample(range(-200, 800), 6)
+        scores, true = scores + [(g, *x) for x in s], true + [(g, p) for p in t]
+        called = brute_evaluate(dict(s), t, 0.5, 2)
+        positive = [p for p, kind in called if kind in ("TP", "FP")]
+        gap = {p: min((abs(p - q) for q in positive), default=None) for p, kind in called if kind == "TN"}
+        hashed = {p: (hashlib.md5(f"42|{g}|{p}".encode()).hexdigest(), p) for p in gap}
+        wanted, left = int(1.2 * (len(called) - len(gap))), list(gap)
+        if mode == evaluate.WINDOW and len(gap) > wanted and positive:
+            left = [p for p in gap if gap[p] <= 50]
+        left.sort(key=lambda p: (gap[p], p) if mode == evaluate.PROXIMITY and positive else hashed[p])
+        want |= {(g, *x) for x in called if x[1] != "TN"} | {(g, p, "TN") for p in left[:wanted]}
+    ran, got = stages(spark, evaluate.evaluate(spark.createDataFrame(scores, "gene long, position long, score double"), spark.createDataFrame(true, "gene long, position long"), "gene", "long", "score", tn_factor=1.2, tn_mode=mode))
+    assert sorted(tuple(x)[:3] for x in got) == sorted(want)
+    assert max(s.numTasks() for s in ran) >= len(scores) / 100
