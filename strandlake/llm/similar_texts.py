@@ -1,7 +1,8 @@
 """Near copies by exact similarity: texts whose sets of five-word shingles have a Jaccard similarity of SIMILARITY or more.
 
-Fingerprints of SimHash cannot tell such pairs apart: at 0.8 some ten of 64 bits differ, and a trie with that budget prunes
-next to nothing. So candidates are found by min-hashes: BANDS bands of ROWS each, of which a pair at 0.8 shares one in all
+Candidates come from two searches. SimHash fingerprints of the shingles are joined by the trie of `near_dedup` under its
+budget of RADIUS bits. At 0.8 some ten of 64 bits differ, and a trie with that budget prunes next to nothing. So the others
+are found by min-hashes: BANDS bands of ROWS each, of which a pair at 0.8 shares one in all
 but 5 in 100,000 cases. Texts of a band's cell compare sketches: a bit of each min-hash, which leaves out 1 in 100,000 at
 0.8, and where these agree a byte of each, which leaves out as few. What remains is compared exactly, by shingle hashes.
 Components of the true pairs are the groups.
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import chunks, first_of_each, if_small, lean, mix64, park, row_key, shingle_hashes, span_hashes, text_buffer, word_spans
-from .near_dedup import components
+from .near_dedup import RADIUS, components, hamming_links
 from .url_filter import _filter_of, _in
 
 WIDTH = 5
@@ -81,6 +82,18 @@ def min_hashes(shingles: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return cells, np.packbits(bits, axis=1).view(np.uint64), (mixed >> np.uint64(8)).astype(np.uint8)
 
 
+def simhashes_of(shingles: np.ndarray, offsets: np.ndarray, most: int = 1 << 16) -> np.ndarray:
+    """The fingerprint of each row: bit k is 1 if it is set in over half of the row's hashes; `most` hashes at a time."""
+    n = np.diff(offsets)
+    row, ones = np.repeat(np.arange(len(n)), n), np.zeros((len(n), 64), np.int64)
+    for at in range(0, len(shingles), most):
+        own = row[at : at + most]
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        bits = np.unpackbits(mix64(shingles[at : at + most]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+    return ((2 * ones > n[:, None]) * (np.uint64(1) << np.arange(64, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+
+
 def _longs(lists: np.ndarray, has: np.ndarray) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum(has * BANDS))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(lists.reshape(-1).view(np.int64)))
@@ -100,7 +113,7 @@ def _rows(column: pa.Array, wide: int) -> np.ndarray:
 
 
 def prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(no_id, id, text_hash, text, cells, s0, s1, more): each row's text by name, its cells and sketches; a text without words has no cells."""
+    """(no_id, id, text_hash, text, cells, s0, s1, more, fp): each row's text by name, its cells, sketches and fingerprint; a text without words has no cells."""
 
     @lean
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,11 +124,12 @@ def prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 cells = np.zeros((0, BANDS), np.uint64)
                 if has.any():
                     cells, sketch[has], more[has] = min_hashes(shingles, np.append(at[:-1][has], at[-1]))
+                fp = pa.array(simhashes_of(shingles, at).view(np.int64))
                 two = [pa.array(np.ascontiguousarray(sketch[:, k]).view(np.int64)) for k in (0, 1)]
                 key = [batch.column(k).slice(lo, len(names)) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*key, pa.array(names.view(np.int64)), _longs(cells, has), *two, _bytes(more)], ["no_id", "id", "text_hash", "text", "cells", "s0", "s1", "more"])
+                yield pa.RecordBatch.from_arrays([*key, pa.array(names.view(np.int64)), _longs(cells, has), *two, _bytes(more), fp], ["no_id", "id", "text_hash", "text", "cells", "s0", "s1", "more", "fp"])
 
-    return docs.select(*row_key(id_col, text_col), F.col(text_col).cast("string")).mapInArrow(of, "no_id boolean, id long, text_hash long, text long, cells array<long>, s0 long, s1 long, more binary")
+    return docs.select(*row_key(id_col, text_col), F.col(text_col).cast("string")).mapInArrow(of, "no_id boolean, id long, text_hash long, text long, cells array<long>, s0 long, s1 long, more binary, fp long")
 
 
 def _large_cells(texts: DataFrame, most: int) -> DataFrame:
@@ -223,6 +237,16 @@ def _met(texts: DataFrame, large: DataFrame, what: int, similarity: float) -> Da
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
+def trie_pairs(texts: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): texts whose fingerprints the trie links, as many as connect all that are within radius bits; texts has (text, fp)."""
+    stands = park(texts.groupBy("fp").agg(F.min("text").alias("stand")))
+    links, of = hamming_links(stands.select("fp"), radius), if_small(stands)
+    for end in ("a", "b"):
+        links = links.join(of.withColumnRenamed("fp", end), end).drop(end).withColumnRenamed("stand", end)
+    same = texts.join(of, "fp").select(F.col("text").alias("a"), F.col("stand").alias("b")).filter("a != b")
+    return links.select("a", "b").unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def shingles_of(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     """(text, shingles): the different shingles of the wanted texts (`text`, parked)."""
     n = wanted.count()
@@ -267,10 +291,13 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts of the same words are in one component, those without words in one of their own; nulls have no words.
     """
     rows = park(prints(docs, id_col, text_col))
-    texts = park(rows.groupBy("text").agg(*(F.first(c).alias(c) for c in ("cells", "s0", "s1", "more"))))
+    texts = park(rows.groupBy("text").agg(*(F.first(c).alias(c) for c in ("cells", "s0", "s1", "more", "fp"))))
+    near = park(trie_pairs(texts.filter(F.size("cells") > 0).select("text", "fp")))
+    texts = texts.drop("fp")
     large = _large_cells(texts, slice_size)
     unknown = {"n": F.lit(1).cast("long"), "common": F.lit(1).cast("long"), "root": F.col("text")}
-    wanted = park(_met(texts.withColumns(unknown), large, ANY, similarity).select(F.col("a").alias("text")).distinct())
+    any_ = _met(texts.withColumns(unknown), large, ANY, similarity).select(F.col("a").alias("text"))
+    wanted = park(any_.unionByName(near.select(F.explode(F.array("a", "b")).alias("text"))).distinct())
     sets = park(shingles_of(docs, wanted, text_col))
     # A shingle of one text only counts for nothing; a text has each shingle once.
     each = sets.select("text", F.explode("shingles").alias("shingle"))
@@ -278,7 +305,7 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     common = each.join(shared, "shingle", "left_semi").groupBy("text").agg(F.count("*").alias("common"))
     sizes = sets.select("text", F.size("shingles").cast("long").alias("n")).join(common, "text")
     likely = park(texts.join(sizes, "text").withColumn("root", F.col("text")))
-    tried = park(_met(likely, large, BEST, similarity))
+    tried = park(_met(likely, large, BEST, similarity).unionByName(near).distinct())
     links = park(similar_pairs(sets, tried, similarity))
     roots = components(links).withColumnRenamed("node", "text")
     rooted = park(likely.drop("root").join(roots, "text", "left").withColumn("root", F.coalesce("root", "text")))

@@ -102,3 +102,17 @@ def test_one_row_of_each_group_stays(spark):
     assert min(kept[k].root for k in kept if k in (9, 10)) == 10  # as JSON, 10 comes before 9
     assert kept[1] == Row(doc_id=3, text=a, root=1, no_id="x", near_copy_key=1)
     assert st.drop_similar_texts(spark.createDataFrame([], kinds)).count() == 0
+
+
+def test_the_trie_finds_near_copies(spark, monkeypatch):
+    """Links of the fingerprint trie are candidates too, and what they link is compared exactly."""
+    monkeypatch.setattr(st, "AGREE", st.BANDS * st.ROWS + 1)  # min-hashes find nothing
+    rng = random.Random(24)
+    docs = []
+    for k in range(20):
+        words = [f"w{rng.randint(0, 9000)}" for _ in range(400)]
+        docs += [(k, " ".join(words)), (100 + k, " ".join([*words[:-1], "new"])), (200 + k, " ".join(words[:200]))]
+    got = groups(st.similar_rows(spark.createDataFrame(docs, "doc_id long, text string")))
+    want = brute(docs)
+    assert all(want[d] == least or d == least for d, least in got.items())
+    assert sum(got[100 + k] == k for k in range(20)) >= 15
