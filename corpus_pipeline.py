@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from strandlake.llm import base, decontaminate, mixing, quality, sharding, similar_texts
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of so many bytes, which executors hold beside their heap; a batch of 10,000 long texts is tens of MB, twice."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the n-gram ratio; its corpus is this stage's input.
 
     Null and empty texts fail; each row is judged by its text, repeated ones alike, a null id being never trusted. An empty
     table stays empty; columns may have any names.
     """
+    _small_batches(spark)
     return quality.drop_low_quality(docs, base.table(spark, sf_dir, "labels"))
 
 
@@ -25,6 +31,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     copies of each other. Rows that share an id, or have none, are told apart by their texts. An empty table stays empty;
     columns may have any names.
     """
+    _small_batches(spark)
     return similar_texts.drop_similar_texts(docs)
 
 
@@ -34,6 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts and items copy nothing; rows are judged one by one, whatever their ids. Empty tables change nothing;
     columns may have any names.
     """
+    _small_batches(spark)
     return decontaminate.drop_contaminated(docs, base.table(spark, sf_dir, "benchmark"))
 
 
