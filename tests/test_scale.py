@@ -33,6 +33,22 @@ def test_entity_pairs_are_not_shuffled(spark):
     assert sum(s.shuffleWriteRecords() for s in ran) < 20_000
 
 
+def test_entity_pairs_of_one_place_are_dealt_out(spark, monkeypatch):
+    """All pairs of a chromosome's one bin come from many tasks, which hold few rows of it, and no side is computed again."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(joins, "WORTH", 1000, raising=False)
+    genes = spark.createDataFrame([(k, f"n{k % 2}" if k < 90 else None, 1, k % 7, 1000 + k % 11) for k in range(300)], "id long, symbol string, chrom int, start long, end long")
+    made = joins.entity_pairs(genes, genes, edge=30)
+    assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()
+    rows = made.withColumn("task", F.spark_partition_id()).collect()
+    by_task = {}
+    for r in rows:
+        by_task[r.task] = by_task.get(r.task, 0) + 1
+    assert len(rows) == len({(r.id_1, r.id_2) for r in rows}) == 90_000 and max(by_task.values()) < 10_000
+    assert sum(r.strategy == "id" for r in rows) == 300 and sum(r.strategy == "symbol" for r in rows) == 90 * 45 - 90
+
+
 def test_entity_pairs_of_repeated_ids(spark):
     rng = random.Random(4)
 
