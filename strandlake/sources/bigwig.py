@@ -1,11 +1,13 @@
 """bigWig files: written by many tasks, read by region through the file's index.
 
 Intervals are sorted over all tasks by a range shuffle; each task packs and compresses its blocks into a file of its own and
-returns a row for each block. Summaries of coarser and coarser windows are aggregations, packed in the same way. What is put
-together in one place is the header, a tree of chromosomes, and for data and each summary level an R-tree with an entry for
-each block (a thousand items); the tasks' files are then appended to it, byte for byte, in pieces of bounded size.
+stores a row for each block. Summaries of coarser and coarser windows are aggregations, packed in the same way. The tree of
+chromosomes, and for data and each summary level an R-tree with an entry for each block (a thousand items of a chromosome at
+most), are packed by tasks too, but for their upper levels. What is put together in one place is the header; the tasks' files
+are then appended to it, byte for byte, in pieces of bounded size.
 
-A reader walks the tree to the blocks that overlap its regions; tasks fetch these, near ones together.
+A reader walks the tree to the blocks that overlap its regions, and leaves branches to tasks where they become many; tasks
+fetch the blocks, near ones together.
 """
 
 from __future__ import annotations
@@ -18,10 +20,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyarrow.fs import FileSystem
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
@@ -43,6 +44,10 @@ ITEMS, NODE_ITEMS = 1024, 256
 LEVELS, COARSER = 8, 4
 #: Bytes that are copied, or fetched for several blocks, at once; and bytes between two wanted blocks that are read all the same.
 CHUNK, GAP = 8 << 20, 64 << 10
+#: Entries of a level of a tree, and nodes of one, that the driver holds at most; beyond, they are the tasks'. Entries of a task.
+HELD, NODES, DEALT = 1 << 13, 1 << 6, 1 << 17
+#: Rows of small blocks that a reader sends on together.
+ROWS = 8192
 
 _BLOCKS = "part int, k long, file string, offset long, size long, raw long, chrom_id int, start long, end long"
 _VALUES = ("start", "end", "value")
@@ -51,16 +56,18 @@ _SUMMARY = ("start", "end", "valid", "least", "most", "total", "squares")
 
 @dataclass
 class Blocks:
-    """What the index needs of the blocks in order, the tasks' files in the same order, and bytes of the largest block and of all, unpacked."""
+    """A row (part, k, offset, size, chrom_id, start, end) for each block, what is known of each task's blocks, in order, and all blocks' number and bytes, and the largest one's, unpacked."""
 
-    table: pa.Table  # (size, chrom_id, start, end)
-    files: list[str]
+    rows: DataFrame
+    parts: list[Row]
+    n: int
+    size: int
     largest: int
     raw: int
 
 
 def _pack(rows: DataFrame, columns: Sequence[str], folder: str, parts: int) -> Blocks:
-    """Writes rows (chrom_id, columns) in order to files of the tasks; one row a block goes to the driver, in few bytes."""
+    """Writes rows (chrom_id, columns) in order to files of the tasks; the rows of their blocks are stored, and one row a task goes to the driver."""
     zoom = len(columns) > 3
 
     def block(chrom: int, x: np.ndarray) -> bytes:
@@ -131,11 +138,16 @@ def _pack(rows: DataFrame, columns: Sequence[str], folder: str, parts: int) -> B
     index = f"{folder}/index-{uuid.uuid4().hex}"
     dealt.mapInArrow(write, _BLOCKS).write.parquet(index)  # what lost tasks have written is in no row
     blocks = rows.sparkSession.read.schema(_BLOCKS).parquet(index)
-    files = blocks.groupBy("part", "file").agg(F.max("raw").alias("largest"), F.sum("raw").alias("raw")).orderBy("part").collect()  # a row for each task
-    half = 1 << 31  # places have 32 bits without a sign
-    small = blocks.orderBy("part", "k").select(F.col("size").cast("int"), "chrom_id", *((F.col(c) - half).cast("int").alias(c) for c in ("start", "end"))).toArrow()
-    table = pa.table({c: x.cast(pa.int64()) if c in ("size", "chrom_id") else pc.add(x.cast(pa.int64()), half) for c, x in zip(small.column_names, small.columns, strict=True)})
-    return Blocks(table, [r.file for r in files], max((r.largest for r in files), default=0), sum(r.raw for r in files))
+    parts_ = blocks.groupBy("part", "file").agg(F.count("*").alias("n"), F.max("raw").alias("largest"), F.sum("raw").alias("raw"), F.sum("size").alias("size"), F.max("end").alias("end"), F.min(F.struct("k", "chrom_id", "start")).alias("first"), F.max(F.struct("k", "chrom_id")).alias("last")).orderBy("part").collect()
+    n, size, raw = (sum(r[c] for r in parts_) for c in ("n", "size", "raw"))
+    return Blocks(blocks.drop("file", "raw"), parts_, n, size, max((r.largest for r in parts_), default=0), raw)
+
+
+def _placed_after(rows: DataFrame, counts: list[tuple[int, ...]], names: Sequence[str]) -> DataFrame:
+    """rows with what all parts before theirs have of each of the names; counts: (part, its own of each)."""
+    totals = np.cumsum([c[1:] for c in counts], axis=0, dtype=np.int64) - np.array([c[1:] for c in counts], np.int64)
+    before = rows.sparkSession.createDataFrame([(c[0], *t) for c, t in zip(counts, totals.tolist(), strict=True)], ", ".join(["part int", *(f"{x} long" for x in names)]))
+    return rows.join(F.broadcast(before), "part")
 
 
 def _levels(n: int) -> list[int]:
@@ -146,22 +158,99 @@ def _levels(n: int) -> list[int]:
     return out
 
 
-def _tree(entries: np.ndarray, branch: np.dtype, at: int, over) -> bytes:
-    """Nodes of a tree whose first byte stands at `at`; over(children) makes a branch entry without its offset."""
-    counts = _levels(len(entries))
-    sizes = [4 + NODE_ITEMS * (entries.dtype if i == len(counts) - 1 else branch).itemsize for i in range(len(counts))]
+def _fields(kind: np.dtype) -> str:
+    return ", ".join(f"{x} {'binary' if kind[x].kind == 'S' else 'long'}" for x in kind.names)
+
+
+def _entries(table: pa.RecordBatch | pa.Table, kind: np.dtype) -> np.ndarray:
+    out = np.zeros(table.num_rows, kind)
+    for name in kind.names:
+        column = table.column(name)
+        out[name] = np.array(column.to_pylist(), kind[name]) if kind[name].kind == "S" else column.to_numpy()
+    return out
+
+
+def _node_bytes(x: np.ndarray, leaf: bool, size: int) -> bytes:
+    return (struct.pack(NODE, leaf, 0, len(x)) + x.tobytes()).ljust(size, b"\0")
+
+
+def _over(nodes: list[np.ndarray], branch: np.dtype, over, at: int, size: int) -> np.ndarray:
+    """The branch entries of nodes, the first of which stands at `at`."""
+    out = np.zeros(len(nodes), branch)
+    for k, x in enumerate(nodes):
+        over(out, k, x)
+    out["offset"] = at + np.arange(len(nodes)) * size
+    return out
+
+
+def _nodes(entries: DataFrame, n: int, kind: np.dtype, branch: np.dtype, leaf: bool, at: int, size: int, over, folder: str) -> tuple[list[str], DataFrame]:
+    """Files of the nodes of n entries (i, fields of kind), in order, and the entries (i, fields of branch) over them; tasks write them."""
+    node_items = NODE_ITEMS
+    schema = f"part int, file string, i long, {_fields(branch)}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        part, name, out, node, held = TaskContext.get().partitionId(), f"nodes-{uuid.uuid4().hex}", None, None, np.zeros(0, kind)
+
+        def put(x: np.ndarray) -> pa.RecordBatch:
+            nonlocal out, node
+            out = out or store.open_output_stream(f"{root}/{name}", compression=None)
+            nodes = [x[k : k + node_items] for k in range(0, len(x), node_items)]
+            for each in nodes:
+                out.write(_node_bytes(each, leaf, size))
+            up = _over(nodes, branch, over, at + node * size, size)
+            first, m, node = node, len(nodes), node + len(nodes)
+            columns = [pa.array(up[c].tolist(), pa.binary()) if branch[c].kind == "S" else pa.array(up[c].astype(np.int64)) for c in branch.names]
+            return pa.RecordBatch.from_arrays([pa.array([part] * m, pa.int32()), pa.array([name] * m), pa.array(np.arange(first, first + m)), *columns], ["part", "file", "i", *branch.names])
+
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    node = batch.column("i")[0].as_py() // node_items if node is None else node  # a task has whole nodes
+                    held = np.concatenate([held, _entries(batch, kind)])
+                    whole = len(held) // node_items * node_items
+                    if whole:
+                        yield put(held[:whole])
+                        held = held[whole:]
+            if len(held):
+                yield put(held)
+        finally:
+            if out is not None:
+                out.close()
+
+    dealt = entries.withColumn("node", F.expr(f"i div {node_items}")).repartitionByRange(max(1, n // DEALT), "node").sortWithinPartitions("i")
+    index = f"{folder}/tree-{uuid.uuid4().hex}"
+    dealt.select("i", *kind.names).mapInArrow(write, schema).write.parquet(index)
+    up = entries.sparkSession.read.schema(schema).parquet(index)
+    return [r.file for r in up.select("part", "file").distinct().orderBy("part").collect()], up.drop("part", "file")
+
+
+def _tree(entries: DataFrame, n: int, kind: np.dtype, branch: np.dtype, at: int, over, folder: str) -> list[bytes | str]:
+    """Bytes, and files of folder, that make a tree whose first byte stands at `at` over n entries (i, fields of kind).
+
+    over(entries, k, children) makes a branch entry without its offset. Levels of many entries are the tasks' work; each is
+    NODE_ITEMS times as small as the one below.
+    """
+    counts = _levels(n)
+    sizes = [4 + NODE_ITEMS * (kind if i == len(counts) - 1 else branch).itemsize for i in range(len(counts))]
     starts = [at + sum(c * s for c, s in zip(counts[:i], sizes[:i], strict=True)) for i in range(len(counts))]
-    levels, now = [], entries
+    levels: list[list[bytes | str]] = []
+    now: DataFrame | np.ndarray = entries
     for i in reversed(range(len(counts))):
-        nodes = [now[k * NODE_ITEMS : (k + 1) * NODE_ITEMS] for k in range(counts[i])]
         leaf = i == len(counts) - 1
-        levels.insert(0, b"".join((struct.pack(NODE, leaf, 0, len(x)) + x.tobytes()).ljust(sizes[i], b"\0") for x in nodes))
+        mine, held = (kind if leaf else branch), (n if leaf else counts[i + 1])
+        if isinstance(now, DataFrame) and held > HELD:
+            files, now = _nodes(now, held, mine, branch, leaf, starts[i], sizes[i], over, folder)
+            levels.insert(0, files)
+            continue
+        if isinstance(now, DataFrame):
+            now = _entries(now.select("i", *mine.names).orderBy("i").toArrow(), mine)
+        nodes = [now[k * NODE_ITEMS : (k + 1) * NODE_ITEMS] for k in range(counts[i])]
+        levels.insert(0, [b"".join(_node_bytes(x, leaf, sizes[i]) for x in nodes)])
         if i:
-            now = np.zeros(len(nodes), branch)
-            for k, x in enumerate(nodes):
-                over(now, k, x)
-                now[k]["offset"] = starts[i] + k * sizes[i]
-    return b"".join(levels)
+            now = _over(nodes, branch, over, starts[i], sizes[i])
+    return [x for level in levels for x in level]
 
 
 def _tree_size(n: int, leaf: np.dtype, branch: np.dtype) -> int:
@@ -179,16 +268,13 @@ def _first_key(now: np.ndarray, k: int, x: np.ndarray) -> None:
     now[k]["key"] = x[0]["key"]
 
 
-def _index(blocks: pa.Table, data_at: int, at: int) -> bytes:
-    """The R-tree at `at` over blocks whose first byte stands at data_at."""
-    leaves = np.zeros(blocks.num_rows, LEAF)
-    size = blocks.column("size").to_numpy()
-    for name, column in (("chrom_0", "chrom_id"), ("chrom_1", "chrom_id"), ("start", "start"), ("end", "end")):
-        leaves[name] = blocks.column(column).to_numpy()
-    leaves["size"], leaves["offset"] = size, data_at + np.cumsum(size) - size
-    first, last = (leaves[0], leaves[-1]) if len(leaves) else (np.zeros(1, LEAF)[0],) * 2
-    head = struct.pack(INDEX_HEADER, INDEX_MAGIC, NODE_ITEMS, len(leaves), first["chrom_0"], first["start"], last["chrom_1"], int(leaves["end"].max(initial=0)), data_at + int(size.sum()), ITEMS, 0)
-    return head + _tree(leaves, BRANCH, at + len(head), _span)
+def _index(blocks: Blocks, data_at: int, at: int, folder: str) -> list[bytes | str]:
+    """The R-tree at `at` over blocks whose first byte stands at data_at, in bytes and files of folder."""
+    placed = _placed_after(blocks.rows, [(r.part, r.n, r["size"]) for r in blocks.parts], ["blocks_before", "bytes_before"]) if blocks.n else blocks.rows.withColumns({"blocks_before": F.lit(0), "bytes_before": F.lit(0)})
+    leaves = placed.select((F.col("blocks_before") + F.col("k")).alias("i"), F.col("chrom_id").cast("long").alias("chrom_0"), "start", F.col("chrom_id").cast("long").alias("chrom_1"), "end", (F.col("bytes_before") + F.col("offset") + data_at).alias("offset"), "size")
+    first, last = (blocks.parts[0].first, blocks.parts[-1].last) if blocks.n else (Row(chrom_id=0, start=0), Row(chrom_id=0))
+    head = struct.pack(INDEX_HEADER, INDEX_MAGIC, NODE_ITEMS, blocks.n, first.chrom_id, first.start, last.chrom_id, max((r.end for r in blocks.parts), default=0), data_at + blocks.size, ITEMS, 0)
+    return [head, *_tree(leaves, blocks.n, LEAF, BRANCH, at + len(head), _span, folder)]
 
 
 def windows(rows: DataFrame, reduction: int) -> DataFrame:
@@ -222,11 +308,10 @@ def write_bigwig(values: DataFrame, path: str, chroms: DataFrame, reduction: int
     length of the values.
     """
     spark = values.sparkSession
-    names = sorted((r.chrom, r.size) for r in chroms.select("chrom", F.col("size").cast("long")).collect())  # the header has them all
-    known = spark.createDataFrame([(k, c, s) for k, (c, s) in enumerate(names)], "chrom_id int, chrom string, size long")
+    folder = scratch_dir(spark, "bigwig")
+    known, n_chroms, key = _numbered(chroms, folder)
     rows = values.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("value").cast("float").cast("double").alias("value"))
     rows = rows.join(known, "chrom", "left")
-    folder = scratch_dir(spark, "bigwig")
     rows.select("chrom_id", "size", *_VALUES).write.parquet(f"{folder}/values")
     rows = spark.read.schema("chrom_id int, size long, start long, end long, value double").parquet(f"{folder}/values")
     n = F.col("end") - F.col("start")
@@ -237,8 +322,7 @@ def write_bigwig(values: DataFrame, path: str, chroms: DataFrame, reduction: int
     items = all_.items
     parts = parts or max(spark.sparkContext.defaultParallelism, -(-items // (ITEMS * 1024)))
     data = _pack(rows, _VALUES, folder, parts)
-    start, end, chrom = (data.table.column(c).to_numpy() for c in ("start", "end", "chrom_id"))
-    if ((chrom[1:] == chrom[:-1]) & (start[1:] < end[:-1])).any() or (items and not _apart(rows)):
+    if items and not _apart(rows):
         raise ValueError("values overlap")
     zooms: list[tuple[int, Blocks]] = []
     if items:
@@ -250,11 +334,33 @@ def write_bigwig(values: DataFrame, path: str, chroms: DataFrame, reduction: int
             now = spark.read.schema(now.schema).parquet(at)
             n_now = now.count()
             zooms.append((reduction, _pack(now, _SUMMARY, folder, max(1, min(parts, n_now // ITEMS)))))
-            if n_now <= len(names):
+            if n_now <= n_chroms:
                 break
             reduction *= COARSER
             now = coarser(now, reduction)
-    _assemble(path, folder, names, data, zooms, all_)
+    _assemble(path, folder, known, n_chroms, key, data, zooms, all_)
+
+
+def _numbered(chroms: DataFrame, folder: str) -> tuple[DataFrame, int, int]:
+    """(chrom_id, chrom, size) of chroms, numbered from 0 by name, how many they are, and the bytes of the longest name."""
+    spark = chroms.sparkSession
+    chroms.select("chrom", F.col("size").cast("long").alias("size")).write.parquet(f"{folder}/chroms")
+    stored = spark.read.schema("chrom string, size long").parquet(f"{folder}/chroms")
+    n, key = stored.agg(F.count("*"), F.max(F.octet_length("chrom"))).first()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, k = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            m = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([part] * m, pa.int32()), pa.array(np.arange(k, k + m)), *batch.columns], ["part", "k", "chrom", "size"])
+            k += m
+
+    schema = "part int, k long, chrom string, size long"
+    stored.repartitionByRange(max(1, n // DEALT), "chrom", "size").sortWithinPartitions("chrom", "size").mapInArrow(count, schema).write.parquet(f"{folder}/numbered")
+    rows = spark.read.schema(schema).parquet(f"{folder}/numbered")
+    counts = [(r.part, r["count"]) for r in rows.groupBy("part").count().orderBy("part").collect()]
+    rows = _placed_after(rows, counts, ["before"]) if n else rows.withColumn("before", F.lit(0))
+    return rows.select((F.col("before") + F.col("k")).cast("int").alias("chrom_id"), "chrom", "size"), n, key or 1
 
 
 def _apart(rows: DataFrame) -> bool:
@@ -264,62 +370,83 @@ def _apart(rows: DataFrame) -> bool:
     return cut.withColumn("before", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))).filter("before > start").isEmpty()
 
 
-def _assemble(path: str, folder: str, names: list[tuple[str, int]], data: Blocks, zooms: list[tuple[int, Blocks]], all_) -> None:
-    key = max([len(c.encode()) for c, _ in names], default=1)
-    leaf, branch = np.dtype([("key", f"S{key}"), ("id", "<u4"), ("size", "<u4")]), np.dtype([("key", f"S{key}"), ("offset", "<u8")])
-    chroms = np.array([(c.encode(), k, s) for k, (c, s) in enumerate(names)], leaf)
+def _assemble(path: str, folder: str, known: DataFrame, n_chroms: int, key: int, data: Blocks, zooms: list[tuple[int, Blocks]], all_) -> None:
+    leaf, branch = _chrom_kinds(key)
+    entries = known.select(F.col("chrom_id").cast("long").alias("i"), F.encode("chrom", "utf-8").alias("key"), F.col("chrom_id").cast("long").alias("id"), "size")
     summary_at = struct.calcsize(HEADER) + len(zooms) * struct.calcsize(ZOOM_HEADER)
     chrom_at = summary_at + struct.calcsize(SUMMARY)
-    tree = struct.pack(CHROM_HEADER, CHROM_MAGIC, NODE_ITEMS, key, 8, len(names), 0)
-    tree += _tree(chroms, branch, chrom_at + len(tree), _first_key)
-    at = chrom_at + len(tree)
+    head = struct.pack(CHROM_HEADER, CHROM_MAGIC, NODE_ITEMS, key, 8, n_chroms, 0)
+    tree = [head, *_tree(entries, n_chroms, leaf, branch, chrom_at + len(head), _first_key, folder)]
+    at = chrom_at + len(head) + _tree_size(n_chroms, leaf, branch)
     layout, raw = [], 0
     for blocks, head in [(data, 8), *((z, 4) for _, z in zooms)]:
-        size = int(blocks.table.column("size").to_numpy().sum(dtype=np.int64))
-        index_at = at + head + size
+        index_at = at + head + blocks.size
         layout.append((at, head, index_at, blocks))
-        at = index_at + struct.calcsize(INDEX_HEADER) + _tree_size(blocks.table.num_rows, LEAF, BRANCH)
+        at = index_at + struct.calcsize(INDEX_HEADER) + _tree_size(blocks.n, LEAF, BRANCH)
         raw = max(raw, blocks.largest)
     source, root = FileSystem.from_uri(folder)
     store, target = FileSystem.from_uri(path)
     with store.open_output_stream(target, compression=None) as out:
+
+        def append(pieces: Sequence[bytes | str]) -> None:
+            """Bytes, and files of the tasks."""
+            for x in pieces:
+                if isinstance(x, bytes):
+                    out.write(x)
+                    continue
+                with source.open_input_stream(f"{root}/{x}", compression=None) as part:
+                    while piece := part.read(CHUNK):
+                        out.write(piece)
+
         out.write(struct.pack(HEADER, MAGIC, VERSION, len(zooms), chrom_at, layout[0][0], layout[0][2], 0, 0, 0, summary_at, raw, 0))
         for (reduction, _), (data_at, _, index_at, _) in zip(zooms, layout[1:], strict=True):
             out.write(struct.pack(ZOOM_HEADER, reduction, 0, data_at, index_at))
         out.write(struct.pack(SUMMARY, all_.covered or 0, all_.least or 0.0, all_.most or 0.0, all_.total or 0.0, all_.squares or 0.0))
-        out.write(tree)
+        append(tree)
         for k, (data_at, head, index_at, blocks) in enumerate(layout):
-            n = blocks.table.num_rows if k == 0 else blocks.raw // ZOOM.itemsize
+            n = blocks.n if k == 0 else blocks.raw // ZOOM.itemsize
             out.write(n.to_bytes(head, "little"))
-            for name in blocks.files:
-                with source.open_input_stream(f"{root}/{name}", compression=None) as part:
-                    while piece := part.read(CHUNK):
-                        out.write(piece)
-            out.write(_index(blocks.table, data_at + head, index_at))
+            append([r.file for r in blocks.parts])
+            append(_index(blocks, data_at + head, index_at, folder))
+
+
+def _chrom_kinds(key: int) -> tuple[np.dtype, np.dtype]:
+    """Entries of the leaves and branches of a tree of chromosomes."""
+    return np.dtype([("key", f"S{key}"), ("id", "<u4"), ("size", "<u4")]), np.dtype([("key", f"S{key}"), ("offset", "<u8")])
 
 
 @dataclass
-class Layout:
-    """What a file's header says."""
+class Header:
+    """What a file's header says; zooms: (reduction, place of the index), and in zooms_at where each one's blocks begin."""
 
-    chroms: dict[str, tuple[int, int]]
+    key: int
+    chrom_at: int
+    data_at: int
     index_at: int
     zooms: list[tuple[int, int]]
+    zooms_at: list[int]
     covered: int
     least: float
     most: float
     total: float
 
 
+@dataclass
+class Layout(Header):
+    """The header with the chromosomes: name to (id, size)."""
+
+    chroms: dict[str, tuple[int, int]]
+
+
 def _read(source, at: int, n: int) -> bytes:
     return source.read_at(n, at)
 
 
-def layout(path: str) -> Layout:
-    """The header of the file at path, with its chromosomes: name to (id, size)."""
+def header(path: str) -> Header:
+    """The header of the file at path, without its chromosomes."""
     store, target = FileSystem.from_uri(path)
     with store.open_input_file(target) as source:
-        magic, version, n_zooms, chrom_at, _, index_at, _, _, _, summary_at, _, _ = struct.unpack(HEADER, _read(source, 0, struct.calcsize(HEADER)))
+        magic, version, n_zooms, chrom_at, data_at, index_at, _, _, _, summary_at, _, _ = struct.unpack(HEADER, _read(source, 0, struct.calcsize(HEADER)))
         if magic != MAGIC:
             raise ValueError("not a bigWig file of this byte order")
         zooms = [struct.unpack(ZOOM_HEADER, _read(source, struct.calcsize(HEADER) + k * struct.calcsize(ZOOM_HEADER), struct.calcsize(ZOOM_HEADER))) for k in range(n_zooms)]
@@ -327,15 +454,16 @@ def layout(path: str) -> Layout:
         magic, _, key, _, _, _ = struct.unpack(CHROM_HEADER, _read(source, chrom_at, struct.calcsize(CHROM_HEADER)))
         if magic != CHROM_MAGIC:
             raise ValueError("no tree of chromosomes")
-        leaf, branch = np.dtype([("key", f"S{key}"), ("id", "<u4"), ("size", "<u4")]), np.dtype([("key", f"S{key}"), ("offset", "<u8")])
-        chroms, todo = {}, [chrom_at + struct.calcsize(CHROM_HEADER)]
-        while todo:
-            is_leaf, entries = _node(source, todo.pop(), leaf, branch)
-            if is_leaf:
-                chroms |= {c["key"].decode(): (int(c["id"]), int(c["size"])) for c in entries}
-            else:
-                todo += entries["offset"].tolist()
-        return Layout(chroms, index_at, [(z[0], z[3]) for z in zooms], covered, least, most, total)
+        return Header(key, chrom_at + struct.calcsize(CHROM_HEADER), data_at, index_at, [(z[0], z[3]) for z in zooms], [z[2] for z in zooms], covered, least, most, total)
+
+
+def layout(path: str) -> Layout:
+    """The header of the file at path, with all its chromosomes."""
+    known = header(path)
+    store, target = FileSystem.from_uri(path)
+    with store.open_input_file(target) as source:
+        entries, _ = _walked(source, [known.chrom_at], *_chrom_kinds(known.key))
+        return Layout(**vars(known), chroms={c["key"].decode(): (int(c["id"]), int(c["size"])) for x in entries for c in x})
 
 
 def _node(source, at: int, leaf: np.dtype, branch: np.dtype) -> tuple[bool, np.ndarray]:
@@ -344,31 +472,98 @@ def _node(source, at: int, leaf: np.dtype, branch: np.dtype) -> tuple[bool, np.n
     return bool(is_leaf), np.frombuffer(_read(source, at + 4, n * kind.itemsize), kind)
 
 
-def overlapping_blocks(path: str, index_at: int, regions: Sequence[tuple[int, int, int]] | None) -> np.ndarray:
-    """(LEAF) entries of the tree at index_at that overlap one of the regions (chromosome id, start, end); None: all. Other branches are not read."""
-    store, target = FileSystem.from_uri(path)
-    found = []
-    with store.open_input_file(target) as source:
-        if struct.unpack("<I", _read(source, index_at, 4))[0] != INDEX_MAGIC:
-            raise ValueError("no index of blocks")
-        todo = [index_at + struct.calcsize(INDEX_HEADER)]
-        while todo:
-            is_leaf, entries = _node(source, todo.pop(), LEAF, BRANCH)
-            if regions is not None:
-                wanted = np.zeros(len(entries), bool)
-                for chrom, start, end in regions:
-                    before = (entries["chrom_0"] < chrom) | ((entries["chrom_0"] == chrom) & (entries["start"] < end))
-                    after = (entries["chrom_1"] > chrom) | ((entries["chrom_1"] == chrom) & (entries["end"] > start))
-                    wanted |= before & after
-                entries = entries[wanted]
+def _walked(source, todo: list[int], leaf: np.dtype, branch: np.dtype, wanted=None, most: int | None = None) -> tuple[list[np.ndarray], list[int]]:
+    """(entries of leaves, places of nodes that are left) below the nodes at todo, level by level, while a level has `most` nodes at most; wanted(entries) tells which to follow."""
+    found: list[np.ndarray] = []
+    while todo and (most is None or len(todo) <= most):
+        below: list[int] = []
+        for at in todo:
+            is_leaf, entries = _node(source, at, leaf, branch)
+            if wanted is not None:
+                entries = entries[wanted(entries)]
             if is_leaf:
                 found.append(entries)
             else:
-                todo += entries["offset"].tolist()
+                below += entries["offset"].tolist()
+        todo = below
+    return found, todo
+
+
+def _numbers(source, known: Header, names: set[str]) -> dict[str, int]:
+    """The ids of those of the names that the file has; of the tree only the nodes on the way to them are read."""
+    leaf, branch = _chrom_kinds(known.key)
+    out = {}
+    for name in names:
+        at, want, is_leaf = known.chrom_at, name.encode(), False
+        while not is_leaf:
+            is_leaf, entries = _node(source, at, leaf, branch)
+            k = int(np.searchsorted(entries["key"], np.bytes_(want), side="right")) - 1
+            if k < 0:
+                break
+            if is_leaf:
+                if entries["key"][k] == want:
+                    out[name] = int(entries["id"][k])
+            else:
+                at = int(entries["offset"][k])
+    return out
+
+
+def _overlapping(regions: Sequence[tuple[int, int, int]] | None):
+    """Which entries overlap one of the regions (chromosome id, start, end); None: all."""
+    if regions is None:
+        return None
+
+    def wanted(entries: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(entries), bool)
+        for chrom, start, end in regions:
+            before = (entries["chrom_0"] < chrom) | ((entries["chrom_0"] == chrom) & (entries["start"] < end))
+            after = (entries["chrom_1"] > chrom) | ((entries["chrom_1"] == chrom) & (entries["end"] > start))
+            out |= before & after
+        return out
+
+    return wanted
+
+
+def _root(source, index_at: int) -> int:
+    if struct.unpack("<I", _read(source, index_at, 4))[0] != INDEX_MAGIC:
+        raise ValueError("no index of blocks")
+    return index_at + struct.calcsize(INDEX_HEADER)
+
+
+def _in_order(found: list[np.ndarray]) -> np.ndarray:
     out = np.concatenate(found) if found else np.zeros(0, LEAF)
     return out[np.argsort(out["offset"], kind="stable")]
 
 
+def overlapping_blocks(path: str, index_at: int, regions: Sequence[tuple[int, int, int]] | None) -> np.ndarray:
+    """(LEAF) entries of the tree at index_at that overlap one of the regions (chromosome id, start, end); None: all. Other branches are not read."""
+    store, target = FileSystem.from_uri(path)
+    with store.open_input_file(target) as source:
+        return _in_order(_walked(source, [_root(source, index_at)], LEAF, BRANCH, _overlapping(regions))[0])
+
+
+def _below(spark: SparkSession, path: str, todo: list[int], kinds: tuple[np.dtype, np.dtype], names: Sequence[str], wanted=None) -> DataFrame:
+    """(names, fields of leaves) below the nodes at todo, which tasks read."""
+    leaf, branch = kinds
+    schema = ", ".join(f"{x} {'binary' if leaf[x].kind == 'S' else 'long'}" for x in names)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, target = FileSystem.from_uri(path)
+        with store.open_input_file(target) as source:
+            for batch in batches:
+                for at in batch.column(0).to_pylist():
+                    left = [at]
+                    while left:  # depth first, so that few nodes are held
+                        is_leaf, entries = _node(source, left.pop(), leaf, branch)
+                        entries = entries if wanted is None else entries[wanted(entries)]
+                        if is_leaf:
+                            yield pa.RecordBatch.from_arrays([pa.array(entries[x].tolist(), pa.binary()) if leaf[x].kind == "S" else pa.array(entries[x].astype(np.int64)) for x in names], list(names))
+                        else:
+                            left += entries["offset"].tolist()
+
+    return spark.createDataFrame(pa.table({"at": pa.array(todo, pa.int64())})).repartition(min(len(todo), 4 * spark.sparkContext.defaultParallelism)).mapInArrow(read, schema)
+
+
 def _section(raw: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """(chromosome, starts, ends, values) of a data block of any of the three kinds."""
     chrom, start, _, step, span, kind, _, n = struct.unpack_from(SECTION, raw)
@@ -386,13 +581,25 @@ def _section(raw: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     return chrom, starts, starts + span, values.astype(np.float64)
 
 
-def _fetched(spark: SparkSession, path: str, blocks: np.ndarray, make, schema: str, parts: int | None) -> DataFrame:
-    """make(unpacked block) of each block, in tasks that fetch near ones together."""
+def _fetched(spark: SparkSession, path: str, data_at: int, index_at: int, regions: Sequence[tuple[int, int, int]] | None, make, schema: str, parts: int | None) -> DataFrame:
+    """make(unpacked block) of each block from data_at on that overlaps a region (None: all), in tasks that fetch near ones together."""
+    rows_most = ROWS
+    wanted = _overlapping(regions)
+    store, target = FileSystem.from_uri(path)
+    with store.open_input_file(target) as source:
+        found, todo = _walked(source, [_root(source, index_at)], LEAF, BRANCH, wanted, NODES)
+    blocks = _in_order(found)
     ranges = spark.createDataFrame(pa.table({"offset": blocks["offset"].astype(np.int64), "size": blocks["size"].astype(np.int64)}))
-    parts = parts or max(1, min(len(blocks), max(spark.sparkContext.defaultParallelism, int(blocks["size"].sum()) // (64 << 20))))
+    size, n = int(blocks["size"].sum()), len(blocks)
+    if todo:  # their blocks have not been counted
+        ranges = ranges.unionByName(_below(spark, path, todo, (LEAF, BRANCH), ["offset", "size"], wanted))
+        size, n = index_at - data_at, max(n, len(todo))
+    parts = parts or max(1, min(n, max(spark.sparkContext.defaultParallelism, size // (64 << 20))))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, target = FileSystem.from_uri(path)
+        held: list[pa.RecordBatch] = []
+        n_held = 0
         with store.open_input_file(target) as source:
             for batch in batches:
                 at, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -404,8 +611,14 @@ def _fetched(spark: SparkSession, path: str, blocks: np.ndarray, make, schema: s
                     raw = source.read_at(int(at[end - 1] + size[end - 1] - at[k]), int(at[k]))
                     for i in range(k, end):
                         lo = int(at[i] - at[k])
-                        yield make(_unpacked(raw[lo : lo + int(size[i])]))
+                        held.append(make(_unpacked(raw[lo : lo + int(size[i])])))
+                        n_held += held[-1].num_rows
+                        if n_held >= rows_most:
+                            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                            held, n_held = [], 0
                     k = end
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     return ranges.repartitionByRange(parts, "offset").sortWithinPartitions("offset").mapInArrow(fetch, schema)
 
@@ -417,39 +630,54 @@ def _unpacked(raw: bytes) -> bytes:
         return raw
 
 
-def _named(spark: SparkSession, rows: DataFrame, known: Layout) -> DataFrame:
-    names = spark.createDataFrame([(k, c) for c, (k, _) in known.chroms.items()], "chrom_id int, chrom string")
-    return rows.join(names, "chrom_id").drop("chrom_id")
+def _named(spark: SparkSession, path: str, rows: DataFrame, known: Header) -> DataFrame:
+    """rows with the names of their chromosomes."""
+    kinds = _chrom_kinds(known.key)
+    store, target = FileSystem.from_uri(path)
+    with store.open_input_file(target) as source:
+        found, todo = _walked(source, [known.chrom_at], *kinds, most=NODES)
+    names = spark.createDataFrame([(int(c["id"]), c["key"].decode()) for x in found for c in x], "chrom_id int, chrom string")
+    if not todo:
+        return rows.join(F.broadcast(names), "chrom_id").drop("chrom_id")
+    # Spark takes what tasks read for as small as the places that they read from, and would broadcast it.
+    names = names.unionByName(_below(spark, path, todo, kinds, ["key", "id"]).select(F.col("id").cast("int").alias("chrom_id"), F.decode("key", "utf-8").alias("chrom")))
+    return rows.join(names.hint("merge"), "chrom_id").drop("chrom_id")
 
 
 def read_bigwig(spark: SparkSession, path: str, regions: Sequence[tuple[str, int, int]] | None = None, parts: int | None = None) -> DataFrame:
     """(chrom, start, end, value) of the file: all, or what overlaps one of the regions (chrom, start, end), read through the index alone."""
-    known = layout(path)
-    wanted = None if regions is None else [(known.chroms[c][0], s, e) for c, s, e in regions if c in known.chroms]
+    known = header(path)
+    wanted = numbers = None
+    if regions is not None:
+        store, target = FileSystem.from_uri(path)
+        with store.open_input_file(target) as source:
+            numbers = _numbers(source, known, {c for c, *_ in regions})
+        wanted = [(numbers[c], s, e) for c, s, e in regions if c in numbers]
 
     def make(raw: bytes) -> pa.RecordBatch:
         chrom, starts, ends, values = _section(raw)
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), chrom, np.int32)), pa.array(starts), pa.array(ends), pa.array(values)], ["chrom_id", "start", "end", "value"])
 
-    rows = _fetched(spark, path, overlapping_blocks(path, known.index_at, wanted), make, "chrom_id int, start long, end long, value double", parts)
-    if wanted is not None:
-        inside = F.lit(False)
-        for c, s, e in wanted:
-            inside = inside | ((F.col("chrom_id") == c) & (F.col("start") < e) & (F.col("end") > s))
-        rows = rows.filter(inside)
-    return _named(spark, rows, known).select("chrom", "start", "end", "value")
+    rows = _fetched(spark, path, known.data_at, known.index_at, wanted, make, "chrom_id int, start long, end long, value double", parts)
+    if wanted is None:
+        return _named(spark, path, rows, known).select("chrom", "start", "end", "value")
+    inside = F.lit(False)
+    for c, s, e in wanted:
+        inside = inside | ((F.col("chrom_id") == c) & (F.col("start") < e) & (F.col("end") > s))
+    names = spark.createDataFrame([(k, c) for c, k in numbers.items()], "chrom_id int, chrom string")
+    return rows.filter(inside).join(F.broadcast(names), "chrom_id").select("chrom", "start", "end", "value")
 
 
 def read_zoom(spark: SparkSession, path: str, level: int = 0) -> DataFrame:
     """(chrom, start, end, valid, least, most, total, squares): a level of summaries, 0 being the finest."""
-    known = layout(path)
+    known = header(path)
 
     def make(raw: bytes) -> pa.RecordBatch:
         x = np.frombuffer(raw, ZOOM)
         return pa.RecordBatch.from_arrays([pa.array(x["chrom"].astype(np.int32)), *(pa.array(x[c].astype(np.int64 if c in ("start", "end", "valid") else np.float64)) for c in _SUMMARY)], ["chrom_id", *_SUMMARY])
 
-    rows = _fetched(spark, path, overlapping_blocks(path, known.zooms[level][1], None), make, "chrom_id int, start long, end long, valid long, least double, most double, total double, squares double", None)
-    return _named(spark, rows, known).select("chrom", *_SUMMARY)
+    rows = _fetched(spark, path, known.zooms_at[level], known.zooms[level][1], None, make, "chrom_id int, start long, end long, valid long, least double, most double, total double, squares double", None)
+    return _named(spark, path, rows, known).select("chrom", *_SUMMARY)
 
 
 def error_signal(errors: DataFrame) -> DataFrame:

@@ -162,3 +162,47 @@ def test_blocks_come_to_the_driver_in_few_bytes(spark, tmp_path):
     got = sent() - before
     assert got < 3_000_000, got
     assert bw.read_bigwig(spark, path, [("c77", 0, 2**32 - 1)]).collect() == [("c77", 4_000_000_077, 4_000_000_078, 1.0)]
+
+
+def test_trees_of_tasks(spark, written, tmp_path, monkeypatch):
+    """Trees that tasks pack and walk are byte for byte those of the driver."""
+    _, rows, sizes = written
+    sizes = sizes | {f"more{k}": 9 for k in range(40)}
+    frames = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([*sizes.items()], "chrom string, size long")
+    files = []
+    for held, dealt in ((10**6, 10**6), (4, 20)):
+        monkeypatch.setattr(bw, "HELD", held)
+        monkeypatch.setattr(bw, "DEALT", dealt)
+        bw.write_bigwig(frames[0], f"file://{tmp_path}/{held}.bw", frames[1], reduction=30, levels=2, parts=1)
+        files.append((tmp_path / f"{held}.bw").read_bytes())
+    assert files[0] == files[1]
+    monkeypatch.setattr(bw, "NODES", 2)
+    path = f"file://{tmp_path}/4.bw"
+    assert sorted(tuple(r) for r in bw.read_bigwig(spark, path).collect()) == sorted(rows)
+    regions = [("chr2", 100, 3000), ("more7", 0, 9), ("chrM", 0, 10**9), ("chr3", 0, 10**9), ("a", 0, 5), ("z", 0, 5)]
+    want = sorted(r for r in rows if any(r[0] == c and r[1] < e and r[2] > s for c, s, e in regions))
+    assert sorted(tuple(r) for r in bw.read_bigwig(spark, path, regions).collect()) == want
+    known = bw.layout(path)
+    assert {c: s for c, (_, s) in known.chroms.items()} == sizes and sorted(known.chroms) == sorted(known.chroms, key=lambda c: known.chroms[c][0])
+    assert sum(r.valid for r in bw.read_zoom(spark, path, 1).collect()) == sum(e - s for _, s, e, _ in rows)
+
+
+def test_the_driver_gets_neither_chromosomes_nor_blocks(spark, tmp_path, monkeypatch):
+    """Of a file with many chromosomes, tasks send rows of tasks and of upper levels, to write and to read it."""
+    monkeypatch.setattr(bw, "ITEMS", 1024)
+    monkeypatch.setattr(bw, "NODE_ITEMS", 256)
+    rows = spark.range(30_000).selectExpr("concat('c', id) as chrom", "id as start", "id + 1 as end", "1D as value")
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._gateway.jvm.double, 0)
+
+    def sent():
+        found = store.stageList(None, False, False, none, None)
+        return sum(max(0, found.apply(k).resultSize() - 8_000 * found.apply(k).numTasks()) for k in range(found.size()))
+
+    before, path, small = sent(), f"file://{tmp_path}/many.bw", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")  # what Spark itself may send to the driver for a join
+    try:
+        bw.write_bigwig(rows, path, rows.selectExpr("chrom", "40000L as size"), reduction=1000, levels=1)
+        n, total = bw.read_bigwig(spark, path).selectExpr("count(distinct chrom)", "sum(start)").first()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert (n, total) == (30_000, 30_000 * 29_999 // 2) and sent() - before < 150_000, sent() - before
