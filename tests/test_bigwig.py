@@ -206,3 +206,16 @@ def test_the_driver_gets_neither_chromosomes_nor_blocks(spark, tmp_path, monkeyp
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
     assert (n, total) == (30_000, 30_000 * 29_999 // 2) and sent() - before < 150_000, sent() - before
+
+
+def test_summaries_of_many_chromosomes_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Names that tasks read are joined by a shuffle: what tasks read for has no size beforehand that could be trusted."""
+    for name, value in (("NODE_ITEMS", 8), ("HELD", 50), ("NODES", 4)):
+        monkeypatch.setattr(bw, name, value)
+    rows = spark.range(600).selectExpr("concat('c', id) as chrom", "id as start", "id + 1 as end", "cast(id as double) as value")
+    path = f"file://{tmp_path}/many.bw"
+    bw.write_bigwig(rows, path, rows.selectExpr("chrom", "1000L as size"), reduction=100, levels=1)
+    zoom = bw.read_zoom(spark, path)
+    plan = zoom._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted((r.chrom, r.start, r.end, r.valid, r.total) for r in zoom.collect()) == sorted((f"c{k}", k // 100 * 100, k // 100 * 100 + 100, 1, float(k)) for k in range(600))
